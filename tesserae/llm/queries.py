@@ -7,13 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, mixing
+from tesserae.llm import common, langid, mixing, url_filter
 
 
 def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet").select(*columns)
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents", "doc_id", "text", "lang")
+    held_out = F.coalesce(common.crc_mod("doc_id", 3) == 1, F.lit(False))
+    languages, bundles = langid.prototypes(docs.filter(~held_out))
+    found = langid.predict(docs, languages, bundles, "text", "doc_id")
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")
+    )
+
+
+#: The rules of the contract.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_filter.filter_urls(_read(spark, folder, "pages", "page_id", "url"), URL_RULES)
+    return judged.select(
+        "page_id",
+        F.col("_host").alias("host"),
+        F.col("_path").alias("path"),
+        F.col("_rule").alias("rule"),
+        F.col("_verdict").alias("verdict"),
+        F.round("_score", 6).alias("score"),
+    )
+
+
 def op8_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents", "doc_id", "source", "text")
     sized = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("_size"))
@@ -30,6 +62,8 @@ def op8_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_url_filter": op2_url_filter,
     "op8_entropy_mixing": op8_entropy_mixing,
 }
 ORACLES: dict[str, str] = {}
