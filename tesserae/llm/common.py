@@ -39,3 +39,12 @@ def crc_mod(column: str, modulus: int) -> Column:
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+#: Rows up to which a table that was written and counted may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with the hint to broadcast it if it has at most ``most`` rows; without it, Spark shuffles for the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

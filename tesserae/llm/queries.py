@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, langid, mixing, url_filter
+from tesserae.llm import common, langid, mixing, quality_rules, url_filter
 
 
 def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -46,6 +46,18 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents", "doc_id", "text", "lang")
+    judged = quality_rules.judge(docs, "text", "lang", "doc_id")
+    return judged.select(
+        "doc_id",
+        *[F.col(f"_{k}").alias(k) for k in quality_rules.BASE],
+        F.col("_base_failed").alias("base_failed"),
+        F.col("_kept").alias("kept"),
+        F.col("_perplexity").alias("log10_perplexity"),
+    )
+
+
 def op8_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents", "doc_id", "source", "text")
     sized = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("_size"))
@@ -64,6 +76,7 @@ def op8_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
+    "op3_kneser_ney": op3_kneser_ney,
     "op8_entropy_mixing": op8_entropy_mixing,
 }
 ORACLES: dict[str, str] = {}
