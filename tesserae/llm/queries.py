@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, langid, mixing, quality_rules, url_filter
+from tesserae.llm import common, langid, mixing, quality_rules, site_quality, toxicity, url_filter
 
 
 def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -58,6 +58,36 @@ def op3_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents", "doc_id", "text")
+    held_out = F.coalesce(common.crc_mod("doc_id", 4) == 2, F.lit(False))
+    labels = _read(spark, folder, "labels", "doc_id", "toxic").filter(~held_out)
+    scored = toxicity.score(docs, toxicity.train(docs, labels), "text", "doc_id")
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op6_site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents", "doc_id", "text", "source")
+    labels = _read(spark, folder, "labels", "doc_id", "quality")
+    evidence = site_quality.document_evidence(docs, labels, "text", "quality", "doc_id", "source")
+    placed = common.stage(site_quality.site_of(evidence, _read(spark, folder, "pages", "page_id", "url")), "site-docs")
+    return site_quality.combine(placed).select(
+        "doc_id",
+        F.col("_host").alias("host"),
+        F.col("_path").alias("path"),
+        F.col("_p").alias("document_p"),
+        F.round("_host_mean", 6).alias("host_mean"),
+        F.round("_path_mean", 6).alias("path_mean"),
+        F.round("_score", 6).alias("score"),
+        F.col("_kept").alias("kept"),
+    )
+
+
 def op8_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents", "doc_id", "source", "text")
     sized = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("_size"))
@@ -77,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op3_kneser_ney": op3_kneser_ney,
+    "op5_ftrl_toxicity": op5_ftrl_toxicity,
+    "op6_site_quality": op6_site_quality,
     "op8_entropy_mixing": op8_entropy_mixing,
 }
 ORACLES: dict[str, str] = {}
