@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, langid, mixing, quality_rules, site_quality, toxicity, url_filter
+from tesserae.llm import common, langid, mixing, quality_rules, site_quality, suffix_tree, toxicity, url_filter
 
 
 def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -103,6 +103,11 @@ def op8_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents", "doc_id", "text")
+    return suffix_tree.score(docs, common.crc_mod("doc_id", 7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
@@ -110,5 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ftrl_toxicity": op5_ftrl_toxicity,
     "op6_site_quality": op6_site_quality,
     "op8_entropy_mixing": op8_entropy_mixing,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 ORACLES: dict[str, str] = {}
