@@ -17,6 +17,7 @@ import pyarrow as pa
 PIECE = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SECOND = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -109,11 +110,12 @@ def words(piece: Piece) -> Words:
     return Words(starts, ends, np.searchsorted(starts, piece.offsets))
 
 
-def span_hashes(piece: Piece, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
-    n = len(piece.data)
+def span_hashes(piece: Piece | np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, the same wherever the span stands; ``second``: an independent one."""
+    data = piece if isinstance(piece, np.ndarray) else piece.data
+    n, table = len(data), _SECOND if second else _BYTE
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[piece.data] * _power("up", _BASE, n)[:n], out=total[1:])
+    np.cumsum(table[data] * _power("up", _BASE, n)[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * _power("down", _INVERSE, n)[starts])
 
 
@@ -168,3 +170,41 @@ def per_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def compacted(piece: Piece) -> tuple[np.ndarray, Words]:
+    """The words of a piece, each followed by one blank, as one array of bytes, and the spans of the words in it."""
+    found = words(piece)
+    sizes = found.ends - found.starts
+    if not len(sizes):
+        return np.zeros(0, np.uint8), Words(sizes, sizes, found.first)
+    keep = ~_SEPARATOR[piece.data]
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    data = np.full(int(starts[-1] + sizes[-1] + 1), 0x20, np.uint8)
+    inside = np.ones(len(data), bool)
+    inside[starts + sizes] = False
+    data[inside] = piece.data[keep]
+    return data, Words(starts, starts + sizes, found.first)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each span, one span after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Least value of every ``width`` consecutive ones."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
+    best, span = values, 1
+    while span * 2 <= width:
+        best = np.minimum(best[:-span], best[span:])
+        span *= 2
+    return np.minimum(best[:n], best[width - span : width - span + n])
+
+
+def bucket_bits(partitions: int, each: int = 4) -> int:
+    """Bits of a bucket's number, so that each shuffle partition gets about ``each`` buckets or a few more."""
+    return max(4, int(np.ceil(np.log2(each * max(1, partitions)))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, langid, mixing, quality_rules, site_quality, suffix_tree, toxicity, url_filter
+from tesserae.llm import common, langid, mixing, quality_rules, site_quality, substring_dedup, suffix_tree, toxicity, url_filter
 
 
 def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -103,6 +103,16 @@ def op8_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_super_kmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents", "doc_id", "text")
+    return substring_dedup.kept_words(docs).select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_removed").alias("n_removed"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents", "doc_id", "text")
     return suffix_tree.score(docs, common.crc_mod("doc_id", 7) == 2)
@@ -115,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ftrl_toxicity": op5_ftrl_toxicity,
     "op6_site_quality": op6_site_quality,
     "op8_entropy_mixing": op8_entropy_mixing,
+    "op9_super_kmer_dedup": op9_super_kmer_dedup,
     "op10_suffix_tree": op10_suffix_tree,
 }
 ORACLES: dict[str, str] = {}
