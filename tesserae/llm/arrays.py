@@ -156,8 +156,8 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.
             extra.append(h)
         value = np.concatenate([value, mix(np.array(extra, np.uint64))])
         doc = np.concatenate([doc, short])
-    order = np.argsort(value)
-    order = order[np.argsort(doc[order], kind="stable")]
+    bits = max(1, int(len(first)).bit_length())
+    order = np.argsort(doc.astype(np.uint64) << np.uint64(64 - bits) | value >> np.uint64(bits))
     value, doc = value[order], doc[order]
     fresh = np.ones(len(value), bool)
     fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])

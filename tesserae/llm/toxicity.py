@@ -60,7 +60,10 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _fit(table: pa.Table, start: tuple[np.ndarray, np.ndarray] | None) -> pa.Table:
-    """One group's pass: the states after it, where they aren't zero. Slot ``SLOTS`` is the bias."""
+    """One group's pass: the states after it. Slot ``SLOTS`` is the bias.
+
+    Coordinates that are within half of L1 of zero have weight zero; they start anew in the next round.
+    """
     z, n = (x.copy() for x in start) if start else (np.zeros(SLOTS + 1), np.zeros(SLOTS + 1))
     table = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
     labels = table["label"].to_numpy()
@@ -75,7 +78,7 @@ def _fit(table: pa.Table, start: tuple[np.ndarray, np.ndarray] | None) -> pa.Tab
             more = np.sqrt(n[at] + g * g)
             z[at] += g - (more - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
-    at = np.flatnonzero(n)
+    at = np.flatnonzero(np.abs(z) >= L1 / 2)
     return pa.table({"slot": at.astype(np.int32), "z": z[at], "n": n[at]})
 
 
