@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, langid, mixing, quality_rules, site_quality, substring_dedup, suffix_tree, toxicity, url_filter
+from tesserae.llm import common, jaccard_join, langid, mixing, quality_rules, site_quality, substring_dedup, suffix_tree, toxicity, url_filter
 
 
 def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -88,6 +88,14 @@ def op6_site_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_grouped_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
+    linked = jaccard_join.link_components(_read(spark, folder, "documents", "doc_id", "text"))
+    known = lambda c: F.nullif(F.col(c), F.lit((1 << 63) - 1))
+    return linked.select(
+        known("_id").alias("doc_id"), F.col("_n_shingles").alias("n_shingles"), known("_component").alias("component_id")
+    )
+
+
 def op8_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents", "doc_id", "source", "text")
     sized = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("_size"))
@@ -124,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_kneser_ney": op3_kneser_ney,
     "op5_ftrl_toxicity": op5_ftrl_toxicity,
     "op6_site_quality": op6_site_quality,
+    "op7_grouped_prefix_join": op7_grouped_prefix_join,
     "op8_entropy_mixing": op8_entropy_mixing,
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
     "op10_suffix_tree": op10_suffix_tree,
