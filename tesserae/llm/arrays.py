@@ -14,6 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+# Arrow's own pool keeps what it has freed; in a worker that lives through many tasks this adds up.
+pa.set_memory_pool(pa.system_memory_pool())
+
 PIECE = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -208,3 +211,19 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def bucket_bits(partitions: int, each: int = 4) -> int:
     """Bits of a bucket's number, so that each shuffle partition gets about ``each`` buckets or a few more."""
     return max(4, int(np.ceil(np.log2(each * max(1, partitions)))))
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """The bytes of the columns, one after the other, compressed."""
+    raw = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    return pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpacked(data: bytes, size: int, *kinds: type) -> list[np.ndarray]:
+    """The columns of ``size`` values each that were packed as these kinds."""
+    raw = pa.Codec("zstd").decompress(data, size * sum(np.dtype(k).itemsize for k in kinds), asbytes=True)
+    out, at = [], 0
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, size, at))
+        at += size * np.dtype(kind).itemsize
+    return out

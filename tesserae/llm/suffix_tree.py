@@ -41,7 +41,8 @@ LEAST_DIVERGENCE = 20.0
 WORD_SHARE = 0.35
 BUNDLE = 8 << 20
 _END = 0xFF
-_HELD = 4_000_000
+_HELD = 2_000_000
+_FINE = 32  # log10 probabilities travel in steps of 1 / _FINE
 
 
 def symbols(piece: arrays.Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -194,34 +195,40 @@ def train(texts: DataFrame, text: str = "text") -> Tree:
 
 
 _SENT = (
-    "bundle string, bucket int, hashes binary, counts binary,"
-    "ids array<bigint>, held array<boolean>, sizes binary, places binary, logs binary"
+    "bundle string, bucket int, n int, packed binary,"
+    "ids array<bigint>, held array<boolean>, sizes binary, tokens int, logs binary"
 )
 
 
 def _send(shared, bits: int):
     """Rows of (doc_id, held, text) -> a row for each bundle and bucket of words, and one with its documents."""
     schema = pa.schema(
-        [("bundle", pa.string()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]
+        [("bundle", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())]
         + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
-        + [("sizes", pa.binary()), ("places", pa.binary()), ("logs", pa.binary())]
+        + [("sizes", pa.binary()), ("tokens", pa.int32()), ("logs", pa.binary())]
     )
 
     def bundled(name: str, batch: pa.RecordBatch, lo: int, hi: int, parts: list) -> pa.RecordBatch:
         hashes = np.concatenate([p[0] for p in parts])
         sizes = np.concatenate([p[1] for p in parts])
-        logs = np.concatenate([p[2] for p in parts]).astype(np.float16)
+        logs = np.concatenate([p[2] for p in parts])
+        logs = np.clip(np.rint(logs * _FINE), -32768, 0).astype(np.int16)
         held = np.array(batch.column(1)[lo:hi].to_pylist(), bool)
         distinct, place = np.unique(hashes, return_inverse=True)
         many = np.bincount(place[np.repeat(~held, sizes)], minlength=len(distinct)).astype(np.uint32)
         edges = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
         rows = [
-            {"bundle": name, "bucket": b, "hashes": distinct[x:y].tobytes(), "counts": many[x:y].tobytes()}
+            {"bundle": name, "bucket": b, "n": int(y - x), "packed": arrays.packed(distinct[x:y], many[x:y])}
             for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True))
             if y > x
         ]
-        own = {"sizes": sizes.astype(np.int32).tobytes(), "places": place.astype(np.int32).tobytes()}
-        own |= {"ids": batch.column(0)[lo:hi].to_pylist(), "held": held.tolist(), "logs": logs.tobytes()}
+        # words by falling frequency have small numbers, which pack well
+        often = np.argsort(-np.bincount(place, minlength=len(distinct)), kind="stable").astype(np.int32)
+        rank = np.empty(len(often), np.int32)
+        rank[often] = np.arange(len(often))
+        own = {"sizes": sizes.astype(np.int32).tobytes(), "n": len(distinct), "tokens": len(place)}
+        own |= {"packed": arrays.packed(rank[place]), "logs": arrays.packed(often.view(np.int16), logs)}
+        own |= {"ids": batch.column(0)[lo:hi].to_pylist(), "held": held.tolist()}
         return pa.RecordBatch.from_pylist([*rows, {"bundle": name, "bucket": -1, **own}], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,19 +264,20 @@ def _send(shared, bits: int):
 
 def _add_up(table: pa.Table) -> pa.Table:
     """A bucket: the training count of every word that a bundle has sent, in the order in which it sent them."""
-    hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table["hashes"]]
-    distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    many = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]])
-    total = np.bincount(place, many, minlength=len(distinct)).astype(np.int64)
-    edges = np.cumsum([0, *map(len, hashes)])
-    found = [total[place[x:y]].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
+    sizes = table["n"].to_pylist()
+    sent = [arrays.unpacked(x.as_py(), n, np.uint64, np.uint32) for x, n in zip(table["packed"], sizes, strict=True)]
+    distinct, place = np.unique(np.concatenate([h for h, _ in sent]), return_inverse=True)
+    total = np.bincount(place, np.concatenate([n for _, n in sent]), minlength=len(distinct)).astype(np.int64)
+    edges = np.cumsum([0, *sizes])
+    found = [arrays.packed(total[place[x:y]]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
     first = np.arange(len(found)) == 0
     return pa.table(
         {
             "bundle": table["bundle"],
             "bucket": table["bucket"],
-            "counts": pa.array(found, pa.binary()),
-            "tokens": first * int(total.sum()),
+            "n": table["n"],
+            "packed": pa.array(found, pa.binary()),
+            "seen": first * int(total.sum()),
             "words": first * np.count_nonzero(total),
         }
     )
@@ -277,17 +285,18 @@ def _add_up(table: pa.Table) -> pa.Table:
 
 def _sum_up(training: int, tokens: int, distinct: int):
     """A bundle: its documents' sums from the counts of its words. The end is a token of its own."""
-    every, kinds = tokens + training, distinct + (training > 0)
-    below = math.log10(every + kinds + 1)
+    every = tokens + training
+    below = math.log10(every + distinct + (training > 0) + 1)
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"].to_numpy()
-        counts = [
-            np.frombuffer(table["counts"][int(i)].as_py(), np.int64) for i in np.argsort(bucket) if bucket[i] >= 0
-        ]
-        count = np.concatenate([np.zeros(0, np.int64), *counts])
+        of = lambda i: arrays.unpacked(table["packed"][i].as_py(), table["n"][i].as_py(), np.int64)[0]
+        count = np.concatenate([np.zeros(0, np.int64), *[of(int(i)) for i in np.argsort(bucket) if bucket[i] >= 0]])
         row = table.slice(int(np.flatnonzero(bucket < 0)[0]), 1).to_pylist()[0]
-        sizes, places = np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["places"], np.int32)
+        sizes, kinds, many = np.frombuffer(row["sizes"], np.int32), row["n"], row["tokens"]
+        (rank,) = arrays.unpacked(row["packed"], many, np.int32)
+        (half,) = arrays.unpacked(row["logs"], 2 * kinds + many + len(sizes), np.int16)
+        places, tree = half[: 2 * kinds].view(np.int32)[rank], half[2 * kinds :] / _FINE
         first = np.concatenate([[0], np.cumsum(sizes)])
         own = np.full(len(places) + len(sizes), training, np.int64)  # with the end of each document
         word = np.ones(len(own), bool)
@@ -295,7 +304,6 @@ def _sum_up(training: int, tokens: int, distinct: int):
         own[word] = count[places]
         first = first + np.arange(len(first))
         base = np.log10(own + 1.0) - below
-        tree = np.frombuffer(row["logs"], np.float16).astype(np.float64)
         mixed = np.logaddexp(tree * math.log(10) + math.log(1 - WORD_SHARE), base * math.log(10) + math.log(WORD_SHARE))
         return pa.table(
             {
@@ -324,13 +332,13 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id")
     training = rows.filter("not held").count()
     bits = max(4, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     sent = stage(rows.mapInArrow(_send(tree, bits), _SENT), "tree-sent")
-    known = sent.filter("bucket >= 0").select("bundle", "bucket", "hashes", "counts").groupBy("bucket")
+    known = sent.filter("bucket >= 0").select("bundle", "bucket", "n", "packed").groupBy("bucket")
     known = stage(
-        known.applyInArrow(_add_up, "bundle string, bucket int, counts binary, tokens long, words long"), "tree-known"
+        known.applyInArrow(_add_up, "bundle string, bucket int, n int, packed binary, seen long, words long"), "tree-known"
     )
-    sums = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    own = sent.filter("bucket < 0").drop("hashes", "counts")
-    both = known.drop("tokens", "words").unionByName(own, allowMissingColumns=True)
+    sums = known.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    own = sent.filter("bucket < 0")
+    both = known.drop("seen", "words").unionByName(own, allowMissingColumns=True)
     return both.groupBy("bundle").applyInArrow(
         _sum_up(training, *map(int, sums)),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
