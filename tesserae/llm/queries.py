@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, jaccard_join, langid, mixing, quality_rules, site_quality, substring_dedup, suffix_tree, toxicity, url_filter
+from tesserae.llm import common, decontaminate, jaccard_join, langid, mixing, quality_rules, site_quality, substring_dedup, suffix_tree, toxicity, url_filter
 
 
 def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -58,6 +58,36 @@ def op3_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_minhash_containment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents", "doc_id", "text")
+    found = decontaminate.find_leaks(docs, _read(spark, folder, "benchmark", "item_id", "text"), "text", "doc_id")
+    return found.select(
+        "doc_id",
+        F.col("_item_id").alias("item_id"),
+        F.col("_n_shingles").cast("long").alias("n_shingles"),
+        F.col("_n_matched").cast("long").alias("n_matched"),
+    )
+
+
+_OP4_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
+), i AS (
+  SELECT item_id, w, least(5, len(w)) AS k
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) > 0
+), q AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS s
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM i)
+), s AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)
+)
+SELECT s.doc_id, q.item_id, n.n AS n_shingles, count(*) AS n_matched
+FROM q JOIN s USING (k, s) JOIN (SELECT item_id, count(*) AS n FROM q GROUP BY item_id) n ON n.item_id = q.item_id
+GROUP BY s.doc_id, q.item_id, n.n HAVING 100 * count(*) >= 75 * n.n
+"""
+
+
 def op5_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents", "doc_id", "text")
     held_out = F.coalesce(common.crc_mod("doc_id", 4) == 2, F.lit(False))
@@ -130,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op3_kneser_ney": op3_kneser_ney,
+    "op4_minhash_containment": op4_minhash_containment,
     "op5_ftrl_toxicity": op5_ftrl_toxicity,
     "op6_site_quality": op6_site_quality,
     "op7_grouped_prefix_join": op7_grouped_prefix_join,
@@ -137,4 +168,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
     "op10_suffix_tree": op10_suffix_tree,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_minhash_containment": _OP4_SQL}
