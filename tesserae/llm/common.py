@@ -48,3 +48,17 @@ BROADCAST_ROWS = 100_000
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with the hint to broadcast it if it has at most ``most`` rows; without it, Spark shuffles for the join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def shield(docs: DataFrame):
+    """``docs`` with its columns renamed c0, c1, ..., so that no name clashes with those that an operator adds.
+
+    Returns the renamed table, a function from a column's name to its new one, and a function that restores the names
+    (and appends columns that are given to it).
+    """
+    names = docs.columns
+
+    def back(df: DataFrame, *more: Column) -> DataFrame:
+        return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *more)
+
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), lambda name: f"c{names.index(name)}", back

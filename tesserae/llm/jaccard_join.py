@@ -16,8 +16,8 @@ documents link when 100 x intersection >= 75 x union. All links between differen
 
 Shingles are told apart by 64-bit hashes inside a document, and by the bucket's bits and 32 more between documents.
 Null and empty texts have an empty set, link to nothing, and are their own component. Rows that share an id are one
-node, with the links of each. A null id is the largest; its component has a null id if it holds nothing else. An empty
-table gives an empty result.
+node. Rows without an id are nodes by their text, with numbers from ``NO_ID`` on, above all ids. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ WIDTH = 5
 PERCENT = 75
 BUNDLE = 8 << 20
 SALTS = 16
-_NULL = np.iinfo(np.int64).max
+NO_ID = 1 << 62
 _SENT = (
     "bucket int, bundle string, packed binary, size int,"
     "ids array<bigint>, sizes array<bigint>, one array<bigint>, two array<bigint>, leaders array<int>"
@@ -266,11 +266,16 @@ def _possible(n_a: Column, n_b: Column, at_a: Column, at_b: Column) -> Column:
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & (F.least(n_a - at_a, n_b - at_b) >= least)
 
 
+def node(doc_id: Column, text: Column) -> Column:
+    """The number of a row's node: its id, or one from ``NO_ID`` on that follows from its text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID >> 1)))
+
+
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``_id`` (null ids as the largest number), ``_n_shingles`` and ``_component`` of every row."""
+    """``_id`` (see ``node``), ``_n_shingles`` and ``_component`` of every row."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = min(24, arrays.bucket_bits(partitions))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(node(F.col(doc_id), F.col(text)).alias("id"), F.col(text).alias("text"))
     sent = rows.mapInArrow(_send(bits), _SENT).groupBy("bucket").applyInArrow(_share, _SENT)
     sent = stage(sent, "join-shared")
 

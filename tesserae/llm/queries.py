@@ -120,7 +120,7 @@ def op6_site_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_grouped_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     linked = jaccard_join.link_components(_read(spark, folder, "documents", "doc_id", "text"))
-    known = lambda c: F.nullif(F.col(c), F.lit((1 << 63) - 1))
+    known = lambda c: F.when(F.col(c) < jaccard_join.NO_ID, F.col(c))
     return linked.select(
         known("_id").alias("doc_id"), F.col("_n_shingles").alias("n_shingles"), known("_component").alias("component_id")
     )
