@@ -10,7 +10,8 @@ documents link when 100 x intersection >= 75 x union. All links between differen
 3. The others with the same set form a class; classes with the same size and prefix form a group. Groups that share a
    prefix shingle are paired if their sizes and the shingle's positions allow enough overlap.
 4. Pairs are verified with the shared shingles of both sides; the shingles of only one document never intersect. First
-   every group is paired with the first group of a shingle, and members with their group's first member. Then only pairs
+   every group is paired with one group of each shingle, and members with one member of their group: the one whose
+   shingles are the most frequent, as among near copies this is the text that the others were made from. Then only pairs
    of different components are left to try, and all of those are. So a large group of near copies costs a few pairs a
    member, and no link between different components can be missed.
 
@@ -156,14 +157,14 @@ def _share(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_SENT_SCHEMA)
 
 
-_LIVE = "id long, n int, one long, two long, unique int, prefix array<bigint>, shared binary, n_shared int"
+_LIVE = "id long, n int, one long, two long, unique int, middle double, prefix array<bigint>, shared binary, n_shared int"
 
 
 def _prefixes(bits: int) -> Callable[[pa.Table], pa.Table]:
     """A bundle: prefix and shared shingles of those class leaders that may link to something."""
     schema = pa.schema(
         [("id", pa.int64()), ("n", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("unique", pa.int32())]
-        + [("prefix", pa.list_(pa.int64())), ("shared", pa.binary()), ("n_shared", pa.int32())]
+        + [("middle", pa.float64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary()), ("n_shared", pa.int32())]
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -186,7 +187,7 @@ def _prefixes(bits: int) -> Callable[[pa.Table], pa.Table]:
         own = wanted[doc]
         doc, key, df = doc[own], key[own], df[own]
         order = np.lexsort((key, df, doc))
-        doc, key = doc[order], key[order]
+        doc, key, weight = doc[order], key[order], np.log(df[order])
         edge = np.searchsorted(doc, np.arange(len(wanted) + 1))
         out: dict[str, list] = {k: [] for k in schema.names}
         for d in np.flatnonzero(np.diff(edge) > 0):
@@ -203,6 +204,7 @@ def _prefixes(bits: int) -> Callable[[pa.Table], pa.Table]:
             out["id"].append(about["ids"][d])
             out["n"].append(n)
             out["unique"].append(unique)
+            out["middle"].append(round(float(weight[edge[d] : edge[d + 1]].sum()) / n, 6))
             out["prefix"].append(prefix)
             out["shared"].append(codec.compress(np.sort(shared).tobytes(), asbytes=True))
             out["n_shared"].append(len(shared))
@@ -297,17 +299,26 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     # classes with the same size and prefix, and what their first members share
     groups = live.groupBy("one", "two").agg(
-        F.min("id").alias("g"), F.min("n").alias("n"), F.min("unique").alias("u"), F.min("prefix").alias("prefix")
+        F.max(F.struct("middle", (-F.col("id")).alias("back"))).alias("best"),
+        F.min("n").alias("n"),
+        F.min("unique").alias("u"),
+        F.min("prefix").alias("prefix"),
     )
+    groups = groups.withColumns({"g": -F.col("best.back"), "middle": F.col("best.middle")}).drop("best")
     groups = stage(groups, "join-groups")
     members = live.select("id", "one", "two", "n").join(groups.select("one", "two", "g"), ["one", "two"]).select("g", "id", "n")
     members = stage(members, "join-members")
     postings = stage(
-        groups.select("g", "n", "u", F.posexplode("prefix").alias("at", "key")).select("key", "g", "n", (F.col("u") + F.col("at")).alias("at")),
+        groups.select("g", "n", "u", "middle", F.posexplode("prefix").alias("at", "key")).select(
+            "key", "g", "n", "middle", (F.col("u") + F.col("at")).alias("at")
+        ),
         "join-postings",
     )
-    first = postings.groupBy("key").agg(F.min(F.struct("g", "n", "at")).alias("first"), F.count("*").alias("many"))
-    first = first.filter("many > 1").select("key", "first.*").toDF("key", "a", "n_a", "at_a")
+    first = postings.groupBy("key").agg(
+        F.max(F.struct("middle", (-F.col("g")).alias("back"), "n", "at")).alias("first"), F.count("*").alias("many")
+    )
+    first = first.filter("many > 1").select("key", -F.col("first.back"), "first.n", "first.at")
+    first = first.toDF("key", "a", "n_a", "at_a")
     starred = (
         postings.join(first, "key")
         .filter((F.col("a") != F.col("g")) & _possible(F.col("n_a"), F.col("n"), F.col("at_a"), F.col("at")))
