@@ -4,9 +4,598 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.functions import labels, urls, vectors
+from tesserae.operators import fetch, infer, ivf, metadata, quality, search, summary
+from tesserae.plans import fixtures
+from tesserae.sources import sinks
+from tesserae.sources.shared import shared_path
+from tesserae.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+TOP_N, FACTOR = 10, 3
+_HYPHENED = "regexp_replace({}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+_META = f"""
+meta AS (
+  SELECT d.doc_id AS id, d.lang AS kingdom, d.source AS genus, d.lang AS source_dataset, d.source AS publisher, p.url AS identifier,
+    coalesce(p.url <> '', false) AS has_url, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) AS in_training,
+    CASE WHEN d.doc_id % 2 = 0 THEN {_HYPHENED.format("md5(CAST(d.doc_id AS VARCHAR))")} ELSE upper(md5(CAST(d.doc_id AS VARCHAR))) END AS uuid
+  FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id
+)"""
+_RANKED = """
+base AS (
+  SELECT *, CASE WHEN id % 17 = 0 THEN '2024-05-01' WHEN id % 19 = 0 THEN genus || ' L.' ELSE genus END AS phylum,
+    CASE WHEN id % 23 = 0 THEN 'INVALID rank' WHEN id % 29 = 0 THEN 'a var. b' ELSE genus END AS class
+  FROM meta
+), ruled AS (
+  SELECT *, CASE WHEN NOT kingdom IN ('en', 'fr', 'de') THEN 'K'
+    WHEN phylum LIKE '2024-%' OR phylum LIKE '% L.' THEN 'P'
+    WHEN (class LIKE '%INVALID%' OR class LIKE '%MATCH%' OR (class LIKE '% var. %' AND class LIKE '%.%')) THEN 'C' END AS rule
+  FROM base
+)"""
+_METRIC = {
+    "l2": "pow(list_distance(q.v, e.v), 2)",
+    "ip": "-list_inner_product(q.v, e.v)",
+    "cosine": "1 - list_cosine_similarity(q.v, e.v)",
+}
+
+
+def _hits(k: int, metric: str = "l2") -> str:
+    return f"""
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+q AS (SELECT vec_id AS query_id, v FROM e WHERE vec_id % {fixtures.QUERY_STRIDE} = 0),
+d AS (SELECT q.query_id, e.vec_id, e.label, round({_METRIC[metric]}, 6) + 0.0 AS distance FROM q, e),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= {k})"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+# ---- vector search
+
+
+def _knn(metric: str) -> Query:
+    return lambda spark, d: search.top_k(fixtures.queries(spark, d), fixtures.corpus(spark, d), TOP_N, metric)
+
+
+for _m, _n in (("l2", "knn_exact"), ("ip", "knn_ip"), ("cosine", "knn_cosine")):
+    query(_n, f"WITH {_hits(TOP_N, _m)} SELECT query_id, vec_id, distance, rank FROM hits")(_knn(_m))
+
+
+@query(
+    "vector_normalise",
+    """SELECT vec_id, CAST(p - 1 AS BIGINT) AS at, round(v[p] / sqrt(list_inner_product(v, v)), 6) + 0.0 AS x
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings)""",
+)
+def vector_normalise(spark: SparkSession, d: str) -> DataFrame:
+    unit = fixtures.corpus(spark, d).select("vec_id", F.posexplode(vectors.normalise(F.col("embedding"))).alias("at", "x"))
+    return unit.select("vec_id", F.col("at").cast("long").alias("at"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+_SCOPES = {
+    "all": ("all", "true"),
+    "url": ("url_only", "has_url"),
+    "publisher": ("inaturalist", f"has_url AND source_dataset = '{fixtures.DATASET}' AND contains(publisher, '{fixtures.PUBLISHER}')"),
+    "training": ("training", "in_training"),
+}
+_SHOWN = ["query_id", "vec_id", "distance", "rank", "source_dataset", "publisher", "identifier"]
+
+
+def _scope(key: str):
+    return search.in_scope(key, fixtures.PUBLISHER, fixtures.DATASET)
+
+
+def _enriched(key: str) -> Query:
+    return lambda spark, d: search.search(
+        fixtures.queries(spark, d), fixtures.corpus(spark, d), fixtures.metadata(spark, d), TOP_N, FACTOR, _scope(key)
+    ).select(*_SHOWN)
+
+
+for _label, (_key, _where) in _SCOPES.items():
+    query(
+        f"knn_enriched_scope_{_label}",
+        f"""WITH {_hits(TOP_N * FACTOR)}, {_META}, x AS (
+          SELECT h.query_id, h.vec_id, h.distance, row_number() OVER (PARTITION BY h.query_id ORDER BY h.distance, h.vec_id) AS rank,
+            source_dataset, publisher, identifier
+          FROM hits h JOIN meta m ON m.id = h.vec_id WHERE {_where}
+        ) SELECT * FROM x WHERE rank <= {TOP_N}""",
+    )(_enriched(_key))
+
+
+@query(
+    "knn_prefilter",
+    f"""WITH {_hits(1).rpartition("hits AS")[0].rstrip().rstrip(",")}, {_META}, x AS (
+      SELECT d.query_id, d.vec_id, d.distance, row_number() OVER (PARTITION BY d.query_id ORDER BY d.distance, d.vec_id) AS rank,
+        source_dataset, publisher, identifier
+      FROM d JOIN meta m ON m.id = d.vec_id WHERE in_training
+    ) SELECT * FROM x WHERE rank <= {TOP_N}""",
+)
+def knn_prefilter(spark: SparkSession, d: str) -> DataFrame:
+    found = search.search_within(
+        fixtures.queries(spark, d), fixtures.corpus(spark, d), fixtures.metadata(spark, d), TOP_N, _scope("training")
+    )
+    return found.select(*_SHOWN)
+
+
+_CENTERS = """
+c AS (SELECT cell, list(x ORDER BY p) AS v FROM (
+  SELECT label AS cell, p, avg(v[p]) AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS p FROM e) GROUP BY label, p
+) GROUP BY cell)"""
+
+
+@query(
+    "ivf_label_cells",
+    f"""WITH {_hits(1).rpartition("d AS")[0].rstrip().rstrip(",")}, {_CENTERS}, a AS (
+      SELECT vec_id, v, cell FROM (SELECT e.vec_id, e.v, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(pow(list_distance(e.v, c.v), 2), 9), c.cell) AS r FROM e, c) WHERE r = 1
+    ), p AS (
+      SELECT query_id, v, cell FROM (SELECT q.query_id, q.v, c.cell, row_number() OVER (PARTITION BY q.query_id ORDER BY round(pow(list_distance(q.v, c.v), 2), 6), c.cell) AS r FROM q, c) WHERE r <= 3
+    ), x AS (
+      SELECT p.query_id, a.vec_id, round(pow(list_distance(p.v, a.v), 2), 6) + 0.0 AS distance FROM p JOIN a USING (cell)
+    ) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x) WHERE rank <= {TOP_N}""",
+)
+def ivf_label_cells(spark: SparkSession, d: str) -> DataFrame:
+    corpus = fixtures.corpus(spark, d)
+    cells = ivf.label_cells(corpus)
+    return ivf.search_cells(fixtures.queries(spark, d), ivf.assign_cells(corpus, cells), cells, TOP_N, 3)
+
+
+NLIST, M, KSUB = 8, 8, 16
+
+
+def _trained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    corpus = fixtures.corpus(spark, d)
+    sample = ivf.stratified_sample(corpus, "label", 0.5, 2_000, "vec_id")
+    cells = ivf.train_cells(sample, NLIST)
+    return corpus, cells, ivf.assign_cells(corpus, cells)
+
+
+@query("ivf_full_probe", ORACLES["knn_exact"])
+def ivf_full_probe(spark: SparkSession, d: str) -> DataFrame:
+    _, cells, indexed = _trained(spark, d)
+    return ivf.search_cells(fixtures.queries(spark, d), indexed, cells, TOP_N, NLIST)
+
+
+@query("ivf_probe")
+def ivf_probe(spark: SparkSession, d: str) -> DataFrame:
+    _, cells, indexed = _trained(spark, d)
+    return ivf.search_cells(fixtures.queries(spark, d), indexed, cells, TOP_N, 6)
+
+
+@query("ivfpq_search")
+def ivfpq_search(spark: SparkSession, d: str) -> DataFrame:
+    corpus, cells, indexed = _trained(spark, d)
+    books = ivf.train_codebooks(ivf.stratified_sample(corpus, "label", 0.5, 2_000, "vec_id"), M, KSUB)
+    codes = ivf.encode(indexed, books)
+    return ivf.search_codes(fixtures.queries(spark, d), codes, cells, books, TOP_N, NLIST, corpus.select("vec_id", "embedding"), 20)
+
+
+@query("recall_by_nprobe")
+def recall_by_nprobe(spark: SparkSession, d: str) -> DataFrame:
+    corpus, cells, indexed = _trained(spark, d)
+    queries = fixtures.queries(spark, d)
+    exact, out = search.top_k(queries, corpus, TOP_N), None
+    for nprobe in (1, 2, 4, NLIST):
+        one = ivf.recall(exact, ivf.search_cells(queries, indexed, cells, TOP_N, nprobe), TOP_N)
+        one = one.agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(nprobe).alias("nprobe"), "recall")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(
+    "index_stats",
+    f"""WITH {_hits(1).rpartition("q AS")[0].rstrip().rstrip(",")}, {_CENTERS}, a AS (
+      SELECT vec_id, cell FROM (SELECT e.vec_id, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(pow(list_distance(e.v, c.v), 2), 9), c.cell) AS r FROM e, c) WHERE r = 1
+    ), n AS (SELECT cell, count(*) AS n FROM a GROUP BY cell)
+    SELECT CAST(sum(n) AS BIGINT) AS n_vectors, count(*) AS n_cells, min(n) AS least, round(avg(n), 6) AS mean, max(n) AS most FROM n""",
+)
+def index_stats(spark: SparkSession, d: str) -> DataFrame:
+    corpus = fixtures.corpus(spark, d)
+    return ivf.index_stats(ivf.assign_cells(corpus, ivf.label_cells(corpus)))
+
+
+@query("corpus_stats", "SELECT count(*) AS n_vectors, min(len(embedding)) AS least_dim, max(len(embedding)) AS most_dim FROM embeddings")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return ivf.corpus_stats(fixtures.corpus(spark, d))
+
+
+@query(
+    "stratified_sample",
+    """SELECT vec_id, label FROM (
+      SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '-42'), vec_id) AS r, count(*) OVER (PARTITION BY label) AS n
+      FROM embeddings) WHERE r <= least(30, ceil(0.25 * n))""",
+)
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return ivf.stratified_sample(fixtures.corpus(spark, d), "label", 0.25, 30, "vec_id").select("vec_id", "label")
+
+
+@query("contiguous_ids", "SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS new_id FROM documents")
+def contiguous_ids(spark: SparkSession, d: str) -> DataFrame:
+    keyed = fixtures.table(spark, d, "documents").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("k"))
+    return ivf.contiguous_ids(keyed, ["k"]).select("doc_id", F.col("new_id").cast("long").alias("new_id"))
+
+
+# ---- urls and fetch planning
+
+_DOMAIN = "regexp_extract(coalesce(url, ''), '^(https?://[^/]+)', 1)"
+_PREFIXES = f"""
+f AS (SELECT {_DOMAIN} AS prefix, count(*) AS cnt FROM pages WHERE url IS NOT NULL GROUP BY 1),
+prefixes AS (SELECT prefix_id, prefix FROM (SELECT prefix, row_number() OVER (ORDER BY cnt DESC, prefix) - 1 AS prefix_id FROM f) WHERE prefix <> '')"""
+
+
+def _identified(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.table(spark, d, "pages").select("page_id", F.col("url").alias("identifier"))
+
+
+@query("url_prefix_table", f"WITH {_PREFIXES} SELECT prefix_id, prefix FROM prefixes")
+def url_prefix_table(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.url_prefixes(_identified(spark, d)).select(F.col("prefix_id").cast("long").alias("prefix_id"), "prefix")
+
+
+@query(
+    "url_split",
+    f"""WITH {_PREFIXES} SELECT page_id, prefix_id AS url_prefix_id,
+      CASE WHEN prefix_id IS NULL THEN url ELSE substr(url, length(prefix) + 1) END AS identifier_suffix
+    FROM pages LEFT JOIN prefixes ON prefix = {_DOMAIN}""",
+)
+def url_split(spark: SparkSession, d: str) -> DataFrame:
+    rows = _identified(spark, d)
+    split = metadata.split_urls(rows, metadata.url_prefixes(rows))
+    return split.select("page_id", F.col("url_prefix_id").cast("long").alias("url_prefix_id"), "identifier_suffix")
+
+
+@query("url_rebuild", "SELECT page_id, nullif(url, '') AS identifier FROM pages")
+def url_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    rows = _identified(spark, d)
+    prefixes = metadata.url_prefixes(rows)
+    return metadata.rebuild_urls(metadata.split_urls(rows, prefixes), prefixes).select("page_id", "identifier")
+
+
+@query("domain_frequency", f"SELECT {_DOMAIN} AS domain, count(*) AS cnt FROM pages WHERE url IS NOT NULL GROUP BY 1")
+def domain_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.domain_frequency(_identified(spark, d))
+
+
+_HOST = "lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_SLOW = ", ".join(f"'{h}'" for h in fixtures.THROTTLED_HOSTS)
+_ROUTE = f"CASE WHEN nullif(url, '') IS NULL THEN 'no_url' WHEN {_HOST} IN ({_SLOW}) THEN 'rate_limited' ELSE 'unrestricted' END"
+
+
+@query("host_route", f"SELECT page_id, {_HOST} AS host, {_ROUTE} AS route FROM pages")
+def host_route(spark: SparkSession, d: str) -> DataFrame:
+    pages = fixtures.page_hosts(spark, d)
+    return pages.select("page_id", "host", fetch.route(F.col("url"), fixtures.THROTTLED_HOSTS).alias("route"))
+
+
+@query(
+    "throttle_plan",
+    f"""SELECT page_id, route, CASE WHEN route = 'rate_limited' THEN CAST(row_number() OVER (PARTITION BY route, host ORDER BY page_id) - 1 AS DOUBLE) ELSE 0.0 END AS start_offset_s
+    FROM (SELECT page_id, {_HOST} AS host, {_ROUTE} AS route FROM pages)""",
+)
+def throttle_plan(spark: SparkSession, d: str) -> DataFrame:
+    pages = fixtures.table(spark, d, "pages").select("page_id", "url")
+    return fetch.plan(pages, "url", "page_id", fixtures.THROTTLED_HOSTS).select("page_id", "route", "start_offset_s")
+
+
+@query(
+    "thumbnail_url",
+    f"SELECT page_id, CASE WHEN {_HOST} IN ({_SLOW}) THEN replace(url, '/original/', '/medium/') ELSE url END AS url FROM (SELECT page_id, url || '/original/1.jpg' AS url FROM pages)",
+)
+def thumbnail_url(spark: SparkSession, d: str) -> DataFrame:
+    pages = fixtures.table(spark, d, "pages").select("page_id", F.concat("url", F.lit("/original/1.jpg")).alias("url"))
+    return pages.select("page_id", urls.thumbnail(F.col("url"), fixtures.THROTTLED_HOSTS).alias("url"))
+
+
+_LOG = """
+log AS (SELECT event_id, ts, CASE WHEN user_id % 4 = 0 THEN 'slow.example.org' ELSE 'open.example.org' END AS host,
+  CASE WHEN event_type IN ('view', 'click') THEN 'ok' WHEN event_type = 'signup' THEN 'rate_limited' WHEN event_type = 'purchase' THEN 'http_404' ELSE 'timeout' END AS status,
+  CAST(trunc(value * 1048576) AS BIGINT) AS n_bytes FROM events)"""
+_ALARM = 256 * 1024 * 1024
+
+
+@query(
+    "fetch_status_summary",
+    f"WITH {_LOG} SELECT count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'no_url') AS n_no_url, count(*) FILTER (status NOT IN ('ok', 'no_url')) AS n_failed FROM log",
+)
+def fetch_status_summary(spark: SparkSession, d: str) -> DataFrame:
+    log = fixtures.fetch_log(spark, d)
+    status = fetch.outcome(F.col("code"), F.col("error"), F.lit(True))
+    return summary.status_summary(log.withColumn("image_status", status))
+
+
+@query("outcome_counts", f"WITH {_LOG} SELECT status AS image_status, count(*) AS n FROM log GROUP BY 1")
+def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    log = fixtures.fetch_log(spark, d)
+    status = fetch.outcome(F.col("code"), F.col("error"), F.lit(True))
+    return log.groupBy(status.alias("image_status")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "bandwidth_by_host",
+    f"WITH {_LOG} SELECT host, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, host = 'slow.example.org' AND sum(n_bytes) > {_ALARM} AS over FROM log GROUP BY host",
+)
+def bandwidth_by_host(spark: SparkSession, d: str) -> DataFrame:
+    return summary.bytes_by_host(fixtures.fetch_log(spark, d), _ALARM, ["slow.example.org"])
+
+
+_HOURLY = f"WITH {_LOG} SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, host, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM log GROUP BY 1, 2"
+
+
+@query("bandwidth_by_hour", _HOURLY)
+def bandwidth_by_hour(spark: SparkSession, d: str) -> DataFrame:
+    hourly = streams.bytes_per_hour(fixtures.fetch_log(spark, d))
+    return hourly.select(F.unix_timestamp("hour").alias("hour"), "host", "n_bytes")
+
+
+@query("stream_bandwidth", _HOURLY)
+def stream_bandwidth(spark: SparkSession, d: str) -> DataFrame:
+    events = fixtures.table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    hourly = streams.bytes_per_hour(fixtures.as_fetch_log(stream)).drop("over")
+    out = shared_path(spark, "stream-bandwidth")
+    done = hourly.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/hours"))
+    done.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/hours").select(F.unix_timestamp("hour").alias("hour"), "host", "n_bytes")
+
+
+@query("stream_search", ORACLES["knn_enriched_scope_url"])
+def stream_search(spark: SparkSession, d: str) -> DataFrame:
+    corpus = fixtures.corpus(spark, d)
+    stream = fixtures.as_queries(spark.readStream.schema(corpus.schema).parquet(f"{d}/embeddings.parquet"))
+    out = shared_path(spark, "stream-search")
+    streams.search_on_arrival(
+        stream,
+        corpus,
+        fixtures.metadata(spark, d),
+        lambda hits, n: hits.write.mode("overwrite").parquet(f"{out}/hits/batch={n}"),
+        f"{out}/checkpoint",
+        TOP_N,
+        FACTOR,
+        _scope("url_only"),
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/hits").select(*_SHOWN)
+
+
+# ---- metadata pipeline
+
+
+@query("training_flag", f"WITH {_META} SELECT id, in_training FROM meta")
+def training_flag(spark: SparkSession, d: str) -> DataFrame:
+    meta = fixtures.metadata(spark, d).select("id", "uuid")
+    catalog = fixtures.table(spark, d, "labels").filter("quality = 1").select(F.md5(F.col("doc_id").cast("string")).alias("uuid"))
+    return metadata.training_flag(meta, catalog).select("id", "in_training")
+
+
+@query(
+    "scope_coverage",
+    f"""WITH {_META}, n AS (SELECT unnest(['all', 'url', 'no_url', 'publisher', 'training', 'classified']) AS scope,
+      unnest([count(*), count(*) FILTER (has_url), count(*) FILTER (NOT has_url), count(*) FILTER ({_SCOPES["publisher"][1]}), count(*) FILTER (in_training), count(*) FILTER (nullif(kingdom, '') IS NOT NULL)]) AS n_rows,
+      unnest([count(*), count(*), count(*), count(*), count(*), count(*)]) AS total FROM meta)
+    SELECT scope, n_rows, round(100.0 * n_rows / total, 4) AS percent FROM n""",
+)
+def scope_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return summary.scope_coverage(fixtures.metadata(spark, d), fixtures.PUBLISHER, fixtures.DATASET)
+
+
+@query(
+    "backfill",
+    """SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 <> 0 THEN d.lang END, CASE WHEN l.quality = 1 THEN 'labelled' END, d.source) AS lang
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+)
+def backfill(spark: SparkSession, d: str) -> DataFrame:
+    docs = fixtures.table(spark, d, "documents")
+    base = docs.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"))
+    first = fixtures.table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "labelled").alias("lang"))
+    return metadata.backfill(base, [first, docs.select("doc_id", F.col("source").alias("lang"))], "doc_id", ["lang"])
+
+
+RULES = metadata.Rules(kingdoms=["en", "fr", "de"])
+
+
+@query("corrupt_ids", f"WITH {_META}, {_RANKED} SELECT id, rule FROM ruled WHERE rule IS NOT NULL")
+def corrupt_ids(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.corrupt_ids(fixtures.ranked_metadata(spark, d), RULES)
+
+
+_NULLED = ", ".join(f"CASE WHEN rule IS NULL THEN {c} END AS {c}" for c in ("kingdom", "phylum", "class", "genus"))
+
+
+@query("null_out_corrupt", f"WITH {_META}, {_RANKED} SELECT id, source_dataset, {_NULLED} FROM ruled")
+def null_out_corrupt(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["kingdom", "phylum", "class", "genus"]
+    return metadata.null_out(fixtures.ranked_metadata(spark, d), RULES, columns).select("id", "source_dataset", *columns)
+
+
+@query("closed_domain_cast", "SELECT doc_id, CASE WHEN source IN (SELECT DISTINCT source FROM documents WHERE lang = 'es') THEN source END AS source FROM documents")
+def closed_domain_cast(spark: SparkSession, d: str) -> DataFrame:
+    docs = fixtures.table(spark, d, "documents").select("doc_id", "source", "lang")
+    domain = metadata.distinct_values(docs.filter("lang = 'es'"), "source").withColumnRenamed("source", "value")
+    return metadata.closed_domain(docs.select("doc_id", "source"), "source", domain)
+
+
+_LIMITS = {"p_brand": 5, "p_type": 500, "p_size": 50, "p_name": 100}
+
+
+@query(
+    "cardinality_gate",
+    "SELECT *, n_distinct <= most AS accepted FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column, count(DISTINCT {c}) AS n_distinct, CAST({m} AS BIGINT) AS most FROM part" for c, m in _LIMITS.items())
+    + ")",
+)
+def cardinality_gate(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.cardinality_gate(fixtures.table(spark, d, "part"), _LIMITS)
+
+
+@query("distinct_values", "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL")
+def distinct_values(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.distinct_values(fixtures.table(spark, d, "documents"), "source")
+
+
+@query("domain_violations", "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND source NOT IN ('src0', 'src1', 'src2')")
+def domain_violations(spark: SparkSession, d: str) -> DataFrame:
+    allowed = fixtures.table(spark, d, "documents").select(F.col("source").alias("value")).filter("value IN ('src0', 'src1', 'src2')")
+    return metadata.domain_violations(fixtures.table(spark, d, "documents"), "source", allowed)
+
+
+@query("uuid_canonical", f"SELECT doc_id, {_HYPHENED.format('md5(CAST(doc_id AS VARCHAR))')} AS uuid FROM documents")
+def uuid_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.metadata(spark, d).select(F.col("id").alias("doc_id"), labels.canonical_uuid(F.col("uuid")).alias("uuid"))
+
+
+@query("narrow_cast", "SELECT CAST(doc_id AS INTEGER) AS id, CAST(n_chars AS INTEGER) AS n_chars FROM documents")
+def narrow_cast(spark: SparkSession, d: str) -> DataFrame:
+    docs = fixtures.table(spark, d, "documents")
+    return docs.select(labels.narrow(F.col("doc_id")).alias("id"), labels.narrow(F.col("n_chars")).alias("n_chars"))
+
+
+@query(
+    "display_labels",
+    """SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN nullif(source, '') END, CASE WHEN doc_id % 3 = 0 THEN nullif(lang, '') END, 'Unknown') AS label,
+      CASE WHEN doc_id % 5 = 0 THEN 'https://occurrence.example.org/' || doc_id ELSE lang END AS link,
+      concat_ws(' ', nullif(lang, ''), nullif(source, ''), CASE WHEN doc_id % 3 = 0 THEN '(' || lang || ')' END) AS lineage
+    FROM documents""",
+)
+def display_labels(spark: SparkSession, d: str) -> DataFrame:
+    docs = fixtures.table(spark, d, "documents")
+    i = F.col("doc_id")
+    common = F.when(i % 3 == 0, F.col("lang"))
+    dataset, record = F.when(i % 5 == 0, "GBIF").otherwise(F.col("lang")), F.when(i % 5 == 0, i.cast("string"))
+    return docs.select(
+        "doc_id",
+        labels.display_label(F.when(i % 2 == 0, F.col("source")), common).alias("label"),
+        labels.source_link(dataset, record, "https://occurrence.example.org/").alias("link"),
+        labels.lineage([F.col("lang"), F.col("source")], common).alias("lineage"),
+    )
+
+
+# ---- aggregates, quality, inference
+
+
+@query(
+    "hierarchy_counts",
+    """WITH paths AS (SELECT r_name AS region, n_name AS nation, c_mktsegment AS segment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
+    SELECT region, nation, segment, count(*) AS leaf_paths, CAST(sum(n) AS BIGINT) AS n_rows, CAST(3 - grouping(region) - grouping(nation) - grouping(segment) AS BIGINT) AS depth
+    FROM paths GROUP BY ROLLUP (region, nation, segment)""",
+)
+def hierarchy_counts(spark: SparkSession, d: str) -> DataFrame:
+    return summary.hierarchy(fixtures.hierarchy_rows(spark, d), ["region", "nation", "segment"])
+
+
+@query(
+    "storage_by_column",
+    "SELECT unnest(['doc_id', 'text', 'lang', 'source']) AS column, unnest([CAST(sum(strlen(CAST(doc_id AS VARCHAR))) AS BIGINT), CAST(sum(strlen(text)) AS BIGINT), CAST(sum(strlen(lang)) AS BIGINT), CAST(sum(strlen(source)) AS BIGINT)]) AS n_bytes, unnest([count(*) - count(doc_id), count(*) - count(text), count(*) - count(lang), count(*) - count(source)]) AS n_null FROM documents",
+)
+def storage_by_column(spark: SparkSession, d: str) -> DataFrame:
+    return summary.storage_by_column(fixtures.table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+
+
+@query(
+    "reconcile",
+    """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing' ELSE 'changed' END AS state, CASE WHEN doc_id % 11 = 0 THEN 'lang,source' ELSE 'lang' END AS columns
+    FROM documents WHERE doc_id % 11 = 0 OR doc_id % 7 = 0""",
+)
+def reconcile(spark: SparkSession, d: str) -> DataFrame:
+    docs = fixtures.table(spark, d, "documents").select("doc_id", "lang", "source")
+    output = docs.filter("doc_id % 11 <> 0").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, F.lit("xx")).otherwise(F.col("lang")))
+    return quality.reconcile(docs, output, "doc_id", ["lang", "source"])
+
+
+@query(
+    "dq_report",
+    f"""WITH {_META}, {_RANKED}, n AS (SELECT count(*) AS n, count(*) FILTER (has_url) AS u, count(*) FILTER (in_training) AS t FROM meta)
+    SELECT 'row_count' AS check, true AS passed, CAST(n AS VARCHAR) AS observed, CAST(n AS VARCHAR) AS expected FROM n
+    UNION ALL SELECT 'corrupted_are_null', true, '0', '0'
+    UNION ALL SELECT 'kingdom_in_domain', true, '0', '0'
+    UNION ALL SELECT 'in_training_count', true, CAST(t AS VARCHAR), CAST(t AS VARCHAR) FROM n
+    UNION ALL SELECT 'url_rebuild', true, '0', '0'
+    UNION ALL SELECT 'expected_count', n = 1000, CAST(n AS VARCHAR), '1000' FROM n""",
+)
+def dq_report(spark: SparkSession, d: str) -> DataFrame:
+    source = fixtures.ranked_metadata(spark, d)
+    columns = ["kingdom", "phylum", "class", "genus"]
+    output = metadata.null_out(source, RULES, columns)
+    rows = source.select("id", "identifier")
+    prefixes = metadata.url_prefixes(rows)
+    rebuilt = metadata.rebuild_urls(metadata.split_urls(rows, prefixes), prefixes)
+    return quality.union(
+        quality.same_count(source, output),
+        quality.corrupted_are_null(output, metadata.corrupt_ids(source, RULES), columns),
+        quality.in_domain(output, "kingdom", RULES.kingdoms),
+        quality.flag_counts(source, output, "in_training"),
+        quality.urls_rebuilt(rows, rebuilt, "id"),
+        quality.expected_count(source, 1000),
+    )
+
+
+@query(
+    "centroid_topk",
+    f"""WITH {_hits(1).rpartition("q AS")[0].rstrip().rstrip(",")}, {_CENTERS}, s AS (
+      SELECT e.vec_id AS item, c.cell, exp(10 * list_cosine_similarity(e.v, c.v)) AS w FROM e, c
+    ), n AS (SELECT item, 'group' || (cell // 2) AS rank_value, w / sum(w) OVER (PARTITION BY item) AS p FROM s),
+    g AS (SELECT item, rank_value, round(sum(p), 6) AS score FROM n GROUP BY item, rank_value)
+    SELECT item, rank_value, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, rank_value) AS rk FROM g) WHERE rk <= 3""",
+)
+def centroid_topk(spark: SparkSession, d: str) -> DataFrame:
+    corpus = fixtures.corpus(spark, d)
+    names = corpus.select(F.col("label").cast("int").alias("cell")).distinct()
+    names = names.withColumn("family", F.concat(F.lit("group"), F.floor(F.col("cell") / 2).cast("string")))
+    items = corpus.select(F.col("vec_id").alias("item"), "embedding")
+    return infer.predict_rank(items, corpus, names, "family", 3)
+
+
+@query("content_dedupe", "SELECT md5(text) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
+def content_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    docs = fixtures.table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("content_hash"))
+    return docs.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+
+
+def letter_counts() -> Callable[[np.ndarray], np.ndarray]:
+    """A stand-in for a model: relative counts of the letters a to p."""
+
+    def run(texts: np.ndarray) -> np.ndarray:
+        return np.array([[str(t).count(chr(97 + k)) / max(len(str(t)), 1) for k in range(16)] for t in texts], np.float32)
+
+    return run
+
+
+@query("embed_batch")
+def embed_batch(spark: SparkSession, d: str) -> DataFrame:
+    docs = fixtures.table(spark, d, "documents").select("text")
+    store = spark.createDataFrame([], "content_hash string, embedding array<float>")
+    return infer.embed_new(docs, store, "text", letter_counts)
+
+
+@query("fetch_batch", f"SELECT page_id, CASE WHEN nullif(url, '') IS NULL THEN 'no_url' ELSE 'ok' END AS image_status, CAST(coalesce(strlen(url), 0) AS BIGINT) AS n_bytes FROM pages")
+def fetch_batch(spark: SparkSession, d: str) -> DataFrame:
+    pages = fixtures.table(spark, d, "pages").select("page_id", "url")
+    planned = fetch.plan(pages, "url", "page_id", fixtures.THROTTLED_HOSTS)
+    got = fetch.fetch(planned, lambda address: (200, address.encode(), None), "url", "page_id", 8)
+    return got.select("page_id", "image_status", "n_bytes")
+
+
+@query("sorted_layout", "SELECT doc_id, source, lang, count(*) OVER (PARTITION BY source, lang) AS n FROM documents")
+def sorted_layout(spark: SparkSession, d: str) -> DataFrame:
+    docs = fixtures.table(spark, d, "documents").select("doc_id", "source", "lang")
+    n = docs.groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return sinks.sorted_rows(docs.join(n, ["source", "lang"]), ["source", "lang", "doc_id"]).select("doc_id", "source", "lang", "n")
+
+
+@query("result_ranks", f"WITH {_hits(5)} SELECT query_id, count(*) AS n, round(min(distance), 6) AS nearest, round(max(distance), 6) AS farthest FROM hits GROUP BY query_id")
+def result_ranks(spark: SparkSession, d: str) -> DataFrame:
+    hits = search.top_k(fixtures.queries(spark, d), fixtures.corpus(spark, d), 5)
+    return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("distance").alias("nearest"), F.max("distance").alias("farthest"))
+
+
