@@ -14,7 +14,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, ShortType
+from pyspark.sql.types import ArrayType, IntegerType, ShortType, StructField, StructType
 
 from tesserae.functions.vectors import distance
 from tesserae.operators.search import _matrix, ranked, top_k
@@ -56,7 +56,7 @@ def assign_cells(corpus: DataFrame, centroids: DataFrame) -> DataFrame:
             near = ((c**2).sum(1)[None] - 2 * v @ c.T).round(9).argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[near].astype(np.int32))], names=[*batch.schema.names, "cell"])
 
-    return corpus.mapInArrow(run, corpus.schema.add("cell", IntegerType()))
+    return corpus.mapInArrow(run, StructType([*corpus.schema.fields, StructField("cell", IntegerType())]))
 
 
 def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
@@ -98,7 +98,7 @@ def encode(corpus: DataFrame, codebooks: DataFrame) -> DataFrame:
     """``corpus`` with ``codes`` in place of ``embedding``: the nearest code of each slice."""
     shared = corpus.sparkSession.sparkContext.broadcast(_books(codebooks))
     names = [c for c in corpus.columns if c != "embedding"]
-    schema = corpus.select(*names).schema.add("codes", ArrayType(ShortType()))
+    schema = StructType([*corpus.select(*names).schema.fields, StructField("codes", ArrayType(ShortType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value

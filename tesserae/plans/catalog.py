@@ -343,7 +343,7 @@ def bandwidth_by_hour(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_bandwidth", _HOURLY)
 def stream_bandwidth(spark: SparkSession, d: str) -> DataFrame:
     events = fixtures.table(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream takes folders or patterns
     hourly = streams.bytes_per_hour(fixtures.as_fetch_log(stream)).drop("over")
     out = shared_path(spark, "stream-bandwidth")
     done = hourly.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/hours"))
@@ -354,7 +354,7 @@ def stream_bandwidth(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_search", ORACLES["knn_enriched_scope_url"])
 def stream_search(spark: SparkSession, d: str) -> DataFrame:
     corpus = fixtures.corpus(spark, d)
-    stream = fixtures.as_queries(spark.readStream.schema(corpus.schema).parquet(f"{d}/embeddings.parquet"))
+    stream = fixtures.as_queries(spark.readStream.schema(corpus.schema).parquet(f"{d}/embeddings.parque[t]"))
     out = shared_path(spark, "stream-search")
     streams.search_on_arrival(
         stream,
