@@ -17,7 +17,7 @@ import pyarrow as pa
 # Arrow's own pool keeps what it has freed; in a worker that lives through many tasks this adds up.
 pa.set_memory_pool(pa.system_memory_pool())
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SECOND = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,6 +117,15 @@ def span_hashes(piece: Piece | np.ndarray, starts: np.ndarray, ends: np.ndarray,
     """A 64-bit hash of each span's bytes, the same wherever the span stands; ``second``: an independent one."""
     data = piece if isinstance(piece, np.ndarray) else piece.data
     n, table = len(data), _SECOND if second else _BYTE
+    if n > 4 * PIECE and len(starts) > 1:  # spans in order of their starts, some at a time
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            lo = starts[i]
+            j = max(i + 1, int(np.searchsorted(starts, lo + PIECE)))
+            part = data[lo : int(ends[i:j].max())]
+            out[i:j] = span_hashes(part, starts[i:j] - lo, ends[i:j] - lo, second)
+            i = j
+        return out
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(table[data] * _power("up", _BASE, n)[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * _power("down", _INVERSE, n)[starts])

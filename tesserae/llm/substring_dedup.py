@@ -278,7 +278,7 @@ def kept_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     keyed = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)))
     joined = keyed.join(spans, "_id", "left").drop("_id").withColumn("_text", F.col(text))
     names = docs.columns
-    schema = docs.schema
+    schema = docs.select(*names).schema
     for name, kind in (("_n_words", "long"), ("_n_removed", "long"), ("_kept", "string")):
         schema = schema.add(name, kind)
 

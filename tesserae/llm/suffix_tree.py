@@ -39,9 +39,9 @@ DEPTH = 5
 LEAST_SHARE = 1e-5
 LEAST_DIVERGENCE = 20.0
 WORD_SHARE = 0.35
-BUNDLE = 8 << 20
+BUNDLE = 6 << 20
 _END = 0xFF
-_HELD = 2_000_000
+_HELD = 1_000_000
 _FINE = 32  # log10 probabilities travel in steps of 1 / _FINE
 
 
