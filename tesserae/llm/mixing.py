@@ -7,8 +7,8 @@ each iteration is one grouped aggregation over the counts of (source, size), and
 
 Rates become copies by systematic rounding: documents of a source stand in order of falling size, and a document's
 copies are what the rounded running sum of the rates grows by. The source's words then miss its target by half its
-longest document at most, whatever the number of documents. The running sum is formed over (source, size, salt)
-strata, so a hot source or a large group of equal sizes is spread over ``SALTS`` tasks.
+longest document at most, whatever the number of documents. The running sum is formed over a source's sizes, then over
+the ``SALTS`` strata of a size, so neither a hot source nor a large group of equal sizes is ranked in one task.
 
 Null sources form one source of their own, the last. Null texts have size 0 and are never taken. Repeated rows count
 as often as they occur. An empty table gives an empty result.
@@ -117,16 +117,21 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", doc
     strata = stage(sized.groupBy(*_KEYS).agg(F.count("*").alias("_count")), "mix-strata")
     sources = stage(source_targets(strata), "mix-sources")
     solved = balance(strata, sources)
-    rated = strata.join(solved, "_source").withColumn(
+    rate = F.when(F.col("full"), F.lit(float(MOST))).otherwise(_rate(F.col("m"), F.col("_size"), F.col("mean_size")))
+    longer = Window.partitionBy("_source").orderBy(F.desc("_size")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = strata.groupBy("_source", "_size").agg(F.sum("_count").alias("_all")).join(solved, "_source")
+    sizes = sizes.withColumn("_rate", rate).select(
+        "_source",
+        "_size",
         "_rate",
-        F.when(F.col("full"), F.lit(float(MOST))).otherwise(_rate(F.col("m"), F.col("_size"), F.col("mean_size"))),
-    )
-    before = (
-        Window.partitionBy("_source").orderBy(F.desc("_size"), "_salt").rowsBetween(Window.unboundedPreceding, -1)
+        F.coalesce(F.sum(F.col("_rate") * F.col("_all")).over(longer), F.lit(0.0)).alias("_longer"),
+        F.col("source_size").alias("_source_size"),
+        F.col("target").alias("_target"),
     )
-    placed = rated.withColumn(
-        "_before", F.coalesce(F.sum(F.col("_rate") * F.col("_count")).over(before), F.lit(0.0))
-    ).select(*_KEYS, "_rate", "_before", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    lower = Window.partitionBy("_source", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.coalesce(F.sum("_count").over(lower), F.lit(0))
+    placed = strata.withColumn("_nth", nth).join(sizes, ["_source", "_size"])
+    placed = placed.withColumn("_before", F.col("_longer") + F.col("_rate") * F.col("_nth")).drop("_longer", "_nth", "_count")
     rank = F.row_number().over(Window.partitionBy(*_KEYS).orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id)))
     upto = lambda k: F.floor(F.col("_before") + F.col("_rate") * k + 0.5)
     copies = F.when(F.col("_size") == 0, 0).otherwise(upto(F.col("_rank")) - upto(F.col("_rank") - 1))
