@@ -118,6 +118,22 @@ def op6_site_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_OP7_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM k JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) c ON c.id = d.doc_id
+"""
+
+
 def op7_grouped_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     linked = jaccard_join.link_components(_read(spark, folder, "documents", "doc_id", "text"))
     known = lambda c: F.when(F.col(c) < jaccard_join.NO_ID, F.col(c))
@@ -141,6 +157,22 @@ def op8_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_OP9_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d)
+), y AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM x),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM y WHERE r > 1),
+k AS (
+  SELECT z.doc_id, string_agg(z.w[z.p], ' ' ORDER BY z.p) AS kept
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) z ANTI JOIN g ON g.doc_id = z.doc_id AND g.p = z.p
+  GROUP BY z.doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
+
+
 def op9_super_kmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents", "doc_id", "text")
     return substring_dedup.kept_words(docs).select(
@@ -168,4 +200,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
     "op10_suffix_tree": op10_suffix_tree,
 }
-ORACLES: dict[str, str] = {"op4_minhash_containment": _OP4_SQL}
+ORACLES: dict[str, str] = {
+    "op4_minhash_containment": _OP4_SQL,
+    "op7_grouped_prefix_join": _OP7_SQL,
+    "op9_super_kmer_dedup": _OP9_SQL,
+}
