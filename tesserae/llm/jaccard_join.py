@@ -12,8 +12,8 @@ documents link when 100 x intersection >= 75 x union. All links between differen
 4. Pairs are verified with the shared shingles of both sides; the shingles of only one document never intersect. First
    every group is paired with one group of each shingle, and members with one member of their group: the one whose
    shingles are the most frequent, as among near copies this is the text that the others were made from. Then only pairs
-   of different components are left to try, and all of those are. So a large group of near copies costs a few pairs a
-   member, and no link between different components can be missed.
+   of different components are left to try, and all of those are that a bitmap of each set doesn't rule out. So a large
+   group of near copies costs a few pairs a member, and no link between different components can be missed.
 
 Shingles are told apart by 64-bit hashes inside a document, and by the bucket's bits and 32 more between documents.
 Null and empty texts have an empty set, link to nothing, and are their own component. Rows that share an id are one
@@ -39,6 +39,7 @@ WIDTH = 5
 PERCENT = 75
 BUNDLE = 8 << 20
 SALTS = 16
+PARITY = 8  # words of 64 bits in the parity bitmap of a set; a power of two
 NO_ID = 1 << 62
 _SENT = (
     "bucket int, bundle string, packed binary, size int,"
@@ -157,14 +158,14 @@ def _share(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_SENT_SCHEMA)
 
 
-_LIVE = "id long, n int, one long, two long, unique int, middle double, prefix array<bigint>, shared binary, n_shared int"
+_LIVE = "id long, n int, one long, two long, unique int, middle double, bits array<bigint>, prefix array<bigint>, shared binary, n_shared int"
 
 
 def _prefixes(bits: int) -> Callable[[pa.Table], pa.Table]:
     """A bundle: prefix and shared shingles of those class leaders that may link to something."""
     schema = pa.schema(
         [("id", pa.int64()), ("n", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("unique", pa.int32())]
-        + [("middle", pa.float64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary()), ("n_shared", pa.int32())]
+        + [("middle", pa.float64()), ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary()), ("n_shared", pa.int32())]
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -205,6 +206,8 @@ def _prefixes(bits: int) -> Callable[[pa.Table], pa.Table]:
             out["n"].append(n)
             out["unique"].append(unique)
             out["middle"].append(round(float(weight[edge[d] : edge[d + 1]].sum()) / n, 6))
+            odd = np.bincount(arrays.mix(shared.astype(np.uint64)) & np.uint64(64 * PARITY - 1), minlength=64 * PARITY) & 1
+            out["bits"].append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             out["prefix"].append(prefix)
             out["shared"].append(codec.compress(np.sort(shared).tobytes(), asbytes=True))
             out["n_shared"].append(len(shared))
@@ -273,6 +276,20 @@ def node(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID >> 1)))
 
 
+def _near(a: str, b: str) -> Column:
+    """Whether the sets can be near enough by what tells them apart for certain.
+
+    A shingle of one document only is in one of the sets. Of the others, each flips a bit of its set's bitmap, so at least
+    as many differ as bits do.
+    """
+    c = lambda name, side: F.col(f"{name}_{side}")
+    apart = c("u", a) + c("u", b)
+    for i in range(PARITY):
+        apart = apart + F.bit_count(c(f"b{i}", a).bitwiseXOR(c(f"b{i}", b)))
+    both = c("n", a) + c("n", b)
+    return apart <= both - 2 * F.ceil(PERCENT * both / (100 + PERCENT))
+
+
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``_id`` (see ``node``), ``_n_shingles`` and ``_component`` of every row."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -306,7 +323,9 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
     groups = groups.withColumns({"g": -F.col("best.back"), "middle": F.col("best.middle")}).drop("best")
     groups = stage(groups, "join-groups")
-    members = live.select("id", "one", "two", "n").join(groups.select("one", "two", "g"), ["one", "two"]).select("g", "id", "n")
+    bits = [F.col("bits")[i].alias(f"b{i}") for i in range(PARITY)]
+    members = live.select("id", "one", "two", "n", F.col("unique").alias("u"), *bits)
+    members = members.join(groups.select("one", "two", "g"), ["one", "two"]).drop("one", "two")
     members = stage(members, "join-members")
     postings = stage(
         groups.select("g", "n", "u", "middle", F.posexplode("prefix").alias("at", "key")).select(
@@ -341,14 +360,14 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         .select("key")
     )
     left_over = stage(
-        postings.select("key", "g", "at").join(open_keys, "key", "left_semi").join(placed, "g").select("key", "id", "n", "at", "c"),
+        postings.select("key", "g", "at").join(open_keys, "key", "left_semi").join(placed, "g").drop("g"),
         "join-open",
     )
-    a, b = (left_over.toDF("key", x, f"n_{x}", f"at_{x}", f"c_{x}") for x in "ab")
+    a, b = (left_over.toDF(*[c if c == "key" else x if c == "id" else f"{c}_{x}" for c in left_over.columns]) for x in "ab")
     more = (
         a.join(b, "key")
         .filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
-        .filter(_possible(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b")))
+        .filter(_possible(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b")) & _near("a", "b"))
         .select("a", "b")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
