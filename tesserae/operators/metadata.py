@@ -172,3 +172,17 @@ def rebuild_urls(df: DataFrame, prefixes: DataFrame, name: str = "identifier") -
 def map_columns(df: DataFrame, renamed: dict[str, str], dropped: list[str]) -> DataFrame:
     """Rename and drop columns; those that are missing are passed over."""
     return df.drop(*dropped).withColumnsRenamed(renamed)
+
+
+def join_manifest(manifest: DataFrame, catalog: DataFrame, uuid: str = "uuid") -> DataFrame:
+    """(id, uuid) of a manifest with the catalogue's columns, by the canonical form of the uuid on both sides."""
+    key = canonical_uuid(F.col(uuid))
+    left = manifest.withColumn(uuid, key).filter(F.col(uuid).isNotNull())
+    return left.join(catalog.withColumn(uuid, key), uuid)
+
+
+def rebuilt_only(df: DataFrame, prefixes: DataFrame, id_col: str, name: str = "identifier") -> DataFrame:
+    """Only rows with a known prefix and a suffix, with their url."""
+    known = prefixes.withColumnRenamed("prefix_id", "url_prefix_id")
+    joined = df.filter(F.col("identifier_suffix").isNotNull()).join(known, "url_prefix_id")
+    return joined.select(id_col, urls.rebuild(F.col("prefix"), F.col("identifier_suffix")).alias(name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -112,3 +114,18 @@ def union(*checks: DataFrame) -> DataFrame:
     for c in checks[1:]:
         out = out.union(c)
     return out
+
+
+def mean_seconds(df: DataFrame, runs: int) -> float:
+    """Mean time of making every row, after one run to warm up."""
+    df.write.format("noop").mode("overwrite").save()
+    began = time.perf_counter()
+    for _ in range(runs):
+        df.write.format("noop").mode("overwrite").save()
+    return (time.perf_counter() - began) / runs
+
+
+def layout_gate(original: DataFrame, optimised: DataFrame, ids: list[int], key: str = "id", runs: int = 5, most: float = 2.0) -> DataFrame:
+    """Lookups of ``ids`` in the optimised layout may take at most ``most`` times those in the original one."""
+    ratio = mean_seconds(optimised.filter(F.col(key).isin(ids)), runs) / mean_seconds(original.filter(F.col(key).isin(ids)), runs)
+    return original.sparkSession.createDataFrame([("layout_ratio", ratio < most, f"{ratio:.3f}", f"< {most:g}")], SCHEMA)

@@ -269,6 +269,21 @@ def domain_frequency(spark: SparkSession, d: str) -> DataFrame:
     return metadata.domain_frequency(_identified(spark, d))
 
 
+@query(
+    "url_rebuild_inner",
+    f"WITH {_PREFIXES} SELECT page_id, url AS identifier FROM pages JOIN prefixes ON prefix = {_DOMAIN} WHERE url IS NOT NULL",
+)
+def url_rebuild_inner(spark: SparkSession, d: str) -> DataFrame:
+    rows = _identified(spark, d)
+    prefixes = metadata.url_prefixes(rows)
+    return metadata.rebuilt_only(metadata.split_urls(rows, prefixes), prefixes, "page_id")
+
+
+@query("top_domains", f"SELECT {_DOMAIN} AS domain, count(*) AS cnt FROM pages WHERE url IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, domain LIMIT 10")
+def top_domains(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.domain_frequency(_identified(spark, d)).orderBy(F.desc("cnt"), "domain").limit(10)
+
+
 _HOST = "lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _SLOW = ", ".join(f"'{h}'" for h in fixtures.THROTTLED_HOSTS)
 _ROUTE = f"CASE WHEN nullif(url, '') IS NULL THEN 'no_url' WHEN {_HOST} IN ({_SLOW}) THEN 'rate_limited' ELSE 'unrestricted' END"
@@ -455,6 +470,22 @@ def uuid_canonical(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.metadata(spark, d).select(F.col("id").alias("doc_id"), labels.canonical_uuid(F.col("uuid")).alias("uuid"))
 
 
+@query(
+    "manifest_join",
+    "SELECT md5(CAST(d.doc_id AS VARCHAR)) AS content_key, d.doc_id AS id, l.quality FROM documents d JOIN labels l USING (doc_id)",
+)
+def manifest_join(spark: SparkSession, d: str) -> DataFrame:
+    manifest = fixtures.metadata(spark, d).select("id", "uuid")
+    catalog = fixtures.table(spark, d, "labels").select(F.md5(F.col("doc_id").cast("string")).alias("uuid"), "quality")
+    joined = metadata.join_manifest(manifest, catalog)
+    return joined.select(F.replace("uuid", F.lit("-"), F.lit("")).alias("content_key"), "id", "quality")
+
+
+@query("random_sample", "SELECT doc_id, lang FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id LIMIT 100")
+def random_sample(spark: SparkSession, d: str) -> DataFrame:
+    return quality.sample(fixtures.table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 100)
+
+
 @query("narrow_cast", "SELECT CAST(doc_id AS INTEGER) AS id, CAST(n_chars AS INTEGER) AS n_chars FROM documents")
 def narrow_cast(spark: SparkSession, d: str) -> DataFrame:
     docs = fixtures.table(spark, d, "documents")

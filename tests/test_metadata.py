@@ -196,3 +196,11 @@ def test_storage(spark):
     got = [tuple(r) for r in summary.storage_by_column(df).collect()]
     assert got == [("a", 2, 1), ("b", 2, 1)]
     assert summary.reduction(df, df.select("a")).first() == Row(bytes_before=4, bytes_after=2, percent_saved=50.0)
+
+
+def test_layout_gate(spark, tmp_path):
+    df = spark.range(2000).withColumn("x", F.md5(F.col("id").cast("string")))
+    df.orderBy("x").write.parquet(f"{tmp_path}/a")
+    sinks.write_lookup(df, f"{tmp_path}/b")
+    got = quality.layout_gate(spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b"), [1, 77], runs=2, most=50.0)
+    assert got.first()["passed"] and float(got.first()["observed"]) > 0
