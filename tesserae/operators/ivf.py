@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, IntegerType, ShortType, StructField, St
 
 from tesserae.functions.vectors import distance
 from tesserae.operators.search import _matrix, ranked, top_k
+from tesserae.sources.shared import shared_path
 
 
 def _centers(spark: SparkSession, rows: list[np.ndarray], name: str) -> DataFrame:
@@ -214,9 +215,15 @@ def stratified_sample(rows: DataFrame, by: str, fraction: float, cap: int, id_co
 
 
 def contiguous_ids(rows: DataFrame, order_by: list[str], name: str = "new_id") -> DataFrame:
-    """Ids 0, 1, 2, ... in the order of unique keys: a range partitioning, a count of each partition, and an offset."""
+    """Ids 0, 1, 2, ... in the order of unique keys: a range partitioning, a count of each partition, and an offset.
+
+    The partitioned rows are written to the shared folder and read twice, so that both reads see the same partitions.
+    """
     spread = rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     spread = spread.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    path = shared_path(rows.sparkSession, "contiguous-ids")
+    spread.write.parquet(path)
+    spread = rows.sparkSession.read.parquet(path)
     counts = spread.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
     return (
