@@ -39,6 +39,17 @@ def test_base_counts_and_bands(spark):
     assert all(kept[i] for i in range(30)) and not kept[102]
 
 
+def test_bands_beside_a_third_of_junk(spark):
+    """A third of a language's texts is spelt oddly, a third of another's too evenly; both thirds go, the rest stays."""
+    rows = [(i, helpers.sentence(i, 150, 300), "de" if i < 100 else "fr") for i in range(200)]
+    rows += [(1000 + i, " ".join(x[::-1] for x in helpers.sentence(i, 150, 300).split()), "de") for i in range(50)]
+    rows += [(2000 + i, " ".join(f"w{100 + (i + 7 * k) % 200}" for k in range(120)), "fr") for i in range(50)]
+    got = quality_rules.judge(helpers.documents(spark, rows), "text", "lang", "doc_id").collect()
+    out = {r["doc_id"] for r in got if not r["_kept"]}
+    assert not any(r["_base_failed"] for r in got)
+    assert {*range(1000, 1050), *range(2000, 2050)} <= out and len(out & set(range(200))) <= 4
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     code = np.unique(rng.integers(0, 1 << 24, 500))
