@@ -1,20 +1,22 @@
 """Language-model scoring with a probabilistic suffix tree, beside an add-one unigram base.
 
 A text is its words without case, each followed by a blank, and an end: a sequence of bytes, the end being 0xFF, which
-UTF-8 never has. The tree's states are contexts of up to ``DEPTH`` bytes. Spark counts, over every whole training text,
-each byte with the ``DEPTH`` before it; all shorter contexts follow from that table. A context is retained if it makes up
-``LEAST_SHARE`` of all symbols at least and its next-symbol distribution diverges from that of the next shorter context:
-count x Kullback-Leibler divergence >= ``LEAST_DIVERGENCE``. Suffixes of retained contexts are retained. As shares of one
-length sum to 1, there are at most (DEPTH + 1) / LEAST_SHARE states of at most 256 symbols, and only those are broadcast.
-Next-symbol distributions are smoothed with that of the next shorter context in proportion to the number of different
-symbols seen (Witten-Bell), the empty context's with the uniform one. A symbol is scored in the longest suffix state,
-and a token's tree probability is the product over its bytes. Spelling a frequent word costs a little more than naming
-it, so a token's probability is (1 - WORD_SHARE) times the tree's and WORD_SHARE times the base's.
-
-The base needs the training count of every word, a table that grows with the corpus and is never broadcast. Tasks send
-the distinct words of a bundle of documents (with their training counts in it) to buckets of the word's hash; a bucket
-adds up and sends each bundle the counts of its words back, and the bundle's documents are summed there. Words are told
-apart by 64-bit hashes.
+UTF-8 never has. The tree's states are contexts of up to ``DEPTH`` bytes. A context is retained if it was seen
+``LEAST_COUNT`` times at least in the training texts and its next-symbol distribution diverges from that of the next shorter
+context: count x Kullback-Leibler divergence >= ``LEAST_DIVERGENCE``. Suffixes of retained contexts are retained, and so are
+all contexts of up to ``TRUNK`` bytes. Next-symbol distributions are smoothed with that of the next shorter context in
+proportion to the number of different symbols seen (Witten-Bell), the empty context's with the uniform one. A symbol is
+scored in the longest suffix state, and a token's tree probability is the product over its bytes. Spelling a frequent word
+costs a little more than naming it, so a token's probability is (1 - WORD_SHARE) times the tree's and WORD_SHARE times the
+base's.
+
+The tree and the base's count of every word grow with the corpus and are never broadcast. A bundle of documents sends its
+distinct words, and its distinct symbols with the ``DEPTH`` before each (grams), with their training counts in it, to hash
+buckets. A bucket of words adds up and sends each bundle the counts of its words back. Grams go by the ``TRUNK`` + 1 symbols
+before the last, so a bucket has all that the contexts longer than ``TRUNK`` which end in these need: it grows that part of
+the tree, scores its grams and sends each bundle their log10 probabilities back. Only the trunk, contexts of up to ``TRUNK``
+bytes with at most 256^3 (context, symbol) pairs, is broadcast. The bundle's documents, whose texts went with it, are summed
+where the answers meet. Words are told apart by 64-bit hashes.
 
 A null text is empty: its only token is the end. A null id counts as training. Repeated rows each count and each get a
 row. Without training texts the counts are 0, the tree is empty, and every symbol has probability 1/256.
@@ -36,13 +38,12 @@ from tesserae.llm import arrays
 from tesserae.llm.common import stage
 
 DEPTH = 5
-LEAST_SHARE = 1e-5
+TRUNK = 2
+LEAST_COUNT = 2
 LEAST_DIVERGENCE = 20.0
 WORD_SHARE = 0.35
 BUNDLE = 6 << 20
 _END = 0xFF
-_HELD = 1_000_000
-_FINE = 32  # log10 probabilities travel in steps of 1 / _FINE
 
 
 def symbols(piece: arrays.Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -77,30 +78,6 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task; what is held is merged, and sent on if it grows beyond ``_HELD``."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        keys, many = parts[0]
-        for lo in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_pydict(
-                {"gram": keys[lo : lo + 100_000].astype(np.int64), "n": many[lo : lo + 100_000]}
-            )
-        parts.clear()
-
-    for batch in batches:
-        for piece in arrays.pieces(batch.column(0)):
-            parts.append(np.unique(grams(*symbols(piece)), return_counts=True))
-            if sum(len(k) for k, _ in parts) > _HELD:
-                parts[:] = [_merge(parts)]
-                if len(parts[0][0]) > _HELD // 2:
-                    yield from out()
-    if parts:
-        parts[:] = [_merge(parts)]
-        yield from out()
-
-
 @dataclass
 class Tree:
     """For each depth: sorted contexts with the log10 weight of what they leave to the next shorter context, and
@@ -132,132 +109,194 @@ def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return sorted_[place] == wanted, place
 
 
-def retained(counted: DataFrame) -> DataFrame:
-    """(depth, context, symbol, n) of the retained contexts, from the counts (gram, n) of the longest ones."""
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    depth = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
-    masks = F.array(*[F.lit((1 << (8 * k)) - 1).cast("long") for k in range(DEPTH + 1)])
-    cut = lambda x, k: x.bitwiseAND(masks[k])
-    nodes = (
-        counted.select(depth.alias("depth"), F.shiftright("gram", 8).alias("c"), F.col("gram").bitwiseAND(255).alias("symbol"), "n")
-        .select("depth", cut(F.col("c"), F.col("depth")).alias("context"), "symbol", "n")
-        .groupBy("depth", "context", "symbol")
-        .agg(F.sum("n").alias("n"))
-    )
-    nodes = stage(nodes, "tree-nodes")
-    sums = nodes.groupBy("depth", "context").agg(F.sum("n").alias("of"))
-    common = stage(sums.filter(F.col("of") >= max(2.0, LEAST_SHARE * total)), "tree-contexts")
-    nodes = stage(nodes.join(common, ["depth", "context"]), "tree-common")
-    shorter = nodes.select(
-        (F.col("depth") + 1).alias("depth"), F.col("context").alias("shorter"), "symbol", F.col("n").alias("m"), F.col("of").alias("mof")
-    )
-    own = F.col("n") * F.log((F.col("n") / F.col("of")) / (F.col("m") / F.col("mof")))
-    diverging = (
-        nodes.filter("depth > 0")
-        .withColumn("shorter", cut(F.col("context"), F.col("depth") - 1))
-        .join(shorter, ["depth", "shorter", "symbol"])
-        .groupBy("depth", "context")
-        .agg(F.sum(own).alias("divergence"))
-        .filter(F.col("divergence") >= LEAST_DIVERGENCE)
-    )
-    suffixes = diverging.select(
-        F.explode(F.sequence(F.lit(0), "depth")).alias("k"), "context"
-    ).select(F.col("k").alias("depth"), cut(F.col("context"), F.col("k")).alias("context"))
-    kept = suffixes.union(common.filter("depth = 0").select("depth", "context")).distinct()
-    return nodes.join(kept, ["depth", "context"], "left_semi").select("depth", "context", "symbol", "n")
-
-
-def build(table: pa.Table) -> Tree:
-    """Smooth the distributions of the retained contexts, from the shortest on."""
-    depth, context = table["depth"].to_numpy(), table["context"].to_numpy()
-    symbol, many = table["symbol"].to_numpy(), table["n"].to_numpy().astype(np.float64)
-    contexts, left, pairs, logs = [], [], [], []
-    tree = Tree([], [], [], [])
-    for k in range(DEPTH + 1):
-        at = np.flatnonzero(depth == k)
-        at = at[np.argsort(context[at] << 8 | symbol[at])]
-        pair, n = context[at] << 8 | symbol[at], many[at]
-        states, place = np.unique(context[at], return_inverse=True)
+def _cut(gram: np.ndarray, k: int) -> np.ndarray:
+    """The last symbol of each gram with the ``k`` before it."""
+    return gram & ((1 << (8 * k + 8)) - 1)
+
+
+def _summed(pair: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pair, place = np.unique(pair, return_inverse=True)
+    return pair, np.bincount(place, many, minlength=len(pair))
+
+
+def _extended(tree: Tree, levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
+    """The tree with the next depths' (context, symbol) pairs, sorted, and their counts, smoothed by what it has."""
+    tree = Tree(*[list(x) for x in (tree.contexts, tree.left, tree.pairs, tree.logs)])
+    for pair, n in levels:
+        k = len(tree.contexts)
+        states, place = np.unique(pair >> 8, return_inverse=True)
         total, kinds = np.bincount(place, n, minlength=len(states)), np.bincount(place, minlength=len(states))
-        lower = 10.0 ** tree.score(pair & ((1 << (8 * k)) - 1)) if k else np.full(len(pair), 1 / 256)
-        contexts.append(states)
-        left.append(np.log10(kinds / (total + kinds)))
-        pairs.append(pair)
-        logs.append(np.log10((n + kinds[place] * lower) / (total + kinds)[place]) if len(pair) else n)
-        tree = Tree(contexts, left, pairs, logs)
+        lower = 10.0 ** tree.score(_cut(pair, k - 1)) if k else np.full(len(pair), 1 / 256)
+        logs = np.log10((n + kinds[place] * lower) / (total + kinds)[place]) if len(pair) else n
+        tree.contexts.append(states)
+        tree.left.append(np.log10(kinds / (total + kinds)))
+        tree.pairs.append(pair)
+        tree.logs.append(logs)
     return tree
 
 
+def trunk(gram: np.ndarray, many: np.ndarray) -> tuple[Tree, tuple[np.ndarray, np.ndarray]]:
+    """The tree of contexts of up to ``TRUNK`` bytes, and the counts of its longest ones, from those of all grams."""
+    levels = [_summed(_cut(gram, k), many) for k in range(TRUNK + 1)]
+    return _extended(Tree([], [], [], []), levels), levels[-1]
+
+
+def branches(stem: Tree, last: tuple[np.ndarray, np.ndarray], gram: np.ndarray, many: np.ndarray) -> Tree:
+    """``stem`` with the retained contexts that are longer; of each, all grams must be given."""
+    near = np.isin(last[0] >> 8, _cut(gram, TRUNK) >> 8)
+    levels = [(last[0][near], last[1][near])]
+    levels += [_summed(_cut(gram, k), many) for k in range(TRUNK + 1, DEPTH + 1)]
+    states, places, good, shares = [], [], [], []
+    for k, (pair, n) in enumerate(levels):
+        state, place = np.unique(pair >> 8, return_inverse=True)
+        of = np.bincount(place, n, minlength=len(state))
+        share = n / of[place]
+        if k:
+            lower = shares[-1][np.searchsorted(levels[k - 1][0], _cut(pair, TRUNK + k - 1))]
+            divergence = np.bincount(place, n * np.log(share / lower), minlength=len(state))
+            good.append((of >= LEAST_COUNT) & (divergence >= LEAST_DIVERGENCE))
+        states.append(state)
+        places.append(place)
+        shares.append(share)
+    for k in range(len(good) - 1, 0, -1):
+        good[k - 1] |= np.isin(states[k], _cut(states[k + 1][good[k]], TRUNK + k - 1))
+    kept = [g[place] for g, place in zip(good, places[1:], strict=True)]
+    return _extended(stem, [(pair[x], n[x]) for (pair, n), x in zip(levels[1:], kept, strict=True)])
+
+
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(np.concatenate([np.zeros(0, np.int64), *[k for k, _ in parts]]), np.concatenate([np.zeros(0), *[n for _, n in parts]]))
+
+
 def train(texts: DataFrame, text: str = "text") -> Tree:
-    """The tree of all ``texts``."""
-    counted = texts.select(text).mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return build(retained(stage(counted, "tree-grams")).toArrow())
+    """The tree of all ``texts`` in one piece, for tables that are small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in arrays.pieces(batch.column(0)):
+                gram, n = np.unique(grams(*symbols(piece)).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"gram": gram, "n": n})
+
+    table = texts.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    gram, n = _distinct([(table["gram"].to_numpy(), table["n"].to_numpy())])
+    return branches(*trunk(gram, n), gram, n)
 
 
 _SENT = (
-    "bundle string, bucket int, n int, packed binary,"
-    "ids array<bigint>, held array<boolean>, sizes binary, tokens int, logs binary"
+    "bundle string, bucket int, n int, packed binary, ids array<bigint>, held array<boolean>, sizes binary"
 )
+_OWN, _TRUNK = -1, -2  # rows that are no bucket's: a bundle's documents, a task's counts for the trunk
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of sorted integers' differences, or of numbers, by their place, which packs well."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if x.dtype.kind in "iu" else x
+    return x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+
+
+def _joined(raw: np.ndarray, size: int, kind: type) -> np.ndarray:
+    """What ``_planes`` took apart."""
+    x = np.ascontiguousarray(raw.reshape(-1, size).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if x.dtype.kind in "iu" else x
+
 
+def _gram_buckets(gram: np.ndarray, bits: int) -> np.ndarray:
+    ends = (gram >> 8) & ((1 << (8 * TRUNK + 8)) - 1)
+    return (arrays.mix(ends.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
-def _send(shared, bits: int):
-    """Rows of (doc_id, held, text) -> a row for each bundle and bucket of words, and one with its documents."""
+
+def _sorted_out(gram: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a bundle's sorted grams by bucket, and the edges of the buckets in it."""
+    of = _gram_buckets(gram, bits)
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange((1 << bits) + 1))
+
+
+def _send(bits: int):
+    """Rows of (doc_id, held, text) -> a row for each bundle and bucket of words and of grams, one with its documents, and
+    one for each task. Buckets of grams have the numbers after those of words."""
     schema = pa.schema(
         [("bundle", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())]
-        + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
-        + [("sizes", pa.binary()), ("tokens", pa.int32()), ("logs", pa.binary())]
+        + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary())]
     )
 
-    def bundled(name: str, batch: pa.RecordBatch, lo: int, hi: int, parts: list) -> pa.RecordBatch:
+    def bundled(name: str, batch: pa.RecordBatch, lo: int, hi: int, parts: list) -> tuple[pa.RecordBatch, tuple]:
         hashes = np.concatenate([p[0] for p in parts])
-        sizes = np.concatenate([p[1] for p in parts])
-        logs = np.concatenate([p[2] for p in parts])
-        logs = np.clip(np.rint(logs * _FINE), -32768, 0).astype(np.int16)
         held = np.array(batch.column(1)[lo:hi].to_pylist(), bool)
         distinct, place = np.unique(hashes, return_inverse=True)
-        many = np.bincount(place[np.repeat(~held, sizes)], minlength=len(distinct)).astype(np.uint32)
+        taught = np.repeat(~held, np.concatenate([p[1] for p in parts]))
+        many = np.bincount(place[taught], minlength=len(distinct)).astype(np.uint32)
         edges = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
         rows = [
             {"bundle": name, "bucket": b, "n": int(y - x), "packed": arrays.packed(distinct[x:y], many[x:y])}
             for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True))
             if y > x
         ]
-        # words by falling frequency have small numbers, which pack well
-        often = np.argsort(-np.bincount(place, minlength=len(distinct)), kind="stable").astype(np.int32)
-        rank = np.empty(len(often), np.int32)
-        rank[often] = np.arange(len(often))
-        own = {"sizes": sizes.astype(np.int32).tobytes(), "n": len(distinct), "tokens": len(place)}
-        own |= {"packed": arrays.packed(rank[place]), "logs": arrays.packed(often.view(np.int16), logs)}
-        own |= {"ids": batch.column(0)[lo:hi].to_pylist(), "held": held.tolist()}
-        return pa.RecordBatch.from_pylist([*rows, {"bundle": name, "bucket": -1, **own}], schema=schema)
+        gram, count = _distinct([p[2] for p in parts])
+        order, edges = _sorted_out(gram, bits)
+        for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if y > x:
+                at = order[x:y]
+                sent = arrays.packed(_planes(gram[at]), count[at].astype(np.uint32))
+                rows.append({"bundle": name, "bucket": (1 << bits) + b, "n": int(y - x), "packed": sent})
+        sizes = np.concatenate([np.diff(p[3].offsets) for p in parts])
+        own = {"n": int(sizes.sum()), "packed": arrays.packed(*[p[3].data for p in parts])}
+        own |= {"sizes": sizes.astype(np.int64).tobytes(), "ids": batch.column(0)[lo:hi].to_pylist(), "held": held.tolist()}
+        sent = pa.RecordBatch.from_pylist([*rows, {"bundle": name, "bucket": _OWN, **own}], schema=schema)
+        return sent, _summed(_cut(gram[count > 0], TRUNK), count[count > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, task, serial = shared.value, TaskContext.get().partitionId(), 0
+        task, serial, low = TaskContext.get().partitionId(), 0, []
         for batch in batches:
             parts, held_bytes, lo = [], 0, 0
             for piece in arrays.pieces(batch.column(2)):
                 data, offsets = symbols(piece)
-                gram = grams(data, offsets).astype(np.int64)
-                order = np.argsort(gram)
-                sorted_ = gram[order]
-                fresh = np.flatnonzero(np.diff(sorted_, prepend=-1))
-                value = np.empty(len(gram))
-                value[order] = np.repeat(tree.score(sorted_[fresh]), np.diff(np.append(fresh, len(gram))))
-                stops = np.flatnonzero((data == 0x20) | (data == _END)) + 1
-                total = np.concatenate([[0], np.cumsum(value)[stops - 1]])
-                low = piece.lowered()
-                found = arrays.words(low)
-                parts.append(
-                    (
-                        arrays.span_hashes(low, found.starts, found.ends),
-                        found.counts,
-                        np.diff(total),
-                    )
-                )
+                taught = ~np.array(batch.column(1)[piece.lo : piece.hi].to_pylist(), bool)
+                gram, place = np.unique(grams(data, offsets).astype(np.int64), return_inverse=True)
+                count = np.bincount(place, np.repeat(taught, np.diff(offsets)), minlength=len(gram))
+                words = piece.lowered()
+                found = arrays.words(words)
+                parts.append((arrays.span_hashes(words, found.starts, found.ends), found.counts, (gram, count), piece))
                 held_bytes += len(piece.data)
                 if held_bytes >= BUNDLE or piece.hi == len(batch):
-                    yield bundled(f"{task}-{serial}", batch, lo, piece.hi, parts)
+                    sent, counted = bundled(f"{task}-{serial}", batch, lo, piece.hi, parts)
+                    yield sent
+                    low = [_distinct([*low, counted])]
                     parts, held_bytes, lo, serial = [], 0, piece.hi, serial + 1
+        for pair, n in low:
+            row = {"bundle": f"{task}", "bucket": _TRUNK, "n": len(pair), "packed": arrays.packed(pair, n.astype(np.int64))}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return run
+
+
+def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            pair, many = arrays.unpacked(packed.as_py(), n, np.int64, np.int64)
+            yield pa.RecordBatch.from_pydict({"gram": pair, "n": many})
+
+
+def _answer(shared, bits: int):
+    """A bucket: of words the counts, of grams the log10 probabilities, for every bundle that has sent some."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 1 << bits:
+            return _add_up(table)
+        sizes, sent, counts = table["n"].to_pylist(), [], []
+        for x, n in zip(table["packed"], sizes, strict=True):
+            (raw,) = arrays.unpacked(x.as_py(), 12 * n, np.uint8)
+            sent.append(_joined(raw[: 8 * n], n, np.int64))
+            counts.append(raw[8 * n :].view(np.uint32))
+        gram, place = np.unique(np.concatenate(sent), return_inverse=True)
+        many = np.bincount(place, np.concatenate(counts), minlength=len(gram))
+        logs = branches(*shared.value, gram[many > 0], many[many > 0]).score(gram).astype(np.float32)
+        edges = np.cumsum([0, *sizes])
+        found = [arrays.packed(_planes(logs[place[x:y]])) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        none = np.zeros(len(found), np.int64)
+        return pa.table(
+            {"bundle": table["bundle"], "bucket": table["bucket"], "n": table["n"], "packed": pa.array(found, pa.binary()), "seen": none, "words": none}
+        )
 
     return run
 
@@ -283,20 +322,39 @@ def _add_up(table: pa.Table) -> pa.Table:
     )
 
 
-def _sum_up(training: int, tokens: int, distinct: int):
-    """A bundle: its documents' sums from the counts of its words. The end is a token of its own."""
+def _sum_up(training: int, tokens: int, distinct: int, bits: int):
+    """A bundle: its documents' sums from the answers for its words and grams. The end is a token of its own."""
     every = tokens + training
     below = math.log10(every + distinct + (training > 0) + 1)
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"].to_numpy()
-        of = lambda i: arrays.unpacked(table["packed"][i].as_py(), table["n"][i].as_py(), np.int64)[0]
-        count = np.concatenate([np.zeros(0, np.int64), *[of(int(i)) for i in np.argsort(bucket) if bucket[i] >= 0]])
-        row = table.slice(int(np.flatnonzero(bucket < 0)[0]), 1).to_pylist()[0]
-        sizes, kinds, many = np.frombuffer(row["sizes"], np.int32), row["n"], row["tokens"]
-        (rank,) = arrays.unpacked(row["packed"], many, np.int32)
-        (half,) = arrays.unpacked(row["logs"], 2 * kinds + many + len(sizes), np.int16)
-        places, tree = half[: 2 * kinds].view(np.int32)[rank], half[2 * kinds :] / _FINE
+        order = [int(i) for i in np.argsort(bucket)]
+        sent = lambda i: (table["packed"][i].as_py(), table["n"][i].as_py())
+        count = [arrays.unpacked(*sent(i), np.int64)[0] for i in order if 0 <= bucket[i] < 1 << bits]
+        logs = [_joined(arrays.unpacked(table["packed"][i].as_py(), 4 * table["n"][i].as_py(), np.uint8)[0], table["n"][i].as_py(), np.float32) for i in order if bucket[i] >= 1 << bits]
+        count, logs = np.concatenate([np.zeros(0, np.int64), *count]), np.concatenate(logs)
+        row = table.slice(int(np.flatnonzero(bucket == _OWN)[0]), 1).to_pylist()[0]
+        (data,) = arrays.unpacked(row["packed"], row["n"], np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int64))]).astype(np.int64)
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+        parts = []
+        for piece in arrays.pieces(texts):
+            symbol, ends = symbols(piece)
+            low = piece.lowered()
+            found = arrays.words(low)
+            stops = np.flatnonzero((symbol == 0x20) | (symbol == _END)) + 1
+            parts.append((*np.unique(grams(symbol, ends).astype(np.int64), return_inverse=True), stops, arrays.span_hashes(low, found.starts, found.ends), found.counts))
+        gram = np.unique(np.concatenate([p[0] for p in parts]))
+        value = np.empty(len(gram))
+        value[_sorted_out(gram, bits)[0]] = logs
+        tree = []
+        for own, place, stops, _, _ in parts:
+            total = np.cumsum(value[np.searchsorted(gram, own)][place])
+            tree.append(np.diff(total[stops - 1], prepend=0.0))
+        tree = np.concatenate(tree)
+        places = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)[1]
+        sizes = np.concatenate([p[4] for p in parts])
         first = np.concatenate([[0], np.cumsum(sizes)])
         own = np.full(len(places) + len(sizes), training, np.int64)  # with the end of each document
         word = np.ones(len(own), bool)
@@ -328,18 +386,19 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id")
         F.coalesce(held_out, F.lit(False)).alias("held"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    tree = spark.sparkContext.broadcast(train(rows.filter("not held")))
     training = rows.filter("not held").count()
     bits = max(4, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    sent = stage(rows.mapInArrow(_send(tree, bits), _SENT), "tree-sent")
+    sent = stage(rows.mapInArrow(_send(bits), _SENT), "tree-sent")
+    low = sent.filter(F.col("bucket") == _TRUNK).select("n", "packed").mapInArrow(_low, "gram long, n long")
+    low = low.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    stem = spark.sparkContext.broadcast(trunk(*_distinct([(low["gram"].to_numpy(), low["n"].to_numpy())])))
     known = sent.filter("bucket >= 0").select("bundle", "bucket", "n", "packed").groupBy("bucket")
-    known = stage(
-        known.applyInArrow(_add_up, "bundle string, bucket int, n int, packed binary, seen long, words long"), "tree-known"
-    )
+    answers = known.applyInArrow(_answer(stem, bits), "bundle string, bucket int, n int, packed binary, seen long, words long")
+    known = stage(answers, "tree-known")
     sums = known.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    own = sent.filter("bucket < 0")
+    own = sent.filter(F.col("bucket") == _OWN)
     both = known.drop("seen", "words").unionByName(own, allowMissingColumns=True)
     return both.groupBy("bundle").applyInArrow(
-        _sum_up(training, *map(int, sums)),
+        _sum_up(training, *map(int, sums), bits),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -78,6 +78,27 @@ def test_tree_sums_to_one(spark):
         assert math.isclose(total, 1, rel_tol=1e-6)
 
 
+def test_tree_grows_with_the_corpus_and_scores_as_in_one_piece(spark):
+    """A rare passage keeps its contexts however much other text there is; buckets give what one tree gives."""
+    rare = " ".join(["aqqqq1 bqqqq2"] * 40)
+    rows = [(i, helpers.sentence(i, 4000)) for i in range(250)] + [(7000 + i, rare) for i in range(2)]
+    docs = helpers.documents(spark, rows)
+    tree = suffix_tree.train(docs.filter("doc_id <> 7001"))
+    longest = {int(x).to_bytes(5, "big") for x in tree.contexts[5]}
+    assert {b"aqqqq", b"bqqqq"} <= longest  # seen 40 times each in 5 million symbols
+    got = {r["doc_id"]: r for r in suffix_tree.score(docs, F.col("doc_id") == 7001).collect()}
+    import numpy as np
+
+    data = np.frombuffer(f"{rare} ".encode() + b"\xff", np.uint8)
+    logs = tree.score(suffix_tree.grams(data, np.array([0, len(data)])).astype(np.int64))
+    stops = np.flatnonzero((data == 0x20) | (data == 0xFF))
+    word = np.diff(np.cumsum(logs)[stops], prepend=0.0)
+    n, v = got[7001]["train_tokens"], len({w for i, t in rows if i != 7001 for w in t.split()})
+    base = np.array([41.0] * 80 + [252.0]) / (n + v + 2)
+    share = suffix_tree.WORD_SHARE
+    assert math.isclose(got[7001]["score"], np.log10((1 - share) * 10.0**word + share * base).sum(), abs_tol=1e-4)
+
+
 def test_scoring_without_training_texts(spark):
     got = suffix_tree.score(helpers.documents(spark, [(1, "a b"), (2, None)]), F.lit(True)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in sorted(got)] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
