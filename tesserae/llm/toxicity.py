@@ -6,7 +6,8 @@ most weights at exactly zero, so the weights that are broadcast are few and neve
 
 The model is fitted on labelled rows, at most ``MOST_LABELLED`` of them (those of least hash). They are dealt to
 groups of about ``SHARD_ROWS``; each group runs FTRL over its rows, Spark averages the states z and n of all groups coordinate by
-coordinate, and the next of ``ROUNDS`` rounds starts from the average. Scoring is one map over whole texts.
+coordinate, none left out, and the next of ``ROUNDS`` rounds starts from the average. Groups send what has changed, packed
+by ranges of ``RANGE`` slots; the average has at most ``SLOTS`` + 1 states of 24 bytes, which go to the driver and back. Scoring is one map over whole texts.
 
 A null or empty text has no feature; its score is that of the bias alone. Labels that are null or without a document
 are not learnt from; a document that is labelled twice counts as toxic if one label says so. Without any label the
@@ -31,6 +32,8 @@ MOST_LABELLED = 20_000
 SHARD_ROWS = 2_500
 ROUNDS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.0
+RANGE = 1 << 16
+_CHANGES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())])
 _MARK = np.zeros(256, bool)
 _MARK[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _KINDS = arrays.mix(np.arange(1, 5, dtype=np.uint64))
@@ -60,11 +63,9 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _fit(table: pa.Table, start: tuple[np.ndarray, np.ndarray] | None) -> pa.Table:
-    """One group's pass: the states after it. Slot ``SLOTS`` is the bias.
-
-    Coordinates that are within half of L1 of zero have weight zero; they start anew in the next round.
-    """
-    z, n = (x.copy() for x in start) if start else (np.zeros(SLOTS + 1), np.zeros(SLOTS + 1))
+    """One group's pass: the changes of all states by it, in packed ranges of slots. Slot ``SLOTS`` is the bias."""
+    before = start or (np.zeros(SLOTS + 1), np.zeros(SLOTS + 1))
+    z, n = (x.copy() for x in before)
     table = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
     labels = table["label"].to_numpy()
     for piece in arrays.pieces(table["text"]):
@@ -78,8 +79,26 @@ def _fit(table: pa.Table, start: tuple[np.ndarray, np.ndarray] | None) -> pa.Tab
             more = np.sqrt(n[at] + g * g)
             z[at] += g - (more - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
-    at = np.flatnonzero(np.abs(z) >= L1 / 2)
-    return pa.table({"slot": at.astype(np.int32), "z": z[at], "n": n[at]})
+    at = np.flatnonzero(n != before[1])
+    edges = np.searchsorted(at, np.arange(0, SLOTS + RANGE + 1, RANGE))
+    rows = [
+        {"part": i, "shard": table["shard"][0].as_py(), "n": int(y - x), "packed": arrays.packed(at[x:y], *(a[at[x:y]] - b[at[x:y]] for a, b in ((z, before[0]), (n, before[1]))))}
+        for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True))
+        if y > x
+    ]
+    return pa.Table.from_pylist(rows, schema=_CHANGES)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """A range of slots: the sum of all groups' changes, in the order of the groups."""
+    table = table.sort_by("shard")
+    z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
+    for size, packed in zip(table["n"].to_pylist(), table["packed"], strict=True):
+        at, more_z, more_n = arrays.unpacked(packed.as_py(), size, np.int64, np.float64, np.float64)
+        z[at] += more_z
+        n[at] += more_n
+    at = np.flatnonzero(n)
+    return pa.table({"n": pa.array([len(at)], pa.int32()), "packed": pa.array([arrays.packed(at, z[at], n[at])], pa.binary())})
 
 
 def _pass(shared: Broadcast) -> Callable[[pa.Table], pa.Table]:
@@ -108,15 +127,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     state: tuple[np.ndarray, np.ndarray] | None = None
     for _ in range(ROUNDS):
         parts = rows.groupBy("shard").applyInArrow(
-            _pass(spark.sparkContext.broadcast(state)), "slot int, z double, n double"
-        )
-        mean = (
-            parts.groupBy("slot")
-            .agg(F.round(F.sum("z") / shards, 9).alias("z"), F.round(F.sum("n") / shards, 9).alias("n"))
-            .toArrow()
+            _pass(spark.sparkContext.broadcast(state)), "part int, shard int, n int, packed binary"
         )
-        z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
-        z[mean["slot"].to_numpy()], n[mean["slot"].to_numpy()] = mean["z"].to_numpy(), mean["n"].to_numpy()
+        sums = parts.groupBy("part").applyInArrow(_added, "n int, packed binary").toArrow()
+        z, n = (x.copy() for x in state) if state else (np.zeros(SLOTS + 1), np.zeros(SLOTS + 1))
+        for size, packed in zip(sums["n"].to_pylist(), sums["packed"].to_pylist(), strict=True):
+            at, more_z, more_n = arrays.unpacked(packed, size, np.int64, np.float64, np.float64)
+            z[at] += more_z / shards
+            n[at] += more_n / shards
         state = z, n
     weights = _weights(*state)
     at = np.flatnonzero(weights)

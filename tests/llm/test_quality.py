@@ -77,6 +77,19 @@ def test_toxicity_learns_held_out_words(spark):
     assert got[9001] == got[9002] == got[9003] < 0.3
 
 
+def test_toxicity_keeps_states_near_zero():
+    """A slot that moves a little in each of several rounds gets its weight: a pass gives back every state it changed."""
+    rows = [{"doc_id": 1, "text": "rare word", "label": 1.0, "order": 1, "shard": 0}]
+    import pyarrow as pa
+
+    found = toxicity._added(toxicity._fit(pa.Table.from_pylist(rows), None))
+    slots, _ = toxicity.features(next(toxicity.arrays.pieces(pa.array(["rare word"]))))
+    (at, z, n) = toxicity.arrays.unpacked(found["packed"][0].as_py(), found["n"][0].as_py(), np.int64, np.float64, np.float64)
+    parts = toxicity._fit(pa.Table.from_pylist(rows), None)
+    assert sum(parts["n"].to_pylist()) == len({*slots.tolist(), toxicity.SLOTS})
+    assert len(at) == len(z) == sum(parts["n"].to_pylist()) and np.allclose(z, -0.5) and np.allclose(n, 0.25)
+
+
 def test_toxicity_without_labels(spark):
     docs = helpers.documents(spark, [(1, "a b"), (2, None)])
     labels = spark.createDataFrame([], "doc_id long, toxic int")
