@@ -8,6 +8,7 @@ regular expression ``[^\\x20\\x09-\\x0D]+`` on the characters, as no UTF-8 conti
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,15 @@ _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
+_LIBC = ctypes.CDLL(None)
+
+
+def returned(batches: Iterator) -> Iterator:
+    """The batches; at their end, what the worker has freed goes back to the system, as workers outlive their tasks."""
+    yield from batches
+    _powers.clear()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def _power(kind: str, base: int, n: int) -> np.ndarray:
@@ -217,9 +227,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(best[:n], best[width - span : width - span + n])
 
 
-def bucket_bits(partitions: int, each: int = 4) -> int:
-    """Bits of a bucket's number, so that each shuffle partition gets about ``each`` buckets or a few more."""
-    return max(4, int(np.ceil(np.log2(each * max(1, partitions)))))
+#: Bytes of text whose words or windows a bucket gets, as long as there are not too many buckets.
+BUCKET = 8 << 20
+
+
+def bucket_bits(partitions: int, size: int, each: int = 4, most: int = 17) -> int:
+    """Bits of a bucket's number: about ``each`` buckets for a shuffle partition, and ``BUCKET`` bytes of text for a bucket.
+
+    There are at most 2 to the power ``most`` of them, as tasks send a row for each bucket.
+    """
+    return min(most, max(4, int(np.ceil(np.log2(max(1, each * partitions, size / BUCKET))))))
 
 
 def packed(*columns: np.ndarray) -> bytes:

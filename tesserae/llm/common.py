@@ -12,25 +12,53 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Rows that Spark puts into one batch of a Parquet scan, or sends to a Python worker at once.
+SCANNED, SENT = 1_024, 2_000
+#: Bytes of text for each file of a staged table, as long as every core gets ``WAVES`` files.
+FILE, WAVES = 64 << 20, 4
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """``spark`` with batches that are small enough for rows of whole texts; lower settings than these stay."""
+    for key, most in (("spark.sql.parquet.columnarReaderBatchSize", SCANNED), ("spark.sql.execution.arrow.maxRecordsPerBatch", SENT)):
+        now = int(spark.conf.get(key))
+        if not 0 < now <= most:
+            spark.conf.set(key, most)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset.
+
+    Without that setting only a local session will do: on a cluster, every machine would write to a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, size: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
-    This cuts the lineage: the work before it is done once, and a lost executor costs a read, not a rerun.
+    This cuts the lineage: the work before it is done once, and a lost executor costs a read, not a rerun. With ``size``,
+    the bytes of the texts that the table is made from, small inputs aren't spread over many small files.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if size is not None:
+        df = df.coalesce(max(WAVES * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE)))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_size(docs: DataFrame, text: str) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -56,6 +84,7 @@ def shield(docs: DataFrame):
     Returns the renamed table, a function from a column's name to its new one, and a function that restores the names
     (and appends columns that are given to it).
     """
+    tuned(docs.sparkSession)
     names = docs.columns
 
     def back(df: DataFrame, *more: Column) -> DataFrame:

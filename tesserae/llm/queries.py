@@ -11,7 +11,7 @@ from tesserae.llm import common, decontaminate, jaccard_join, langid, mixing, qu
 
 
 def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet").select(*columns)
+    return common.tuned(spark).read.parquet(f"{folder}/{table}.parquet").select(*columns)
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:

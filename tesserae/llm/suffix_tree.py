@@ -1,25 +1,28 @@
-"""Language-model scoring with a probabilistic suffix tree, beside an add-one unigram base.
+"""Language-model scoring with a probabilistic suffix tree over bytes, beside an add-one unigram base.
 
 A text is its words without case, each followed by a blank, and an end: a sequence of bytes, the end being 0xFF, which
 UTF-8 never has. The tree's states are contexts of up to ``DEPTH`` bytes. A context is retained if it was seen
 ``LEAST_COUNT`` times at least in the training texts and its next-symbol distribution diverges from that of the next shorter
 context: count x Kullback-Leibler divergence >= ``LEAST_DIVERGENCE``. Suffixes of retained contexts are retained, and so are
 all contexts of up to ``TRUNK`` bytes. Next-symbol distributions are smoothed with that of the next shorter context in
-proportion to the number of different symbols seen (Witten-Bell), the empty context's with the uniform one. A symbol is
-scored in the longest suffix state, and a token's tree probability is the product over its bytes. Spelling a frequent word
-costs a little more than naming it, so a token's probability is (1 - WORD_SHARE) times the tree's and WORD_SHARE times the
-base's.
+proportion to the number of different symbols seen (Witten-Bell), the empty context's with the uniform one, so those of
+every state sum to one. A symbol is scored in the longest suffix state, and a text's score is the sum of the log10
+probabilities of its symbols: the probabilities of all texts sum to one at most. The logs are 32-bit floats when tasks
+exchange them and are added up as 64-bit ones.
 
 The tree and the base's count of every word grow with the corpus and are never broadcast. A bundle of documents sends its
 distinct words, and its distinct symbols with the ``DEPTH`` before each (grams), with their training counts in it, to hash
 buckets. A bucket of words adds up and sends each bundle the counts of its words back. Grams go by the ``TRUNK`` + 1 symbols
 before the last, so a bucket has all that the contexts longer than ``TRUNK`` which end in these need: it grows that part of
-the tree, scores its grams and sends each bundle their log10 probabilities back. Only the trunk, contexts of up to ``TRUNK``
-bytes with at most 256^3 (context, symbol) pairs, is broadcast. The bundle's documents, whose texts went with it, are summed
-where the answers meet. Words are told apart by 64-bit hashes.
-
-A null text is empty: its only token is the end. A null id counts as training. Repeated rows each count and each get a
-row. Without training texts the counts are 0, the tree is empty, and every symbol has probability 1/256.
+the tree, scores its grams and sends each bundle their log10 probabilities back. Where a bucket would hear from more than
+``SPREAD`` bundles, it is dealt over salts: each salt merges what it hears, the bucket's owner merges the salts, and every
+salt answers its own bundles with the owner's table. Only the trunk, contexts of up to ``TRUNK`` bytes with at most 256^3
+(context, symbol) pairs, is broadcast. The bundle's documents, whose texts went with it, are summed where the answers meet.
+Words are told apart by 64-bit hashes.
+
+A null text is empty: its only token is the end. A very long text is a bundle of its own. A null id counts as training.
+Repeated rows each count and each get a row, so ties need no rule. Without training texts the counts are 0, the tree is
+empty, and every symbol has probability 1/256. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,12 +40,13 @@ from pyspark.sql import functions as F
 from tesserae.llm import arrays
 from tesserae.llm.common import stage
 
-DEPTH = 5
+DEPTH = 6
 TRUNK = 2
 LEAST_COUNT = 2
 LEAST_DIVERGENCE = 20.0
-WORD_SHARE = 0.35
-BUNDLE = 6 << 20
+BUNDLE = 4 << 20
+SPREAD = 2048
+MOST_BITS = 14
 _END = 0xFF
 
 
@@ -247,7 +251,7 @@ def _send(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial, low = TaskContext.get().partitionId(), 0, []
-        for batch in batches:
+        for batch in arrays.returned(batches):
             parts, held_bytes, lo = [], 0, 0
             for piece in arrays.pieces(batch.column(2)):
                 data, offsets = symbols(piece)
@@ -277,49 +281,90 @@ def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"gram": pair, "n": many})
 
 
+def _heard(table: pa.Table, grams_: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Words or grams and their counts, as each row of a bucket has sent them."""
+    keys, counts = [], []
+    for x, n in zip(table["packed"], table["n"].to_pylist(), strict=True):
+        (raw,) = arrays.unpacked(x.as_py(), 12 * n, np.uint8)
+        key = np.ascontiguousarray(raw[: 8 * n])
+        keys.append(_joined(key, n, np.int64) if grams_ else key.view(np.int64))
+        counts.append(np.ascontiguousarray(raw[8 * n :]).view(np.uint32))
+    return keys, counts
+
+
+def _looked_up(shared, bits: int, bucket: int, key: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """What a bucket answers for its distinct words (their counts) or grams (log10 probabilities), and the sums of words."""
+    if bucket < 1 << bits:
+        return many.astype(np.int64), int(many.sum()), int(np.count_nonzero(many))
+    return branches(*shared.value, key[many > 0], many[many > 0]).score(key).astype(np.float32), 0, 0
+
+
+def _replies(table: pa.Table, keys: list[np.ndarray], known: np.ndarray, value: np.ndarray) -> pa.Table:
+    found = [arrays.packed(_planes(value[np.searchsorted(known, x)])) for x in keys]
+    return pa.table(
+        {"bundle": table["bundle"], "bucket": table["bucket"], "n": table["n"], "packed": pa.array(found, pa.binary())}
+    )
+
+
+_ANSWER = "bundle string, bucket int, n int, packed binary"
+_OWNED = "bucket int, n int, keys binary, packed binary, seen long, words long"
+
+
 def _answer(shared, bits: int):
-    """A bucket: of words the counts, of grams the log10 probabilities, for every bundle that has sent some."""
+    """A bucket whose bundles are few: its answer to each, and a row (without a bundle) with the sums of its words."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() < 1 << bits:
-            return _add_up(table)
-        sizes, sent, counts = table["n"].to_pylist(), [], []
-        for x, n in zip(table["packed"], sizes, strict=True):
-            (raw,) = arrays.unpacked(x.as_py(), 12 * n, np.uint8)
-            sent.append(_joined(raw[: 8 * n], n, np.int64))
-            counts.append(raw[8 * n :].view(np.uint32))
-        gram, place = np.unique(np.concatenate(sent), return_inverse=True)
-        many = np.bincount(place, np.concatenate(counts), minlength=len(gram))
-        logs = branches(*shared.value, gram[many > 0], many[many > 0]).score(gram).astype(np.float32)
-        edges = np.cumsum([0, *sizes])
-        found = [arrays.packed(_planes(logs[place[x:y]])) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-        none = np.zeros(len(found), np.int64)
-        return pa.table(
-            {"bundle": table["bundle"], "bucket": table["bucket"], "n": table["n"], "packed": pa.array(found, pa.binary()), "seen": none, "words": none}
-        )
+        bucket = table["bucket"][0].as_py()
+        keys, counts = _heard(table, bucket >= 1 << bits)
+        known, many = _summed(np.concatenate(keys), np.concatenate(counts))
+        value, seen, words = _looked_up(shared, bits, bucket, known, many)
+        sums = {"bundle": [None], "bucket": [bucket], "n": [0], "packed": [np.array([seen, words]).tobytes()]}
+        sums = pa.table({k: pa.array(v, t) for (k, v), t in zip(sums.items(), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)})
+        return pa.concat_tables([_replies(table, keys, known, value), sums])
 
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """A bucket: the training count of every word that a bundle has sent, in the order in which it sent them."""
-    sizes = table["n"].to_pylist()
-    sent = [arrays.unpacked(x.as_py(), n, np.uint64, np.uint32) for x, n in zip(table["packed"], sizes, strict=True)]
-    distinct, place = np.unique(np.concatenate([h for h, _ in sent]), return_inverse=True)
-    total = np.bincount(place, np.concatenate([n for _, n in sent]), minlength=len(distinct)).astype(np.int64)
-    edges = np.cumsum([0, *sizes])
-    found = [arrays.packed(total[place[x:y]]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-    first = np.arange(len(found)) == 0
-    return pa.table(
-        {
-            "bundle": table["bundle"],
-            "bucket": table["bucket"],
-            "n": table["n"],
-            "packed": pa.array(found, pa.binary()),
-            "seen": first * int(total.sum()),
-            "words": first * np.count_nonzero(total),
-        }
-    )
+def _merge(bits: int):
+    """A bucket's salt: what its bundles have sent as one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        keys, counts = _heard(table, bucket >= 1 << bits)
+        key, many = _summed(np.concatenate(keys), np.concatenate(counts))
+        row = {"bucket": bucket, "n": len(key), "packed": arrays.packed(key, many.astype(np.int64))}
+        return pa.Table.from_pylist([row], schema=pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())]))
+
+    return run
+
+
+def _own(shared, bits: int):
+    """A bucket of many bundles: its table of words or grams and answers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        parts = [arrays.unpacked(x.as_py(), n, np.int64, np.int64) for x, n in zip(table["packed"], table["n"].to_pylist(), strict=True)]
+        key, many = _distinct([(k, n.astype(float)) for k, n in parts])
+        value, seen, words = _looked_up(shared, bits, bucket, key, many)
+        row = {"bucket": bucket, "n": len(key), "keys": arrays.packed(key), "packed": arrays.packed(value), "seen": seen, "words": words}
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.Table.from_pylist([row], schema=pa.schema(list(zip(row, kinds, strict=True))))
+
+    return run
+
+
+def _reply(bits: int):
+    """A bucket's salt: its bundles are answered with the owner's table."""
+
+    def run(sent: pa.Table, owned: pa.Table) -> pa.Table:
+        if not len(sent):
+            return pa.table({"bundle": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
+        of_grams, n = sent["bucket"][0].as_py() >= 1 << bits, owned["n"][0].as_py()
+        (known,) = arrays.unpacked(owned["keys"][0].as_py(), n, np.int64)
+        (value,) = arrays.unpacked(owned["packed"][0].as_py(), n, np.float32 if of_grams else np.int64)
+        return _replies(sent, _heard(sent, of_grams)[0], known, value)
+
+    return run
 
 
 def _sum_up(training: int, tokens: int, distinct: int, bits: int):
@@ -328,12 +373,15 @@ def _sum_up(training: int, tokens: int, distinct: int, bits: int):
     below = math.log10(every + distinct + (training > 0) + 1)
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"].to_numpy()
+        bucket, sizes = table["bucket"].to_numpy(), table["n"].to_pylist()
         order = [int(i) for i in np.argsort(bucket)]
-        sent = lambda i: (table["packed"][i].as_py(), table["n"][i].as_py())
-        count = [arrays.unpacked(*sent(i), np.int64)[0] for i in order if 0 <= bucket[i] < 1 << bits]
-        logs = [_joined(arrays.unpacked(table["packed"][i].as_py(), 4 * table["n"][i].as_py(), np.uint8)[0], table["n"][i].as_py(), np.float32) for i in order if bucket[i] >= 1 << bits]
-        count, logs = np.concatenate([np.zeros(0, np.int64), *count]), np.concatenate(logs)
+
+        def heard(i: int, kind: type) -> np.ndarray:
+            raw = arrays.unpacked(table["packed"][i].as_py(), np.dtype(kind).itemsize * sizes[i], np.uint8)[0]
+            return _joined(raw, sizes[i], kind)
+
+        count = np.concatenate([np.zeros(0, np.int64), *[heard(i, np.int64) for i in order if 0 <= bucket[i] < 1 << bits]])
+        logs = np.concatenate([np.zeros(0, np.float32), *[heard(i, np.float32) for i in order if bucket[i] >= 1 << bits]])
         row = table.slice(int(np.flatnonzero(bucket == _OWN)[0]), 1).to_pylist()[0]
         (data,) = arrays.unpacked(row["packed"], row["n"], np.uint8)
         offsets = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int64))]).astype(np.int64)
@@ -343,35 +391,26 @@ def _sum_up(training: int, tokens: int, distinct: int, bits: int):
             symbol, ends = symbols(piece)
             low = piece.lowered()
             found = arrays.words(low)
-            stops = np.flatnonzero((symbol == 0x20) | (symbol == _END)) + 1
-            parts.append((*np.unique(grams(symbol, ends).astype(np.int64), return_inverse=True), stops, arrays.span_hashes(low, found.starts, found.ends), found.counts))
+            own, place = np.unique(grams(symbol, ends).astype(np.int64), return_inverse=True)
+            parts.append((own, place.astype(np.int32), ends, arrays.span_hashes(low, found.starts, found.ends).view(np.int64), found.counts))
         gram = np.unique(np.concatenate([p[0] for p in parts]))
         value = np.empty(len(gram))
         value[_sorted_out(gram, bits)[0]] = logs
-        tree = []
-        for own, place, stops, _, _ in parts:
-            total = np.cumsum(value[np.searchsorted(gram, own)][place])
-            tree.append(np.diff(total[stops - 1], prepend=0.0))
-        tree = np.concatenate(tree)
-        places = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)[1]
+        tree = np.concatenate([arrays.per_document(value[np.searchsorted(gram, own)][place], ends) for own, place, ends, _, _ in parts])
+        places = np.unique(np.concatenate([p[3] for p in parts]).view(np.uint64), return_inverse=True)[1]
         sizes = np.concatenate([p[4] for p in parts])
         first = np.concatenate([[0], np.cumsum(sizes)])
-        own = np.full(len(places) + len(sizes), training, np.int64)  # with the end of each document
-        word = np.ones(len(own), bool)
-        word[first[1:] + np.arange(len(sizes))] = False
-        own[word] = count[places]
-        first = first + np.arange(len(first))
-        base = np.log10(own + 1.0) - below
-        mixed = np.logaddexp(tree * math.log(10) + math.log(1 - WORD_SHARE), base * math.log(10) + math.log(WORD_SHARE))
+        own = count[places]
+        base = arrays.per_document(np.log10(own + 1.0) - below, first) + math.log10(training + 1.0) - below
         return pa.table(
             {
                 "doc_id": pa.array(row["ids"], pa.int64()),
                 "held_out": pa.array(row["held"], pa.bool_()),
                 "n_tokens": sizes.astype(np.int64) + 1,
-                "n_known": arrays.per_document(own > 0, first),
+                "n_known": arrays.per_document(own > 0, first) + (training > 0),
                 "train_tokens": np.full(len(sizes), every, np.int64),
-                "base_score": arrays.per_document(base, first).round(6),
-                "score": (arrays.per_document(mixed, first) / math.log(10)).round(6),
+                "base_score": base.round(6),
+                "score": tree.round(6),
             }
         )
 
@@ -386,19 +425,33 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id")
         F.coalesce(held_out, F.lit(False)).alias("held"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    training = rows.filter("not held").count()
-    bits = max(4, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    sent = stage(rows.mapInArrow(_send(bits), _SENT), "tree-sent")
+    about = rows.agg(F.count_if(~F.col("held")).alias("training"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    bits = arrays.bucket_bits(int(spark.conf.get("spark.sql.shuffle.partitions")), about["size"], 2, MOST_BITS)
+    sent = stage(rows.mapInArrow(_send(bits), _SENT), "tree-sent", about["size"])
     low = sent.filter(F.col("bucket") == _TRUNK).select("n", "packed").mapInArrow(_low, "gram long, n long")
     low = low.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     stem = spark.sparkContext.broadcast(trunk(*_distinct([(low["gram"].to_numpy(), low["n"].to_numpy())])))
-    known = sent.filter("bucket >= 0").select("bundle", "bucket", "n", "packed").groupBy("bucket")
-    answers = known.applyInArrow(_answer(stem, bits), "bundle string, bucket int, n int, packed binary, seen long, words long")
-    known = stage(answers, "tree-known")
-    sums = known.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     own = sent.filter(F.col("bucket") == _OWN)
-    both = known.drop("seen", "words").unionByName(own, allowMissingColumns=True)
-    return both.groupBy("bundle").applyInArrow(
-        _sum_up(training, *map(int, sums), bits),
+    salts = math.ceil(own.count() / SPREAD)
+    known = sent.filter("bucket >= 0").select("bundle", "bucket", "n", "packed")
+    if salts <= 1:
+        known = stage(known.groupBy("bucket").applyInArrow(_answer(stem, bits), _ANSWER), "tree-known", about["size"])
+        pairs = known.filter("bundle is null").select("packed").mapInArrow(_pairs, "seen long, words long")
+        known = known.filter("bundle is not null")
+    else:
+        known = known.withColumn("salt", F.pmod(F.xxhash64("bundle"), F.lit(salts)).cast("int"))
+        merged = known.groupBy("bucket", "salt").applyInArrow(_merge(bits), "bucket int, n int, packed binary")
+        pairs = stage(merged.groupBy("bucket").applyInArrow(_own(stem, bits), _OWNED), "tree-owned", about["size"])
+        dealt = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        known = known.groupBy("bucket", "salt").cogroup(dealt.groupBy("bucket", "salt")).applyInArrow(_reply(bits), _ANSWER)
+    sums = pairs.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    return known.unionByName(own, allowMissingColumns=True).groupBy("bundle").applyInArrow(
+        _sum_up(about["training"], *map(int, sums), bits),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.array([np.frombuffer(x.as_py(), np.int64) for x in batch.column(0)]).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["seen", "words"])

@@ -4,6 +4,8 @@ from collections import Counter
 
 import corpus_pipeline
 import helpers
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import common, mixing, suffix_tree
@@ -71,8 +73,6 @@ def test_tree_sums_to_one(spark):
     docs = helpers.documents(spark, [(i, helpers.sentence(i, 100, 30)) for i in range(60)])
     tree = suffix_tree.train(docs)
     assert sum(map(len, tree.contexts)) > 10
-    import numpy as np
-
     for context in (0x2077317732, 0xFFFFFFFFFF, 0x6161616161):
         total = (10.0 ** tree.score((context << 8) + np.arange(256))).sum()
         assert math.isclose(total, 1, rel_tol=1e-6)
@@ -81,22 +81,76 @@ def test_tree_sums_to_one(spark):
 def test_tree_grows_with_the_corpus_and_scores_as_in_one_piece(spark):
     """A rare passage keeps its contexts however much other text there is; buckets give what one tree gives."""
     rare = " ".join(["aqqqq1 bqqqq2"] * 40)
-    rows = [(i, helpers.sentence(i, 4000)) for i in range(250)] + [(7000 + i, rare) for i in range(2)]
+    rows = [(i, helpers.sentence(i, 4000)) for i in range(60)] + [(7000 + i, rare) for i in range(2)]
     docs = helpers.documents(spark, rows)
     tree = suffix_tree.train(docs.filter("doc_id <> 7001"))
     longest = {int(x).to_bytes(5, "big") for x in tree.contexts[5]}
-    assert {b"aqqqq", b"bqqqq"} <= longest  # seen 40 times each in 5 million symbols
+    assert {b"aqqqq", b"bqqqq"} <= longest  # seen 40 times each in 1.2 million symbols
     got = {r["doc_id"]: r for r in suffix_tree.score(docs, F.col("doc_id") == 7001).collect()}
-    import numpy as np
-
     data = np.frombuffer(f"{rare} ".encode() + b"\xff", np.uint8)
     logs = tree.score(suffix_tree.grams(data, np.array([0, len(data)])).astype(np.int64))
-    stops = np.flatnonzero((data == 0x20) | (data == 0xFF))
-    word = np.diff(np.cumsum(logs)[stops], prepend=0.0)
-    n, v = got[7001]["train_tokens"], len({w for i, t in rows if i != 7001 for w in t.split()})
-    base = np.array([41.0] * 80 + [252.0]) / (n + v + 2)
-    share = suffix_tree.WORD_SHARE
-    assert math.isclose(got[7001]["score"], np.log10((1 - share) * 10.0**word + share * base).sum(), abs_tol=1e-4)
+    assert math.isclose(got[7001]["score"], logs.sum(), abs_tol=1e-4)
+
+
+def plain_tree(texts):
+    """Counts of every context, which contexts are retained, and the probability of a symbol after a history."""
+    depth, end = suffix_tree.DEPTH, 0xFF
+    seen = {}
+    for text in texts:
+        data = bytes([end] * depth) + spelt(text)
+        for at in range(depth, len(data)):
+            for k in range(depth + 1):
+                seen.setdefault(data[at - k : at], Counter())[data[at]] += 1
+    kept = {c for c in seen if len(c) <= suffix_tree.TRUNK}
+    for c, next_ in seen.items():
+        total, below = sum(next_.values()), seen[c[1:]]
+        if len(c) > suffix_tree.TRUNK and total >= suffix_tree.LEAST_COUNT:
+            gain = sum(n * math.log(n / total * sum(below.values()) / below[x]) for x, n in next_.items())
+            if gain >= suffix_tree.LEAST_DIVERGENCE:
+                kept |= {c[i:] for i in range(len(c) + 1)}
+
+    def probability(history, symbol):
+        p = 1 / 256
+        for k in range(depth + 1):
+            c = history[len(history) - k :]
+            if c not in kept:
+                break
+            total, kinds = sum(seen[c].values()), len(seen[c])
+            p = (seen[c][symbol] + kinds * p) / (total + kinds)
+        return p
+
+    return kept, probability
+
+
+def spelt(text):
+    return "".join(w + " " for w in helpers.words((text or "").translate(helpers.LOWER))).encode() + b"\xff"
+
+
+def plain_score(probability, text):
+    data = bytes([0xFF] * suffix_tree.DEPTH) + spelt(text)
+    return sum(math.log10(probability(data[i - suffix_tree.DEPTH : i], data[i])) for i in range(suffix_tree.DEPTH, len(data)))
+
+
+@pytest.mark.parametrize("spread", [2048, 1])
+def test_scores_are_those_of_a_plain_suffix_tree(spark, monkeypatch, spread):
+    """Also where each bucket is dealt over as many salts as there are bundles."""
+    monkeypatch.setattr(suffix_tree, "SPREAD", spread)
+    rows = [(i, helpers.sentence(i % 30, 40, 60)) for i in range(90)] + [(200, None), (201, ""), (202, "é 漢字 W1 w1"), (203, "zz " * 30)]
+    docs = helpers.documents(spark, rows).repartition(5)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, F.col("doc_id") % 5 == 0).collect()}
+    kept, probability = plain_tree([t for i, t in rows if i % 5])
+    assert sum(len(c) > suffix_tree.TRUNK for c in kept) > 10 and len(got) == len(rows)
+    for i, text in rows:
+        assert math.isclose(got[i], plain_score(probability, text), rel_tol=1e-6, abs_tol=1e-5), i
+    for history in (b"w1 w2 ", b"\xff\xff\xff\xff\xffw", b"qqqqqq"):
+        assert math.isclose(sum(probability(history, x) for x in range(256)), 1, rel_tol=1e-9)
+
+
+def test_longer_words_cost_more(spark):
+    """Words that training never saw are spelt by the tree: a longer one is less likely than its beginning."""
+    rows = [(i, helpers.sentence(i, 50)) for i in range(30)] + [(100, "xkcdqjvzwm" * 500), (101, "xkcdqjvzwm")]
+    got = {r["doc_id"]: r for r in suffix_tree.score(helpers.documents(spark, rows), F.col("doc_id") >= 100).collect()}
+    assert got[100]["score"] < 100 * got[101]["score"] < 0 and got[100]["base_score"] == got[101]["base_score"]
 
 
 def test_scoring_without_training_texts(spark):
