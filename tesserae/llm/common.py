@@ -64,6 +64,15 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+#: Numbers from here on, above all ids, are those of rows without an id.
+NO_ID = 1 << 62
+
+
+def node(doc_id: Column, text: Column) -> Column:
+    """The number of a row's document: its id, or one from ``NO_ID`` on that follows from its text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID >> 1)))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
@@ -82,12 +91,14 @@ def shield(docs: DataFrame):
     """``docs`` with its columns renamed c0, c1, ..., so that no name clashes with those that an operator adds.
 
     Returns the renamed table, a function from a column's name to its new one, and a function that restores the names
-    (and appends columns that are given to it).
+    and appends the columns that are given to it: expressions, or names of ``new`` ones, which replace columns of ``docs``
+    of the same name.
     """
     tuned(docs.sparkSession)
     names = docs.columns
 
-    def back(df: DataFrame, *more: Column) -> DataFrame:
-        return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *more)
+    def back(df: DataFrame, *more: Column, new: list[str] | None = None) -> DataFrame:
+        own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in (new or ())]
+        return df.select(*own, *(new or ()), *more)
 
     return docs.toDF(*[f"c{i}" for i in range(len(names))]), lambda name: f"c{names.index(name)}", back

@@ -15,7 +15,7 @@ documents link when 100 x intersection >= 75 x union. All links between differen
    of different components are left to try, and all of those are that a bitmap of each set doesn't rule out. So a large
    group of near copies costs a few pairs a member, and no link between different components can be missed.
 
-Shingles are told apart by 64-bit hashes inside a document, and by the bucket's bits and 32 more between documents.
+Shingles are told apart by 64-bit hashes everywhere.
 Null and empty texts have an empty set, link to nothing, and are their own component. Rows that share an id are one
 node. Rows without an id are nodes by their text, with numbers from ``NO_ID`` on, above all ids. An empty table gives an
 empty result.
@@ -33,14 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import arrays
-from tesserae.llm.common import stage
+from tesserae.llm.common import NO_ID, node, stage, text_size
 
 WIDTH = 5
 PERCENT = 75
 BUNDLE = 8 << 20
 SALTS = 16
+CROWD = 2_000  # members of a key that one task compares
 PARITY = 8  # words of 64 bits in the parity bitmap of a set; a power of two
-NO_ID = 1 << 62
 _SENT = (
     "bucket int, bundle string, packed binary, size int,"
     "ids array<bigint>, sizes array<bigint>, one array<bigint>, two array<bigint>, leaders array<int>"
@@ -87,13 +87,13 @@ def _send(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         value, doc = value[own], doc[own]
         bucket = (value >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         by = np.argsort(bucket, kind="stable")
-        rest = (value[by] >> np.uint64(32 - bits)).astype(np.uint32)
+        value = value[by]
         doc = doc[by].astype(np.int32)
         cut = np.searchsorted(bucket[by], np.arange((1 << bits) + 1))
         rows = []
         for b in np.flatnonzero(np.diff(cut)):
             x, y = cut[b], cut[b + 1]
-            packed = np.diff(doc[x:y], prepend=np.int32(0)).tobytes() + rest[x:y].tobytes()
+            packed = np.diff(doc[x:y], prepend=np.int32(0)).tobytes() + value[x:y].tobytes()
             rows.append(
                 {"bucket": int(b), "bundle": name, "packed": codec.compress(packed, asbytes=True), "size": int(y - x)}
             )
@@ -120,22 +120,13 @@ def _send(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def _unpack(packed: bytes, size: int, kinds: tuple[type, ...]) -> list[np.ndarray]:
-    raw = pa.Codec("zstd").decompress(packed, size * sum(np.dtype(k).itemsize for k in kinds), asbytes=True)
-    out, at = [], 0
-    for kind in kinds:
-        out.append(np.frombuffer(raw, kind, size, at))
-        at += size * np.dtype(kind).itemsize
-    return out
-
-
 def _share(table: pa.Table) -> pa.Table:
     """A bucket: to each bundle, its shingles that occur elsewhere too, with their counts (65,535 at most)."""
     codec = pa.Codec("zstd", 1)
     rows = table.to_pylist()
-    parts = [(_unpack(r["packed"], r["size"], (np.int32, np.uint32)) if r["size"] else None) for r in rows]
+    parts = [(arrays.unpacked(r["packed"], r["size"], np.int32, np.uint64) if r["size"] else None) for r in rows]
     own = [p[1] for p in parts if p]
-    values = np.concatenate(own) if own else np.zeros(0, np.uint32)
+    values = np.concatenate(own) if own else np.zeros(0, np.uint64)
     order = np.argsort(values)
     sorted_ = values[order]
     head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
@@ -161,59 +152,58 @@ def _share(table: pa.Table) -> pa.Table:
 _LIVE = "id long, n int, one long, two long, unique int, middle double, bits array<bigint>, prefix array<bigint>, shared binary, n_shared int"
 
 
-def _prefixes(bits: int) -> Callable[[pa.Table], pa.Table]:
-    """A bundle: prefix and shared shingles of those class leaders that may link to something."""
-    schema = pa.schema(
-        [("id", pa.int64()), ("n", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("unique", pa.int32())]
-        + [("middle", pa.float64()), ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary()), ("n_shared", pa.int32())]
-    )
+_LIVE_SCHEMA = pa.schema(
+    [("id", pa.int64()), ("n", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("unique", pa.int32())]
+    + [("middle", pa.float64()), ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary()), ("n_shared", pa.int32())]
+)
 
-    def run(table: pa.Table) -> pa.Table:
-        codec = pa.Codec("zstd", 1)
-        rows = table.to_pylist()
-        leads = {i for r in rows for i in r["lead"] or ()}
-        about = next((r for r in rows if r["ids"] is not None), None)
-        docs, keys, counts = [], [], []
-        for r in rows:
-            if r["packed"] is not None:
-                doc, rest, df = _unpack(r["packed"], r["size"], (np.int32, np.uint32, np.uint16))
-                docs.append(np.cumsum(doc))
-                keys.append(rest.astype(np.int64) | r["bucket"] << 32)
-                counts.append(df)
-        if not docs or not leads or about is None:
-            return schema.empty_table()
-        doc, key, df = np.concatenate(docs), np.concatenate(keys), np.concatenate(counts)
-        wanted = np.zeros(len(about["ids"]), bool)
-        wanted[list(leads)] = True
-        own = wanted[doc]
-        doc, key, df = doc[own], key[own], df[own]
-        order = np.lexsort((key, df, doc))
-        doc, key, weight = doc[order], key[order], np.log(df[order])
-        edge = np.searchsorted(doc, np.arange(len(wanted) + 1))
-        out: dict[str, list] = {k: [] for k in schema.names}
-        for d in np.flatnonzero(np.diff(edge) > 0):
-            n, shared = about["sizes"][d], key[edge[d] : edge[d + 1]]
-            unique = n - len(shared)
-            length = n - (PERCENT * n + 99) // 100 + 1 - unique
-            if length <= 0:
-                continue
-            prefix = shared[:length]
-            g = np.concatenate([[n], prefix]).astype(np.uint64)
-            place = np.arange(len(g), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            for name, salt in (("one", 0x51ED270B), ("two", 0x2545F491)):
-                out[name].append(arrays.mix(arrays.mix(g ^ np.uint64(salt)) + place).sum(dtype=np.uint64).astype(np.int64))
-            out["id"].append(about["ids"][d])
-            out["n"].append(n)
-            out["unique"].append(unique)
-            out["middle"].append(round(float(weight[edge[d] : edge[d + 1]].sum()) / n, 6))
-            odd = np.bincount(arrays.mix(shared.astype(np.uint64)) & np.uint64(64 * PARITY - 1), minlength=64 * PARITY) & 1
-            out["bits"].append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            out["prefix"].append(prefix)
-            out["shared"].append(codec.compress(np.sort(shared).tobytes(), asbytes=True))
-            out["n_shared"].append(len(shared))
-        return pa.table({k: pa.array(out[k], schema.field(k).type) for k in schema.names})
 
-    return run
+def _prefixes(table: pa.Table) -> pa.Table:
+    """A bundle: prefix and shared shingles of those class leaders that may link to something."""
+    schema = _LIVE_SCHEMA
+    codec = pa.Codec("zstd", 1)
+    rows = table.to_pylist()
+    leads = {i for r in rows for i in r["lead"] or ()}
+    about = next((r for r in rows if r["ids"] is not None), None)
+    docs, keys, counts = [], [], []
+    for r in rows:
+        if r["packed"] is not None:
+            doc, rest, df = arrays.unpacked(r["packed"], r["size"], np.int32, np.uint64, np.uint16)
+            docs.append(np.cumsum(doc))
+            keys.append(rest.view(np.int64))
+            counts.append(df)
+    if not docs or not leads or about is None:
+        return schema.empty_table()
+    doc, key, df = np.concatenate(docs), np.concatenate(keys), np.concatenate(counts)
+    wanted = np.zeros(len(about["ids"]), bool)
+    wanted[list(leads)] = True
+    own = wanted[doc]
+    doc, key, df = doc[own], key[own], df[own]
+    order = np.lexsort((key, df, doc))
+    doc, key, weight = doc[order], key[order], np.log(df[order])
+    edge = np.searchsorted(doc, np.arange(len(wanted) + 1))
+    out: dict[str, list] = {k: [] for k in schema.names}
+    for d in np.flatnonzero(np.diff(edge) > 0):
+        n, shared = about["sizes"][d], key[edge[d] : edge[d + 1]]
+        unique = n - len(shared)
+        length = n - (PERCENT * n + 99) // 100 + 1 - unique
+        if length <= 0:
+            continue
+        prefix = shared[:length]
+        g = np.concatenate([[n], prefix]).astype(np.uint64)
+        place = np.arange(len(g), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for name, salt in (("one", 0x51ED270B), ("two", 0x2545F491)):
+            out[name].append(arrays.mix(arrays.mix(g ^ np.uint64(salt)) + place).sum(dtype=np.uint64).astype(np.int64))
+        out["id"].append(about["ids"][d])
+        out["n"].append(n)
+        out["unique"].append(unique)
+        out["middle"].append(round(float(weight[edge[d] : edge[d + 1]].sum()) / n, 6))
+        odd = np.bincount(arrays.mix(shared.astype(np.uint64)) & np.uint64(64 * PARITY - 1), minlength=64 * PARITY) & 1
+        out["bits"].append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        out["prefix"].append(prefix)
+        out["shared"].append(codec.compress(np.sort(shared).tobytes(), asbytes=True))
+        out["n_shared"].append(len(shared))
+    return pa.table({k: pa.array(out[k], schema.field(k).type) for k in schema.names})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +233,13 @@ def _links(pairs: DataFrame, live: DataFrame) -> DataFrame:
     return dealt.join(left, ["a", "salt"]).mapInArrow(_verify, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, size: int | None = None) -> DataFrame:
     """(id, component) of every node in ``links`` (a, b): the smallest id that can be reached.
 
     Each round a node takes the least label among its own, its neighbours' and that of its label, until none changes.
     """
-    both = stage(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "join-edges")
-    label = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).toDF("id", "c"), "join-labels")
+    both = stage(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "join-edges", size)
+    label = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).toDF("id", "c"), "join-labels", size)
     while True:
         near = both.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("near"))
         far = label.toDF("c", "far")
@@ -259,7 +249,7 @@ def components(links: DataFrame) -> DataFrame:
             .join(far, "c", "left")
             .select("id", F.col("c").alias("was"), F.least("c", F.coalesce("near", "c"), F.coalesce("far", "c")).alias("c"))
         )
-        label = stage(following, "join-labels")
+        label = stage(following, "join-labels", size)
         if label.filter("c < was").isEmpty():
             return label.select("id", F.col("c").alias("component"))
         label = label.drop("was")
@@ -271,11 +261,6 @@ def _possible(n_a: Column, n_b: Column, at_a: Column, at_b: Column) -> Column:
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & (F.least(n_a - at_a, n_b - at_b) >= least)
 
 
-def node(doc_id: Column, text: Column) -> Column:
-    """The number of a row's node: its id, or one from ``NO_ID`` on that follows from its text."""
-    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID >> 1)))
-
-
 def _near(a: str, b: str) -> Column:
     """Whether the sets can be near enough by what tells them apart for certain.
 
@@ -291,12 +276,12 @@ def _near(a: str, b: str) -> Column:
 
 
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``_id`` (see ``node``), ``_n_shingles`` and ``_component`` of every row."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(24, arrays.bucket_bits(partitions))
+    """``_id`` (see ``common.node``), ``_n_shingles`` and ``_component`` of every row."""
+    size = text_size(docs, text)
+    bits = arrays.bucket_bits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size)
     rows = docs.select(node(F.col(doc_id), F.col(text)).alias("id"), F.col(text).alias("text"))
     sent = rows.mapInArrow(_send(bits), _SENT).groupBy("bucket").applyInArrow(_share, _SENT)
-    sent = stage(sent, "join-shared")
+    sent = stage(sent, "join-shared", size)
 
     about = sent.filter("ids is not null").select("bundle", F.posexplode(F.arrays_zip("ids", "sizes", "one", "two")))
     about = about.select("bundle", F.col("pos").alias("at"), "col.*")
@@ -305,14 +290,14 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         .groupBy("sizes", "one", "two")
         .agg(F.min(F.struct("ids", "bundle", "at")).alias("first"))
         .select("sizes", "one", "two", "first.*"),
-        "join-sets",
+        "join-sets", size,
     )
     leads = sets.groupBy("bundle").agg(F.collect_list("at").alias("lead"))
     shared = sent.select("bundle", "bucket", "packed", "size", "ids", "sizes")
     live = (
-        shared.unionByName(leads, allowMissingColumns=True).groupBy("bundle").applyInArrow(_prefixes(bits), _LIVE)
+        shared.unionByName(leads, allowMissingColumns=True).groupBy("bundle").applyInArrow(_prefixes, _LIVE)
     )
-    live = stage(live, "join-live")
+    live = stage(live, "join-live", size)
 
     # classes with the same size and prefix, and what their first members share
     groups = live.groupBy("one", "two").agg(
@@ -322,16 +307,16 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         F.min("prefix").alias("prefix"),
     )
     groups = groups.withColumns({"g": -F.col("best.back"), "middle": F.col("best.middle")}).drop("best")
-    groups = stage(groups, "join-groups")
+    groups = stage(groups, "join-groups", size)
     bits = [F.col("bits")[i].alias(f"b{i}") for i in range(PARITY)]
     members = live.select("id", "one", "two", "n", F.col("unique").alias("u"), *bits)
     members = members.join(groups.select("one", "two", "g"), ["one", "two"]).drop("one", "two")
-    members = stage(members, "join-members")
+    members = stage(members, "join-members", size)
     postings = stage(
         groups.select("g", "n", "u", "middle", F.posexplode("prefix").alias("at", "key")).select(
             "key", "g", "n", "middle", (F.col("u") + F.col("at")).alias("at")
         ),
-        "join-postings",
+        "join-postings", size,
     )
     first = postings.groupBy("key").agg(
         F.max(F.struct("middle", (-F.col("g")).alias("back"), "n", "at")).alias("first"), F.count("*").alias("many")
@@ -344,13 +329,13 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         .select("a", F.col("g").alias("b"))
     )
     inside = members.filter("g != id").select(F.col("g").alias("a"), F.col("id").alias("b"))
-    tried = stage(starred.union(inside).distinct(), "join-pairs")
-    links = stage(_links(tried, live), "join-links")
-    found = components(links)
+    tried = stage(starred.union(inside).distinct(), "join-pairs", size)
+    links = stage(_links(tried, live), "join-links", size)
+    found = components(links, size)
 
     # what is left: groups that share a key, or members of one group, in different components
     placed = members.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    placed = stage(placed, "join-placed")
+    placed = stage(placed, "join-placed", size)
     span = placed.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most"))
     open_keys = (
         postings.join(span, "g")
@@ -361,21 +346,28 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
     left_over = stage(
         postings.select("key", "g", "at").join(open_keys, "key", "left_semi").join(placed, "g").drop("g"),
-        "join-open",
+        "join-open", size,
     )
-    a, b = (left_over.toDF(*[c if c == "key" else x if c == "id" else f"{c}_{x}" for c in left_over.columns]) for x in "ab")
+    # a key with many members is dealt over salts: a member meets the others of its key in parts, in as many tasks
+    crowd = left_over.groupBy("key").count().filter(F.col("count") > CROWD)
+    crowd = stage(crowd.select("key", F.ceil(F.col("count") / CROWD).cast("int").alias("parts")), "join-crowds", size)
+    placed = left_over.join(crowd, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["key", "part", "parts"]
+    a, b = (t.toDF(*[c if c in keys else x if c == "id" else f"{c}_{x}" for c in t.columns]).drop("parts") for t, x in ((dealt, "a"), (every, "b")))
     more = (
-        a.join(b, "key")
+        a.join(b, ["key", "part"])
         .filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
         .filter(_possible(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b")) & _near("a", "b"))
         .select("a", "b")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    more = stage(more, "join-more")
+    more = stage(more, "join-more", size)
     if not more.isEmpty():
-        links = links.union(stage(_links(more, live), "join-links"))
-        found = components(links)
+        links = links.union(stage(_links(more, live), "join-links", size))
+        found = components(links, size)
 
     # every row has the component of its set's first row; rows of one id are one node
     sets = sets.join(found.withColumnRenamed("id", "ids"), "ids", "left")

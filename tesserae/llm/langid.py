@@ -1,17 +1,20 @@
 """Language ID by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1 in ``DIMENSIONS`` dimensions, made from its code point alone. A trigram is
-bound from its letters' vectors, the first rotated twice and the second once; a text is the bundle (sum) of its
-trigrams, and a language the bundle of its labelled texts. A text gets the language whose prototype is nearest by
-cosine, after the mean of all prototypes is taken from both sides, as that part is common to all languages.
+Every letter has a vector of +1 and -1 in ``DIMENSIONS`` dimensions, drawn from its code point alone. A trigram is bound
+from its letters' vectors, the first rotated twice and the second once; a text is the bundle (sum) of its trigrams, and a
+language the bundle of its labelled texts. A text gets the language whose prototype is nearest by cosine, after the mean
+of all prototypes is taken from both sides, as that part is common to all languages; of equally near ones, the first by
+name.
 
-Bundling is linear, so a task counts the trigrams of a block of texts and multiplies the counts with the trigram
-vectors. In training each task sends one partial bundle per language, which Spark adds up; the prototypes are
-languages x ``DIMENSIONS`` numbers whatever the size of the corpus. At most ``MOST_LANGUAGES`` labels are admitted.
+Bundling is linear, so a task counts the distinct trigrams of a block of texts and multiplies the counts with the
+trigrams' vectors. In training each task adds up one bundle a language (``HELD`` languages at a time), and Spark adds up
+those; the prototypes are languages x ``DIMENSIONS`` numbers whatever the size of the corpus. At most ``MOST_LANGUAGES``
+labels are admitted; more are an error.
 
 Texts are lower-cased; a run of anything but letters counts as one blank, which is a letter of its own in the vectors.
 A null text, or one without a letter, is ``und`` with score 0. If nothing is labelled, every text is ``und``. Repeated
-rows each get their row. Null labels are not learnt from.
+rows each get their row. Null labels are not learnt from. A very long text is a block of its own. An empty table gives no
+languages, and no rows.
 """
 
 from __future__ import annotations
@@ -23,71 +26,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm import arrays
+
 DIMENSIONS = 1024
 MOST_LANGUAGES = 2_000
 BLOCK = 1 << 20
-_SLOTS = 1 << 7
-_HELD = 16
-_kept: dict[str, np.ndarray] = {}
-
-
-def _letters() -> np.ndarray:
-    """Code point -> slot of its letter vector (1 and up), 0 for what isn't a letter; built once in a worker.
-
-    The 26 letters a-z and the blank have slots of their own, the others share the rest by their code point.
-    """
-    if "letters" not in _kept:
-        table = np.zeros(0x110000, np.uint8)
-        rest = _SLOTS - 28
-        for c in range(0x80, 0x110000):
-            if chr(c).isalpha():
-                table[c] = 28 + (c * 2654435761 >> 7) % rest
-        table[97:123] = np.arange(1, 27)
-        _kept["letters"] = table
-    return _kept["letters"]
-
-
-def _vectors(trigrams: np.ndarray) -> np.ndarray:
-    """Bound vectors of trigram keys, float32; those seen are kept in the worker up to 16,384."""
-    if "alphabet" not in _kept:
-        rng = np.random.Generator(np.random.PCG64(7))
-        _kept["alphabet"] = rng.integers(0, 2, (_SLOTS, DIMENSIONS)).astype(np.float32) * 2 - 1
-        _kept["known"] = np.full(_SLOTS**3, -1, np.int32)
-        _kept["rows"] = np.zeros((0, DIMENSIONS), np.float32)
-    a, known, rows = _kept["alphabet"], _kept["known"], _kept["rows"]
-
-    def bind(keys: np.ndarray) -> np.ndarray:
-        one, two, three = keys // _SLOTS**2, keys // _SLOTS % _SLOTS, keys % _SLOTS
-        return np.roll(a, 2, 1)[one] * np.roll(a, 1, 1)[two] * a[three]
-
-    fresh = trigrams[known[trigrams] < 0]
-    if len(rows) + len(fresh) > 16_384:
-        return bind(trigrams)
-    if len(fresh):
-        known[fresh] = np.arange(len(rows), len(rows) + len(fresh))
-        _kept["rows"] = rows = np.concatenate([rows, bind(fresh)])
-    return rows[known[trigrams]]
+HELD = 1_000
+_BLANK = 0x20
+_CODE = 21  # bits of a code point; three of them are a trigram's key
+_letters: list[np.ndarray] = []
+
+
+def _is_letter() -> np.ndarray:
+    """For every code point whether it is a letter; built once in a worker (1.1 MB)."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _letters[0]
+
+
+def letter_vectors(codes: np.ndarray) -> np.ndarray:
+    """The vectors of code points: the bits of a hash of code point and place, as +1 and -1."""
+    place = arrays.mix(np.arange(1, DIMENSIONS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    bits = arrays.mix(arrays.mix(codes.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))[:, None] ^ place)
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
+
+
+def bound(keys: np.ndarray) -> np.ndarray:
+    """The vectors of trigram keys, as 32-bit floats."""
+    mask = (1 << _CODE) - 1
+    parts = [np.unique(keys >> (_CODE * k) & mask, return_inverse=True) for k in (2, 1, 0)]
+    first, second, third = (np.roll(letter_vectors(codes), 2 - i, 1)[at] for i, (codes, at) in enumerate(parts))
+    return (first * second * third).astype(np.float32)
 
 
 def _keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trigram keys of all texts, the text of each, and which texts have a letter. Every text is set in blanks."""
-    table, parts, sizes = _letters(), [], []
+    table, parts, sizes = _is_letter(), [], []
     for text in texts:
         code = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        slot = table[code]
-        inside = slot > 0
+        inside = table[code]
         keep = inside.copy()
         keep[:-1] |= inside[1:]  # of a run of others, the one before a letter stands for the run
-        slot = np.where(inside, slot, 27)[keep]
-        if len(slot) and slot[0] != 27:
-            slot = np.concatenate([[np.uint8(27)], slot])
-        parts.append(np.append(slot, np.uint8(27)) if len(slot) else slot[:0])
+        code = np.where(inside, code, _BLANK)[keep]
+        if len(code) and code[0] != _BLANK:
+            code = np.concatenate([[_BLANK], code])
+        parts.append(np.append(code, _BLANK) if len(code) else code)
         sizes.append(len(parts[-1]))
     sizes = np.array(sizes)
-    flat = np.concatenate(parts).astype(np.int32) if len(parts) else np.zeros(0, np.int32)
+    flat = np.concatenate(parts).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
     if len(flat) < 3:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), sizes > 0
-    keys = (flat[:-2] * _SLOTS + flat[1:-1]) * _SLOTS + flat[2:]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), sizes > 0
+    keys = (flat[:-2] << (2 * _CODE)) | (flat[1:-1] << _CODE) | flat[2:]
     doc = np.repeat(np.arange(len(sizes)), sizes)
     whole = doc[:-2] == doc[2:]
     return keys[whole], doc[:-2][whole], sizes > 0
@@ -107,54 +96,42 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield at, block
 
 
-def _compact(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, and a table from key to its place among them."""
-    seen = np.zeros(_SLOTS**3, bool)
-    seen[keys] = True
-    distinct = np.flatnonzero(seen)
-    place = np.zeros(_SLOTS**3, np.int32)
-    place[distinct] = np.arange(len(distinct))
-    return distinct, place
+def _counted(group: np.ndarray, groups: int, keys: np.ndarray) -> np.ndarray:
+    """The bundles of groups of trigrams: counts of the distinct ones, some thousand at a time, times their vectors."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    out = np.zeros((groups, DIMENSIONS))
+    for lo in range(0, len(distinct), 4096):
+        some = (place >= lo) & (place < lo + 4096) if len(distinct) > 4096 else slice(None)
+        n = min(4096, len(distinct) - lo)
+        counts = np.bincount(group[some] * n + place[some] - lo, minlength=groups * n).astype(np.float32).reshape(groups, n)
+        out += counts @ bound(distinct[lo : lo + n])
+    return out
 
 
 def _bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keys, doc, has = _keys(texts)
-    if not len(keys):
-        return np.zeros((len(texts), DIMENSIONS), np.float32), has
-    distinct, place = _compact(keys)
-    n = len(distinct)
-    counts = np.bincount(doc * n + place[keys], minlength=len(texts) * n).astype(np.float32).reshape(-1, n)
-    return counts @ _vectors(distinct), has
+    return _counted(doc, len(texts), keys), has
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial bundles; the counts of at most ``_HELD`` languages are in memory at once."""
+    """Partial bundles; those of at most ``HELD`` languages are in memory at once."""
     schema = pa.schema([("label", pa.string()), ("bundle", pa.list_(pa.float64()))])
-    counts: dict[str, np.ndarray] = {}
+    held: dict[str, np.ndarray] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for label, count in counts.items():
-            trigrams = np.flatnonzero(count)
-            bundle = np.zeros(DIMENSIONS)
-            for lo in range(0, len(trigrams), 4096):
-                part = trigrams[lo : lo + 4096]
-                bundle += count[part] @ _vectors(part).astype(np.float64)
+        for label, bundle in held.items():
             yield pa.RecordBatch.from_pydict({"label": [label], "bundle": [bundle.tolist()]}, schema=schema)
-        counts.clear()
+        held.clear()
 
-    for batch in batches:
+    for batch in arrays.returned(batches):
         labels = np.array(batch.column(0).to_pylist(), object)
         for at, texts in _blocks(batch.column(1)):
             keys, doc, _ = _keys(texts)
-            here = labels[at : at + len(texts)]
-            distinct, place = _compact(keys)
-            for label in dict.fromkeys(here):
-                if label not in counts:
-                    if len(counts) == _HELD:
-                        yield from out()
-                    counts[label] = np.zeros(_SLOTS**3, np.int64)
-                own = place[keys[(here == label)[doc]]]
-                counts[label][distinct] += np.bincount(own, minlength=len(distinct))
+            names, of = np.unique(labels[at : at + len(texts)], return_inverse=True)
+            if len(held) + len(names) > HELD:
+                yield from out()
+            for label, bundle in zip(names.tolist(), _counted(of[doc], len(names), keys), strict=True):
+                held[label] = held.get(label, 0) + bundle
     yield from out()
 
 
@@ -185,14 +162,13 @@ def predict(docs: DataFrame, languages: list[str], bundles: np.ndarray, text: st
     centred = unit - mean
     centred = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-30)
     direction = mean / max(float(np.linalg.norm(mean)), 1e-30)
-    shared = docs.sparkSession.sparkContext.broadcast((languages, centred.astype(np.float32), direction))
+    shared = docs.sparkSession.sparkContext.broadcast((languages, centred, direction))
     schema = docs.select(*keep).schema.add("_lang", "string").add("_score", "double")
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, at, common = shared.value
-        common = common.astype(np.float32)
-        for batch in batches:
+        for batch in arrays.returned(batches):
             langs, scores = [], []
             for _, texts in _blocks(batch.column(n)):
                 bundle, has = _bundles(texts)

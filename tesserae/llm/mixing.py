@@ -3,59 +3,72 @@
 Every document gets a rate r in [0, 3]. Among all rates that meet a source's token constraint, the chosen ones are
 closest to 1 in (bounded) relative entropy. The dual of that problem is convex with one multiplier a source, and its
 solution tilts the rates exponentially in the document's size x: r = 3 / (1 + 2 exp(-m x)). Newton's method finds m;
-each iteration is one grouped aggregation over the counts of (source, size), and a bracket guards the steps.
+each iteration is one grouped aggregation over the counts of (source, size), and a bracket guards the steps. Sums are of
+decimals, so their order doesn't matter and reruns agree to the last bit. A source that misses its target by more than
+``TOLERANCE`` after ``ITERATIONS`` steps is an error.
 
 Rates become copies by systematic rounding: documents of a source stand in order of falling size, and a document's
 copies are what the rounded running sum of the rates grows by. The source's words then miss its target by half its
 longest document at most, whatever the number of documents. The running sum is formed over a source's sizes, then over
 the ``SALTS`` strata of a size, so neither a hot source nor a large group of equal sizes is ranked in one task.
 
-Null sources form one source of their own, the last. Null texts have size 0 and are never taken. Repeated rows count
-as often as they occur. An empty table gives an empty result.
+Null sources form one source of their own, the last. Null texts have size 0 and are never taken; very long ones count
+like all others. Repeated rows count as often as they occur; equal sizes stand in the order of a hash of their id, so ties
+give each the same rate and the copies to some of them. An empty table gives an empty result. Columns of the input that
+are named like those that are added are replaced; all others stay, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import stage, word_count
+from tesserae.llm.common import shield, stage, word_count
+from tesserae.operators.ivf import contiguous_ids
 
 MOST = 3
 SALTS = 64
-ITERATIONS = 40
+ITERATIONS = 100
 TOLERANCE = 1e-6
 _KEYS = ["_source", "_size", "_salt"]
 
 
+def _exact(value: Column) -> Column:
+    """The sum of ``value`` in millionths, the same in any order."""
+    return F.sum(value.cast("decimal(38,6)")).cast("double")
+
+
 def source_targets(strata: DataFrame) -> DataFrame:
     """One row a source: ``source_size``, ``mean_size`` and ``target``.
 
     Sources in order of code points, null last, weigh 1, 2, 3, 1, ... and share all words; what exceeds ``MOST`` times
-    a source's words is shared again by weight. In order of (limit / weight) the sources at their limit are a prefix,
-    so running sums find the level at once. The windows run over one row a source.
+    a source's words is shared again by weight. The words that a unit of weight gets rise from round to round, until no
+    other source reaches its limit; each round is one aggregation over the sources.
     """
     sizes = strata.groupBy("_source").agg(
         F.sum(F.col("_size") * F.col("_count")).alias("source_size"), F.sum("_count").alias("_docs")
     )
-    weighed = sizes.withColumn(
-        "_weight", (1 + (F.row_number().over(Window.orderBy("_source")) - 1) % 3).cast("double")
-    ).withColumn("_limit", F.lit(float(MOST)) * F.col("source_size"))
-    filled = Window.orderBy(F.col("_limit") / F.col("_weight"), "_source")
-    everything = filled.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    level = weighed.withColumn(
-        "_level",
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("_limit").over(before), F.lit(0.0)))
-        / (F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))),
-    ).withColumn("_full", F.col("_limit") <= F.col("_level") * F.col("_weight"))
-    found = level.withColumn("_level", F.max(F.when(~F.col("_full"), F.col("_level"))).over(everything))
-    return found.select(
+    weighed = stage(
+        contiguous_ids(sizes, ["_source"], "_at").withColumns(
+            {"_weight": (1 + F.col("_at") % 3).cast("double"), "_limit": F.lit(float(MOST)) * F.col("source_size")}
+        ),
+        "mix-weights",
+    )
+    level, full = 0.0, F.lit(False)
+    while True:
+        x = weighed.agg(
+            F.sum("source_size").alias("all"), _exact(F.when(full, F.col("_limit"))).alias("fixed"), F.sum(F.when(~full, F.col("_weight"))).alias("free")
+        ).first()
+        if not x["free"] or (following := (x["all"] - (x["fixed"] or 0.0)) / x["free"]) <= level:
+            break
+        level = following
+        full = F.col("_limit") <= F.lit(level) * F.col("_weight")
+    return weighed.select(
         "_source",
         "source_size",
         F.greatest(F.lit(1.0), F.col("source_size") / F.col("_docs")).alias("mean_size"),
-        F.when(F.col("_full"), F.col("_limit")).otherwise(F.col("_level") * F.col("_weight")).alias("target"),
-        F.col("_full").alias("full"),
+        F.when(full, F.col("_limit")).otherwise(F.lit(level) * F.col("_weight")).alias("target"),
+        full.alias("full"),
     )
 
 
@@ -75,8 +88,8 @@ def balance(strata: DataFrame, sources: DataFrame) -> DataFrame:
             counts.join(at.filter("not full").select("_source", "m", "mean_size"), "_source")
             .groupBy("_source")
             .agg(
-                F.sum(F.col("_count") * F.col("_size") * rate).alias("_words"),
-                F.sum(
+                _exact(F.col("_count") * F.col("_size") * rate).alias("_words"),
+                _exact(
                     F.col("_count") * F.col("_size") * F.col("_size") / F.col("mean_size") * rate * (1 - rate / MOST)
                 ).alias("_slope"),
             )
@@ -99,18 +112,23 @@ def balance(strata: DataFrame, sources: DataFrame) -> DataFrame:
             "mix-step",
         )
         if at.filter("not done").isEmpty():
-            break
+            return at.drop("lo", "hi", "done")
         at = at.drop("done")
-    return at.drop("lo", "hi", "done")
+    raise RuntimeError(f"a source misses its target after {ITERATIONS} Newton steps")
 
 
 def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_size`` (words), ``_source_size``, ``_target``, ``_rate`` and ``_copies`` (0 to 3)."""
-    sized = docs.withColumns(
+    """``docs`` with ``_size`` (words), ``_source_size``, ``_target``, ``_rate`` and ``_copies`` (0 to 3).
+
+    A table without the column ``text`` must have the sizes, as ``_size``.
+    """
+    inside, name, back = shield(docs)
+    doc_id = name(doc_id)
+    sized = inside.withColumns(
         {
             # 's' before each name and 't' for null: the order of code points, with null last
-            "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t")),
-            "_size": word_count(F.col(text)) if text in docs.columns else F.col("_size"),
+            "_source": F.coalesce(F.concat(F.lit("s"), F.col(name(source))), F.lit("t")),
+            "_size": word_count(F.col(name(text))) if text in docs.columns else F.col(name("_size")),
             "_salt": F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int"),
         }
     )
@@ -135,9 +153,5 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", doc
     rank = F.row_number().over(Window.partitionBy(*_KEYS).orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id)))
     upto = lambda k: F.floor(F.col("_before") + F.col("_rate") * k + 0.5)
     copies = F.when(F.col("_size") == 0, 0).otherwise(upto(F.col("_rank")) - upto(F.col("_rank") - 1))
-    return (
-        sized.withColumn("_rank", rank)
-        .join(placed, _KEYS)
-        .withColumn("_copies", F.least(F.lit(MOST), copies).cast("int"))
-        .drop("_source", "_salt", "_rank", "_before")
-    )
+    mixed = sized.withColumn("_rank", rank).join(placed, _KEYS).withColumn("_copies", F.least(F.lit(MOST), copies).cast("int"))
+    return back(mixed, new=["_size", "_source_size", "_target", "_rate", "_copies"])

@@ -30,6 +30,7 @@ from tesserae.llm.url_filter import host_of, path_of
 MOST_LABELLED = 20_000
 THRESHOLD = 0.5
 SALTS = 32
+LEAST_STRENGTH = 1.0
 _INPUTS = ["_marks", "_capitals", "_digits", "_repeats", "_doubled", "_symbols", "_length", "_word"]
 
 
@@ -73,7 +74,8 @@ def document_evidence(docs: DataFrame, labels: DataFrame, text: str = "text", la
 
 
 def _strength(groups: DataFrame, n: str, s: str, q: str, prior: Column | None = None) -> tuple[float, float]:
-    """Mean of all, and how many documents the prior weighs: variance within over variance between groups."""
+    """Mean of all, and how many documents the prior weighs: variance within over variance between groups, but one
+    document at least, as groups of one document have no variance within."""
     total = groups.agg(F.sum(n).alias("n"), F.sum(s).alias("s")).first()
     if not total["n"]:
         return 0.5, 1.0
@@ -87,7 +89,7 @@ def _strength(groups: DataFrame, n: str, s: str, q: str, prior: Column | None =
     ).first()
     within = max(x["within"], 1e-9) / max(total["n"] - x["groups"], 1)
     spread = (x["between"] - (x["groups"] - 1) * within) / max(total["n"] - x["squares"] / total["n"], 1.0)
-    return mean, round(min(1e6, within / max(spread, within / 1e6)), 6)
+    return mean, min(1e6, max(LEAST_STRENGTH, within / max(spread, within / 1e6)))
 
 
 def _logit(p: Column) -> Column:

@@ -7,14 +7,19 @@ bucket, where the windows are sorted by hash and compared byte by byte with the
 
 Hot keys: a task sends a packed string once for all its occurrences in a block of text (the earliest; the others are
 removed at once, as the earliest stands before them), so a group of copies sends at most one string per block. A
-minimiser that still has more than one in ``HOT_PART`` of all strings (a passage with ever new surroundings) is hot;
-there are at most ``HOT_PART`` of them. Its windows travel one by one to the bucket of their own hash, where only equal
-windows meet. Finding hot minimisers is a pass over all texts; it changes where windows meet, not what is found.
+minimiser that still has more than ``HOT_STRINGS`` strings, or one in ``HOT_PART`` of all (a passage with ever new
+surroundings), is hot. Its windows travel one by one to the bucket of their own hash, where only equal windows meet. Hot
+minimisers are found by a pass over all texts, which counts those that have two or more strings in a block; they are
+broadcast, 8 bytes each, and are at most ``HOT_PART`` + strings / ``HOT_STRINGS``. They change where windows meet, not
+what is found.
 
 A word is removed if a window that covers it has the same words as one that starts earlier: in a document of smaller id,
-or earlier in the same one. Windows are judged on the input. A null id counts as the largest. Rows that share an id are
-deliveries of one document: equal positions aren't earlier than each other, and what one row loses all rows of that id
-lose. Null and empty texts have no words. An empty table gives an empty result.
+or earlier in the same one. Windows are judged on the input. Rows that share an id and their text are deliveries of one
+document: equal positions aren't earlier than each other, so none of them loses words to the others. Rows that share an
+id but not their text are parts of one document, in the order of a hash of their text. A row without an id is a document
+of its own, told apart by its text; they come last, in the order of a hash. Null and empty texts have no words and lose
+none. A very long text is a block of its own. An empty table gives an empty result. Columns of the input that are named
+like those that are added are replaced; all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import arrays
-from tesserae.llm.common import stage
+from tesserae.llm.common import BROADCAST_ROWS, node, shield, stage
 
 WIDTH = 20
 CORE = 3
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 LONGEST = 1024
 HOT_PART = 2_000
-_NULL = np.iinfo(np.int64).max
+HOT_STRINGS = 50_000
+_PART = 31  # bits of a word's place in its row; those above them tell the parts of one document apart
 
 
 @dataclass
@@ -51,7 +57,7 @@ class Runs:
     minimiser: np.ndarray
 
 
-def _runs(ids: np.ndarray, texts: pa.Array, hot: np.ndarray) -> Runs:
+def _runs(ids: np.ndarray, base_at: np.ndarray, texts: pa.Array, hot: np.ndarray) -> Runs:
     parts = []
     base = 0
     for piece in arrays.pieces(texts):
@@ -75,7 +81,7 @@ def _runs(ids: np.ndarray, texts: pa.Array, hot: np.ndarray) -> Runs:
                 (
                     data,
                     ids[piece.lo + doc[head]],
-                    first - found.first[doc[head]],
+                    first - found.first[doc[head]] + base_at[piece.lo + doc[head]],
                     many,
                     base + found.starts[first],
                     base + found.ends[first + many + WIDTH - 2] + 1,
@@ -101,43 +107,42 @@ def _distinct(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[~same], order[same & ~tie], one
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    for batch in batches:
-        ids = batch.column(0).cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False)
-        for piece in arrays.pieces(batch.column(1), BLOCK):
-            yield ids[piece.lo : piece.hi], batch.column(1).slice(piece.lo, piece.hi - piece.lo)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    for batch in arrays.returned(batches):
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) << _PART
+        for piece in arrays.pieces(batch.column(2), BLOCK):
+            yield ids[piece.lo : piece.hi], at[piece.lo : piece.hi], batch.column(2).slice(piece.lo, piece.hi - piece.lo)
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minimisers with many packed strings in a block, and one row (null) with the number of all strings."""
-    for ids, texts in _blocks(batches):
-        runs = _runs(ids, texts, np.zeros(0, np.uint64))
+    """Minimisers with two packed strings or more in a block; a row (null) with the number of all strings and their bytes."""
+    for ids, at, texts in _blocks(batches):
+        runs = _runs(ids, at, texts, np.zeros(0, np.uint64))
         sent, _, _ = _distinct(runs)
         found, many = np.unique(runs.minimiser[sent], return_counts=True)
-        often = many > max(4, len(sent) // (4 * HOT_PART))
+        found, many = found[many > 1].astype(np.int64), many[many > 1]
+        size = int((runs.hi - runs.lo).sum())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([None, *found[often].astype(np.int64).tolist()], pa.int64()),
-                pa.array([len(sent), *many[often].tolist()], pa.int64()),
+                pa.array([None, *found.tolist()], pa.int64()),
+                pa.array([len(sent), *many.tolist()], pa.int64()),
+                pa.array([size, *[0] * len(found)], pa.int64()),
             ],
-            names=["minimiser", "n"],
+            names=["minimiser", "n", "size"],
         )
 
 
-def hot_minimisers(docs: DataFrame, text: str, doc_id: str) -> np.ndarray:
-    """Minimisers of more than one in ``HOT_PART`` strings; at most ``HOT_PART``."""
-    found = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        .mapInArrow(_frequent, "minimiser long, n long")
-        .groupBy("minimiser")
-        .agg(F.sum("n").alias("n"))
-    )
-    found = stage(found, "dedup-minimisers")
-    total = found.filter("minimiser is null").select("n").first()
+def hot_minimisers(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Of rows (doc, part, text): the hot minimisers, and the bytes of all packed strings."""
+    found = rows.mapInArrow(_frequent, "minimiser long, n long, size long")
+    found = stage(found.groupBy("minimiser").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).filter("n > 16 or minimiser is null"), "dedup-minimisers")
+    total = found.filter("minimiser is null").select("n", "size").first()
     if not total:
-        return np.zeros(0, np.uint64)
-    hot = found.filter(F.col("minimiser").isNotNull() & (F.col("n") * HOT_PART > total[0]) & (F.col("n") > 16))
-    return np.array([r[0] for r in hot.select("minimiser").collect()], np.int64).astype(np.uint64)
+        return np.zeros(0, np.uint64), 0
+    many = (F.col("n") * HOT_PART > total["n"]) | (F.col("n") > HOT_STRINGS)
+    hot = found.filter(F.col("minimiser").isNotNull() & many).select("minimiser").toArrow()["minimiser"].to_numpy()
+    return np.sort(hot.astype(np.int64).view(np.uint64)), total["size"]
 
 
 _PACKED = "bucket int, packed binary, text_size long, n int, places binary, n_gone int, gone binary"
@@ -145,23 +150,25 @@ _PACKED = "bucket int, packed binary, text_size long, n int, places binary, n_go
 
 def _places(runs: Runs, which: np.ndarray) -> bytes:
     """Document, first word and windows of these runs, which stand in order of the input: small steps pack well."""
-    return arrays.packed(np.diff(runs.doc[which], prepend=0), runs.at[which].astype(np.int32), runs.windows[which].astype(np.int32))
+    at = runs.at[which]
+    low = (at & ((1 << _PART) - 1)).astype(np.int32)
+    return arrays.packed(np.diff(runs.doc[which], prepend=0), (at >> _PART).astype(np.int32), low, runs.windows[which].astype(np.int32))
 
 
 def _unpacked(table: pa.Table, n: str, places: str) -> list[np.ndarray]:
     rows = [
-        arrays.unpacked(x.as_py(), k, np.int64, np.int32, np.int32)
+        arrays.unpacked(x.as_py(), k, np.int64, np.int32, np.int32, np.int32)
         for x, k in zip(table[places], table[n].to_pylist(), strict=True)
     ]
-    docs, at, windows = (np.concatenate(x) for x in zip(*[(np.cumsum(d), a, w) for d, a, w in rows], strict=True))
-    return [docs, at.astype(np.int64), windows.astype(np.int64)]
+    docs, part, at, windows = (np.concatenate(x) for x in zip(*[(np.cumsum(d), p, a, w) for d, p, a, w in rows], strict=True))
+    return [docs, (part.astype(np.int64) << _PART) + at, windows.astype(np.int64)]
 
 
 def _pack(hot: np.ndarray, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 3)
-        for ids, texts in _blocks(batches):
-            runs = _runs(ids, texts, hot)
+        for ids, at, texts in _blocks(batches):
+            runs = _runs(ids, at, texts, hot)
             if not len(runs.doc):
                 continue
             sent, gone, own = _distinct(runs)
@@ -265,34 +272,50 @@ def _settle(table: pa.Table) -> pa.Table:
         fresh[1:] = (doc[1:] != doc[:-1]) | (at[1:] > end[:-1])
         head = np.flatnonzero(fresh)
         doc, at, end = doc[head], at[head], np.maximum.reduceat(end, head)
-    return pa.table({"doc": doc, "at": at.astype(np.int32), "end": end.astype(np.int32)})
-
-
-def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``_id`` (null ids as the largest number) and ``_spans``, the spans of words to remove; documents without any
-    have no row. Spans may overlap."""
+    part = at >> _PART
+    return pa.table({"doc": doc, "part": part, "at": at - (part << _PART), "end": end - (part << _PART)})
+
+
+def documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with ``_doc`` (see ``node``) and ``_part``: 0, or 31 bits of the text's hash if rows share their id."""
+    doc = F.col(doc_id).cast("long")
+    keyed = docs.withColumn("_doc", node(F.col(doc_id), F.col(text)))
+    again = docs.filter(doc.isNotNull()).groupBy(doc.alias("_doc")).count().filter("count > 1").select("_doc", F.lit(True).alias("_again"))
+    many = again.limit(BROADCAST_ROWS + 1).count()
+    if not many:
+        return keyed.withColumn("_part", F.lit(0).cast("long"))
+    keyed = keyed.join(F.broadcast(again) if many <= BROADCAST_ROWS else again, "_doc", "left")
+    part = F.when(F.col("_again"), F.pmod(F.xxhash64(text), F.lit(1 << _PART))).otherwise(F.lit(0))
+    return keyed.withColumn("_part", part.cast("long")).drop("_again")
+
+
+def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Of ``documents``: ``_doc``, ``_part`` and ``_spans``, the spans of words to remove; those without any have no
+    row. Spans may overlap."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    packed = rows.mapInArrow(_pack(hot_minimisers(docs, text, doc_id), arrays.bucket_bits(partitions)), _PACKED)
-    spans = packed.groupBy("bucket").applyInArrow(_settle, "doc long, at int, end int")
-    return spans.groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("at", "end")).alias("_spans"))
+    rows = docs.select(F.col("_doc").alias("doc"), F.col("_part").alias("part"), F.col(text).alias("text"))
+    hot, size = hot_minimisers(rows)
+    packed = rows.mapInArrow(_pack(hot, arrays.bucket_bits(partitions, size)), _PACKED)
+    spans = packed.groupBy("bucket").applyInArrow(_settle, "doc long, part long, at long, end long")
+    spans = spans.groupBy(F.col("doc").alias("_doc"), F.col("part").alias("_part"))
+    return spans.agg(F.collect_list(F.struct("at", "end")).alias("_spans"))
 
 
 def kept_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with ``_n_words``, ``_n_removed`` and ``_kept``: the words that stay, joined by one blank."""
-    spans = repeated_spans(docs, text, doc_id)
-    keyed = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)))
-    joined = keyed.join(spans, "_id", "left").drop("_id").withColumn("_text", F.col(text))
-    names = docs.columns
-    schema = docs.select(*names).schema
-    for name, kind in (("_n_words", "long"), ("_n_removed", "long"), ("_kept", "string")):
-        schema = schema.add(name, kind)
+    inside, name, back = shield(docs)
+    keyed = documents(inside, name(text), name(doc_id))
+    joined = keyed.join(repeated_spans(keyed, name(text)), ["_doc", "_part"], "left")
+    names, of_text = inside.columns, inside.columns.index(name(text))
+    schema = inside.schema
+    for new, kind in (("_n_words", "long"), ("_n_removed", "long"), ("_kept", "string")):
+        schema = schema.add(new, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_spans = batch.column(batch.schema.get_field_index("_spans"))
+        for batch in arrays.returned(batches):
+            all_spans = batch.column(len(names))
             counts, removed, kept = [], [], []
-            for piece in arrays.pieces(batch.column(batch.schema.get_field_index("_text"))):
+            for piece in arrays.pieces(batch.column(of_text)):
                 data, found = arrays.compacted(piece)
                 gone = np.zeros(len(found.starts) + 1, np.int64)
                 for d, spans_ in enumerate(all_spans[piece.lo : piece.hi].to_pylist()):
@@ -309,10 +332,10 @@ def kept_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
                 removed.append(lost)
                 kept += [left[x : max(x, y - 1)].decode() for x, y in zip(edge[:-1], edge[1:], strict=True)]
             one = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            columns = batch.columns[: len(names)]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(one(counts)), pa.array(one(removed)), pa.array(kept, pa.string())],
                 names=[*names, "_n_words", "_n_removed", "_kept"],
             )
 
-    return joined.select(*names, "_spans", "_text").mapInArrow(run, schema)
+    return back(joined.select(*names, "_spans").mapInArrow(run, schema), new=["_n_words", "_n_removed", "_kept"])

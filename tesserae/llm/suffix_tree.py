@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from tesserae.llm import arrays
 from tesserae.llm.common import stage
 
-DEPTH = 6
+DEPTH = 5
 TRUNK = 2
 LEAST_COUNT = 2
 LEAST_DIVERGENCE = 20.0
-BUNDLE = 4 << 20
+BUNDLE = 6 << 20
 SPREAD = 2048
 MOST_BITS = 14
 _END = 0xFF
@@ -224,9 +224,9 @@ def _send(bits: int):
         + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary())]
     )
 
-    def bundled(name: str, batch: pa.RecordBatch, lo: int, hi: int, parts: list) -> tuple[pa.RecordBatch, tuple]:
+    def bundled(name: str, parts: list) -> tuple[pa.RecordBatch, tuple]:
         hashes = np.concatenate([p[0] for p in parts])
-        held = np.array(batch.column(1)[lo:hi].to_pylist(), bool)
+        held = np.concatenate([p[5] for p in parts])
         distinct, place = np.unique(hashes, return_inverse=True)
         taught = np.repeat(~held, np.concatenate([p[1] for p in parts]))
         many = np.bincount(place[taught], minlength=len(distinct)).astype(np.uint32)
@@ -245,28 +245,31 @@ def _send(bits: int):
                 rows.append({"bundle": name, "bucket": (1 << bits) + b, "n": int(y - x), "packed": sent})
         sizes = np.concatenate([np.diff(p[3].offsets) for p in parts])
         own = {"n": int(sizes.sum()), "packed": arrays.packed(*[p[3].data for p in parts])}
-        own |= {"sizes": sizes.astype(np.int64).tobytes(), "ids": batch.column(0)[lo:hi].to_pylist(), "held": held.tolist()}
+        own |= {"sizes": sizes.astype(np.int64).tobytes(), "ids": [i for p in parts for i in p[4]], "held": held.tolist()}
         sent = pa.RecordBatch.from_pylist([*rows, {"bundle": name, "bucket": _OWN, **own}], schema=schema)
         return sent, _summed(_cut(gram[count > 0], TRUNK), count[count > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial, low = TaskContext.get().partitionId(), 0, []
+        task, serial, low, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in arrays.returned(batches):
-            parts, held_bytes, lo = [], 0, 0
             for piece in arrays.pieces(batch.column(2)):
                 data, offsets = symbols(piece)
-                taught = ~np.array(batch.column(1)[piece.lo : piece.hi].to_pylist(), bool)
+                held = np.array(batch.column(1)[piece.lo : piece.hi].to_pylist(), bool)
                 gram, place = np.unique(grams(data, offsets).astype(np.int64), return_inverse=True)
-                count = np.bincount(place, np.repeat(taught, np.diff(offsets)), minlength=len(gram))
+                count = np.bincount(place, np.repeat(~held, np.diff(offsets)), minlength=len(gram))
                 words = piece.lowered()
                 found = arrays.words(words)
-                parts.append((arrays.span_hashes(words, found.starts, found.ends), found.counts, (gram, count), piece))
-                held_bytes += len(piece.data)
-                if held_bytes >= BUNDLE or piece.hi == len(batch):
-                    sent, counted = bundled(f"{task}-{serial}", batch, lo, piece.hi, parts)
+                ids = batch.column(0)[piece.lo : piece.hi].to_pylist()
+                parts.append((arrays.span_hashes(words, found.starts, found.ends), found.counts, (gram, count), piece, ids, held))
+                size += len(piece.data)
+                if size >= BUNDLE:
+                    sent, counted = bundled(f"{task}-{serial}", parts)
                     yield sent
-                    low = [_distinct([*low, counted])]
-                    parts, held_bytes, lo, serial = [], 0, piece.hi, serial + 1
+                    low, parts, size, serial = [_distinct([*low, counted])], [], 0, serial + 1
+        if parts:
+            sent, counted = bundled(f"{task}-{serial}", parts)
+            yield sent
+            low = [_distinct([*low, counted])]
         for pair, n in low:
             row = {"bundle": f"{task}", "bucket": _TRUNK, "n": len(pair), "packed": arrays.packed(pair, n.astype(np.int64))}
             yield pa.RecordBatch.from_pylist([row], schema=schema)

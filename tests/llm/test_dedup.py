@@ -33,7 +33,7 @@ def test_hot_minimisers_change_nothing(spark, monkeypatch):
     passage = helpers.sentence(1, 25)
     rows = [(i, helpers.sentence(i, 40) + " " + passage + " " + helpers.sentence(i + 500, 40)) for i in range(60)]
     docs = helpers.documents(spark, rows).repartition(6)
-    assert len(substring_dedup.hot_minimisers(docs, "text", "doc_id"))
+    assert len(substring_dedup.hot_minimisers(substring_dedup.documents(docs).selectExpr("_doc", "_part", "text"))[0])
     monkeypatch.setattr(substring_dedup, "HOT_PART", 1)
     got = substring_dedup.kept_words(docs).collect()
     assert sorted(((r["doc_id"], r["_n_words"], r["_n_removed"], r["_kept"]) for r in got), key=str) == kept(rows)
@@ -43,9 +43,38 @@ def test_repeated_rows_and_empty_table(spark):
     text = helpers.sentence(3, 50)
     got = substring_dedup.kept_words(helpers.documents(spark, [(1, text), (1, text), (2, text)])).collect()
     assert sorted((r["doc_id"], r["_n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 50)]
+    long = helpers.sentence(8, 200_000, 10**9)
+    got = substring_dedup.kept_words(helpers.documents(spark, [(2, long), (1, long[100:])])).collect()
+    assert sorted((r["doc_id"], r["_n_removed"] > 199_000) for r in got) == [(1, False), (2, True)]
     assert substring_dedup.kept_words(helpers.documents(spark, [(1, text)]).limit(0)).count() == 0
 
 
+def test_rows_without_an_id_and_rows_that_share_one(spark):
+    """Each loses only what stands earlier: in smaller ids, in parts of its own document, in other rows without an id."""
+    passage, own = helpers.sentence(1, 30), helpers.sentence(2, 60)
+    rows = [(1, passage), (None, passage + " " + helpers.sentence(3, 30)), (None, own), (None, own), (None, None)]
+    got = substring_dedup.kept_words(helpers.documents(spark, rows)).collect()
+    by = {r["text"]: (r["_n_words"], r["_n_removed"]) for r in got}
+    assert len(got) == 5 and sorted(by.values()) == [(0, 0), (30, 0), (60, 0), (60, 30)] and by[own] == (60, 0)
+    rows = [(5, own + f" {passage} {i}") for i in range(4)] + [(5, own + f" {passage} 0"), (5, helpers.sentence(9, 50)), (6, own)]
+    got = substring_dedup.kept_words(helpers.documents(spark, rows).repartition(3)).collect()
+    gone = sorted((r["doc_id"], r["_n_words"], r["_n_removed"]) for r in got)
+    assert [x for x in gone if x[1] == 50] == [(5, 50, 0)] and (6, 60, 60) in gone
+    parts = {}
+    for r in got:
+        if r["_n_words"] == 91:
+            parts.setdefault(r["text"], set()).add(r["_n_removed"])
+    assert sorted(map(list, parts.values())) == [[0], [90], [90], [90]]
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    text = helpers.sentence(3, 50)
+    docs = helpers.documents(spark, [(1, text), (2, text)]).selectExpr("*", "1 as _text", "2 as _spans", "3 as _doc", "4 as _n_words", "5 as `a.b`", "6 as c1")
+    got = substring_dedup.kept_words(docs)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "_text", "_spans", "_doc", "a.b", "c1", "_n_words", "_n_removed", "_kept"]
+    assert sorted(tuple(r)[5:12] for r in got.collect()) == [(1, 2, 3, 5, 6, 50, 0), (1, 2, 3, 5, 6, 50, 50)]
+
+
 def sets(text):
     w = helpers.words((text or "").translate(helpers.LOWER))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

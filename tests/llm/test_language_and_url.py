@@ -1,6 +1,8 @@
 import helpers
+import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tesserae.llm import langid, queries, url_filter
 
 EN = "the quick brown fox jumps over the lazy dog and then runs away with another animal into the woods"
@@ -35,6 +37,45 @@ def test_without_labels_everything_is_undetermined(spark):
     assert langid.predict(empty, ["en"], bundles.reshape(0, 1024), "text", "doc_id").count() == 0
 
 
+def test_every_letter_has_a_vector_of_its_own():
+    codes = np.array([ord(c) for c in "azжщяλω漢字ßéあ"], np.int64)
+    v = langid.letter_vectors(codes).astype(int)
+    likeness = v @ v.T / langid.DIMENSIONS
+    assert set(np.unique(v)) == {-1, 1} and np.allclose(np.diag(likeness), 1) and np.abs(likeness - np.eye(len(v))).max() < 0.15
+    key = (int(codes[0]) << 42) | (int(codes[2]) << 21) | int(codes[3])
+    by_hand = np.roll(v[0], 2) * np.roll(v[2], 1) * v[3]
+    assert (langid.bound(np.array([key]))[0] == by_hand).all()
+
+
+def test_prediction_by_brute_force(spark):
+    """Bundles of single trigrams, added up one by one; ties go to the first name, long texts are whole."""
+    rows = [(1, EN, "b"), (2, EN, "a"), (3, "слово и дело " * 3, "ru"), (4, FR * 400, "fr"), (5, "λόγος", None), (6, "дело", None)]
+    docs = helpers.documents(spark, rows)
+    languages, bundles = langid.prototypes(docs)
+
+    def bundle(text):
+        total, text = np.zeros(langid.DIMENSIONS), " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        text = " ".join(text.split(" ")).replace("  ", " ")
+        for x in zip(text, text[1:], text[2:]):
+            v = langid.letter_vectors(np.array([ord(c) for c in x])).astype(int)
+            total += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return total
+
+    assert languages == ["a", "b", "fr", "ru"]
+    assert all((bundles[languages.index(x[2])] == bundle(x[1])).all() for x in rows[:4])
+    unit = bundles / np.linalg.norm(bundles, axis=1, keepdims=True)
+    mean = unit.mean(0)
+    at = unit - mean
+    at = at / np.linalg.norm(at, axis=1, keepdims=True)
+    axis = mean / np.linalg.norm(mean)
+    for r in langid.predict(docs, languages, bundles, "text", "doc_id").collect():
+        b = bundle(rows[r["doc_id"] - 1][1])
+        b = b - (b @ axis) * axis
+        cosine = at @ b / np.linalg.norm(b)
+        assert abs(max(cosine.max(), 0) - r["_score"]) < 1e-3 and (cosine[languages.index(r["_lang"])] > cosine.max() - 1e-6)
+        assert r["_lang"] != "b"
+
+
 def test_batches_do_not_change_the_bundles(spark):
     docs = helpers.documents(spark, [(i, helpers.sentence(i, 50), "ab"[i % 2]) for i in range(40)])
     one = langid.prototypes(docs.coalesce(1))[1]
@@ -87,3 +128,15 @@ def test_many_rules_by_join_agree_with_inline(spark, monkeypatch):
 def test_no_urls(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.filter_urls(pages, queries.URL_RULES).select(F.count("*")).first()[0] == 0
+
+
+def test_first_stage_of_the_pipeline(spark):
+    """Texts of a language that nobody labelled go, all others with letters stay; without labels, letters are enough."""
+    rows = [(i, " ".join(t.split()[i % 5 :]), lang) for i, (t, lang) in enumerate([(EN, "en"), (FR, "fr"), (DE, "de")] * 20)]
+    rows += [(100, FR, None), (101, "съешь ещё этих мягких французских булок да выпей чаю", None), (102, "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", None)]
+    rows += [(103, "12 ... 34", "en"), (104, None, None)]
+    docs = helpers.documents(spark, rows)
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert got == {*range(60), 100}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, bare, "").collect()} == {*range(60), 100, 101, 102}

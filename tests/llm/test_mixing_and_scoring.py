@@ -51,6 +51,43 @@ def test_targets_and_copies(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_rates_solve_the_dual_and_copies_follow_from_them(spark):
+    """Rates by bisection, and copies by one running sum over each source, as the docstring says."""
+    import xxhash
+
+    rows = [(i, helpers.sentence(i, 1 + (i * 31) % 70), None, "abc"[i % 3]) for i in range(300)] + [(7, "a b", None, "a")]
+    docs = helpers.documents(spark, rows).selectExpr("*", "1 as _salt", "2 as _rank", "3 as _before", "4 as _size", "5 as `x.y`")
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows) and all((r["_salt"], r["_rank"], r["_before"], r["x.y"]) == (1, 2, 3, 5) for r in got)
+    for source in "abc":
+        own = [r for r in got if r["source"] == source]
+        target, mean = own[0]["_target"], sum(r["_size"] for r in own) / len(own)
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            m = (lo + hi) / 2
+            words = sum(r["_size"] * 3 / (1 + 2 * math.exp(-m * r["_size"] / mean)) for r in own)
+            lo, hi = (m, hi) if words < target else (lo, m)
+        for r in own:
+            assert math.isclose(r["_rate"], 3 / (1 + 2 * math.exp(-m * r["_size"] / mean)), rel_tol=1e-4)
+        signed = lambda i: (xxhash.xxh64(int(i).to_bytes(8, "little", signed=True), 42).intdigest() ^ (1 << 63)) - (1 << 63)
+        total, want = 0.0, Counter()
+        for r in sorted(own, key=lambda r: (-r["_size"], signed(r["doc_id"]) % 64, signed(r["doc_id"]), r["doc_id"])):
+            after = total + r["_rate"]
+            want[(r["doc_id"], r["_size"])] += math.floor(after + 0.5) - math.floor(total + 0.5)
+            total = after
+        have = Counter()
+        for r in own:
+            have[(r["doc_id"], r["_size"])] += r["_copies"]
+        assert sum(abs(have[k] - want[k]) for k in want) <= 2  # a sum of floats may fall on the other side of a half
+
+
+def test_sources_that_cannot_be_balanced_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ITERATIONS", 1)
+    rows = [(i, helpers.sentence(i, 1 + i % 40), None, "ab"[i % 2]) for i in range(50)]
+    with pytest.raises(RuntimeError):
+        mixing.mix_sources(helpers.documents(spark, rows))
+
+
 def test_suffix_tree_base_and_gain(spark):
     rows = [(i, helpers.sentence(i % 40, 60, 50).replace("w1", "W1")) for i in range(140)]
     rows = [r[:2] for r in helpers.awkward(rows)]
@@ -179,6 +216,9 @@ def test_pipeline_on_clashing_columns(spark, tmp_path):
             assert out.columns == before.columns and out.dtypes == before.dtypes
         ids[name] = {r["doc_id"] for r in out.select("doc_id").collect()}
     assert 62 not in ids["language_id"] and 9001 not in ids["language_id"] and 9002 not in ids["language_id"]
+    shared = helpers.documents(spark, [(1, english[1][1]), (1, english[2][1]), (1, english[1][1]), (2, english[1][1]), (None, english[2][1]), (None, None)])
+    kept = corpus_pipeline.one_of_each_group(spark, shared, folder).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, english[1][1]), (1, english[2][1]), (None, None)], key=str)
     assert 61 not in ids["jaccard_join"] and 0 in ids["jaccard_join"] and None in ids["jaccard_join"]
     assert 60 in ids["substring_dedup"] and 60 not in ids["decontamination"]
     assert set(range(40)) | {50, 51, 52, 9004} <= ids["decontamination"]
