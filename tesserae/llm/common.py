@@ -41,6 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def files(spark: SparkSession, size: int) -> int:
+    """How many files at most a table made from so many bytes of text is written to."""
+    return max(WAVES * spark.sparkContext.defaultParallelism, -(-size // FILE))
+
+
 def stage(df: DataFrame, label: str, size: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -49,7 +54,7 @@ def stage(df: DataFrame, label: str, size: int | None = None) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     if size is not None:
-        df = df.coalesce(max(WAVES * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE)))
+        df = df.coalesce(files(df.sparkSession, size))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

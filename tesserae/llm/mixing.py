@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import shield, stage, word_count
-from tesserae.operators.ivf import contiguous_ids
+from tesserae.operators.numbering import contiguous_ids
 
 MOST = 3
 SALTS = 64

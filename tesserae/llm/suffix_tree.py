@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import arrays
-from tesserae.llm.common import stage
+from tesserae.llm.common import files, stage
 
 DEPTH = 5
 TRUNK = 2
@@ -430,7 +430,8 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id")
     )
     about = rows.agg(F.count_if(~F.col("held")).alias("training"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     bits = arrays.bucket_bits(int(spark.conf.get("spark.sql.shuffle.partitions")), about["size"], 2, MOST_BITS)
-    sent = stage(rows.mapInArrow(_send(bits), _SENT), "tree-sent", about["size"])
+    # bundles are named by the task, so small partitions are merged before, not after
+    sent = stage(rows.coalesce(files(spark, about["size"])).mapInArrow(_send(bits), _SENT), "tree-sent")
     low = sent.filter(F.col("bucket") == _TRUNK).select("n", "packed").mapInArrow(_low, "gram long, n long")
     low = low.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     stem = spark.sparkContext.broadcast(trunk(*_distinct([(low["gram"].to_numpy(), low["n"].to_numpy())])))
