@@ -23,14 +23,14 @@ def route(url: Column, throttled: list[str]) -> Column:
 def plan(df: DataFrame, url: str, id_col: str, throttled: list[str], rate: float = RATE) -> DataFrame:
     """``df`` with ``route`` and ``start_offset_s``: each throttled host gets ``rate`` requests a second, the first at once.
 
-    A throttled host's requests are one sequence by their nature; the window holds (host, id) of these rows alone.
+    A throttled host's requests are one sequence by their nature; the window holds these rows alone. Rows that repeat an
+    id, or have none, each have a place.
     """
     routed = df.withColumns({"route": route(F.col(url), throttled), "_host": urls.host(F.col(url))})
-    slow = routed.filter("route = 'rate_limited'").select(id_col, "_host")
-    nth = F.row_number().over(Window.partitionBy("_host").orderBy(id_col))
-    slow = slow.select(id_col, ((nth - 1) / rate).alias("_offset"))
-    joined = routed.join(slow, id_col, "left")
-    return joined.withColumn("start_offset_s", F.coalesce("_offset", F.lit(0.0))).drop("_host", "_offset")
+    nth = F.row_number().over(Window.partitionBy("_host").orderBy(id_col, url))
+    slow = routed.filter("route = 'rate_limited'").withColumn("start_offset_s", (nth - 1) / rate)
+    free = routed.filter("route <> 'rate_limited'").withColumn("start_offset_s", F.lit(0.0))
+    return slow.unionByName(free).drop("_host")
 
 
 def outcome(code: Column, error: Column, has_url: Column) -> Column:

@@ -7,6 +7,7 @@ Centroids and codebooks have a size that parameters fix; vectors and codes stay
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, ShortType, StructField, StructType
 
 from tesserae.functions.vectors import distance
-from tesserae.operators.search import _matrix, ranked, top_k
+from tesserae.operators.numbering import contiguous_ids
+from tesserae.operators.search import _HITS, Best, QUERY_BLOCK, _batch, _matrix, ranked, top_k
 from tesserae.sources.shared import shared_path
 
 
@@ -66,26 +68,61 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     return found.select("query_id", F.col("vec_id").cast("int").alias("cell")).join(queries, "query_id")
 
 
+#: Vectors, or queries, of a cell that one task gets.
+CELL_PART = 50_000
+
+
+def _parts(rows: DataFrame, name: str) -> DataFrame:
+    """(cell, name): in how many parts a cell's rows are dealt. There is a row a cell, so it may be broadcast."""
+    return rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias(name))
+
+
 def search_cells(queries: DataFrame, indexed: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """Search only the vectors in each query's nearest cells. With all cells probed this equals the exact search."""
-    pairs = probes(queries, centroids, nprobe).join(indexed.select("cell", "vec_id", "embedding"), "cell")
-    hits = pairs.select("query_id", "vec_id", (F.round(distance(F.col("query_vec"), F.col("embedding")), 6) + 0.0).alias("distance"))
-    return ranked(hits, k)
+    """Search only the vectors in each query's nearest cells. With all cells probed this equals the exact search.
+
+    A cell's queries meet its vectors in one task, by matrix products; a cell with many of either is dealt over several.
+    """
+    asked = probes(queries, centroids, nprobe)
+    sizes = F.broadcast(_parts(indexed, "_v").join(_parts(asked, "_q"), "cell"))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = indexed.filter("embedding is not null").join(sizes, "cell").withColumn("v", deal("vec_id", "_v")).withColumn("q", every("_q"))
+    asked = asked.join(sizes, "cell").withColumn("q", deal("query_id", "_q")).withColumn("v", every("_v"))
+    keys = ["cell", "v", "q"]
+
+    def run(wanted: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        for lo in range(0, len(wanted) if len(held) else 0, QUERY_BLOCK):
+            part = wanted.slice(lo, QUERY_BLOCK)
+            best = Best(_matrix(part["query_vec"]), k, "l2")
+            best.add(held["vec_id"].to_numpy(), _matrix(held["embedding"]))
+            out.append(_batch(part["query_id"].to_numpy(), best))
+        return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())]))
+
+    grouped = asked.select(*keys, F.col("query_id").cast("long"), "query_vec").groupBy(*keys)
+    stored = stored.select(*keys, F.col("vec_id").cast("long"), "embedding").groupBy(*keys)
+    return ranked(grouped.cogroup(stored).applyInArrow(run, _HITS), k)
 
 
 def train_codebooks(sample: DataFrame, m: int, ksub: int, seed: int = 42, iterations: int = 10) -> DataFrame:
-    """(sub, code, center): one k-means for each of ``m`` equal slices of the vectors."""
-    spark, books = sample.sparkSession, None
+    """(sub, code, center): one k-means for each of ``m`` equal slices of the vectors, fitted side by side."""
+    spark = sample.sparkSession
     dim = sample.select(F.size("embedding")).first()[0]
     if dim % m:
         raise ValueError(f"dimension {dim} isn't a multiple of {m}")
     width = dim // m
-    for sub in range(m):
-        part = sample.orderBy("vec_id").select(array_to_vector(F.slice("embedding", sub * width + 1, width)).alias("features"))
+    path = shared_path(spark, "codebook-sample")
+    sample.orderBy("vec_id").select("embedding").write.parquet(path)
+    rows = spark.read.parquet(path)
+
+    def fit(sub: int) -> list[tuple[int, int, list[float]]]:
+        part = rows.select(array_to_vector(F.slice("embedding", sub * width + 1, width)).alias("features"))
         centers = KMeans(k=ksub, seed=seed, maxIter=iterations).fit(part).clusterCenters()
-        own = _centers(spark, centers, "code").select(F.lit(sub).alias("sub"), "code", "center")
-        books = own if books is None else books.union(own)
-    return books
+        return [(sub, i, [float(x) for x in c]) for i, c in enumerate(centers)]
+
+    with ThreadPoolExecutor(min(m, 8)) as pool:
+        books = [row for part in pool.map(fit, range(m)) for row in part]
+    return spark.createDataFrame(books, "sub int, code int, center array<double>")
 
 
 def _books(codebooks: DataFrame) -> np.ndarray:
@@ -212,22 +249,3 @@ def stratified_sample(rows: DataFrame, by: str, fraction: float, cap: int, id_co
         .filter("_rank <= _take")
         .drop("_h", "_b", "_c", "_before", "_take", "_rank")
     )
-
-
-def contiguous_ids(rows: DataFrame, order_by: list[str], name: str = "new_id") -> DataFrame:
-    """Ids 0, 1, 2, ... in the order of unique keys: a range partitioning, a count of each partition, and an offset.
-
-    The partitioned rows are written to the shared folder and read twice, so that both reads see the same partitions.
-    """
-    spread = rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    spread = spread.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    path = shared_path(rows.sparkSession, "contiguous-ids")
-    spread.write.parquet(path)
-    spread = rows.sparkSession.read.parquet(path)
-    counts = spread.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
-    starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
-    return (
-        spread.join(F.broadcast(starts.select("_p", "_start", "_first")), "_p")
-        .withColumn(name, F.col("_start") + F.col("_m") - F.col("_first"))
-        .drop("_p", "_m", "_start", "_first")
-    )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import urls
 from tesserae.functions.labels import canonical_uuid
+from tesserae.operators.numbering import contiguous_ids
 
 RANKS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
 
@@ -149,10 +150,10 @@ def domain_frequency(df: DataFrame, url: str = "identifier") -> DataFrame:
 def url_prefixes(df: DataFrame, url: str = "identifier") -> DataFrame:
     """(prefix_id, prefix): ids by falling frequency. Urls without a domain take a place in the order, but have no row.
 
-    The window runs over one row a domain, and the frequency table is what bounds it.
+    Domains are numbered by ranges of the order, so a web crawl's millions of them don't meet in one task.
     """
-    order = Window.orderBy(F.desc("cnt"), "domain")
-    placed = domain_frequency(df, url).withColumn("prefix_id", F.row_number().over(order) - 1)
+    counted = domain_frequency(df, url).withColumn("_back", -F.col("cnt"))
+    placed = contiguous_ids(counted, ["_back", "domain"], "prefix_id")
     return placed.filter("domain <> ''").select("prefix_id", F.col("domain").alias("prefix"))
 
 

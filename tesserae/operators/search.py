@@ -6,14 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.vectors import METRICS
+from tesserae.sources.shared import shared_path
 
-#: Queries that are searched for in one pass over the corpus; more are taken in blocks, one pass each.
+#: Queries that are searched for in one pass over the corpus; more are taken in blocks of about so many, one pass each.
 QUERY_BLOCK = 4096
-_SPARE = 8
+#: Vectors that are compared with a block at once, and pairs whose distances are settled at once.
+CHUNK, PAIRS = 1024, 1 << 17
+#: Distances are reported with this many places, which also decides what is a tie.
+PLACES = 6
+#: The labels of the scopes and their keys.
 SCOPES = {"All Sources": "all", "URL-Available Only": "url_only", "iNaturalist Only": "inaturalist", "Training Only": "training"}
 
 
@@ -33,14 +39,69 @@ def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide(product, sizes, out=np.zeros_like(product), where=sizes > 0)
 
 
-def _near(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of all queries (rows) to all vectors by one matrix product; good for choosing, not for reporting."""
-    if metric == "l2":
-        return (q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T
+def _near(q: np.ndarray, v: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+    """Distances of all queries (rows) to all vectors by one matrix product, and how far off they may be."""
     if metric == "cosine":
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    return -(q @ v.T)
+        return 1 - (q @ v.T), 1e-9
+    a, b = (q**2).sum(1), (v**2).sum(1)
+    scale = float(a.max(initial=0.0) + b.max(initial=0.0))
+    d = a[:, None] + b[None] - 2 * q @ v.T if metric == "l2" else -(q @ v.T)
+    return d, 1e-12 * q.shape[1] * (1 + scale)
+
+
+def _first_of_each(q: np.ndarray, d: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
+    """Which hits are among the ``k`` of their query that are least by distance, then id."""
+    order = np.lexsort((i, d, q))
+    q = q[order]
+    head = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
+    at = np.arange(len(q))
+    return order[at - np.maximum.accumulate(np.where(head, at, 0)) < k]
+
+
+class Best:
+    """The best ``k`` of each query among the vectors seen so far, by rounded distance and id."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = queries, k, metric
+        self.worst = np.full(len(queries), np.inf)  # the distance of the last of k
+        self.hits = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for lo in range(0, len(ids), CHUNK):
+            self._add(ids[lo : lo + CHUNK], vectors[lo : lo + CHUNK])
+
+    def _add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        # of equal vectors, only the k of least id can be among the best
+        order = np.lexsort(ids[None])
+        _, same = np.unique(np.ascontiguousarray(v[order]).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)
+        own = order[_first_of_each(same, np.zeros(len(ids)), ids[order], self.k)]
+        ids, v = ids[own], v[own]
+        d, off = _near(self.q, v, self.metric)
+        if len(ids) >= self.k:
+            reach = np.minimum(self.worst, np.partition(d, self.k - 1, 1)[:, self.k - 1])
+        else:
+            reach = self.worst
+        # every vector that may come before the k-th after rounding
+        rows, columns = np.nonzero(d <= reach[:, None] + 2 * off + 10.0**-PLACES)
+        for lo in range(0, len(rows), PAIRS):
+            r, c = rows[lo : lo + PAIRS], columns[lo : lo + PAIRS]
+            exact = _exact(self.q[r], v[c], self.metric).round(PLACES) + 0.0
+            q, d_, i = (np.concatenate(x) for x in zip(self.hits, (r, exact, ids[c]), strict=True))
+            keep = _first_of_each(q, d_, i, self.k)
+            self.hits = q[keep], d_[keep], i[keep]
+        n = np.bincount(self.hits[0], minlength=len(self.q))
+        full = n >= self.k
+        self.worst[full] = self.hits[1][np.cumsum(n)[full] - 1]
+
+
+_HITS = "query_id long, vec_id long, distance double"
+
+
+def _batch(names: np.ndarray, best: Best) -> pa.RecordBatch:
+    q, d, i = best.hits
+    return pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(i), pa.array(d)], names=["query_id", "vec_id", "distance"])
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -48,65 +109,47 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2") ->
 
     ``queries``: (query_id, query_vec); ``corpus``: (vec_id, embedding). Each task keeps its best k per query while it
     streams through the corpus by matrix products, so what is shuffled is tasks x queries x k rows. Distances are
-    recomputed by differences for the chosen ones and rounded to six places, which also settles the order.
+    recomputed by differences for all that may be chosen and rounded to ``PLACES`` places, which also settles the order:
+    equal ones, however many, go by id. Rows without a vector are in no result; a dimension that differs is an error.
+    Queries of a repeated id count as one with the vectors of all. More than ``QUERY_BLOCK`` queries are written once,
+    dealt into blocks, and each block is broadcast for a pass over the corpus.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    ordered = queries.select("query_id", "query_vec").orderBy("query_id")
-    dims = corpus.select(F.size("embedding").alias("d")).distinct().limit(2).collect()
-    if len(dims) > 1:
-        raise ValueError("vectors of the corpus differ in dimension")
-    found, last = None, None
-    while True:
-        block = (ordered if last is None else ordered.filter(F.col("query_id") > last)).limit(QUERY_BLOCK).toArrow()
-        if not len(block) and found is not None:
-            return found
-        if len(block) and dims and {len(x) for x in block["query_vec"].to_pylist()} != {dims[0]["d"]}:
-            raise ValueError(f"queries must have dimension {dims[0]['d']}")
-        one = _search_block(block, corpus, k, metric)
+    queries = queries.select("query_id", "query_vec").filter("query_id is not null and query_vec is not null")
+    count = queries.count()
+    if count <= QUERY_BLOCK:
+        return ranked(_search_block(queries, corpus, k, metric), k)
+    blocks, found = -(-count // QUERY_BLOCK), None
+    path = shared_path(queries.sparkSession, "query-blocks")
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    dealt.repartition("block").write.partitionBy("block").parquet(path)
+    dealt = queries.sparkSession.read.schema(dealt.schema).parquet(path)
+    for block in range(blocks):
+        one = _search_block(dealt.filter(F.col("block") == block).drop("block"), corpus, k, metric)
         found = one if found is None else found.union(one)
-        if len(block) < QUERY_BLOCK:
-            return found
-        last = block["query_id"][len(block) - 1].as_py()
+    return ranked(found, k)
 
 
-def _search_block(block: pa.Table, corpus: DataFrame, k: int, metric: str) -> DataFrame:
-    ids = block["query_id"].to_numpy()
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, _matrix(block["query_vec"]) if len(ids) else np.zeros((0, 1))))
+def _search_block(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
+    block = queries.toArrow()
+    if len({len(x) for x in block["query_vec"].to_pylist()}) > 1:
+        raise ValueError("queries differ in dimension")
+    shared = corpus.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), _matrix(block["query_vec"]) if len(block) else np.zeros((0, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
-        best_d = best_v = best_i = None
-        keep = k + _SPARE
+        best = Best(q, k, metric)
         for batch in batches:
-            if not len(batch) or not len(names):
-                continue
-            vec, all_v = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            for lo in range(0, len(vec), 4096):
-                v, i = all_v[lo : lo + 4096], vec[lo : lo + 4096]
-                d = _near(q, v, metric)
-                own_i = np.broadcast_to(i, d.shape)
-                place = np.argpartition(d, keep - 1, 1)[:, :keep] if d.shape[1] > keep else np.argsort(d, 1)
-                d, own_i, own_v = np.take_along_axis(d, place, 1), np.take_along_axis(own_i, place, 1), v[place]
-                if best_d is not None:
-                    d, own_i = np.hstack([best_d, d]), np.hstack([best_i, own_i])
-                    own_v = np.concatenate([best_v, own_v], 1)
-                order = np.lexsort((own_i, d), axis=1)[:, :keep]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(own_i, order, 1)
-                best_v = np.take_along_axis(own_v, order[:, :, None], 1)
-        if best_d is not None:
-            exact = _exact(q[:, None], best_v, metric).round(6) + 0.0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(names, best_i.shape[1])),
-                    pa.array(best_i.ravel()),
-                    pa.array(exact.ravel()),
-                ],
-                names=["query_id", "vec_id", "distance"],
-            )
-
-    parts = corpus.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, distance double")
-    return ranked(parts, k)
+            if len(batch) and len(names):
+                vectors = batch.column(1)
+                if pc.any(pc.not_equal(pc.list_value_length(vectors), q.shape[1])).as_py():
+                    raise ValueError(f"queries have dimension {q.shape[1]}, and a vector of the corpus has another")
+                best.add(batch.column(0).to_numpy(), _matrix(vectors))
+        yield _batch(names, best)
+
+    rows = corpus.select(F.col("vec_id").cast("long"), "embedding").filter("vec_id is not null and embedding is not null")
+    return rows.mapInArrow(run, _HITS)
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:

@@ -41,12 +41,47 @@ def test_ties_and_small_corpora(spark, corpus, queries):
     assert search.top_k(queries, corpus.limit(3), 10).count() == 36
     assert search.top_k(queries, corpus.limit(0), 10).count() == 0
     assert search.top_k(queries.limit(0), corpus, 10).count() == 0
-    with pytest.raises(ValueError):
-        search.top_k(queries.withColumn("query_vec", F.slice("query_vec", 1, 3)), corpus, 2)
+    with pytest.raises(Exception, match="have dimension 3"):
+        search.top_k(queries.withColumn("query_vec", F.slice("query_vec", 1, 3)), corpus, 2).collect()
+    holes = corpus.withColumn("embedding", F.when(F.col("vec_id") != 3, F.col("embedding")))
+    assert hits(search.top_k(queries, holes, 4)) == hits(search.top_k(queries, corpus.filter("vec_id <> 3"), 4))
+    missing = queries.withColumn("query_vec", F.when(F.col("query_id") != 3, F.col("query_vec")))
+    assert search.top_k(missing, corpus, 4).count() == 44
     with pytest.raises(ValueError):
         search.top_k(queries, corpus, 2, "other")
 
 
+@pytest.mark.parametrize("block", [4096, 2])
+def test_thousands_of_equal_distances_go_by_id(spark, monkeypatch, block):
+    """Equal vectors, vectors at equal distance, and some that differ by less than what is reported."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(5)
+    order = rng.permutation(6000)
+    v = np.zeros((6000, 4))
+    v[np.arange(6000), rng.integers(0, 4, 6000)] = rng.choice([-1.0, 1.0], 6000)  # all at distance 1 from the origin
+    v[order[:3000]] = [0.5, 0.5, 0.5, 0.5]
+    v[order[3000:3500]] += rng.normal(size=(500, 4)) * 1e-9
+    rows = [(int(i), v[i].tolist()) for i in order]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = np.array([[0, 0, 0, 0], [0.5, 0.5, 0.5, 0.5], [1, 0, 0, 0.0], [0.3, -0.2, 0.9, 0.1]])
+    queries = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(asked)], "query_id long, query_vec array<double>")
+    for k in (5, 40):
+        want = []
+        for i, q in enumerate(asked):
+            d = ((v - q) ** 2).sum(1).round(6)
+            want += [(i, r + 1, int(x), float(d[x])) for r, x in enumerate(np.lexsort((np.arange(6000), d))[:k])]
+        assert hits(search.top_k(queries, corpus, k)) == want
+    cells = spark.createDataFrame([(0, [0.5] * 4), (1, [-0.5] * 4)], "cell int, center array<double>")
+    monkeypatch.setattr(ivf, "CELL_PART", 700)
+    assert hits(ivf.search_cells(queries, ivf.assign_cells(corpus, cells), cells, 40, 2)) == want
+
+
+def test_throttled_rows_that_repeat_an_id(spark):
+    rows = [(1, "http://slow/a"), (1, "http://slow/b"), (None, "http://slow/c"), (2, "http://fast/x"), (2, "http://fast/x"), (3, None)]
+    got = fetch.plan(spark.createDataFrame(rows, "id long, url string"), "url", "id", ["slow"]).collect()
+    assert sorted((r["url"] or "", r["start_offset_s"]) for r in got) == [("", 0.0), ("http://fast/x", 0.0), ("http://fast/x", 0.0), ("http://slow/a", 1.0), ("http://slow/b", 2.0), ("http://slow/c", 0.0)]
+
+
 def test_normalise_and_guard(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 4.0])], "i int, v array<float>")
     assert [r["v"] for r in df.select(vectors.normalise(F.col("v")).alias("v")).collect()] == [[0.0, 0.0], [0.6, 0.8]]
