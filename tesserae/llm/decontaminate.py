@@ -11,7 +11,7 @@ The search starts from the items' values, which are few: only places of a docume
 be a segment's least hash, and for those the segment's other hashes in the bin are looked at. Up to ``INLINE`` values are
 a set in the expression; more are joined. Candidates are verified on the words themselves, over the whole document.
 
-All of it is DataFrame functions. Items and documents without words match nothing. Repeated documents each give their
+All of it is DataFrame functions. Very long texts are searched whole. Items and documents without words match nothing. Repeated documents each give their
 rows, and repeated items theirs. Null ids are carried. Without items, or documents, the result is empty.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BROADCAST_ROWS, checked_broadcast, stage
+from tesserae.llm.common import BROADCAST_ROWS, checked_broadcast, shield, stage
 
 WIDTH = 5
 PERCENT = 75
@@ -100,50 +100,66 @@ class Benchmark:
         about = self.values.groupBy("width").agg(F.count("*").alias("n"), F.max("span").alias("span")).collect()
         self.widths = {r["width"]: r["span"] for r in about}  # 1 to 5
         self.count = sum(r["n"] for r in about)
-        self.inline = {}
+        self.inline: dict[int, list[int]] = {}
         if self.count <= INLINE:
             for r in self.values.select("width", "h").distinct().collect():
                 self.inline.setdefault(r["width"], []).append(r["h"])
 
 
+def _nowhere() -> Column:
+    return F.array().cast("array<int>")
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, which is computed once however often the body names it, and wherever Catalyst moves it."""
     return F.transform(F.array(value), body)[0]
 
 
-def _places_of(hashes: Column, values: list[int] | None) -> Column:
-    """The hashes with the places of those among ``values`` (None: all places)."""
-    places = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
-    if values is not None:
-        places = F.filter(places, lambda i: F.get(hashes, i).isin(values))
-    return F.struct(hashes.alias("h"), places.alias("at"))
+def _places_of(hashes: Column, values: list[int]) -> Column:
+    """The hashes with the places of those among ``values``."""
+    places = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(_nowhere())
+    return F.struct(hashes.alias("h"), F.filter(places, lambda i: F.get(hashes, i).isin(values)).alias("at"))
 
 
-def _placed(docs: DataFrame, bench: Benchmark, text: str, hit: bool) -> DataFrame:
-    """The ``docs`` that hold one of the items' values (or don't), with ``_padded`` and, for each width k, ``_w{k}``."""
+def _placed(docs: DataFrame, bench: Benchmark, text: str, hits_only: bool) -> DataFrame:
+    """``docs`` with ``_row`` and, where they hold one of the items' values, ``_padded`` and ``_w{k}`` for each width k."""
+    if not bench.inline:
+        return _placed_by_join(docs, bench, text, hits_only)
 
     def search(padded: Column) -> Column:
         def of_words(words: Column) -> Column:
-            return F.struct(
-                *[
-                    _let(_hashes(words, k), lambda h: _places_of(h, bench.inline.get(k) if bench.inline else None)).alias(f"w{k}")  # noqa: B023
-                    for k in sorted(bench.widths)
-                ]
-            )
+            return F.struct(*[_let(_hashes(words, k), lambda h: _places_of(h, bench.inline.get(k, []))).alias(f"w{k}") for k in sorted(bench.widths)])  # noqa: B023
 
         return _let(_words(padded), of_words)
 
     def wanted(found: Column) -> Column:
-        some = F.greatest(F.lit(0), F.lit(0), *[F.size(found[f"w{k}"]["at"]) for k in bench.widths]) > 0
-        return some if hit else ~some
+        return F.greatest(F.lit(0), F.lit(0), *[F.size(found[f"w{k}"]["at"]) for k in bench.widths]) > 0
 
     both = _let(normalised(F.col(text)), lambda p: F.struct(p.alias("padded"), search(p).alias("found")))
     # exploding an array of one or none filters the rows without a second evaluation of the search
     kept = F.filter(F.array(both), lambda x: wanted(x["found"]))
-    return (
-        docs.withColumn("_both", F.explode(kept))
-        .select(*docs.columns, F.col("_both.padded").alias("_padded"), "_both.found")
-        .select(*docs.columns, "_padded", *[F.col(f"found.w{k}").alias(f"_w{k}") for k in sorted(bench.widths)])
+    made = docs.withColumn("_both", F.explode(kept) if hits_only else F.explode_outer(kept))
+    made = made.select(*docs.columns, F.col("_both.padded").alias("_padded"), *[F.col(f"_both.found.w{k}").alias(f"_w{k}") for k in sorted(bench.widths)])
+    return stage(made.withColumn("_row", F.monotonically_increasing_id()), "leak-places")
+
+
+def _placed_by_join(docs: DataFrame, bench: Benchmark, text: str, hits_only: bool) -> DataFrame:
+    """The same for many values: every place's hash meets the values in a join, and only those that have one are kept."""
+    base = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "leak-documents")
+    found = None
+    hashes = lambda k: _let(_words(normalised(F.col(text))), lambda w: _hashes(w, k))
+    for k in sorted(bench.widths):
+        own = bench.values.filter(F.col("width") == k).select("h").distinct()
+        own = F.broadcast(own) if bench.count <= BROADCAST_ROWS else own
+        places = base.select("_row", F.posexplode(hashes(k)).alias("at", "h")).join(own, "h", "left_semi")
+        one = places.groupBy("_row").agg(F.sort_array(F.collect_list("at")).alias(f"_at{k}"))
+        found = one if found is None else found.join(one, "_row", "full_outer")
+    made = base.join(found, "_row", "inner" if hits_only else "left")
+    hit = F.coalesce(*[F.col(f"_at{k}") for k in bench.widths]).isNotNull()
+    lists = {k: F.struct(hashes(k).alias("h"), F.coalesce(f"_at{k}", _nowhere()).alias("at")) for k in sorted(bench.widths)}
+    return stage(
+        made.select(*docs.columns, F.when(hit, normalised(F.col(text))).alias("_padded"), *[F.when(hit, w).alias(f"_w{k}") for k, w in lists.items()], "_row"),
+        "leak-places",
     )
 
 
@@ -180,17 +196,18 @@ def _candidates(placed: DataFrame, bench: Benchmark) -> DataFrame:
     return found
 
 
-def leaks(docs: DataFrame, bench: Benchmark, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents that hold a value (with ``_row``), and (_row, item_id, n_shingles, n_matched) of the items in them."""
-    placed = _placed(docs, bench, text, True).withColumn("_row", F.monotonically_increasing_id())
-    placed = stage(placed, "leak-places")
-    pairs = _candidates(placed, bench)
+def leaks(docs: DataFrame, bench: Benchmark, text: str = "text", hits_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The documents, or only those that hold a value, with ``_row`` and ``_padded`` (null for the others), and (_row,
+    item_id, n_shingles, n_matched) of the items in them."""
+    placed = _placed(docs, bench, text, hits_only)
+    searched = placed.filter("_padded is not null")
+    pairs = _candidates(searched, bench)
     items = bench.items.select("item", "item_id", "shingles")
     matched = F.size(
         F.filter("shingles", lambda s: F.contains(F.col("_padded"), F.concat(F.lit(" "), s, F.lit(" "))))
     )
     found = (
-        placed.select("_row", "_padded")
+        searched.select("_row", "_padded")
         .join(pairs, "_row")
         .join(checked_broadcast(items), "item")
         .select("_row", "item_id", F.size("shingles").alias("n_shingles"), matched.alias("n_matched"))
@@ -223,8 +240,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     bench = Benchmark(items)
     if not bench.widths:
         return docs
-    names = docs.columns
-    placed, found = leaks(docs, bench, text)
-    held = placed.select("_row", *names).join(found.select("_row"), "_row", "left_anti").select(*names)
-    rest = _placed(docs, bench, text, False).select(*names)
-    return rest.union(held)
+    inside, name, back = shield(docs)
+    placed, found = leaks(inside, bench, name(text), False)
+    held = placed.filter("_padded is not null").join(found.select("_row"), "_row", "left_anti").select(*inside.columns)
+    return back(placed.filter("_padded is null").select(*inside.columns).union(held))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import arrays
-from tesserae.llm.common import NO_ID, node, stage, text_size
+from tesserae.llm.common import NO_ID, discard, node, stage, text_size
 
 WIDTH = 5
 PERCENT = 75
@@ -249,8 +249,10 @@ def components(links: DataFrame, size: int | None = None) -> DataFrame:
             .join(far, "c", "left")
             .select("id", F.col("c").alias("was"), F.least("c", F.coalesce("near", "c"), F.coalesce("far", "c")).alias("c"))
         )
-        label = stage(following, "join-labels", size)
+        before, label = label, stage(following, "join-labels", size)
+        discard(before)
         if label.filter("c < was").isEmpty():
+            discard(both)
             return label.select("id", F.col("c").alias("component"))
         label = label.drop("was")
 
@@ -284,7 +286,7 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     sent = stage(sent, "join-shared", size)
 
     about = sent.filter("ids is not null").select("bundle", F.posexplode(F.arrays_zip("ids", "sizes", "one", "two")))
-    about = about.select("bundle", F.col("pos").alias("at"), "col.*")
+    about = stage(about.select("bundle", F.col("pos").alias("at"), "col.*"), "join-about", size)
     sets = stage(
         about.filter("sizes > 0")
         .groupBy("sizes", "one", "two")
@@ -298,6 +300,7 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         shared.unionByName(leads, allowMissingColumns=True).groupBy("bundle").applyInArrow(_prefixes, _LIVE)
     )
     live = stage(live, "join-live", size)
+    discard(sent)
 
     # classes with the same size and prefix, and what their first members share
     groups = live.groupBy("one", "two").agg(
@@ -335,7 +338,7 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     # what is left: groups that share a key, or members of one group, in different components
     placed = members.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    placed = stage(placed, "join-placed", size)
+    placed = span_of = stage(placed, "join-placed", size)
     span = placed.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most"))
     open_keys = (
         postings.join(span, "g")
@@ -369,6 +372,7 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         links = links.union(stage(_links(more, live), "join-links", size))
         found = components(links, size)
 
+    discard(live, groups, members, postings, tried, span_of, crowd, left_over, more, links)
     # every row has the component of its set's first row; rows of one id are one node
     sets = sets.join(found.withColumnRenamed("id", "ids"), "ids", "left")
     of_set = sets.select("sizes", "one", "two", F.coalesce("component", "ids").alias("_component"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import shield, stage, word_count
+from tesserae.llm.common import discard, shield, stage, word_count
 from tesserae.operators.numbering import contiguous_ids
 
 MOST = 3
@@ -102,6 +102,7 @@ def balance(strata: DataFrame, sources: DataFrame) -> DataFrame:
         done = F.abs(miss) <= TOLERANCE * F.greatest(F.lit(1.0), F.col("target"))
         inside = step.isNotNull() & (F.coalesce(step > lo, step >= wide)) & (F.coalesce(step < hi, step <= wide))
         between = F.coalesce((lo + hi) / 2, wide)
+        before = at
         at = stage(
             at.join(now, "_source", "left")
             .withColumn("done", done)
@@ -111,7 +112,9 @@ def balance(strata: DataFrame, sources: DataFrame) -> DataFrame:
             .drop("_next", "_words", "_slope"),
             "mix-step",
         )
+        discard(before)
         if at.filter("not done").isEmpty():
+            discard(counts)
             return at.drop("lo", "hi", "done")
         at = at.drop("done")
     raise RuntimeError(f"a source misses its target after {ITERATIONS} Newton steps")

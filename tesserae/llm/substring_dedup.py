@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import arrays
-from tesserae.llm.common import BROADCAST_ROWS, node, shield, stage
+from tesserae.llm.common import BROADCAST_ROWS, discard, node, shield, stage
 
 WIDTH = 20
 CORE = 3
@@ -142,6 +142,7 @@ def hot_minimisers(rows: DataFrame) -> tuple[np.ndarray, int]:
         return np.zeros(0, np.uint64), 0
     many = (F.col("n") * HOT_PART > total["n"]) | (F.col("n") > HOT_STRINGS)
     hot = found.filter(F.col("minimiser").isNotNull() & many).select("minimiser").toArrow()["minimiser"].to_numpy()
+    discard(found)
     return np.sort(hot.astype(np.int64).view(np.uint64)), total["size"]
 
 

@@ -139,12 +139,12 @@ def contained(docs, items):
         k = min(5, len(w))
         return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set(), k
 
-    out = []
+    out, wanted = [], [(j, *shingles(q)) for j, q in items]
     for i, t in docs:
         w = helpers.words((t or "").lower())
-        for j, q in items:
-            s, k = shingles(q)
-            d = {tuple(w[x : x + k]) for x in range(len(w) - k + 1)}
+        of_width = {k: {tuple(w[x : x + k]) for x in range(len(w) - k + 1)} for k in range(6)}
+        for j, s, k in wanted:
+            d = of_width[k]
             if s and 100 * len(s & d) >= 75 * len(s):
                 out.append((i, j, len(s), len(s & d)))
     return sorted(out, key=str)
@@ -171,6 +171,27 @@ def test_leaks(spark, monkeypatch, inline):
     assert sorted(map(str, [r["doc_id"] for r in clean.collect()])) == sorted(str(i) for i, _ in docs if i not in dirty)
 
 
+def test_leaks_of_many_items_and_scattered_ones(spark):
+    """2,000 items, far above what the expression takes; items whole, edited, and in pieces all over a document."""
+    items = [(j, helpers.sentence(5000 + j, 40 + j % 60)) for j in range(2000)]
+    docs = [(i, helpers.sentence(i, 300) + " " + items[(i * 37) % 2000][1] + " " + helpers.sentence(i + 500, 200)) for i in range(120)]
+    docs += [(200 + i, edited(items[i][1], 10) + " end") for i in range(20)]
+    for i in range(10):  # 50 to 59 words, cut into four runs that stand far apart: most shingles are there, but nowhere near each other
+        w = items[10 + i][1].split()
+        runs = [w[0:13], w[13:26], w[26:39], w[39:]]
+        docs.append((300 + i, " ".join(" ".join(x) + " " + helpers.sentence(900 + 4 * i + k, 150) for k, x in enumerate(runs))))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    bench = decontaminate.Benchmark(table)
+    assert bench.count > decontaminate.INLINE and not bench.inline
+    found = decontaminate.find_leaks(helpers.documents(spark, docs), table, "text", "doc_id").collect()
+    got = {(r["doc_id"], r["_item_id"], r["_n_shingles"], r["_n_matched"]) for r in found}
+    want = set(contained(docs, items))
+    assert got <= want
+    assert len(want) >= 145 and len({x for x in want if x[0] >= 300}) >= 5 and len(got) >= 0.99 * len(want)
+    clean = decontaminate.without_leaks(helpers.documents(spark, docs), table)
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in docs} - {x[0] for x in got}
+
+
 def test_leaks_without_items(spark):
     docs = helpers.documents(spark, [(1, "a b c")])
     none = spark.createDataFrame([(1, None)], "item_id long, text string")

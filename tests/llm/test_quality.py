@@ -1,8 +1,10 @@
 import math
+import re
 from collections import Counter
 
 import helpers
 import numpy as np
+from pyspark.sql import functions as F
 
 from tesserae.llm import quality_rules, site_quality, toxicity
 
@@ -43,20 +45,79 @@ def test_bands_beside_a_third_of_junk(spark):
     """A third of a language's texts is spelt oddly, a third of another's too evenly; both thirds go, the rest stays."""
     rows = [(i, helpers.sentence(i, 150, 300), "de" if i < 100 else "fr") for i in range(200)]
     rows += [(1000 + i, " ".join(x[::-1] for x in helpers.sentence(i, 150, 300).split()), "de") for i in range(50)]
-    rows += [(2000 + i, " ".join(f"w{100 + (i + 7 * k) % 200}" for k in range(120)), "fr") for i in range(50)]
+    # words of three digits each, which a model of four symbols saw as too even, are not even for a model of trigrams
+    rows += [(2000 + i, " ".join(f"wwwwwwww{100 + (i + 7 * k) % 200}" for k in range(120)), "fr") for i in range(50)]
     got = quality_rules.judge(helpers.documents(spark, rows), "text", "lang", "doc_id").collect()
     out = {r["doc_id"] for r in got if not r["_kept"]}
     assert not any(r["_base_failed"] for r in got)
     assert {*range(1000, 1050), *range(2000, 2050)} <= out and len(out & set(range(200))) <= 4
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    code = np.unique(rng.integers(0, 1 << 24, 500))
-    model = quality_rules.build(code, rng.integers(1, 6, len(code)))
-    for context in (code[0] >> 6, code[7] >> 6, 0x3FFFF):
-        total = (10.0 ** model.score((context << 6) + np.arange(64))).sum()
-        assert math.isclose(total, 1, rel_tol=1e-6)
+def spelt(text):
+    """The bytes that the models see, with those that stand before a text."""
+    return bytes(quality_rules.ORDER - 1) + re.sub("[0-9]", "0", (text or "").translate(helpers.LOWER)).encode()
+
+
+def plain_kneser_ney(texts):
+    """Modified Kneser-Ney from dictionaries: the probability of a byte after a history, for one language."""
+    n = quality_rules.ORDER
+    counts = [Counter(s[i - n + 1 : i + 1] for s in map(spelt, texts) for i in range(n - 1, len(s)))]
+    while len(counts) < n:
+        counts.insert(0, Counter(g[1:] for g in counts[0]))
+    lower = None
+    tables = []
+    for table in counts:
+        of = [sum(c == k for c in table.values()) for k in (1, 2, 3, 4)]
+        y = of[0] / max(of[0] + 2 * of[1], 1)
+        off = [max(0.0, min(c, c - (c + 1) * y * of[c] / of[c - 1])) if of[c - 1] else 0.5 * c for c in (1, 2, 3)]
+        off = [min(max(x, 0.05), most) for x, most in zip(off, (0.95, 1.9, 2.85))]
+        total, left = Counter(), Counter()
+        for g, c in table.items():
+            total[g[:-1]] += c
+            left[g[:-1]] += off[min(c, 3) - 1]
+        tables.append((table, off, total, left))
+
+    def probability(gram, k=n):
+        if not k:
+            return 1 / 256
+        table, off, total, left = tables[k - 1]
+        g = gram[len(gram) - k :]
+        below = probability(gram, k - 1)
+        if not total[g[:-1]]:
+            return below
+        c = table[g]
+        return ((c - off[min(c, 3) - 1]) if c else 0) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * below
+
+    return probability
+
+
+def test_perplexity_by_brute_force(spark, monkeypatch):
+    """One model a language, null included; unseen n-grams back off; every context sums to one."""
+    rows = [(i, helpers.sentence(i, 40, 90), ["en", "fr", None][i % 3]) for i in range(45)]
+    rows += [(100, None, "en"), (101, "", "fr"), (102, "Ünï 漢字 é", None), (103, "ABAB abab " * 300, "de")]
+    docs = helpers.documents(spark, rows).repartition(4)
+    model = quality_rules.train(docs)
+    got = {r["doc_id"]: r["_perplexity"] for r in quality_rules.measure(docs, model, "text", "doc_id").collect()}
+    plain = {x: plain_kneser_ney([t for _, t, lang in rows if lang == x]) for x in ("en", "fr", None, "de")}
+    n = quality_rules.ORDER
+    for i, text, lang in rows:
+        data = spelt(text)
+        logs = [-math.log10(plain[lang](data[k - n + 1 : k + 1])) for k in range(n - 1, len(data))]
+        assert math.isclose(got[i], sum(logs) / max(len(logs), 1), abs_tol=2e-5), i
+    other = docs.withColumn("lang", F.lit("en")).filter("lang is not null and doc_id % 3 = 1")
+    got = {r["doc_id"]: r["_perplexity"] for r in quality_rules.measure(other, model, "text", "doc_id").collect()}
+    data = spelt(rows[1][1])
+    want = sum(-math.log10(plain["en"](data[k - n + 1 : k + 1])) for k in range(n - 1, len(data))) / len(rows[1][1])
+    assert math.isclose(got[1], want, abs_tol=2e-5)
+    seed = np.full(256, quality_rules._seed("sen"))
+    for context in (b"w00 ", b"zzzz", bytes(4)):
+        code = (int.from_bytes(context, "big") << 8) + np.arange(256)
+        assert math.isclose((10.0 ** model.score(seed, code)).sum(), 1, rel_tol=1e-4)
+    monkeypatch.setattr(quality_rules, "MOST_ENTRIES", 100)
+    monkeypatch.setattr(quality_rules, "FOLDED", 6)
+    folded = quality_rules.train(docs)
+    assert len(folded.keys) <= 1 << 6 and folded.bits == 6
+    assert all(math.isfinite(r["_perplexity"]) for r in quality_rules.measure(docs, folded, "text", "doc_id").collect())
 
 
 def test_empty_table(spark):
