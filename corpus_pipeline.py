@@ -30,11 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     languages, bundles = langid.prototypes(inside, name("lang"), name("text"))
     if not languages:
         return back(inside.filter(F.coalesce(F.rlike(name("text"), F.lit("\\p{L}")), F.lit(False))))
-    found = stage(langid.predict(inside, languages, bundles, name("text"), *inside.columns), "pipeline-languages")
-    labelled = found.filter((F.col("_lang") == F.col(name("lang"))) & (F.col("_score") > 0))
+    known = langid.predict(inside.filter(F.col(name("lang")).isNotNull()), languages, bundles, name("text"), name("lang"))
+    labelled = known.filter((F.col("_lang") == F.col(name("lang"))) & (F.col("_score") > 0))
     # scores are rounded to thousandths for this, so a task sends a few hundred values a language
     limit = F.percentile(F.round("_score", 3), QUANTILE) * SHARE
     limits = labelled.groupBy("_lang").agg(limit.alias("_limit"))  # a row a language, of which there are a bounded number
+    found = langid.predict(inside, languages, bundles, name("text"), *inside.columns)
     held = found.join(F.broadcast(limits), "_lang", "left")
     return back(held.filter((F.col("_lang") != "und") & (F.col("_score") >= F.coalesce("_limit", F.lit(0.0)))))
 
