@@ -8,7 +8,7 @@ Rules come first. A rule such as ``block example.com/en/`` fits its host and all
 the rule's path; the longest rule that fits decides (of equally long ones the one with the longer host, then block).
 Up to ``INLINE_RULES`` rules are part of the expression; more are joined on the suffixes of the host.
 
-A url that is null or has no ``://`` has empty host and path; it matches no rule and the model sees no n-gram.
+A very long url is scored whole. A url that is null or has no ``://`` has empty host and path; it matches no rule and the model sees no n-gram.
 Repeated rows each give their own row. An empty table gives an empty result.
 """
 
@@ -20,52 +20,107 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import shield
+
 FEATURES = 1 << 14
 WIDTHS = (3, 4, 5)
 MOST_LABELLED = 20_000
 INLINE_RULES = 1_000
 THRESHOLD = 0.5
 
-#: The small labelled table: host, path, 1 for unwanted.
+#: The small labelled table: host, path, 1 for unwanted. Invented hosts under ``.test``, from words that are common in the
+#: names of unwanted sites and of others.
 LABELLED = [
-    ("spam-farm.example.org", "/en/12", 1),
-    ("www.spam-farm.example.com", "/fr/8.html", 1),
-    ("spamfarm.example.net", "/offers/", 1),
-    ("casino-win.example.net", "/de/40", 1),
-    ("blog.casino-win.example.com", "/es/9/", 1),
-    ("online-casino.example.org", "/bonus", 1),
-    ("cheap-pills.example.com", "/en/3", 1),
-    ("www.cheap-pills.example.net", "/fr/77", 1),
-    ("cheap-meds.example.org", "/order/pills", 1),
-    ("adult-x.example.com", "/de/5.html", 1),
-    ("m.adult-x.example.org", "/en/61", 1),
-    ("xxx-adult.example.net", "/video/1", 1),
-    ("free-bets.example.net", "/en/19", 1),
-    ("www.free-bets.example.com", "/es/2", 1),
-    ("best-bets.example.org", "/free/", 1),
-    ("ads-track.example.com", "/en/6", 1),
-    ("m.ads-track.example.net", "/de/88/", 1),
-    ("track-ads.example.org", "/click/3", 1),
-    ("news.example.org", "/en/4", 0),
-    ("www.library.example.com", "/fr/31.html", 0),
-    ("blog.garden.example.net", "/de/7/", 0),
-    ("m.weather.example.org", "/es/55", 0),
-    ("museum.example.com", "/en/90", 0),
-    ("www.school.example.net", "/fr/14", 0),
-    ("recipes.example.org", "/de/2.html", 0),
-    ("blog.thernd.example.com", "/en/37", 0),
-    ("ththed.example.net", "/es/21/", 0),
-    ("www.tionsh.example.org", "/fr/66", 0),
-    ("m.thering.example.com", "/de/43", 0),
-    ("therha.example.net", "/en/28", 0),
-    ("blog.history.example.org", "/es/17", 0),
-    ("health.example.com", "/en/71.html", 0),
-    ("www.travel.example.net", "/fr/3/", 0),
-    ("m.science.example.org", "/de/26", 0),
-    ("open-data.example.com", "/en/52", 0),
-    ("city-council.example.net", "/es/11", 0),
-    ("well-being.example.org", "/de/35", 0),
-    ("book-club.example.com", "/fr/58", 0),
+    ("royal-casino.test", "/games", 1),
+    ("vegas-casino-slots.test", "/bonus/1", 1),
+    ("online-casino.test", "/en/", 1),
+    ("casinoroom.test", "/fr/22", 1),
+    ("jackpot-wins.test", "/play", 1),
+    ("winbig-slots.test", "/de/7", 1),
+    ("lucky-winner.test", "/prize", 1),
+    ("discount-pills.test", "/order", 1),
+    ("pills-online.test", "/en/5", 1),
+    ("diet-pills-shop.test", "/buy", 1),
+    ("cheapmeds.test", "/es/3", 1),
+    ("cheap-viagra.test", "/pharmacy", 1),
+    ("cheaprolex-replica.test", "/sale", 1),
+    ("adult-cams.test", "/live", 1),
+    ("adultvideos.test", "/en/18", 1),
+    ("xxx-adult-tube.test", "/video", 1),
+    ("hot-x-videos.test", "/de/4", 1),
+    ("sports-bets.test", "/odds", 1),
+    ("bets-today.test", "/tips", 1),
+    ("betting-bonus.test", "/fr/9", 1),
+    ("free-spins.test", "/bonus", 1),
+    ("freecoins-now.test", "/claim", 1),
+    ("free-iphone-prize.test", "/en/2", 1),
+    ("spam-blast.test", "/mail", 1),
+    ("spammer-tools.test", "/list", 1),
+    ("bulk-spam.test", "/de/31", 1),
+    ("link-farm.test", "/links", 1),
+    ("linkfarms.test", "/seo", 1),
+    ("ads-server.test", "/banner", 1),
+    ("popup-ads.test", "/click", 1),
+    ("adsnetwork.test", "/es/11", 1),
+    ("pixel-track.test", "/p.gif", 1),
+    ("trackers.test", "/collect", 1),
+    ("click-tracking.test", "/t/8", 1),
+    ("payday-loans.test", "/apply", 1),
+    ("cracked-keygen.test", "/download", 1),
+    ("news-daily.test", "/en/4", 0),
+    ("evening-news.test", "/politics", 0),
+    ("city-library.test", "/catalogue", 0),
+    ("library.test", "/fr/31", 0),
+    ("garden-club.test", "/roses", 0),
+    ("gardening.test", "/de/7", 0),
+    ("weather.test", "/today", 0),
+    ("mountain-weather.test", "/es/55", 0),
+    ("museum-of-history.test", "/visit", 0),
+    ("history.test", "/en/90", 0),
+    ("primary-school.test", "/pupils", 0),
+    ("university.test", "/fr/14", 0),
+    ("recipes.test", "/soup", 0),
+    ("kitchen.test", "/de/2", 0),
+    ("cycling.test", "/routes", 0),
+    ("farmers-market.test", "/en/28", 0),
+    ("winery.test", "/tour", 0),
+    ("travel-notes.test", "/lisbon", 0),
+    ("railways.test", "/timetable", 0),
+    ("hospital.test", "/contact", 0),
+    ("pharmacology-institute.test", "/research", 0),
+    ("science.test", "/physics", 0),
+    ("open-data.test", "/sets", 0),
+    ("council.test", "/minutes", 0),
+    ("bookshop.test", "/fr/58", 0),
+    ("poetry.test", "/es/17", 0),
+    ("orchestra.test", "/concerts", 0),
+    ("painting.test", "/de/26", 0),
+    ("chess.test", "/games", 0),
+    ("football.test", "/league", 0),
+    ("architecture.test", "/en/52", 0),
+    ("photography.test", "/albums", 0),
+    ("linguistics.test", "/grammar", 0),
+    ("astronomy.test", "/planets", 0),
+    ("philosophy.test", "/essays", 0),
+    ("carpentry.test", "/tools", 0),
+    ("thesaurus.test", "/th", 0),
+    ("theatre.test", "/seasons", 0),
+    ("thermal-baths.test", "/hours", 0),
+    ("translation.test", "/en/3", 0),
+    ("tonight.test", "/shows", 0),
+    ("shorthand.test", "/lessons", 0),
+    ("nation.test", "/es/6", 0),
+    ("edition.test", "/issues", 0),
+    ("heritage.test", "/de/43", 0),
+    ("stable.test", "/horses", 0),
+    ("lantern.test", "/fr/66", 0),
+    ("anthem.test", "/en/37", 0),
+    ("blog.mathematics.test", "/proofs", 0),
+    ("www.north-shore.test", "/map", 0),
+    ("m.wheat.test", "/crops", 0),
+    ("blog.leather.test", "/es/21", 0),
+    ("www.ocean.test", "/tides", 0),
+    ("m.island.test", "/ferries", 0),
 ]
 
 
@@ -156,13 +211,16 @@ def apply_rules(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 def filter_urls(
     urls: DataFrame, rules: list[tuple[str, str]], url: str = "url", model: LogisticRegressionModel | None = None
 ) -> DataFrame:
-    """``urls`` with ``_host``, ``_path``, ``_rule``, ``_score`` (of being unwanted) and ``_verdict``."""
+    """``urls`` (columns of these names are replaced) with ``_host``, ``_path``, ``_rule``, ``_score`` (of being unwanted) and ``_verdict``."""
+    inside, name, back = shield(urls)
+    url = name(url)
     model = model or train(urls.sparkSession)
-    cut = apply_rules(urls.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))}), rules)
+    cut = apply_rules(inside.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))}), rules)
     model = model.setFeaturesCol("_features").setProbabilityCol("_probability")
     model = model.setRawPredictionCol("").setPredictionCol("")
     scored = model.transform(_vectors(cut)).withColumn("_score", vector_to_array("_probability")[1])
-    return scored.withColumn(
+    judged = scored.withColumn(
         "_verdict",
         F.coalesce("_rule_verdict", F.when(F.col("_score") >= THRESHOLD, "block").otherwise("allow")),
-    ).drop("_grams", "_features", "_probability", "_rule_verdict")
+    )
+    return back(judged, new=["_host", "_path", "_rule", "_score", "_verdict"])

@@ -118,6 +118,25 @@ def test_rules_and_verdicts(spark):
     assert [got[i]["_verdict"] for i in (0, 1, 3, 5, 13, 14)] == ["block", "allow", "block", "allow", "block", "allow"]
 
 
+def test_hosts_that_training_never_saw(spark):
+    unwanted = ["casino-win", "cheap-pills", "free-bets", "ads-track", "jackpot-casino", "adult-tube"]
+    wanted = ["thernd", "tionsh", "school-library", "forecast", "newspaper", "harbour"]
+    hosts = {h.split(".")[-2] for h, _, _ in url_filter.LABELLED} | {h.split(".")[0] for h, _, _ in url_filter.LABELLED}
+    assert not hosts & {*unwanted, *wanted} and all(h.endswith(".test") for h, _, _ in url_filter.LABELLED)
+    got = judged(spark, [f"https://www.{h}.example.org/en/{i}" for i, h in enumerate(unwanted + wanted)], [])
+    assert [got[i]["_verdict"] for i in range(12)] == ["block"] * 6 + ["allow"] * 6
+
+
+def test_long_urls_and_columns_of_any_name(spark):
+    long = "http://www.cheap-pills.example.net/" + "a/" * 50_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, None)], "page_id long, url string").selectExpr("*", "1 as _grams", "2 as _features", "3 as _host", "4 as `x.y`")
+    found = url_filter.filter_urls(pages, queries.URL_RULES)
+    assert found.columns == ["page_id", "url", "_grams", "_features", "x.y", "_host", "_path", "_rule", "_score", "_verdict"]
+    rows = found.collect()
+    assert len(rows) == 3 and all((r["_grams"], r["_features"], r["x.y"]) == (1, 2, 4) for r in rows)
+    assert {len(r["_path"]) for r in rows} == {100_001, 0}
+
+
 def test_many_rules_by_join_agree_with_inline(spark, monkeypatch):
     inline = judged(spark, URLS)
     monkeypatch.setattr(url_filter, "INLINE_RULES", 0)
