@@ -45,3 +45,9 @@ def narrow(value: Column) -> Column:
 
 def error_text(message: Column, most: int = 80) -> Column:
     return F.left(message, F.lit(most))
+
+
+def mapped(value: Column, names: dict[str, str], default: str) -> Column:
+    """The name of a value, or the default: a map that is part of the expression."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, value), F.lit(default))

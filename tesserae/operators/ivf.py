@@ -201,6 +201,18 @@ def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return hit.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
+def slice_books(cells: DataFrame, m: int) -> DataFrame:
+    """(sub, code, center): the slices of given centers as codebooks, which then need no training."""
+    width = F.size("center") / m
+    subs = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda s: F.struct(s.alias("sub"), F.slice("center", (s * width + 1).cast("int"), width.cast("int")).alias("part")))
+    return cells.select(F.col("cell").alias("code"), F.inline(subs)).select("sub", "code", F.col("part").alias("center"))
+
+
+def append(encoded: DataFrame, path: str) -> None:
+    """Add a batch of encoded vectors to an index on disk, which has a folder for each cell."""
+    encoded.write.mode("append").partitionBy("cell").parquet(path)
+
+
 def merge_shards(*shards: DataFrame) -> DataFrame:
     """Index parts hold ids that are valid everywhere, so merging is a union by name."""
     out = shards[0]

@@ -170,6 +170,13 @@ def rebuild_urls(df: DataFrame, prefixes: DataFrame, name: str = "identifier") -
     return joined.withColumn(name, urls.rebuild(F.col("prefix"), F.col("identifier_suffix"))).drop("prefix", "url_prefix_id", "identifier_suffix")
 
 
+def with_identifiers(df: DataFrame, prefixes: DataFrame | None, name: str = "identifier") -> DataFrame:
+    """Urls from prefix and suffix; a table of the older layout, without prefixes, has them as they are."""
+    if prefixes is not None and "url_prefix_id" in df.columns:
+        return rebuild_urls(df, prefixes, name)
+    return df.withColumn(name, F.nullif(F.col(name), F.lit("")))
+
+
 def map_columns(df: DataFrame, renamed: dict[str, str], dropped: list[str]) -> DataFrame:
     """Rename and drop columns; those that are missing are passed over."""
     return df.drop(*dropped).withColumnsRenamed(renamed)

@@ -90,6 +90,21 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key).limit(n)
 
 
+def sampled_fields(source: DataFrame, output: DataFrame, key: str, columns: list[str], n: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Passes if ``n`` sampled rows have the same ``columns`` in both tables; observed is how many don't."""
+    taken = sample(source.select(key, *columns), key, n)
+    wrong = reconcile(taken, output.join(taken.select(key), key, "left_semi"), key, columns, allowed)
+    return _row(wrong.agg(F.count("*").alias("n")), "sampled_fields", F.col("n") == 0, F.col("n"), F.lit(0))
+
+
+def sampled_flags(source: DataFrame, output: DataFrame, key: str, flag: str, n: int) -> DataFrame:
+    """Passes if ``n`` sampled rows of those with the flag still have it; observed is how many don't."""
+    taken = sample(source.filter(flag).select(key), key, n)
+    held = taken.join(output.select(key, F.col(flag).alias("_flag")), key, "left")
+    lost = held.agg(F.count_if(~F.coalesce("_flag", F.lit(False))).alias("n"))
+    return _row(lost, f"sampled_{flag}", F.col("n") == 0, F.col("n"), F.lit(0))
+
+
 def types_as_declared(df: DataFrame, declared: StructType, spark: SparkSession) -> DataFrame:
     """One row for each declared column."""
     found = {f.name: f.dataType.simpleString() for f in df.schema}

@@ -177,6 +177,13 @@ def enrich(hits: DataFrame, metadata: DataFrame) -> DataFrame:
     return hits.filter("vec_id <> -1").join(metadata, hits["vec_id"] == metadata["id"]).drop("id")
 
 
+def lookup(metadata: DataFrame, ids: list[int] | DataFrame, key: str = "id") -> DataFrame:
+    """The rows of these ids: a list becomes a filter that the scan gets, a table (``key``) a join."""
+    if isinstance(ids, DataFrame):
+        return metadata.join(ids.select(key), key, "left_semi")
+    return metadata.filter(F.col(key).isin(ids))
+
+
 def search(
     queries: DataFrame, corpus: DataFrame, metadata: DataFrame, top_n: int = 10, factor: int = 3, scope: Column | None = None
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.labels import filled
@@ -41,6 +41,14 @@ def hierarchy(df: DataFrame, ranks: list[str]) -> DataFrame:
     )
 
 
+def children(df: DataFrame, parent: list[str], rank: str) -> DataFrame:
+    """(parents, ``rank``, n_rows, position): what stands below each parent, the largest first, then by name."""
+    named = df.select(*[F.coalesce(filled(F.col(c)), F.lit("Unknown")).alias(c) for c in [*parent, rank]])
+    counted = named.groupBy(*parent, rank).agg(F.count("*").alias("n_rows"))
+    order = Window.partitionBy(*parent).orderBy(F.desc("n_rows"), rank)
+    return counted.withColumn("position", F.row_number().over(order).cast("long"))
+
+
 def status_summary(outcomes: DataFrame, status: str = "image_status") -> DataFrame:
     ok, no_url = F.col(status) == "ok", F.col(status) == "no_url"
     return outcomes.agg(
@@ -70,6 +78,12 @@ def storage_by_column(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
+def file_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(n_files, n_bytes) of a table's files, by their listing alone."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return listed.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
 def reduction(before: DataFrame, after: DataFrame) -> DataFrame:
     """Bytes of both tables and the percent saved."""
     total = lambda df, name: storage_by_column(df).agg(F.sum("n_bytes").alias(name))

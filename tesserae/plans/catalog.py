@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tesserae.functions import labels, urls, vectors
-from tesserae.operators import fetch, infer, ivf, metadata, quality, search, summary
+from tesserae.operators import fetch, infer, ivf, metadata, numbering, quality, search, summary
 from tesserae.plans import fixtures
-from tesserae.sources import sinks
+from tesserae.sources import sinks, tables
 from tesserae.sources.shared import shared_path
 from tesserae.streaming import streams
 
@@ -355,15 +356,21 @@ def bandwidth_by_hour(spark: SparkSession, d: str) -> DataFrame:
     return hourly.select(F.unix_timestamp("hour").alias("hour"), "host", "n_bytes")
 
 
-@query("stream_bandwidth", _HOURLY)
+_HOURLY_OVER = f"WITH {_LOG} SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, host, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, host = 'slow.example.org' AND sum(n_bytes) > 1048576 AS over FROM log GROUP BY 1, 2"
+
+
+@query("stream_bandwidth", _HOURLY_OVER)
 def stream_bandwidth(spark: SparkSession, d: str) -> DataFrame:
     events = fixtures.table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream takes folders or patterns
-    hourly = streams.bytes_per_hour(fixtures.as_fetch_log(stream)).drop("over")
+    hourly = streams.bytes_per_hour(fixtures.as_fetch_log(stream), limit=1048576, throttled=["slow.example.org"])
     out = shared_path(spark, "stream-bandwidth")
-    done = hourly.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/hours"))
-    done.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/hours").select(F.unix_timestamp("hour").alias("hour"), "host", "n_bytes")
+    # each batch has the hours that it changed; a batch that is delivered again replaces its own folder
+    each = lambda b, n: b.write.mode("overwrite").parquet(f"{out}/hours/batch={n}")
+    done = hourly.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{out}/checkpoint")
+    done.trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{out}/hours").groupBy("hour", "host").agg(F.max_by(F.struct("n_bytes", "over"), "batch").alias("x"))
+    return last.select(F.unix_timestamp("hour").alias("hour"), "host", "x.n_bytes", "x.over")
 
 
 @query("stream_search", ORACLES["knn_enriched_scope_url"])
@@ -617,11 +624,10 @@ def fetch_batch(spark: SparkSession, d: str) -> DataFrame:
     return got.select("page_id", "image_status", "n_bytes")
 
 
-@query("sorted_layout", "SELECT doc_id, source, lang, count(*) OVER (PARTITION BY source, lang) AS n FROM documents")
+@query("sorted_layout", "SELECT doc_id, source, lang, row_number() OVER (ORDER BY source NULLS LAST, lang NULLS LAST, doc_id) - 1 AS position FROM documents")
 def sorted_layout(spark: SparkSession, d: str) -> DataFrame:
     docs = fixtures.table(spark, d, "documents").select("doc_id", "source", "lang")
-    n = docs.groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return sinks.sorted_rows(docs.join(n, ["source", "lang"]), ["source", "lang", "doc_id"]).select("doc_id", "source", "lang", "n")
+    return numbering.numbered(sinks.sorted_rows(docs, ["source", "lang", "doc_id"], 8))
 
 
 @query("result_ranks", f"WITH {_hits(5)} SELECT query_id, count(*) AS n, round(min(distance), 6) AS nearest, round(max(distance), 6) AS farthest FROM hits GROUP BY query_id")
@@ -630,3 +636,302 @@ def result_ranks(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("distance").alias("nearest"), F.max("distance").alias("farthest"))
 
 
+# ---- ties, lookups, labels of scopes
+
+
+@query(
+    "knn_ties",
+    f"""WITH {_hits(1).rpartition("d AS")[0].rstrip().rstrip(",")}, s AS (
+      SELECT vec_id, [CASE WHEN v[1] < 0 THEN -1.0 ELSE 1.0 END, CASE WHEN v[2] < 0 THEN -1.0 ELSE 1.0 END] AS v FROM e
+    ), x AS (
+      SELECT a.vec_id AS query_id, b.vec_id, round(pow(list_distance(a.v, b.v), 2), 6) + 0.0 AS distance FROM s a, s b WHERE a.vec_id % {fixtures.QUERY_STRIDE} = 0
+    ) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x) WHERE rank <= {TOP_N}""",
+)
+def knn_ties(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of two signs each: a quarter of the corpus is at every distance."""
+    sign = lambda k: F.when(F.col("embedding")[k] < 0, -1.0).otherwise(1.0)
+    corpus = fixtures.corpus(spark, d).select("vec_id", F.array(sign(0), sign(1)).alias("embedding"))
+    return search.top_k(fixtures.as_queries(corpus), corpus, TOP_N)
+
+
+_WANTED = [3, 14, 15, 92, 65, 35, 89, 79, 10**9]
+
+
+@query("id_lookup", f"WITH {_META} SELECT id, kingdom, genus, has_url FROM meta WHERE id IN ({', '.join(map(str, _WANTED))})")
+def id_lookup(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "lookup")
+    sinks.write_lookup(fixtures.metadata(spark, d).select("id", "kingdom", "genus", "has_url"), path)
+    return search.lookup(tables.scan(spark, path), _WANTED)
+
+
+@query("id_lookup_join", f"WITH {_META} SELECT id, kingdom, genus FROM meta WHERE id IN (SELECT page_id FROM pages)")
+def id_lookup_join(spark: SparkSession, d: str) -> DataFrame:
+    ids = fixtures.table(spark, d, "pages").select(F.col("page_id").alias("id"))
+    return search.lookup(fixtures.metadata(spark, d).select("id", "kingdom", "genus"), ids)
+
+
+@query(
+    "scope_labels",
+    f"""WITH {_META} SELECT unnest(['All Sources', 'URL-Available Only', 'iNaturalist Only', 'Training Only', 'no such label']) AS label,
+      unnest([count(*), count(*) FILTER (has_url), count(*) FILTER ({_SCOPES["publisher"][1]}), count(*) FILTER (in_training), count(*)]) AS n_rows FROM meta""",
+)
+def scope_labels(spark: SparkSession, d: str) -> DataFrame:
+    names = [*search.SCOPES, "no such label"]
+    counted = fixtures.metadata(spark, d).agg(*[F.count_if(_scope(n)).alias(f"n{i}") for i, n in enumerate(names)])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"n{i}").alias("n_rows")) for i, n in enumerate(names)])))
+
+
+@query("empty_slots", f"WITH {_hits(5)}, {_META} SELECT h.query_id, h.vec_id, h.rank, m.genus FROM hits h JOIN meta m ON m.id = h.vec_id WHERE h.rank % 2 = 1")
+def empty_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Every second hit is an empty slot."""
+    hits = search.top_k(fixtures.queries(spark, d), fixtures.corpus(spark, d), 5)
+    holed = hits.withColumn("vec_id", F.when(F.col("rank") % 2 == 1, F.col("vec_id")).otherwise(-1))
+    return search.enrich(holed, fixtures.metadata(spark, d)).select("query_id", "vec_id", "rank", "genus")
+
+
+@query("dimension_guard", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension FROM embeddings")
+def dimension_guard(spark: SparkSession, d: str) -> DataFrame:
+    corpus = fixtures.corpus(spark, d)
+    dimension = corpus.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return corpus.select("vec_id", F.size(vectors.guarded(F.col("embedding"), dimension)).alias("dimension"))
+
+
+# ---- codes from given centers: slices of the labels' means, which SQL can compute too
+
+_CODES = f"""WITH {_hits(1).rpartition("d AS")[0].rstrip().rstrip(",")}, {_CENTERS}, w AS (SELECT len(v) // 8 AS w FROM e LIMIT 1),
+b AS (SELECT sub, cell AS code, v[sub * w + 1 : (sub + 1) * w] AS p FROM c, w, unnest(range(8)) AS t(sub)),
+s AS (SELECT vec_id, sub, v[sub * w + 1 : (sub + 1) * w] AS p FROM e, w, unnest(range(8)) AS t(sub)),
+codes AS (SELECT vec_id, sub, code FROM (
+  SELECT s.vec_id, s.sub, b.code, row_number() OVER (PARTITION BY s.vec_id, s.sub ORDER BY pow(list_distance(s.p, b.p), 2), b.code) AS r FROM s JOIN b USING (sub)) WHERE r = 1)"""
+
+
+def _coded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    corpus = fixtures.corpus(spark, d)
+    cells = ivf.label_cells(corpus)
+    books = ivf.slice_books(cells, 8)
+    return cells, books, ivf.encode(ivf.assign_cells(corpus, cells), books)
+
+
+@query("pq_codes", f"{_CODES} SELECT vec_id, CAST(sub AS INTEGER) AS sub, CAST(code AS INTEGER) AS code FROM codes")
+def pq_codes(spark: SparkSession, d: str) -> DataFrame:
+    _, _, codes = _coded(spark, d)
+    return codes.select("vec_id", F.posexplode("codes").alias("sub", "code")).select("vec_id", "sub", F.col("code").cast("int").alias("code"))
+
+
+@query(
+    "pq_search",
+    f"""{_CODES}, t AS (SELECT q.query_id, b.sub, b.code, pow(list_distance(q.v[b.sub * w.w + 1 : (b.sub + 1) * w.w], b.p), 2) AS x FROM q, b, w),
+    x AS (SELECT t.query_id, k.vec_id, round(sum(t.x), 6) + 0.0 AS distance FROM t JOIN codes k USING (sub, code) GROUP BY ALL)
+    SELECT query_id, distance, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY distance) AS r FROM x) WHERE r <= 50 GROUP BY ALL""",
+)
+def pq_search(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest distances by codes, and how many vectors are at each: all cells are probed."""
+    cells, books, codes = _coded(spark, d)
+    found = ivf.search_codes(fixtures.queries(spark, d), codes, cells, books, 10**6, cells.count())
+    near = found.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy("distance"))).filter("r <= 50")
+    return near.groupBy("query_id", (F.col("distance") + 0.0).alias("distance")).agg(F.count("*").alias("n"))
+
+
+@query("index_append", f"""WITH {_hits(1).rpartition("q AS")[0].rstrip().rstrip(",")}, {_CENTERS}
+    SELECT vec_id, CAST(cell AS INTEGER) AS cell FROM (SELECT e.vec_id, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(pow(list_distance(e.v, c.v), 2), 9), c.cell) AS r FROM e, c) WHERE r = 1""")
+def index_append(spark: SparkSession, d: str) -> DataFrame:
+    _, _, codes = _coded(spark, d)
+    path = shared_path(spark, "index")
+    for part in (0, 1, 2):
+        ivf.append(codes.filter(F.col("vec_id") % 3 == part).select("vec_id", "cell", "codes"), path)
+    return tables.scan(spark, path, "vec_id long, codes array<short>, cell int").select("vec_id", "cell")
+
+
+@query(
+    "recall_label_cells",
+    f"""WITH {_hits(TOP_N)}, found AS ({ORACLES["ivf_label_cells"].replace("WITH ", "WITH ", 1)})
+    SELECT h.query_id, round(count(f.vec_id) / count(*), 6) AS recall FROM hits h LEFT JOIN found f ON f.query_id = h.query_id AND f.vec_id = h.vec_id GROUP BY h.query_id""",
+)
+def recall_label_cells(spark: SparkSession, d: str) -> DataFrame:
+    exact = search.top_k(fixtures.queries(spark, d), fixtures.corpus(spark, d), TOP_N)
+    return ivf.recall(exact, ivf_label_cells(spark, d), TOP_N).select("query_id", F.round("recall", 6).alias("recall"))
+
+
+# ---- models and content
+
+
+def letter_numbers() -> Callable[[np.ndarray], np.ndarray]:
+    """A stand-in for a model: how often a, b, c and d occur."""
+
+    def run(texts: np.ndarray) -> np.ndarray:
+        return np.array([[str(t).count(c) for c in "abcd"] for t in texts], np.float32)
+
+    return run
+
+
+@query("embed_counts", "SELECT doc_id, CAST(p - 1 AS INTEGER) AS at, CAST(length(text) - length(replace(text, substr('abcd', p, 1), '')) AS BIGINT) AS n FROM documents, unnest(range(1, 5)) AS t(p)")
+def embed_counts(spark: SparkSession, d: str) -> DataFrame:
+    made = infer.embed(fixtures.table(spark, d, "documents").select("doc_id", "text"), "text", letter_numbers, unit=False)
+    return made.select("doc_id", F.posexplode("embedding").alias("at", "x")).select("doc_id", "at", F.col("x").cast("long").alias("n"))
+
+
+@query(
+    "embed_reuse",
+    "SELECT content_hash, n > 0 AS reused FROM (SELECT md5(text) AS content_hash, count(*) FILTER (doc_id % 2 = 0) AS n FROM documents GROUP BY 1)",
+)
+def embed_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """The store has the texts of even ids, with a mark in place of a vector."""
+    docs = fixtures.table(spark, d, "documents").select("doc_id", "text")
+    store = docs.filter("doc_id % 2 = 0").select(F.md5(F.col("text").cast("binary")).alias("content_hash")).distinct()
+    store = store.withColumn("embedding", F.array(F.lit(-1.0).cast("float")))
+    made = infer.embed_new(docs, store, "text", letter_counts)
+    return made.select("content_hash", (F.size("embedding") == 1).alias("reused"))
+
+
+# ---- sources, sinks and columns
+
+
+@query("catalog_keys", "SELECT DISTINCT doc_id FROM labels")
+def catalog_keys(spark: SparkSession, d: str) -> DataFrame:
+    return tables.catalog_keys(spark, f"{d}/labels.parquet", "doc_id")
+
+
+@query("import_existing", "SELECT page_id, url AS identifier, coalesce(url <> '', false) AS has_url, page_id % 2 = 0 AS in_training FROM pages")
+def import_existing(spark: SparkSession, d: str) -> DataFrame:
+    """A table with one of the two flags: the other is derived, and importing again changes nothing."""
+    path = shared_path(spark, "existing")
+    _identified(spark, d).withColumn("in_training", F.col("page_id") % 2 == 0).write.parquet(f"{path}/1")
+    tables.import_existing(spark, f"{path}/1").write.parquet(f"{path}/2")
+    return tables.import_existing(spark, f"{path}/2").select("page_id", "identifier", "has_url", "in_training")
+
+
+@query("overwrite_sink", "SELECT doc_id, source FROM documents")
+def overwrite_sink(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "overwritten")
+    for column in ("lang", "source"):  # the second write replaces the first
+        sinks.write_sorted(fixtures.table(spark, d, "documents").select("doc_id", column), path, [column])
+    return tables.scan(spark, path)
+
+
+@query("result_export", f"WITH {_hits(5)} SELECT query_id, vec_id, distance, rank FROM hits")
+def result_export(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "results")
+    hits = search.top_k(fixtures.queries(spark, d), fixtures.corpus(spark, d), 5)
+    sinks.export_results(hits, path, "json")
+    return spark.read.schema(hits.schema).json(path)
+
+
+@query("legacy_identifiers", "SELECT page_id, nullif(url, '') AS identifier FROM pages")
+def legacy_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Without a table of prefixes, urls are taken as they stand."""
+    prefixes = tables.optional(spark, f"{shared_path(spark, 'no-table')}")
+    return metadata.with_identifiers(_identified(spark, d), prefixes)
+
+
+@query("map_columns", "SELECT doc_id AS id, lang AS kingdom FROM documents")
+def map_columns(spark: SparkSession, d: str) -> DataFrame:
+    docs = fixtures.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return metadata.map_columns(docs, {"doc_id": "id", "lang": "kingdom", "no such column": "x"}, ["source", "n_chars", "nor this"])
+
+
+@query("null_out_ids", "SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN d.lang END AS lang, d.source FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id")
+def null_out_ids(spark: SparkSession, d: str) -> DataFrame:
+    docs = fixtures.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    bad = fixtures.table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return metadata.null_out_ids(docs, bad, ["lang"])
+
+
+@query("mapped_labels", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE 'Other' END AS name FROM documents")
+def mapped_labels(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.table(spark, d, "documents").select("doc_id", labels.mapped(F.col("lang"), {"en": "English", "fr": "French"}, "Other").alias("name"))
+
+
+@query(
+    "ordered_children",
+    """SELECT region, nation, n_rows, row_number() OVER (PARTITION BY region ORDER BY n_rows DESC, nation) AS position FROM (
+      SELECT r_name AS region, n_name AS nation, count(*) AS n_rows FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)""",
+)
+def ordered_children(spark: SparkSession, d: str) -> DataFrame:
+    return summary.children(fixtures.hierarchy_rows(spark, d), ["region"], "nation")
+
+
+# ---- fetching
+
+
+@query("outcome_errors", "SELECT doc_id, 'error:' || left(text, 80) AS image_status FROM documents WHERE text IS NOT NULL AND text <> 'timeout'")
+def outcome_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of documents as messages of errors."""
+    docs = fixtures.table(spark, d, "documents").filter("text is not null and text <> 'timeout'")
+    return docs.select("doc_id", fetch.outcome(F.lit(None).cast("int"), F.col("text"), F.lit(True)).alias("image_status"))
+
+
+@query(
+    "fetch_status_pages",
+    "SELECT count(*) FILTER (u AND page_id % 3 = 0) AS n_ok, count(*) FILTER (NOT u) AS n_no_url, count(*) FILTER (u AND page_id % 3 <> 0) AS n_failed FROM (SELECT page_id, page_id % 5 <> 0 AND coalesce(url <> '', false) AS u FROM pages)",
+)
+def fetch_status_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth page without a url, every third with a code of 200."""
+    pages = fixtures.table(spark, d, "pages").withColumn("url", F.when(F.col("page_id") % 5 != 0, F.col("url")))
+    code = F.when(F.col("page_id") % 3 == 0, 200).otherwise(404)
+    return summary.status_summary(pages.withColumn("image_status", fetch.outcome(code, F.lit(None).cast("string"), metadata.has_url(F.col("url")))))
+
+
+@query("fill_missing", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'kept' ELSE nullif(url, '') END AS image FROM pages")
+def fill_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Every second page has its image; the stand-in for a fetcher gives the address."""
+    pages = fixtures.table(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, F.encode(F.lit("kept"), "utf-8")).alias("image"))
+    filled = fetch.fill_missing(pages, lambda address: (200, address.encode(), None), "url", "page_id", fixtures.THROTTLED_HOSTS)
+    return filled.select("page_id", F.decode("image", "utf-8").alias("image"))
+
+
+# ---- checks that fail where they should
+
+_BROKEN = f"""WITH {_META}, b AS (
+  SELECT id, CASE WHEN id % 7 = 0 THEN 'xx' ELSE kingdom END AS kingdom, genus, in_training AND id % 4 <> 0 AS in_training FROM meta WHERE id % 11 <> 0
+), s AS (SELECT * FROM meta ORDER BY md5(CAST(id AS VARCHAR) || '-42'), id LIMIT 200),
+t AS (SELECT * FROM meta WHERE in_training ORDER BY md5(CAST(id AS VARCHAR) || '-42'), id LIMIT 50),
+checks AS (
+  SELECT 'row_count' AS check, (SELECT count(*) FROM b) AS observed, (SELECT count(*) FROM meta) AS expected
+  UNION ALL SELECT 'sampled_fields', (SELECT count(*) FROM s WHERE id % 11 = 0 OR id % 7 = 0), 0
+  UNION ALL SELECT 'sampled_in_training', (SELECT count(*) FROM t WHERE id % 11 = 0 OR id % 4 = 0), 0
+  UNION ALL SELECT 'kingdom_in_domain', (SELECT count(*) FROM b WHERE NOT kingdom IN ('en', 'fr', 'de', 'es')), 0
+  UNION ALL SELECT 'in_training_count', (SELECT count(*) FROM b WHERE in_training), (SELECT count(*) FROM meta WHERE in_training)
+)"""
+
+
+def _broken_checks(spark: SparkSession, d: str) -> list[DataFrame]:
+    source = fixtures.metadata(spark, d).select("id", "kingdom", "genus", "in_training")
+    i = F.col("id")
+    output = source.filter(i % 11 != 0).withColumns({"kingdom": F.when(i % 7 == 0, "xx").otherwise(F.col("kingdom")), "in_training": F.col("in_training") & (i % 4 != 0)})
+    return [
+        quality.same_count(source, output),
+        quality.sampled_fields(source, output, "id", ["kingdom", "genus"], 200),
+        quality.sampled_flags(source, output, "id", "in_training", 50),
+        quality.in_domain(output, "kingdom", ["en", "fr", "de", "es"]),
+        quality.flag_counts(source, output, "in_training"),
+    ]
+
+
+@query("dq_failures", f"{_BROKEN} SELECT \"check\", observed = expected AS passed, CAST(observed AS VARCHAR) AS observed, CAST(expected AS VARCHAR) AS expected FROM checks")
+def dq_failures(spark: SparkSession, d: str) -> DataFrame:
+    return quality.union(*_broken_checks(spark, d))
+
+
+@query("dq_summary", f"{_BROKEN} SELECT observed = expected AS passed, count(*) AS n_checks FROM checks GROUP BY 1")
+def dq_summary(spark: SparkSession, d: str) -> DataFrame:
+    return quality.summary(*_broken_checks(spark, d))
+
+
+@query(
+    "dq_flags",
+    "SELECT unnest(['lost_count', 'never_count']) AS check, unnest([false, true]) AS passed, unnest(['missing', 'skipped']) AS observed, unnest(['present', 'skipped']) AS expected FROM (SELECT count(*) FROM labels)",
+)
+def dq_flags(spark: SparkSession, d: str) -> DataFrame:
+    """An output that lost a flag fails, a source that never had it is skipped."""
+    rows = fixtures.table(spark, d, "labels")
+    return quality.union(quality.flag_counts(rows.withColumn("lost", F.lit(True)), rows, "lost"), quality.flag_counts(rows, rows, "never"))
+
+
+@query(
+    "dq_types",
+    """SELECT 'type_' || column_name AS check, lower(column_type) = expected AS passed, lower(column_type) AS observed, expected FROM (
+      SELECT column_name, replace(column_type, 'VARCHAR', 'string') AS column_type, CASE column_name WHEN 'doc_id' THEN 'bigint' WHEN 'n_chars' THEN 'int' ELSE 'string' END AS expected FROM (DESCRIBE documents))""",
+)
+def dq_types(spark: SparkSession, d: str) -> DataFrame:
+    declared = StructType.fromDDL("doc_id bigint, text string, lang string, source string, n_chars int")
+    return quality.types_as_declared(fixtures.table(spark, d, "documents"), declared, spark)
