@@ -174,6 +174,42 @@ def test_sites(spark):
     assert by[0]["_host_mean"] > by[60]["_host_mean"]
 
 
+def test_sites_of_single_documents_and_equal_figures(spark):
+    """Every path has one document; one host alone; all figures equal; nothing at all."""
+    schema = "doc_id long, _host string, _path string, _p double"
+    for rows in (
+        [(i, "h", f"/p{i}", 0.2 + 0.05 * i) for i in range(10)],
+        [(i, f"h{i}", "/", 0.9) for i in range(5)],
+        [(1, "h", "/", 0.5)],
+        [(1, "h", "/", 0.5), (1, "h", "/", 0.5), (None, "h", "/", 0.5)],
+        [(i, "h", "/", 0.999 if i else 0.001) for i in range(3)],
+    ):
+        got = site_quality.combine(spark.createDataFrame(rows, schema)).collect()
+        assert len(got) == len(rows) and all(0 <= r["_score"] <= 1 and 0 < r["_host_mean"] < 1 for r in got)
+    assert site_quality.combine(spark.createDataFrame([], schema)).count() == 0
+    none = helpers.documents(spark, [(1, "a")]).limit(0)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert site_quality.document_evidence(none, labels, "text", "quality", "doc_id", "source").count() == 0
+    assert toxicity.score(none, toxicity.train(none, labels.withColumnRenamed("quality", "toxic")), "text", "doc_id").count() == 0
+
+
+def test_site_posteriors_improve_on_noisy_documents(spark):
+    """Sites differ, single documents tell little: shrunk posteriors of path and host make fewer mistakes than documents alone."""
+    rng = np.random.default_rng(11)
+    rows, good = [], {}
+    for h in range(40):
+        rate = rng.choice([0.1, 0.9])
+        for k in range(int(rng.integers(2, 60))):
+            i = len(rows)
+            good[i] = bool(rng.random() < rate)
+            p = 1 / (1 + math.exp(-(1.0 if good[i] else -1.0) * 0.8 - rng.normal() * 1.2))
+            rows.append((i, f"h{h}", f"/p{k % 3}", float(min(0.999, max(0.001, p)))))
+    got = site_quality.combine(spark.createDataFrame(rows, "doc_id long, _host string, _path string, _p double")).collect()
+    alone = sum((r["_p"] >= 0.5) != good[r["doc_id"]] for r in got)
+    together = sum(r["_kept"] != good[r["doc_id"]] for r in got)
+    assert together < 0.85 * alone
+
+
 def test_sites_without_labels(spark):
     docs = helpers.documents(spark, [(1, "a b", None, "s")])
     none = spark.createDataFrame([], "doc_id long, quality int")
