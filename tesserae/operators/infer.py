@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from tesserae.functions.vectors import normalise
 from tesserae.operators.ivf import label_cells
+from tesserae.operators.search import _matrix
 
 
 def embed(rows: DataFrame, content: str, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 256, unit: bool = True) -> DataFrame:
@@ -30,24 +32,49 @@ def embed_new(rows: DataFrame, store: DataFrame, content: str, make_model: Calla
     return known.select("content_hash", "embedding").unionByName(new)
 
 
+#: Classes that are compared with the items in one pass; more are taken in blocks of about so many, one pass each.
+CLASS_BLOCK = 4096
+
+
 def class_scores(items: DataFrame, classes: DataFrame, temperature: float = 10.0) -> DataFrame:
-    """(item, cell, score): softmax over the classes of temperature x cosine. ``classes``: (cell, center), broadcast:
-    their number is that of the labels."""
-    unit = items.select("item", normalise(F.col("embedding")).alias("v"))
-    side = classes.select("cell", normalise(F.col("center")).alias("c"))
-    packed = side.agg(F.array_sort(F.collect_list(F.struct("cell", "c"))).alias("classes"))
-    scored = unit.join(F.broadcast(packed)).select(
-        "item",
-        F.transform(
-            "classes",
-            lambda x: F.struct(
-                x["cell"].alias("cell"),
-                F.exp(F.lit(temperature) * F.aggregate(F.zip_with("v", x["c"], lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)).alias("e"),
-            ),
-        ).alias("s"),
-    )
-    total = F.aggregate("s", F.lit(0.0), lambda s, x: s + x["e"])
-    return scored.select("item", total.alias("total"), F.explode("s").alias("x")).select("item", "x.cell", (F.col("x.e") / F.col("total")).alias("score"))
+    """(item, cell, score): softmax over the classes of temperature x cosine, by matrix products.
+
+    ``classes``: (cell, center). A block of them is broadcast at a time, so their number has no bound; with more than one
+    block, the sums over all classes come from an aggregation by item.
+    """
+    count = classes.count()
+    blocks = max(1, -(-count // CLASS_BLOCK))
+    rows = items.select(F.col("item").cast("long"), "embedding").filter("embedding is not null")
+    parts = None
+    for block in range(blocks):
+        one = _class_block(rows, classes.filter(F.pmod(F.xxhash64("cell"), F.lit(blocks)) == block), temperature, blocks == 1)
+        parts = one if parts is None else parts.union(one)
+    if blocks == 1:
+        return parts
+    total = parts.groupBy("item").agg(F.sum("score").alias("_total"))
+    return parts.join(total, "item").select("item", "cell", (F.col("score") / F.col("_total")).alias("score"))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+
+def _class_block(rows: DataFrame, classes: DataFrame, temperature: float, whole: bool) -> DataFrame:
+    table = classes.select(F.col("cell").cast("int"), "center").orderBy("cell").toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((table["cell"].to_numpy(), _unit(_matrix(table["center"])) if len(table) else None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, centers = shared.value
+        for batch in batches:
+            for lo in range(0, len(batch) if len(cells) else 0, 256):
+                part = batch.slice(lo, 256)
+                e = np.exp(temperature * (_unit(_matrix(part.column(1))) @ centers.T))
+                e = e / e.sum(1, keepdims=True) if whole else e
+                item = np.repeat(part.column(0).to_numpy(), len(cells))
+                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(np.tile(cells, len(part))), pa.array(e.ravel())], names=["item", "cell", "score"])
+
+    return rows.mapInArrow(run, "item long, cell int, score double")
 
 
 def predict_rank(items: DataFrame, corpus: DataFrame, names: DataFrame, rank: str, k: int = 5, label: str = "label") -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset, a local folder is set, as in tests."""
+    """A new path in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, as in tests; on a
+    cluster every machine would write to another folder, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/{label}-{uuid.uuid4().hex}"

@@ -157,6 +157,24 @@ def test_prediction_by_rank(spark, corpus):
     assert all(abs(sum(r["score"] for r in got if r["item"] == i) - 1) < 1e-5 for i in range(5))
 
 
+def test_prediction_with_many_blocks_of_classes(spark, corpus, monkeypatch):
+    names = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y"), (3, "z")], "cell int, family string")
+    items = corpus.filter("vec_id < 9").select(F.col("vec_id").alias("item"), "embedding")
+    want = sorted(map(tuple, infer.predict_rank(items, corpus, names, "family", 5).collect()))
+    monkeypatch.setattr(infer, "CLASS_BLOCK", 1)
+    assert sorted(map(tuple, infer.predict_rank(items, corpus, names, "family", 5).collect())) == want
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tesserae.sources.shared import shared_path
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError):
+        shared_path(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")), "x")
+
+
 def make_model():
     return lambda texts: np.array([[len(str(t)), 1.0] for t in texts], np.float32)
 
