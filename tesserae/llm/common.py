@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.shared import shared_path
+
 #: A word of a text. Java reads the ranges on characters, as the contracts mean them.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -28,20 +28,6 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset.
-
-    Without that setting only a local session will do: on a cluster, every machine would write to a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def files(spark: SparkSession, size: int) -> int:
     """How many files at most a table made from so many bytes of text is written to."""
     return max(WAVES * spark.sparkContext.defaultParallelism, -(-size // FILE))
@@ -53,7 +39,7 @@ def stage(df: DataFrame, label: str, size: int | None = None) -> DataFrame:
     This cuts the lineage: the work before it is done once, and a lost executor costs a read, not a rerun. With ``size``,
     the bytes of the texts that the table is made from, small inputs aren't spread over many small files.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     if size is not None:
         df = df.coalesce(files(df.sparkSession, size))
     df.write.option("compression", "zstd").parquet(path)

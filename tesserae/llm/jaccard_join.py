@@ -1,7 +1,8 @@
 """N-gram Jaccard join with grouped prefixes: links between texts whose shingle sets are similar, and their components.
 
 A document's set is its distinct ``WIDTH``-word shingles without case (fewer words: the whole sequence as one). Two
-documents link when 100 x intersection >= 75 x union. All links between different sets are decided, none is estimated:
+documents link when 100 x intersection >= 75 x union. Components are those of all links, and none is estimated; pairs whose
+members already are in one component are not tried, so the table of all links is not made:
 
 1. Shingles are sent to buckets of their hash, which count in how many documents each occurs and send those in two or
    more back to the bundle of documents they came from. Copies inside a bundle send their set once.
@@ -16,7 +17,7 @@ documents link when 100 x intersection >= 75 x union. All links between differen
    group of near copies costs a few pairs a member, and no link between different components can be missed.
 
 Shingles are told apart by 64-bit hashes everywhere.
-Null and empty texts have an empty set, link to nothing, and are their own component. Rows that share an id are one
+Null and empty texts have an empty set, link to nothing, and are their own component. Very long texts are whole pieces. Rows that share an id are one
 node. Rows without an id are nodes by their text, with numbers from ``NO_ID`` on, above all ids. An empty table gives an
 empty result.
 """

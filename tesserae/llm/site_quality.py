@@ -12,7 +12,7 @@ odds, give the score; it is kept from ``THRESHOLD`` on.
 Documents without a url have their source as host; without a source too, they share one site. Paths of one document
 have the host's posterior. Null and empty texts have p from their zero rates. Labels that are null or without a document
 are not learnt from; without both labels p is 0.5. Rows that repeat a doc_id each count and each get a row; of several
-urls of a doc_id the least is taken.
+urls of a doc_id the least is taken. Very long texts are measured whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,9 +9,9 @@ groups of about ``SHARD_ROWS``; each group runs FTRL over its rows, Spark averag
 coordinate, none left out, and the next of ``ROUNDS`` rounds starts from the average. Groups send what has changed, packed
 by ranges of ``RANGE`` slots; the average has at most ``SLOTS`` + 1 states of 24 bytes, which go to the driver and back. Scoring is one map over whole texts.
 
-A null or empty text has no feature; its score is that of the bias alone. Labels that are null or without a document
+A very long text is a piece of its own, read whole. A null or empty text has no feature; its score is that of the bias alone. Labels that are null or without a document
 are not learnt from; a document that is labelled twice counts as toxic if one label says so. Without any label the
-score is 0.5 for every text. Repeated rows each get a row.
+score is 0.5 for every text. Repeated rows each get a row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
