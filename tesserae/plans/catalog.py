@@ -154,7 +154,7 @@ def ivf_label_cells(spark: SparkSession, d: str) -> DataFrame:
     return ivf.search_cells(fixtures.queries(spark, d), ivf.assign_cells(corpus, cells), cells, TOP_N, 3)
 
 
-NLIST, M, KSUB = 8, 8, 16
+NLIST, M, KSUB = 8, 16, 32
 
 
 def _trained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
