@@ -177,6 +177,36 @@ def enrich(hits: DataFrame, metadata: DataFrame) -> DataFrame:
     return hits.filter("vec_id <> -1").join(metadata, hits["vec_id"] == metadata["id"]).drop("id")
 
 
+#: The columns of a row of metadata, in order.
+COLUMNS = [
+    "id",
+    "uuid",
+    "kingdom",
+    "phylum",
+    "class",
+    "order",
+    "family",
+    "genus",
+    "species",
+    "common_name",
+    "source_dataset",
+    "source_id",
+    "publisher",
+    "img_type",
+    "basisOfRecord",
+    "url_prefix_id",
+    "identifier_suffix",
+    "has_url",
+    "in_training",
+]
+
+
+def projected(metadata: DataFrame) -> DataFrame:
+    """The columns of ``COLUMNS``, in that order; those that a table lacks are null texts."""
+    have = set(metadata.columns)
+    return metadata.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in COLUMNS])
+
+
 def lookup(metadata: DataFrame, ids: list[int] | DataFrame, key: str = "id") -> DataFrame:
     """The rows of these ids: a list becomes a filter that the scan gets, a table (``key``) a join."""
     if isinstance(ids, DataFrame):

@@ -664,6 +664,14 @@ def id_lookup(spark: SparkSession, d: str) -> DataFrame:
     return search.lookup(tables.scan(spark, path), _WANTED)
 
 
+_ABSENT = ", ".join(f'CAST(NULL AS VARCHAR) AS "{c}"' for c in search.COLUMNS if c not in ("id", "uuid", "kingdom", "genus", "source_dataset", "publisher", "has_url", "in_training"))
+
+
+@query("fixed_projection", f"WITH {_META} SELECT id, uuid, kingdom, genus, source_dataset, publisher, has_url, in_training, {_ABSENT} FROM meta")
+def fixed_projection(spark: SparkSession, d: str) -> DataFrame:
+    return search.projected(fixtures.metadata(spark, d))
+
+
 @query("id_lookup_join", f"WITH {_META} SELECT id, kingdom, genus FROM meta WHERE id IN (SELECT page_id FROM pages)")
 def id_lookup_join(spark: SparkSession, d: str) -> DataFrame:
     ids = fixtures.table(spark, d, "pages").select(F.col("page_id").alias("id"))
