@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, decontaminate, jaccard_join, langid, mixing, quality_rules, site_quality, substring_dedup, suffix_tree, toxicity, url_filter
+from tesserae.llm import common, decontaminate, jaccard_join, langid, mixing, quality_rules, site_quality, source_audit, substring_dedup, suffix_tree, toxicity, url_filter
 
 
 def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -188,6 +188,41 @@ def op10_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score(docs, common.crc_mod("doc_id", 7) == 2)
 
 
+_OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+n AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + v)::HUGEINT AS p FROM n JOIN v USING (lang)
+), q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang) + v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM n GROUP BY 1, 2) JOIN v USING (lang)
+), x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT y.lang, y.source, z.source AS item, sum((y.p - z.p) * (y.p - z.p) // z.p) AS f
+    FROM p y JOIN p z ON y.lang = z.lang AND y.term = z.term AND y.source <> z.source GROUP BY 1, 2, 3
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS r FROM x)
+WHERE part = 'pair' OR r <= 200
+"""
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audit(_read(spark, folder, "documents", "text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
@@ -199,9 +234,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_entropy_mixing": op8_entropy_mixing,
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
     "op10_suffix_tree": op10_suffix_tree,
+    "op12_source_divergence": op12_source_divergence,
 }
 ORACLES: dict[str, str] = {
     "op4_minhash_containment": _OP4_SQL,
     "op7_grouped_prefix_join": _OP7_SQL,
     "op9_super_kmer_dedup": _OP9_SQL,
+    "op12_source_divergence": _OP12_SQL,
 }
