@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, decontaminate, jaccard_join, langid, mixing, quality_rules, site_quality, source_audit, substring_dedup, suffix_tree, toxicity, url_filter
+from tesserae.llm import common, decontaminate, jaccard_join, langid, mixing, packing, prefix_trie, quality_rules, site_quality, source_audit, substring_dedup, suffix_tree, toxicity, url_filter
 
 
 def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -188,6 +189,42 @@ def op10_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score(docs, common.crc_mod("doc_id", 7) == 2)
 
 
+_OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS r
+  FROM conversations WHERE conv_id IS NOT NULL
+), i AS (
+  SELECT conv_id AS c, conv_id - conv_id % 100 AS donor, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), s AS (
+  SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY o, r) AS d FROM (
+    SELECT c, 0 AS o, r, role, text FROM i JOIN t ON t.conv_id = donor AND r <= h
+    UNION ALL SELECT c, 1, r, role, text FROM i JOIN t ON t.conv_id = c AND r > h)
+), p AS (
+  SELECT c, d, list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS k, length(text) AS chars FROM s
+  UNION ALL SELECT c, 0, [], 0 FROM i
+), n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY d, k),
+z AS (
+  SELECT d, k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS digest
+  FROM (SELECT *, max(d) OVER (PARTITION BY c) AS last FROM p) WHERE d = last GROUP BY d, k
+), b AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+x AS (
+  SELECT up AS d, k[1:up] AS k, sum((n_children IS NULL)::INT) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM (SELECT n.*, n_children, unnest(range(0, n.d + 1)) AS up FROM n LEFT JOIN b ON b.d = n.d AND b.k = n.k) GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(b.n_children, 0) AS n_children,
+  CAST(x.n_leaves AS BIGINT) AS n_leaves, CAST(x.saved_tokens AS BIGINT) AS saved_tokens, coalesce(z.digest, sha256('')) AS ends_sha256
+FROM n JOIN x ON x.d = n.d AND x.k = n.k LEFT JOIN b ON b.d = n.d AND b.k = n.k LEFT JOIN z ON z.d = n.d AND z.k = n.k
+LEFT JOIN n u ON u.d = n.d - 1 AND u.k = n.k[1:n.d - 1]
+"""
+
+
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
 _OP12_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -223,6 +260,19 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_audit.audit(_read(spark, folder, "documents", "text", "lang", "source"))
 
 
+def op13_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents", "doc_id", "text", "source")
+    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json"))).select(
+        "doc_id",
+        F.col("_start").alias("start"),
+        F.col("_length").alias("length"),
+        F.col("_ids_crc32").alias("ids_crc32"),
+        F.col("_doc_tokens").alias("doc_tokens"),
+        F.col("_sequence").alias("sequence_id"),
+        F.col("_offset").alias("offset"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
@@ -234,11 +284,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_entropy_mixing": op8_entropy_mixing,
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
     "op10_suffix_tree": op10_suffix_tree,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_source_divergence": op12_source_divergence,
+    "op13_mixture_packing": op13_mixture_packing,
 }
 ORACLES: dict[str, str] = {
     "op4_minhash_containment": _OP4_SQL,
     "op7_grouped_prefix_join": _OP7_SQL,
     "op9_super_kmer_dedup": _OP9_SQL,
+    "op11_prefix_trie": _OP11_SQL,
     "op12_source_divergence": _OP12_SQL,
 }
