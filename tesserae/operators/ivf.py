@@ -6,7 +6,7 @@ Centroids and codebooks have a size that parameters fix; vectors and codes stay
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -19,14 +19,14 @@ from pyspark.sql.types import ArrayType, IntegerType, ShortType, StructField, St
 
 from tesserae.functions.vectors import distance
 from tesserae.operators.numbering import contiguous_ids
-from tesserae.operators.search import _HITS, Best, QUERY_BLOCK, _batch, _matrix, ranked, top_k
-from tesserae.sources.shared import shared_path
+from tesserae.operators.search import _HITS, Best, PLACES, QUERY_BLOCK, _batch, _matrix, ranked, top_k
+from tesserae.sources.shared import shared_path, written
 
 
 def _centers(spark: SparkSession, rows: list[np.ndarray], name: str) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(rows)], f"{name} int, center array<double>"
-    )
+    matrix = np.stack(rows)
+    flat = pa.ListArray.from_arrays(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1], matrix.ravel())
+    return spark.createDataFrame(pa.table({name: pa.array(range(len(matrix)), pa.int32()), "center": flat}))
 
 
 def train_cells(sample: DataFrame, nlist: int, seed: int = 42, iterations: int = 20) -> DataFrame:
@@ -36,6 +36,52 @@ def train_cells(sample: DataFrame, nlist: int, seed: int = 42, iterations: int =
     return _centers(sample.sparkSession, model.clusterCenters(), "cell")
 
 
+#: Vectors of a sample for each center that a task fits, at most.
+PER_CENTER = 256
+
+
+def _fit(v: np.ndarray, k: int, seed: int, iterations: int) -> np.ndarray:
+    """Centers of at most k groups of the vectors: far ones to begin with, then Lloyd's steps."""
+    v = np.unique(v, axis=0)
+    if len(v) <= k:
+        return v
+    rng = np.random.default_rng(seed)
+    centers = [v[rng.integers(len(v))]]
+    near = ((v - centers[0]) ** 2).sum(1)
+    while len(centers) < k:
+        total = near.sum()
+        centers.append(v[rng.choice(len(v), p=near / total)] if total > 0 else v[rng.integers(len(v))])
+        near = np.minimum(near, ((v - centers[-1]) ** 2).sum(1))
+    c = np.stack(centers)
+    for _ in range(iterations):
+        own = np.concatenate([_apart(v[lo : lo + CHUNK], c).argmin(1) for lo in range(0, len(v), CHUNK)])
+        many = np.bincount(own, minlength=k)
+        order = np.argsort(own, kind="stable")
+        sums = np.add.reduceat(v[order], np.minimum(np.cumsum(many) - many, len(v) - 1), axis=0)
+        c = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], c)
+    return c
+
+
+def train_two_levels(sample: DataFrame, coarse: int, fine: int, seed: int = 42, iterations: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(coarse, center) and (cell, coarse, center): ``coarse`` cells by one k-means, then up to ``fine`` cells in each by a
+    task of its own. So 256 x 256 cells need no fit of 65,536 centers and no driver that holds them.
+
+    A coarse cell's task gets ``PER_CENTER`` vectors for each center at most, those of least hash.
+    """
+    top = written(train_cells(sample, coarse, seed, iterations).withColumnRenamed("cell", "coarse"), "coarse-cells")
+    dealt = assign_cells(sample.select("vec_id", "embedding"), top.withColumnRenamed("coarse", "cell")).withColumnRenamed("cell", "coarse")
+    dealt = stratified_sample(written(dealt, "coarse-sample"), "coarse", 1.0, fine * PER_CENTER, "vec_id", seed)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        own = key[0].as_py()
+        v = _matrix(table.sort_by("vec_id")["embedding"])
+        c = _fit(v, fine, seed + own, iterations)
+        flat = pa.ListArray.from_arrays(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1], c.ravel())
+        return pa.table({"cell": pa.array(own * fine + np.arange(len(c)), pa.int32()), "coarse": pa.array([own] * len(c), pa.int32()), "center": flat})
+
+    return top, written(dealt.groupBy("coarse").applyInArrow(run, "cell int, coarse int, center array<double>"), "fine-cells")
+
+
 def label_cells(corpus: DataFrame, label: str = "label") -> DataFrame:
     """(cell, center): the mean vector of each label, as cells that need no training."""
     place = corpus.select(F.col(label).cast("int").alias("cell"), F.posexplode("embedding").alias("at", "x"))
@@ -45,25 +91,110 @@ def label_cells(corpus: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def assign_cells(corpus: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``corpus`` with the nearest ``cell`` of each vector (of equally near ones, the smallest)."""
-    table = centroids.orderBy("cell").toArrow()
-    cells, centers = table["cell"].to_numpy(), _matrix(table["center"])
-    shared = corpus.sparkSession.sparkContext.broadcast((cells, centers))
+#: Rows whose distances to centers are computed at once, distances that are held at once, and bytes of centers (64 bits a number)
+#: that may be broadcast; beyond that, rows are joined with centers by coarse cell.
+CHUNK, HELD, CENTER_BYTES = 1024, 1 << 22, 256 << 20
+
+
+def _apart(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of all v to all c, up to the length of v, which is the same for all c."""
+    return (c**2).sum(1)[None] - 2 * v @ c.T
+
+
+def _least(d: np.ndarray, n: int) -> np.ndarray:
+    """The columns of the n least values of each row, in order; of equal ones, those of least number."""
+    return np.argsort(d.round(9), axis=1, kind="stable")[:, :n] if n > 1 else d.round(9).argmin(1)[:, None]
+
+
+def _fits(centers: DataFrame) -> bool:
+    size = centers.agg(F.coalesce(F.sum(8 * F.size("center").cast("long")), F.lit(0))).first()[0]
+    return size <= CENTER_BYTES
+
+
+def _center_table(centers: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+    table = centers.select(name, "center").orderBy(name).toArrow()
+    return table[name].to_numpy(), _matrix(table["center"])
+
+
+def _cells_of(corpus: DataFrame, choose: Callable[[np.ndarray], np.ndarray], copies: int) -> DataFrame:
+    """``corpus`` with a row for each cell that ``choose`` gives for the vectors of a chunk; a row without a vector has none."""
     at = corpus.columns.index("embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, c = shared.value
         for batch in batches:
-            v = _matrix(batch.column(at)) if len(batch) else np.zeros((0, c.shape[1]))
-            near = ((c**2).sum(1)[None] - 2 * v @ c.T).round(9).argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[near].astype(np.int32))], names=[*batch.schema.names, "cell"])
+            batch = batch.filter(batch.column(at).is_valid()) if batch.column(at).null_count else batch
+            for lo in range(0, len(batch), CHUNK):
+                part = batch.slice(lo, CHUNK)
+                cells = choose(_matrix(part.column(at)))
+                row, place = np.nonzero(cells >= 0)
+                columns = part.columns if copies == 1 and len(row) == len(part) else [c.take(pa.array(row)) for c in part.columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cells[row, place].astype(np.int32))], names=[*batch.schema.names, "cell"])
 
     return corpus.mapInArrow(run, StructType([*corpus.schema.fields, StructField("cell", IntegerType())]))
 
 
+def assign_cells(corpus: DataFrame, centroids: DataFrame, copies: int = 1) -> DataFrame:
+    """``corpus`` with the nearest ``cell`` of each vector (of equally near ones, the smallest), or a row for each of the
+    nearest ``copies``. Centers beyond ``CENTER_BYTES`` are an error: use two levels."""
+    if not _fits(centroids):
+        raise ValueError(f"centers of more than {CENTER_BYTES} bytes: use train_two_levels and assign_beam")
+    shared = corpus.sparkSession.sparkContext.broadcast(_center_table(centroids, "cell"))
+
+    def choose(v: np.ndarray) -> np.ndarray:
+        cells, c = shared.value
+        step = max(1, HELD // len(c))
+        return np.concatenate([cells[_least(_apart(v[lo : lo + step], c), copies)] for lo in range(0, len(v), step)])
+
+    return _cells_of(corpus, choose, copies)
+
+
+def assign_beam(corpus: DataFrame, coarse: DataFrame, cells: DataFrame, beam: int = 8, copies: int = 1) -> DataFrame:
+    """As ``assign_cells``, for two levels: only the cells in the ``beam`` nearest coarse cells are compared.
+
+    Fine centers up to ``CENTER_BYTES`` are broadcast. Beyond that, a vector goes to the tasks of its ``beam`` coarse cells,
+    and comes back with its cells.
+    """
+    if not _fits(cells):
+        asked = corpus.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+        held = cells.select(F.col("coarse").alias("cell"), F.col("cell").cast("long").alias("vec_id"), F.col("center").alias("embedding"))
+        found = search_cells(asked, held, coarse.withColumnRenamed("coarse", "cell"), copies, beam)
+        return corpus.join(found.select(F.col("query_id").alias("vec_id"), F.col("vec_id").cast("int").alias("cell")), "vec_id").select(*corpus.columns, "cell")
+    fine = cells.orderBy("coarse", "cell").select("coarse", "cell", "center").toArrow()
+    centers = (fine["coarse"].to_numpy(), fine["cell"].to_numpy(), _matrix(fine["center"]))
+    shared = corpus.sparkSession.sparkContext.broadcast((_center_table(coarse, "coarse"), centers))
+
+    def choose(v: np.ndarray) -> np.ndarray:
+        (names, tops), (of, cells_, c) = shared.value
+        near = names[_least(_apart(v, tops), min(beam, len(names)))]
+        best = np.full((len(v), copies), np.inf), np.full((len(v), copies), -1)
+        for own in np.unique(near):
+            lo, hi = np.searchsorted(of, [own, own + 1])
+            rows = np.flatnonzero((near == own).any(1))
+            if lo == hi:
+                continue
+            d = np.concatenate([best[0][rows], _apart(v[rows], c[lo:hi]).round(9)], 1)
+            cell = np.concatenate([best[1][rows], np.tile(cells_[lo:hi], (len(rows), 1))], 1)
+            order = np.lexsort((cell, d))[:, :copies]
+            best[0][rows], best[1][rows] = np.take_along_axis(d, order, 1), np.take_along_axis(cell, order, 1)
+        return best[1]
+
+    return _cells_of(corpus, choose, copies)
+
+
 def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     """(query_id, query_vec, cell) of the ``nprobe`` nearest cells of each query."""
+    if _fits(centroids):
+        shared = queries.sparkSession.sparkContext.broadcast(_center_table(centroids, "cell"))
+
+        def choose(v: np.ndarray) -> np.ndarray:
+            cells, c = shared.value
+            step = max(1, HELD // len(c))
+            parts = [(_apart(x, c) + (x**2).sum(1)[:, None]).round(PLACES) for x in (v[lo : lo + step] for lo in range(0, len(v), step))]
+            return np.concatenate([cells[np.argsort(d, axis=1, kind="stable")[:, :nprobe]] for d in parts])
+
+        rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vec").alias("embedding"))
+        found = _cells_of(rows.filter("query_id is not null"), choose, nprobe)
+        return found.select("query_id", F.col("embedding").alias("query_vec"), "cell")
     found = top_k(queries, centroids.select(F.col("cell").cast("long").alias("vec_id"), F.col("center").alias("embedding")), nprobe)
     return found.select("query_id", F.col("vec_id").cast("int").alias("cell")).join(queries, "query_id")
 
@@ -77,31 +208,41 @@ def _parts(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias(name))
 
 
-def search_cells(queries: DataFrame, indexed: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """Search only the vectors in each query's nearest cells. With all cells probed this equals the exact search.
+def by_cell(asked: DataFrame, stored: DataFrame, column: str, k: int, make: Callable[[np.ndarray], Best], read: Callable[[pa.ChunkedArray], np.ndarray], sizes: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best of each query of (query_id, query_vec, cell) among (cell, vec_id, ``column``) of its cells.
 
-    A cell's queries meet its vectors in one task, by matrix products; a cell with many of either is dealt over several.
+    A cell's queries meet its rows in one task; a cell with many of either is dealt over several. A task keeps the best k of
+    each query (``make`` gives what does), so no pair of a query and a row leaves it. ``sizes`` (cell, n): the rows of each
+    cell, where they are known.
     """
-    asked = probes(queries, centroids, nprobe)
-    sizes = F.broadcast(_parts(indexed, "_v").join(_parts(asked, "_q"), "cell"))
+    counted = stored.groupBy("cell").agg(F.count("*").alias("n")) if sizes is None else sizes
+    parts = counted.select("cell", F.ceil(F.col("n") / CELL_PART).cast("int").alias("_v")).filter("_v > 0")
+    dealt = F.broadcast(parts.join(_parts(asked, "_q"), "cell"))  # a row a cell
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = indexed.filter("embedding is not null").join(sizes, "cell").withColumn("v", deal("vec_id", "_v")).withColumn("q", every("_q"))
-    asked = asked.join(sizes, "cell").withColumn("q", deal("query_id", "_q")).withColumn("v", every("_v"))
+    stored = stored.filter(F.col(column).isNotNull()).join(dealt, "cell").withColumn("v", deal("vec_id", "_v")).withColumn("q", every("_q"))
+    asked = asked.join(dealt, "cell").withColumn("q", deal("query_id", "_q")).withColumn("v", every("_v"))
     keys = ["cell", "v", "q"]
 
     def run(wanted: pa.Table, held: pa.Table) -> pa.Table:
         out = []
         for lo in range(0, len(wanted) if len(held) else 0, QUERY_BLOCK):
             part = wanted.slice(lo, QUERY_BLOCK)
-            best = Best(_matrix(part["query_vec"]), k, "l2")
-            best.add(held["vec_id"].to_numpy(), _matrix(held["embedding"]))
+            best = make(_matrix(part["query_vec"]))
+            best.add(held["vec_id"].to_numpy(), read(held[column]))
             out.append(_batch(part["query_id"].to_numpy(), best))
         return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())]))
 
     grouped = asked.select(*keys, F.col("query_id").cast("long"), "query_vec").groupBy(*keys)
-    stored = stored.select(*keys, F.col("vec_id").cast("long"), "embedding").groupBy(*keys)
-    return ranked(grouped.cogroup(stored).applyInArrow(run, _HITS), k)
+    stored = stored.select(*keys, F.col("vec_id").cast("long"), column).groupBy(*keys)
+    found = grouped.cogroup(stored).applyInArrow(run, _HITS)
+    # a vector that is stored in several cells is found in each; a query of a repeated id may have several distances to it
+    return ranked(found.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance")), k)
+
+
+def search_cells(queries: DataFrame, indexed: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """Search only the vectors in each query's nearest cells. With all cells probed this equals the exact search."""
+    return by_cell(probes(queries, centroids, nprobe), indexed, "embedding", k, lambda q: Best(q, k, "l2"), _matrix)
 
 
 def train_codebooks(sample: DataFrame, m: int, ksub: int, seed: int = 42, iterations: int = 10) -> DataFrame:
@@ -121,7 +262,7 @@ def train_codebooks(sample: DataFrame, m: int, ksub: int, seed: int = 42, iterat
         return [(sub, i, [float(x) for x in c]) for i, c in enumerate(centers)]
 
     with ThreadPoolExecutor(min(m, 8)) as pool:
-        books = [row for part in pool.map(fit, range(m)) for row in part]
+        books = [row for part in pool.map(fit, range(m)) for row in part]  # as many numbers as the vectors have, times ksub
     return spark.createDataFrame(books, "sub int, code int, center array<double>")
 
 
@@ -132,10 +273,10 @@ def _books(codebooks: DataFrame) -> np.ndarray:
     return centers.reshape(subs, -1, centers.shape[1])
 
 
-def encode(corpus: DataFrame, codebooks: DataFrame) -> DataFrame:
-    """``corpus`` with ``codes`` in place of ``embedding``: the nearest code of each slice."""
+def encode(corpus: DataFrame, codebooks: DataFrame, keep: bool = False) -> DataFrame:
+    """``corpus`` with ``codes`` in place of ``embedding`` (or beside it): the nearest code of each slice."""
     shared = corpus.sparkSession.sparkContext.broadcast(_books(codebooks))
-    names = [c for c in corpus.columns if c != "embedding"]
+    names = [c for c in corpus.columns if keep or c != "embedding"]
     schema = StructType([*corpus.select(*names).schema.fields, StructField("codes", ArrayType(ShortType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,21 +295,36 @@ def encode(corpus: DataFrame, codebooks: DataFrame) -> DataFrame:
     return corpus.mapInArrow(run, schema)
 
 
-def _tables(queries: DataFrame, codebooks: DataFrame) -> DataFrame:
-    """Each query's squared distances to every code of every slice."""
-    books = _books(codebooks)
-    shared = queries.sparkSession.sparkContext.broadcast(books)
+class CodeBest(Best):
+    """The best ``k`` of each query among codes: distances are sums from one table of each query, and are not estimates."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shared.value
-        for batch in batches:
-            v = _matrix(batch.column(1)).reshape(len(batch), books.shape[0], 1, books.shape[2]) if len(batch) else np.zeros((0, 1, 1, 1))
-            d = ((v - books[None]) ** 2).sum(-1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(d.tolist(), pa.list_(pa.list_(pa.float64())))], names=["query_id", "lookup"]
-            )
+    def __init__(self, queries: np.ndarray, k: int, books: np.ndarray):
+        super().__init__(queries, k, "l2")
+        subs, ksub, width = books.shape
+        v = self.q.reshape(len(self.q), subs, width)
+        self.table = np.empty((subs, ksub, len(v)))
+        for s, book in enumerate(books):
+            self.table[s] = ((book**2).sum(1)[None] - 2 * v[:, s] @ book.T + (v[:, s] ** 2).sum(1)[:, None]).T
+
+    def near(self, v: np.ndarray) -> tuple[np.ndarray, float]:
+        d = np.zeros((len(v), len(self.q)))
+        for s in range(v.shape[1]):
+            d += self.table[s][v[:, s]]
+        return d.T, 0.0
+
+    def exact(self, r: np.ndarray, v: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.maximum(d[r, c], 0.0)
 
-    return queries.select("query_id", "query_vec").mapInArrow(run, "query_id long, lookup array<array<double>>")
+
+def _code_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return _matrix(column).astype(np.int64)
+
+
+def settle(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Hits (query_id, vec_id, cell) in the order of exact distances to ``vectors`` (cell, vec_id, embedding)."""
+    near = found.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(queries, "query_id")
+    exact = near.select("query_id", "vec_id", F.round(distance(F.col("query_vec"), F.col("embedding")), PLACES).alias("distance"))
+    return ranked(exact.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance")), k)
 
 
 def search_codes(
@@ -182,17 +338,10 @@ def search_codes(
     shortlist: int = 4,
 ) -> DataFrame:
     """Probe cells and add up looked-up distances of codes; with ``rerank`` (vec_id, embedding), the best
-    ``shortlist`` x k are settled by exact distance."""
-    pairs = probes(queries, centroids, nprobe).select("query_id", "cell").join(_tables(queries, codebooks), "query_id")
-    pairs = pairs.join(codes.select("cell", "vec_id", "codes"), "cell")
-    looked = F.zip_with("lookup", "codes", lambda row, c: row[c.cast("int")])
-    total = F.aggregate(looked, F.lit(0.0), lambda acc, x: acc + x)
-    hits = pairs.select("query_id", "vec_id", F.round(total, 6).alias("distance"))
-    if rerank is None:
-        return ranked(hits, k)
-    best = ranked(hits, k * shortlist).select("query_id", "vec_id").join(rerank, "vec_id").join(queries, "query_id")
-    exact = best.select("query_id", "vec_id", F.round(distance(F.col("query_vec"), F.col("embedding")), 6).alias("distance"))
-    return ranked(exact, k)
+    ``shortlist`` x k are settled by exact distance. Looking up and choosing is done in the cell's task."""
+    books, most = queries.sparkSession.sparkContext.broadcast(_books(codebooks)), k if rerank is None else k * shortlist
+    found = by_cell(probes(queries, centroids, nprobe), codes, "codes", most, lambda q: CodeBest(q, most, books.value), _code_matrix)
+    return found if rerank is None else settle(found, queries, rerank, k)
 
 
 def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -208,11 +357,6 @@ def slice_books(cells: DataFrame, m: int) -> DataFrame:
     return cells.select(F.col("cell").alias("code"), F.inline(subs)).select("sub", "code", F.col("part").alias("center"))
 
 
-def append(encoded: DataFrame, path: str) -> None:
-    """Add a batch of encoded vectors to an index on disk, which has a folder for each cell."""
-    encoded.write.mode("append").partitionBy("cell").parquet(path)
-
-
 def merge_shards(*shards: DataFrame) -> DataFrame:
     """Index parts hold ids that are valid everywhere, so merging is a union by name."""
     out = shards[0]

@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.vectors import METRICS
-from tesserae.sources.shared import shared_path
+from tesserae.sources.shared import shared_path, written
 
-#: Queries that are searched for in one pass over the corpus; more are taken in blocks of about so many, one pass each.
+#: Queries whose distances to some vectors are computed at once.
 QUERY_BLOCK = 4096
+#: Bytes of query vectors (32 bits a number) that are searched for in one pass over the corpus; more are taken in blocks of
+#: about so many, one pass each. A task holds a block and its best hits.
+QUERY_BYTES = 256 << 20
 #: Vectors that are compared with a block at once, and pairs whose distances are settled at once.
 CHUNK, PAIRS = 1024, 1 << 17
 #: Distances are reported with this many places, which also decides what is a tie.
@@ -64,7 +67,7 @@ class Best:
     """The best ``k`` of each query among the vectors seen so far, by rounded distance and id."""
 
     def __init__(self, queries: np.ndarray, k: int, metric: str):
-        self.q, self.k, self.metric = queries, k, metric
+        self.q, self.k, self.metric = queries.astype(np.float64), k, metric
         self.worst = np.full(len(queries), np.inf)  # the distance of the last of k
         self.hits = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
@@ -72,13 +75,21 @@ class Best:
         for lo in range(0, len(ids), CHUNK):
             self._add(ids[lo : lo + CHUNK], vectors[lo : lo + CHUNK])
 
+    def near(self, v: np.ndarray) -> tuple[np.ndarray, float]:
+        """Distances of all queries to these vectors, and how far off they may be."""
+        return _near(self.q, v, self.metric)
+
+    def exact(self, r: np.ndarray, v: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """The distances of queries ``r`` to vectors ``c``."""
+        return _exact(self.q[r], v[c], self.metric)
+
     def _add(self, ids: np.ndarray, v: np.ndarray) -> None:
         # of equal vectors, only the k of least id can be among the best
         order = np.lexsort(ids[None])
         _, same = np.unique(np.ascontiguousarray(v[order]).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)
         own = order[_first_of_each(same, np.zeros(len(ids)), ids[order], self.k)]
         ids, v = ids[own], v[own]
-        d, off = _near(self.q, v, self.metric)
+        d, off = self.near(v)
         if len(ids) >= self.k:
             reach = np.minimum(self.worst, np.partition(d, self.k - 1, 1)[:, self.k - 1])
         else:
@@ -87,7 +98,7 @@ class Best:
         rows, columns = np.nonzero(d <= reach[:, None] + 2 * off + 10.0**-PLACES)
         for lo in range(0, len(rows), PAIRS):
             r, c = rows[lo : lo + PAIRS], columns[lo : lo + PAIRS]
-            exact = _exact(self.q[r], v[c], self.metric).round(PLACES) + 0.0
+            exact = self.exact(r, v, c, d).round(PLACES) + 0.0
             q, d_, i = (np.concatenate(x) for x in zip(self.hits, (r, exact, ids[c]), strict=True))
             keep = _first_of_each(q, d_, i, self.k)
             self.hits = q[keep], d_[keep], i[keep]
@@ -111,20 +122,22 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2") ->
     streams through the corpus by matrix products, so what is shuffled is tasks x queries x k rows. Distances are
     recomputed by differences for all that may be chosen and rounded to ``PLACES`` places, which also settles the order:
     equal ones, however many, go by id. Rows without a vector are in no result; a dimension that differs is an error.
-    Queries of a repeated id count as one with the vectors of all. More than ``QUERY_BLOCK`` queries are written once,
-    dealt into blocks, and each block is broadcast for a pass over the corpus.
+    Queries of a repeated id count as one with the vectors of all. Up to ``QUERY_BYTES`` of queries are broadcast for one pass
+    over the corpus; more are written once, dealt into blocks of equal size, and there is a pass for each block.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     queries = queries.select("query_id", "query_vec").filter("query_id is not null and query_vec is not null")
-    count = queries.count()
-    if count <= QUERY_BLOCK:
+    size = queries.agg(F.coalesce(F.sum(4 * F.size("query_vec").cast("long")), F.lit(0))).first()[0]
+    if size <= QUERY_BYTES:
         return ranked(_search_block(queries, corpus, k, metric), k)
-    blocks, found = -(-count // QUERY_BLOCK), None
+    blocks, found = -(-size // QUERY_BYTES), None
     path = shared_path(queries.sparkSession, "query-blocks")
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    # by the row, not by the id, which may be repeated
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     dealt.repartition("block").write.partitionBy("block").parquet(path)
     dealt = queries.sparkSession.read.schema(dealt.schema).parquet(path)
+    corpus = written(corpus.select("vec_id", "embedding"), "search-corpus")  # its own joins are made once, not for each block
     for block in range(blocks):
         one = _search_block(dealt.filter(F.col("block") == block).drop("block"), corpus, k, metric)
         found = one if found is None else found.union(one)
@@ -133,20 +146,25 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2") ->
 
 def _search_block(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
     block = queries.toArrow()
-    if len({len(x) for x in block["query_vec"].to_pylist()}) > 1:
+    if len({n.as_py() for n in pc.unique(pc.list_value_length(block["query_vec"]))}) > 1:
         raise ValueError("queries differ in dimension")
-    shared = corpus.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), _matrix(block["query_vec"]) if len(block) else np.zeros((0, 1))))
+    single = pa.types.is_float32(block["query_vec"].type.value_type)
+    q = _matrix(block["query_vec"]).astype(np.float32 if single else np.float64) if len(block) else np.zeros((0, 1))
+    shared = corpus.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
-        best = Best(q, k, metric)
+        parts = [(names[lo : lo + QUERY_BLOCK], Best(q[lo : lo + QUERY_BLOCK], k, metric)) for lo in range(0, len(names), QUERY_BLOCK)]
         for batch in batches:
-            if len(batch) and len(names):
+            if len(batch) and parts:
                 vectors = batch.column(1)
                 if pc.any(pc.not_equal(pc.list_value_length(vectors), q.shape[1])).as_py():
                     raise ValueError(f"queries have dimension {q.shape[1]}, and a vector of the corpus has another")
-                best.add(batch.column(0).to_numpy(), _matrix(vectors))
-        yield _batch(names, best)
+                ids, v = batch.column(0).to_numpy(), _matrix(vectors)
+                for _, best in parts:
+                    best.add(ids, v)
+        for own, best in parts:
+            yield _batch(own, best)
 
     rows = corpus.select(F.col("vec_id").cast("long"), "embedding").filter("vec_id is not null and embedding is not null")
     return rows.mapInArrow(run, _HITS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tesserae.functions import labels, urls, vectors
-from tesserae.operators import fetch, infer, ivf, metadata, numbering, quality, search, summary
+from tesserae.operators import fetch, index, infer, ivf, metadata, numbering, quality, search, summary
 from tesserae.plans import fixtures
 from tesserae.sources import sinks, tables
 from tesserae.sources.shared import shared_path
@@ -170,32 +170,102 @@ def ivf_full_probe(spark: SparkSession, d: str) -> DataFrame:
     return ivf.search_cells(fixtures.queries(spark, d), indexed, cells, TOP_N, NLIST)
 
 
+#: Cells of a stored index, files' buckets, cells that hold a vector, and cells that are probed: fewer than half.
+CELLS, BUCKETS, COPIES, NPROBE = 32, 8, 2, 12
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, d: str, kind: str) -> str:
+    """The folder of an index, which is built once in a session: of trained cells, or of the labels' means."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _built:
+        corpus, path = fixtures.corpus(spark, d), shared_path(spark, f"index-{kind}")
+        if kind == "trained":
+            sample = ivf.stratified_sample(corpus, "label", 0.5, 2_000, "vec_id")
+            index.create(path, ivf.train_cells(sample, CELLS), None, ivf.train_codebooks(sample, M, KSUB), BUCKETS)
+        else:
+            cells = ivf.label_cells(corpus)
+            index.create(path, cells, None, ivf.slice_books(cells, 8), BUCKETS)
+        for part in (0, 1, 2, 1):  # the last is there already
+            index.append(path, f"batch {part}", corpus.filter(F.col("vec_id") % 3 == part), COPIES if kind == "trained" else 1)
+        _built[key] = path
+    return _built[key]
+
+
+@query("index_build")
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each cell of a trained index, which is built anew."""
+    _built.pop((spark.sparkContext.applicationId, d, "trained"), None)
+    return index.sizes(spark, _stored(spark, d, "trained"))
+
+
+@query("index_search", ORACLES["ivf_label_cells"])
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    return index.search(_stored(spark, d, "labels"), fixtures.queries(spark, d), TOP_N, 3)
+
+
+@query("index_full_probe", ORACLES["knn_exact"])
+def index_full_probe(spark: SparkSession, d: str) -> DataFrame:
+    return index.search(_stored(spark, d, "trained"), fixtures.queries(spark, d), TOP_N, CELLS)
+
+
+@query("index_scope", ORACLES["knn_prefilter"])
+def index_scope(spark: SparkSession, d: str) -> DataFrame:
+    return index.search_within(_stored(spark, d, "labels"), fixtures.queries(spark, d), fixtures.metadata(spark, d), TOP_N, _scope("training")).select(*_SHOWN)
+
+
 @query("ivf_probe")
 def ivf_probe(spark: SparkSession, d: str) -> DataFrame:
-    _, cells, indexed = _trained(spark, d)
-    return ivf.search_cells(fixtures.queries(spark, d), indexed, cells, TOP_N, 6)
+    return index.search(_stored(spark, d, "trained"), fixtures.queries(spark, d), TOP_N, NPROBE)
 
 
 @query("ivfpq_search")
 def ivfpq_search(spark: SparkSession, d: str) -> DataFrame:
-    corpus, cells, indexed = _trained(spark, d)
-    books = ivf.train_codebooks(ivf.stratified_sample(corpus, "label", 0.5, 2_000, "vec_id"), M, KSUB)
-    codes = ivf.encode(indexed, books)
-    return ivf.search_codes(fixtures.queries(spark, d), codes, cells, books, TOP_N, NLIST, corpus.select("vec_id", "embedding"), 20)
+    return index.search(_stored(spark, d, "trained"), fixtures.queries(spark, d), TOP_N, NPROBE, codes=True, shortlist=20)
+
+
+@query("index_recall")
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the cells that are probed, and recall at ten by vectors and by codes."""
+    exact, out = search.top_k(fixtures.queries(spark, d), fixtures.corpus(spark, d), TOP_N), None
+    for name, found in (("vectors", ivf_probe(spark, d)), ("codes", ivfpq_search(spark, d))):
+        one = ivf.recall(exact, found, TOP_N).agg(F.round(F.avg("recall"), 6).alias("recall"))
+        one = one.select(F.lit(name).alias("by"), F.lit(NPROBE / CELLS).alias("probed"), "recall")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("recall_by_nprobe")
 def recall_by_nprobe(spark: SparkSession, d: str) -> DataFrame:
-    corpus, cells, indexed = _trained(spark, d)
-    queries = fixtures.queries(spark, d)
-    exact, out = search.top_k(queries, corpus, TOP_N), None
-    for nprobe in (1, 2, 4, NLIST):
-        one = ivf.recall(exact, ivf.search_cells(queries, indexed, cells, TOP_N, nprobe), TOP_N)
+    queries, path, out = fixtures.queries(spark, d), _stored(spark, d, "trained"), None
+    exact = search.top_k(queries, fixtures.corpus(spark, d), TOP_N)
+    for nprobe in (1, 4, NPROBE, CELLS):
+        one = ivf.recall(exact, index.search(path, queries, TOP_N, nprobe), TOP_N)
         one = one.agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(nprobe).alias("nprobe"), "recall")
         out = one if out is None else out.union(one)
     return out
 
 
+_TWO_LEVELS = f"""WITH {_hits(1).rpartition("q AS")[0].rstrip().rstrip(",")}, {_CENTERS},
+g AS (SELECT label, label * 4 + vec_id % 4 AS cell, v FROM e),
+f AS (SELECT label, cell, list(x ORDER BY p) AS v FROM (
+  SELECT label, cell, p, avg(v[p]) AS x FROM (SELECT label, cell, v, unnest(range(1, len(v) + 1)) AS p FROM g) GROUP BY label, cell, p
+) GROUP BY label, cell),
+near AS (SELECT vec_id, v, cell AS label FROM (SELECT e.vec_id, e.v, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(pow(list_distance(e.v, c.v), 2), 9), c.cell) AS r FROM e, c) WHERE r <= 2)
+SELECT vec_id, CAST(cell AS INTEGER) AS cell FROM (
+  SELECT n.vec_id, f.cell, row_number() OVER (PARTITION BY n.vec_id ORDER BY round(pow(list_distance(n.v, f.v), 2), 9), f.cell) AS r FROM near n JOIN f USING (label)) WHERE r = 1"""
+
+
+@query("two_level_cells", _TWO_LEVELS)
+def two_level_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cell of each vector by a beam of two over two levels of means: of labels, and of quarters of these."""
+    corpus = fixtures.corpus(spark, d)
+    quarter = F.col("label") * 4 + F.col("vec_id") % 4
+    fine = ivf.label_cells(corpus.withColumn("q", quarter.cast("int")), "q").withColumn("coarse", F.floor(F.col("cell") / 4).cast("int"))
+    coarse = ivf.label_cells(corpus).withColumnRenamed("cell", "coarse")
+    return ivf.assign_beam(corpus.select("vec_id", "embedding"), coarse, fine, 2).select("vec_id", "cell")
+
+
 @query(
     "index_stats",
     f"""WITH {_hits(1).rpartition("q AS")[0].rstrip().rstrip(",")}, {_CENTERS}, a AS (
@@ -373,17 +443,17 @@ def stream_bandwidth(spark: SparkSession, d: str) -> DataFrame:
     return last.select(F.unix_timestamp("hour").alias("hour"), "host", "x.n_bytes", "x.over")
 
 
-@query("stream_search", ORACLES["knn_enriched_scope_url"])
-def stream_search(spark: SparkSession, d: str) -> DataFrame:
-    corpus = fixtures.corpus(spark, d)
-    stream = fixtures.as_queries(spark.readStream.schema(corpus.schema).parquet(f"{d}/embeddings.parque[t]"))
+def _stream_search(spark: SparkSession, d: str, nprobe: int) -> DataFrame:
+    vectors = fixtures.corpus(spark, d)
+    stream = fixtures.as_queries(spark.readStream.schema(vectors.schema).parquet(f"{d}/embeddings.parque[t]"))
     out = shared_path(spark, "stream-search")
-    streams.search_on_arrival(
+    streams.search_index_on_arrival(
         stream,
-        corpus,
+        _stored(spark, d, "labels"),
         fixtures.metadata(spark, d),
         lambda hits, n: hits.write.mode("overwrite").parquet(f"{out}/hits/batch={n}"),
         f"{out}/checkpoint",
+        nprobe,
         TOP_N,
         FACTOR,
         _scope("url_only"),
@@ -391,6 +461,24 @@ def stream_search(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/hits").select(*_SHOWN)
 
 
+@query("stream_search", ORACLES["knn_enriched_scope_url"])
+def stream_search(spark: SparkSession, d: str) -> DataFrame:
+    """All cells are probed, so the hits are the exact ones."""
+    return _stream_search(spark, d, 1_000)
+
+
+@query(
+    "stream_search_probed",
+    f"""WITH p AS ({ORACLES["ivf_label_cells"].replace(f"rank <= {TOP_N}", f"rank <= {TOP_N * FACTOR}")}), {_META}, x AS (
+      SELECT h.query_id, h.vec_id, h.distance, row_number() OVER (PARTITION BY h.query_id ORDER BY h.distance, h.vec_id) AS rank, source_dataset, publisher, identifier
+      FROM p h JOIN meta m ON m.id = h.vec_id WHERE has_url
+    ) SELECT * FROM x WHERE rank <= {TOP_N}""",
+)
+def stream_search_probed(spark: SparkSession, d: str) -> DataFrame:
+    """A batch reads the files of three cells for each of its queries."""
+    return _stream_search(spark, d, 3)
+
+
 # ---- metadata pipeline
 
 
@@ -735,19 +823,30 @@ def pq_codes(spark: SparkSession, d: str) -> DataFrame:
 def pq_search(spark: SparkSession, d: str) -> DataFrame:
     """The nearest distances by codes, and how many vectors are at each: all cells are probed."""
     cells, books, codes = _coded(spark, d)
-    found = ivf.search_codes(fixtures.queries(spark, d), codes, cells, books, 10**6, cells.count())
+    return _nearest(ivf.search_codes(fixtures.queries(spark, d), codes, cells, books, 10**6, cells.count()))
+
+
+def _nearest(found: DataFrame) -> DataFrame:
     near = found.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy("distance"))).filter("r <= 50")
     return near.groupBy("query_id", (F.col("distance") + 0.0).alias("distance")).agg(F.count("*").alias("n"))
 
 
+@query("index_codes", ORACLES["pq_search"])
+def index_codes(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(index.search(_stored(spark, d, "labels"), fixtures.queries(spark, d), 10**6, 1_000, codes=True))
+
+
 @query("index_append", f"""WITH {_hits(1).rpartition("q AS")[0].rstrip().rstrip(",")}, {_CENTERS}
     SELECT vec_id, CAST(cell AS INTEGER) AS cell FROM (SELECT e.vec_id, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(pow(list_distance(e.v, c.v), 2), 9), c.cell) AS r FROM e, c) WHERE r = 1""")
 def index_append(spark: SparkSession, d: str) -> DataFrame:
-    _, _, codes = _coded(spark, d)
-    path = shared_path(spark, "index")
-    for part in (0, 1, 2):
-        ivf.append(codes.filter(F.col("vec_id") % 3 == part).select("vec_id", "cell", "codes"), path)
-    return tables.scan(spark, path, "vec_id long, codes array<short>, cell int").select("vec_id", "cell")
+    """Three batches, one of them twice, then made one."""
+    corpus, path = fixtures.corpus(spark, d), shared_path(spark, "index")
+    index.create(path, ivf.label_cells(corpus), buckets=BUCKETS)
+    for part in (0, 1, 2, 0):
+        index.append(path, f"batch {part}", corpus.filter(F.col("vec_id") % 3 == part))
+    index.compact(spark, path, "all")
+    index.vacuum(spark, path)
+    return index.scan(spark, path).select("vec_id", "cell")
 
 
 @query(

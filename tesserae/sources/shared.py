@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -18,3 +19,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+#: Rows up to which a table that was counted may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its work is done once, and a lost executor costs a read."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with the hint to broadcast it if it has at most ``most`` rows; without it, Spark shuffles for the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tesserae.operators import index
 from tesserae.operators.search import search
 
 
@@ -25,6 +26,20 @@ def search_on_arrival(
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def search_index_on_arrival(
+    stream: DataFrame, path: str, metadata: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, nprobe: int, top_n: int = 10, factor: int = 3, scope: Column | None = None
+) -> StreamingQuery:
+    """``search_on_arrival`` against a stored index: a micro-batch reads the files of its ``nprobe`` nearest cells only.
+
+    Vectors that are committed to the index between two batches are found from the next one on.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        sink(index.search_scoped(path, batch, metadata, top_n, nprobe, factor, scope), number)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def bytes_per_hour(log: DataFrame, late: str = "1 hour", limit: int | None = None, throttled: list[str] = ()) -> DataFrame:
     """(hour, host, n_bytes, over) of a fetch log (ts, host, n_bytes), as a stream or a table.
 
