@@ -161,8 +161,33 @@ def test_prediction_with_many_blocks_of_classes(spark, corpus, monkeypatch):
     names = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y"), (3, "z")], "cell int, family string")
     items = corpus.filter("vec_id < 9").select(F.col("vec_id").alias("item"), "embedding")
     want = sorted(map(tuple, infer.predict_rank(items, corpus, names, "family", 5).collect()))
-    monkeypatch.setattr(infer, "CLASS_BLOCK", 1)
-    assert sorted(map(tuple, infer.predict_rank(items, corpus, names, "family", 5).collect())) == want
+    for name, value in (("CLASS_BLOCK", 1), ("CLASS_BYTES", 64)):  # a class at a time; passes of about two classes
+        monkeypatch.setattr(infer, name, value)
+        assert sorted(map(tuple, infer.predict_rank(items, corpus, names, "family", 5).collect())) == want
+
+
+def test_prediction_by_brute_force(spark, corpus):
+    """Ties of score go by value; classes without a name take their share of the sum; only k rows an item leave a task."""
+    rng = np.random.default_rng(3)
+    classes = [(i, rng.normal(size=4).tolist()) for i in range(30)]
+    classes += [(30, classes[0][1]), (31, classes[0][1])]
+    names = {i: ["é", "b", "Z", None, "a"][i % 5] for i in range(28)} | {0: "tie2", 30: "tie1", 31: None}
+    items = [(i, rng.normal(size=4).tolist()) for i in range(20)] + [(20, classes[0][1]), (21, None)]
+    want = []
+    for i, v in items:
+        if v is None:
+            continue
+        e = [np.exp(10 * np.dot(v, c) / np.linalg.norm(v) / np.linalg.norm(c)) for _, c in classes]
+        sums = {}
+        for (cell, _), x in zip(classes, e):
+            if names.get(cell) is not None:
+                sums[names[cell]] = sums.get(names[cell], 0) + x / sum(e)
+        best = sorted(((-round(s, 6), n) for n, s in sums.items()), key=lambda x: (x[0], x[1].encode()))[:3]
+        want += [(i, n, -s, r) for r, (s, n) in enumerate(best, 1)]
+    df = spark.createDataFrame(items, "item long, embedding array<double>")
+    scores = infer.rank_scores(df, spark.createDataFrame(classes, "cell int, center array<double>"), spark.createDataFrame(list(names.items()), "cell int, rank_value string"), 3)
+    got = sorted(map(tuple, scores.collect()), key=lambda r: (r[0], -r[2], r[1].encode()))
+    assert len(got) == 63 and [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=2e-6)
 
 
 def test_a_cluster_without_a_shared_folder_is_an_error():
