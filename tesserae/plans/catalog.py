@@ -708,10 +708,28 @@ def embed_batch(spark: SparkSession, d: str) -> DataFrame:
 def fetch_batch(spark: SparkSession, d: str) -> DataFrame:
     pages = fixtures.table(spark, d, "pages").select("page_id", "url")
     planned = fetch.plan(pages, "url", "page_id", fixtures.THROTTLED_HOSTS)
-    got = fetch.fetch(planned, lambda address: (200, address.encode(), None), "url", "page_id", 8)
+    got = fetch.fetch(planned, _echo, "url", "page_id", 8, clock=fetch.Simulated())
     return got.select("page_id", "image_status", "n_bytes")
 
 
+def _echo(address: str) -> tuple[int, bytes, None]:
+    return 200, address.encode(), None
+
+
+@query(
+    "fetch_paced",
+    f"""WITH r AS (SELECT page_id, url, {_HOST} AS host, {_ROUTE} AS route FROM pages),
+    u AS (SELECT url, host, row_number() OVER (PARTITION BY host ORDER BY min(page_id), url) - 1 AS nth FROM r WHERE route = 'rate_limited' GROUP BY url, host)
+    SELECT page_id, host, CAST(nth AS DOUBLE) AS fetched_at FROM r JOIN u USING (url, host)""",
+)
+def fetch_paced(spark: SparkSession, d: str) -> DataFrame:
+    """When the urls of throttled hosts are requested, by a clock that passes by waiting alone: one a second and host."""
+    pages = fixtures.table(spark, d, "pages").select("page_id", "url")
+    slow = fetch.plan(pages, "url", "page_id", fixtures.THROTTLED_HOSTS).filter("route = 'rate_limited'")
+    got = fetch.fetch(slow, _echo, "url", "page_id", 8, clock=fetch.Simulated()).select("page_id", "fetched_at")
+    return slow.select("page_id", urls.host(F.col("url")).alias("host")).join(got, "page_id")
+
+
 @query("sorted_layout", "SELECT doc_id, source, lang, row_number() OVER (ORDER BY source NULLS LAST, lang NULLS LAST, doc_id) - 1 AS position FROM documents")
 def sorted_layout(spark: SparkSession, d: str) -> DataFrame:
     docs = fixtures.table(spark, d, "documents").select("doc_id", "source", "lang")

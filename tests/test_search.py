@@ -228,10 +228,10 @@ def test_fetching(spark):
     df = spark.createDataFrame(list(enumerate(names)), "id long, u string")
     planned = fetch.plan(df, "u", "id", ["slow.org"], 2.0)
     assert {r["id"]: r["start_offset_s"] for r in planned.collect()} == {0: 0, 1: 0, 2: 0.5, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
-    got = {r["id"]: (r["image_status"], r["n_bytes"]) for r in fetch.fetch(planned, fake, "u", "id", 3).collect()}
+    got = {r["id"]: (r["image_status"], r["n_bytes"]) for r in fetch.fetch(planned, fake, "u", "id", 3, clock=fetch.Simulated()).collect()}
     assert got == {0: ("ok", 3), 1: ("rate_limited", 0), 2: ("rate_limited", 0), 3: ("timeout", 0), 4: ("error:" + "x" * 80, 0), 5: ("http_404", 0), 6: ("no_url", 0), 7: ("no_url", 0)}
     some = df.withColumn("image", F.when(F.col("id") == 0, F.lit(b"old")))
-    filled = {r["id"]: r["image"] for r in fetch.fill_missing(some, lambda a: (200, b"new", None), "u", "id", []).collect()}
+    filled = {r["id"]: r["image"] for r in fetch.fill_missing(some, lambda a: (200, b"new", None), "u", "id", [], clock=fetch.Simulated()).collect()}
     assert bytes(filled[0]) == b"old" and bytes(filled[1]) == b"new" and filled[6] is None
 
 
