@@ -33,7 +33,7 @@ SHARD_ROWS = 2_500
 ROUNDS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.0
 RANGE = 1 << 16
-_CHANGES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())])
+_CHANGES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), ("packed", pa.binary()), ("values", pa.binary())])
 _MARK = np.zeros(256, bool)
 _MARK[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _KINDS = arrays.mix(np.arange(1, 5, dtype=np.uint64))
@@ -63,9 +63,12 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _fit(table: pa.Table, start: tuple[np.ndarray, np.ndarray] | None) -> pa.Table:
-    """One group's pass: the changes of all states by it, in packed ranges of slots. Slot ``SLOTS`` is the bias."""
-    before = start or (np.zeros(SLOTS + 1), np.zeros(SLOTS + 1))
-    z, n = (x.copy() for x in before)
+    """One group's pass: the changes of all states by it, in packed ranges of slots. Slot ``SLOTS`` is the bias.
+
+    Features of one document whose weights are zero change alike, so a range has few different changes: each is sent once.
+    """
+    z, n = start or (np.zeros(SLOTS + 1), np.zeros(SLOTS + 1))
+    more_z, more_n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
     table = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
     labels = table["label"].to_numpy()
     for piece in arrays.pieces(table["text"]):
@@ -74,18 +77,21 @@ def _fit(table: pa.Table, start: tuple[np.ndarray, np.ndarray] | None) -> pa.Tab
         slots, edge = slots[order], np.searchsorted(docs[order], np.arange(piece.hi - piece.lo + 1))
         for d in range(piece.hi - piece.lo):
             at = np.append(np.unique(slots[edge[d] : edge[d + 1]]), SLOTS)
-            w = _weights(z[at], n[at])
+            n_at = n[at] + more_n[at]
+            w = _weights(z[at] + more_z[at], n_at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - labels[piece.lo + d]
-            more = np.sqrt(n[at] + g * g)
-            z[at] += g - (more - np.sqrt(n[at])) / ALPHA * w
-            n[at] += g * g
-    at = np.flatnonzero(n != before[1])
+            more_z[at] += g - (np.sqrt(n_at + g * g) - np.sqrt(n_at)) / ALPHA * w
+            more_n[at] += g * g
+    at = np.flatnonzero(more_n)
     edges = np.searchsorted(at, np.arange(0, SLOTS + RANGE + 1, RANGE))
-    rows = [
-        {"part": i, "shard": table["shard"][0].as_py(), "n": int(y - x), "packed": arrays.packed(at[x:y], *(a[at[x:y]] - b[at[x:y]] for a, b in ((z, before[0]), (n, before[1]))))}
-        for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True))
-        if y > x
-    ]
+    rows = []
+    for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if y > x:
+            own = at[x:y]
+            pairs, which = np.unique(more_z[own] + 1j * more_n[own], return_inverse=True)
+            packed = arrays.packed(np.diff(own - i * RANGE, prepend=0).astype(np.uint16), which.astype(np.uint16))
+            about = {"part": i, "shard": table["shard"][0].as_py(), "n": len(own), "m": len(pairs)}
+            rows.append(about | {"packed": packed, "values": arrays.packed(pairs.real, pairs.imag)})
     return pa.Table.from_pylist(rows, schema=_CHANGES)
 
 
@@ -93,10 +99,12 @@ def _added(table: pa.Table) -> pa.Table:
     """A range of slots: the sum of all groups' changes, in the order of the groups."""
     table = table.sort_by("shard")
     z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
-    for size, packed in zip(table["n"].to_pylist(), table["packed"], strict=True):
-        at, more_z, more_n = arrays.unpacked(packed.as_py(), size, np.int64, np.float64, np.float64)
-        z[at] += more_z
-        n[at] += more_n
+    for r in table.to_pylist():
+        step, which = arrays.unpacked(r["packed"], r["n"], np.uint16, np.uint16)
+        more_z, more_n = arrays.unpacked(r["values"], r["m"], np.float64, np.float64)
+        at = np.cumsum(step.astype(np.int64)) + r["part"] * RANGE
+        z[at] += more_z[which]
+        n[at] += more_n[which]
     at = np.flatnonzero(n)
     return pa.table({"n": pa.array([len(at)], pa.int32()), "packed": pa.array([arrays.packed(at, z[at], n[at])], pa.binary())})
 
@@ -127,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     state: tuple[np.ndarray, np.ndarray] | None = None
     for _ in range(ROUNDS):
         parts = rows.groupBy("shard").applyInArrow(
-            _pass(spark.sparkContext.broadcast(state)), "part int, shard int, n int, packed binary"
+            _pass(spark.sparkContext.broadcast(state)), "part int, shard int, n int, m int, packed binary, values binary"
         )
         sums = parts.groupBy("part").applyInArrow(_added, "n int, packed binary").toArrow()
         z, n = (x.copy() for x in state) if state else (np.zeros(SLOTS + 1), np.zeros(SLOTS + 1))

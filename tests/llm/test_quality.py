@@ -214,3 +214,49 @@ def test_sites_without_labels(spark):
     docs = helpers.documents(spark, [(1, "a b", None, "s")])
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r["_p"] for r in site_quality.document_evidence(docs, none, "text", "quality", "doc_id").collect()] == [0.5]
+
+
+def plain_ftrl(shards, rounds):
+    """FTRL from dictionaries: a pass over each shard, then the mean of the states."""
+    z, n = Counter(), Counter()
+    weight = lambda z, n: 0.0 if abs(z) <= toxicity.L1 else -(z - math.copysign(toxicity.L1, z)) / ((toxicity.BETA + math.sqrt(n)) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(rounds):
+        sum_z, sum_n = Counter(), Counter()
+        for rows in shards:
+            own_z, own_n = Counter(z), Counter(n)
+            for features, label in rows:
+                w = {f: weight(own_z[f], own_n[f]) for f in features}
+                g = 1 / (1 + math.exp(-sum(w.values()))) - label
+                for f in features:
+                    own_z[f] += g - (math.sqrt(own_n[f] + g * g) - math.sqrt(own_n[f])) / toxicity.ALPHA * w[f]
+                    own_n[f] += g * g
+            for total, now in ((sum_z, own_z), (sum_n, own_n)):
+                for f, x in now.items():
+                    total[f] += x
+        z, n = ({f: x / len(shards) for f, x in t.items()} for t in (sum_z, sum_n))
+        z, n = Counter(z), Counter(n)
+    return {f: weight(z[f], n[f]) for f in z}
+
+
+def text_features(text):
+    w = [x.strip("!,.") or x for x in helpers.words((text or "").translate(helpers.LOWER))]
+    return {("bias",), *[(1, x) for x in w], *[(gap + 1, a, b) for gap in (1, 2, 3) for a, b in zip(w, w[gap:])]}
+
+
+def test_ftrl_by_brute_force(spark, monkeypatch):
+    """States of three groups, their mean over the rounds, and the scores of all texts, by dictionaries."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 40)
+    rows = [(i, helpers.sentence(i, 25, 60) + (" You awful, Fool!" if i % 3 == 0 else " good day."), "en", "s") for i in range(120)]
+    docs = helpers.documents(spark, helpers.awkward(rows))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["_score"] for r in toxicity.score(docs, toxicity.train(docs, labels), "text", "doc_id").collect()}
+    order = {r["doc_id"]: r["h"] for r in labels.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    shards = [[] for _ in range(3)]
+    for i in sorted(order, key=order.get):
+        shards[order[i] % 3].append((text_features(rows[i][1]), int(i % 3 == 0)))
+    weights = plain_ftrl(shards, toxicity.ROUNDS)
+    assert sum(w != 0 for w in weights.values()) >= 5
+    for i, text, *_ in helpers.awkward(rows):
+        if i != 9005 and i != 9004:  # other marks than those stripped here; a text that meets other texts' slots
+            total = sum(weights.get(f, 0.0) for f in text_features(text))
+            assert math.isclose(got[i], 1 / (1 + math.exp(-total)), abs_tol=2e-6), i
