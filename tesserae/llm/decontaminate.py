@@ -226,9 +226,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", *keep: str
             F.lit(0).alias("_n_shingles"),
             F.lit(0).alias("_n_matched"),
         ).limit(0)
-    placed, found = leaks(docs.select(*dict.fromkeys([*keep, text])), bench, text)
-    return placed.select("_row", *keep).join(found, "_row").select(
-        *keep,
+    inside, name, _ = shield(docs.select(*dict.fromkeys([*keep, text])))
+    placed, found = leaks(inside, bench, name(text))
+    return placed.select("_row", *[name(c) for c in keep]).join(found, "_row").select(
+        *[F.col(name(c)).alias(c) for c in keep],
         F.col("item_id").alias("_item_id"),
         F.col("n_shingles").alias("_n_shingles"),
         F.col("n_matched").alias("_n_matched"),

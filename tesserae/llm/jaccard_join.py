@@ -17,8 +17,8 @@ members already are in one component are not tried, so the table of all links is
    group of near copies costs a few pairs a member, and no link between different components can be missed.
 
 Shingles are told apart by 64-bit hashes everywhere.
-Null and empty texts have an empty set, link to nothing, and are their own component. Very long texts are whole pieces. Rows that share an id are one
-node. Rows without an id are nodes by their text, with numbers from ``NO_ID`` on, above all ids. An empty table gives an
+Null and empty texts have an empty set, link to nothing, and are their own component. Very long texts are whole pieces. Rows
+that share an id are one node: all texts of an id, an empty one too, are in one component, and so is what any of them links to. Rows without an id are nodes by their text, with numbers from ``NO_ID`` on, above all ids. An empty table gives an
 empty result.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import arrays
-from tesserae.llm.common import NO_ID, discard, node, stage, text_size
+from tesserae.llm.common import NO_ID, checked_broadcast, discard, node, stage, text_size
 
 WIDTH = 5
 PERCENT = 75
@@ -295,6 +295,12 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         .select("sizes", "one", "two", "first.*"),
         "join-sets", size,
     )
+    # ids with more than one set: each of their sets is linked by them
+    about_set = F.struct("sizes", "one", "two")
+    several = about.groupBy("ids").agg(F.min(about_set).alias("least"), F.max(about_set).alias("most")).filter("least <> most")
+    own = about.filter("sizes > 0").join(several.select("ids"), "ids", "left_semi").select(F.col("ids").alias("a"), "sizes", "one", "two")
+    own = own.join(sets.select("sizes", "one", "two", F.col("ids").alias("b")), ["sizes", "one", "two"]).select("a", "b").distinct()
+    own = stage(own, "join-ids", size)
     leads = sets.groupBy("bundle").agg(F.collect_list("at").alias("lead"))
     shared = sent.select("bundle", "bucket", "packed", "size", "ids", "sizes")
     live = (
@@ -334,7 +340,7 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
     inside = members.filter("g != id").select(F.col("g").alias("a"), F.col("id").alias("b"))
     tried = stage(starred.union(inside).distinct(), "join-pairs", size)
-    links = stage(_links(tried, live), "join-links", size)
+    links = stage(_links(tried, live).union(own.filter("a <> b")), "join-links", size)
     found = components(links, size)
 
     # what is left: groups that share a key, or members of one group, in different components
@@ -374,12 +380,15 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         found = components(links, size)
 
     discard(live, groups, members, postings, tried, span_of, crowd, left_over, more, links)
+    # the empty texts of an id that has sets, too, are the same node
+    empty = own.select("a").distinct().join(found.withColumnRenamed("id", "a"), "a").select(F.col("a").alias("ids"), F.col("component").alias("_of_id"))
     # every row has the component of its set's first row; rows of one id are one node
     sets = sets.join(found.withColumnRenamed("id", "ids"), "ids", "left")
     of_set = sets.select("sizes", "one", "two", F.coalesce("component", "ids").alias("_component"))
     # copies of a set may be many, so its row goes to every salt
     of_set = of_set.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     about = about.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"))
-    return about.join(of_set, ["sizes", "one", "two", "salt"], "left").select(
-        F.col("ids").alias("_id"), F.col("sizes").alias("_n_shingles"), F.coalesce("_component", "ids").alias("_component")
+    placed = about.join(of_set, ["sizes", "one", "two", "salt"], "left").join(checked_broadcast(empty), "ids", "left")
+    return placed.select(
+        F.col("ids").alias("_id"), F.col("sizes").alias("_n_shingles"), F.coalesce("_component", "_of_id", "ids").alias("_component")
     )

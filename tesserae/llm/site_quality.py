@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import stage
+from tesserae.llm.common import shield, stage
 from tesserae.llm.quality_rules import measure
 from tesserae.llm.url_filter import host_of, path_of
 
@@ -97,7 +97,10 @@ def _logit(p: Column) -> Column:
 
 
 def combine(evidence: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Rows with ``_host``, ``_path`` and ``_p`` get ``_host_mean``, ``_path_mean``, ``_score`` and ``_kept``."""
+    """Rows with ``_host``, ``_path`` and ``_p`` get ``_host_mean``, ``_path_mean``, ``_score`` and ``_kept``; their other
+    columns may have any names but these."""
+    inside, name, back = shield(evidence)
+    evidence = inside.withColumns({c: F.col(name(c)) for c in ("_host", "_path", "_p")})
     paths = stage(
         evidence.groupBy("_host", "_path").agg(
             F.count("*").alias("n"), F.sum("_p").alias("s"), F.sum(F.col("_p") * F.col("_p")).alias("q")
@@ -113,16 +116,13 @@ def combine(evidence: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     sites = nested.select("_host", "_path", "n", "s", "_host_mean").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    dealt = evidence.withColumn("_salt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int"))
+    dealt = evidence.withColumn("_salt", F.pmod(F.xxhash64(name(doc_id)), F.lit(SALTS)).cast("int"))
     found = dealt.join(sites, ["_host", "_path", "_salt"])
     own = (F.col("s") - F.col("_p") + of_path * F.col("_host_mean")) / (F.col("n") - 1 + of_path)
     own = F.greatest(F.lit(0.001), F.least(F.lit(0.999), own))
     odds = _logit(F.col("_p")) + _logit(own) - _logit(F.lit(min(0.999, max(0.001, mean))))
-    return (
-        found.withColumns({"_path_mean": own, "_score": 1 / (1 + F.exp(-odds))})
-        .withColumn("_kept", F.col("_score") >= THRESHOLD)
-        .drop("_salt", "n", "s")
-    )
+    scored = found.withColumns({"_path_mean": own, "_score": 1 / (1 + F.exp(-odds))}).withColumn("_kept", F.col("_score") >= THRESHOLD)
+    return back(scored, new=["_host_mean", "_path_mean", "_score", "_kept"])
 
 
 def site_of(docs: DataFrame, pages: DataFrame, url: str = "url", page_id: str = "page_id") -> DataFrame:

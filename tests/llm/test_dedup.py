@@ -127,6 +127,16 @@ def test_links_of_repeated_rows_and_rows_without_id(spark):
     assert jaccard_join.link_components(helpers.documents(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    """Copies of two texts under ids that chain; near copies behind a shared id; an empty text of an id that has others."""
+    a, b, c, d = (helpers.sentence(i, 40) for i in range(4))
+    rows = [(3, a), (7, a), (7, b), (9, b), (20, c), (21, edited(c, 5)), (21, d), (30, edited(d, 9)), (30, None), (31, ""), (31, "lone words only"), (40, ""), (40, None)]
+    for parts in (1, 5):
+        got = jaccard_join.link_components(helpers.documents(spark, rows).repartition(parts)).collect()
+        want = {3: 3, 7: 3, 9: 3, 20: 20, 21: 20, 30: 20, 31: 31, 40: 40}
+        assert sorted((r["_id"], r["_component"]) for r in got) == sorted((i, want[i]) for i, _ in rows)
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["id"]: r["component"] for r in jaccard_join.components(chain).collect()}
@@ -171,6 +181,17 @@ def test_leaks(spark, monkeypatch, inline):
     assert sorted(map(str, [r["doc_id"] for r in clean.collect()])) == sorted(str(i) for i, _ in docs if i not in dirty)
 
 
+def test_leaks_keep_columns_of_any_name(spark):
+    docs, items = leak_rows()
+    table = helpers.documents(spark, docs).selectExpr("doc_id", "text", "1 as item_id", "2 as _row", "3 as item", "4 as h", "5 as _padded")
+    names = ["doc_id", "item_id", "_row", "item", "h", "_padded"]
+    found = decontaminate.find_leaks(table, spark.createDataFrame(items, "item_id long, text string"), "text", *names)
+    assert found.columns == [*names, "_item_id", "_n_shingles", "_n_matched"]
+    rows = found.collect()
+    assert sorted(((r["doc_id"], r["_item_id"], r["_n_shingles"], r["_n_matched"]) for r in rows), key=str) == contained(docs, items)
+    assert {tuple(r)[1:6] for r in rows} == {(1, 2, 3, 4, 5)}
+
+
 def test_leaks_of_many_items_and_scattered_ones(spark):
     """2,000 items, far above what the expression takes; items whole, edited, and in pieces all over a document."""
     items = [(j, helpers.sentence(5000 + j, 40 + j % 60)) for j in range(2000)]

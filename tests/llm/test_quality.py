@@ -112,13 +112,12 @@ def test_perplexity_by_brute_force(spark, monkeypatch):
     seed = np.full(256, quality_rules._seed("sen"))
     for context in (b"w00 ", b"zzzz", bytes(4)):
         code = (int.from_bytes(context, "big") << 8) + np.arange(256)
-        assert math.isclose((10.0 ** model.score(seed, code)).sum(), 1, rel_tol=1e-4)
-    monkeypatch.setattr(quality_rules, "MOST_ENTRIES", 100)
-    monkeypatch.setattr(quality_rules, "FOLDED", 6)
-    folded = quality_rules.train(docs)
-    assert len(folded.keys) <= 1 << 6 and folded.bits == 6
-    assert all(math.isfinite(r["_perplexity"]) for r in quality_rules.measure(docs, folded, "text", "doc_id").collect())
-
+        assert math.isclose((10.0 ** model[0].score(seed, code)).sum(), 1, rel_tol=1e-4)
+    monkeypatch.setattr(quality_rules, "MOST_ENTRIES", 10)
+    parts = quality_rules.train(docs)
+    assert len(model) == 1 and len(parts) == 4  # an array for each language, and the same figures
+    want = {r["doc_id"]: r["_perplexity"] for r in quality_rules.measure(docs, model, "text", "doc_id").collect()}
+    assert want == {r["doc_id"]: r["_perplexity"] for r in quality_rules.measure(docs, parts, "text", "doc_id").collect()}
 
 def test_empty_table(spark):
     docs = helpers.documents(spark, [(1, "a", "en")]).limit(0)
@@ -193,6 +192,45 @@ def test_sites_of_single_documents_and_equal_figures(spark):
     assert toxicity.score(none, toxicity.train(none, labels.withColumnRenamed("quality", "toxic")), "text", "doc_id").count() == 0
 
 
+def plain_sites(rows):
+    """Posteriors and scores of (host, path, p) from the formulas: moments, shrinkage, and odds without a document's own p."""
+
+    def strength(groups, prior):
+        n, total = sum(len(g) for g in groups), len(groups)
+        within = max(sum(sum(x * x for x in g) - sum(g) ** 2 / len(g) for g in groups), 1e-9) / max(n - total, 1)
+        between = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in zip(groups, prior))
+        spread = (between - (total - 1) * within) / max(n - sum(len(g) ** 2 for g in groups) / n, 1.0)
+        return min(1e6, max(site_quality.LEAST_STRENGTH, within / max(spread, within / 1e6)))
+
+    hosts, paths = {}, {}
+    for host, path, p in rows:
+        hosts.setdefault(host, []).append(p)
+        paths.setdefault((host, path), []).append(p)
+    mean = sum(p for _, _, p in rows) / len(rows)
+    of_host = strength(list(hosts.values()), [mean] * len(hosts))
+    host_mean = {h: (sum(g) + of_host * mean) / (len(g) + of_host) for h, g in hosts.items()}
+    of_path = strength(list(paths.values()), [host_mean[h] for h, _ in paths])
+    logit, cut = (lambda p: math.log(p / (1 - p))), (lambda p: max(0.001, min(0.999, p)))
+    for host, path, p in rows:
+        g = paths[host, path]
+        own = cut((sum(g) - p + of_path * host_mean[host]) / (len(g) - 1 + of_path))
+        yield host_mean[host], own, 1 / (1 + math.exp(-(logit(p) + logit(own) - logit(cut(mean)))))
+
+
+def test_site_posteriors_by_brute_force(spark):
+    """Also beside columns that are named like those within, which stay as they are."""
+    rng = np.random.default_rng(2)
+    rows = [(f"h{h}", f"/{k % 4}", float(rng.beta(1 + h, 4).round(3).clip(0.001, 0.999))) for h in range(6) for k in range(2 + 5 * h)]
+    names = ["n", "s", "q", "hn", "hs", "_salt", "_host_mean", "c0"]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, _host string, _path string, _p double").selectExpr("*", *[f"'x' as {c}" for c in names])
+    found = site_quality.combine(table)
+    assert found.columns == ["doc_id", "_host", "_path", "_p", *[c for c in names if c != "_host_mean"], "_host_mean", "_path_mean", "_score", "_kept"]
+    got = {r["doc_id"]: r for r in found.collect()}
+    for i, want in enumerate(plain_sites(rows)):
+        assert np.allclose([got[i][c] for c in ("_host_mean", "_path_mean", "_score")], want, atol=1e-9)
+        assert got[i]["_kept"] == (got[i]["_score"] >= 0.5) and got[i]["n"] == got[i]["_salt"] == "x"
+
+
 def test_site_posteriors_improve_on_noisy_documents(spark):
     """Sites differ, single documents tell little: shrunk posteriors of path and host make fewer mistakes than documents alone."""
     rng = np.random.default_rng(11)
