@@ -220,7 +220,7 @@ def plain_sites(rows):
 def test_site_posteriors_by_brute_force(spark):
     """Also beside columns that are named like those within, which stay as they are."""
     rng = np.random.default_rng(2)
-    rows = [(f"h{h}", f"/{k % 4}", float(rng.beta(1 + h, 4).round(3).clip(0.001, 0.999))) for h in range(6) for k in range(2 + 5 * h)]
+    rows = [(f"h{h}", f"/{k % 4}", float(np.clip(round(rng.beta(1 + h, 4), 3), 0.001, 0.999))) for h in range(6) for k in range(2 + 5 * h)]
     names = ["n", "s", "q", "hn", "hs", "_salt", "_host_mean", "c0"]
     table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, _host string, _path string, _p double").selectExpr("*", *[f"'x' as {c}" for c in names])
     found = site_quality.combine(table)
