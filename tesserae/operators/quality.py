@@ -75,12 +75,13 @@ def in_domain(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
 
 
 def flag_counts(source: DataFrame, output: DataFrame, flag: str) -> DataFrame:
-    """Counts of the flag on both sides. A source without the column is skipped, an output without it fails."""
-    spark = source.sparkSession
+    """Counts of the flag on both sides. A source without the column is skipped, with the rows that are left unchecked; an
+    output without it fails, if the source has the flag in any row."""
     if flag not in source.columns:
-        return spark.createDataFrame([(f"{flag}_count", True, "skipped", "skipped")], SCHEMA)
+        unchecked = F.concat(F.lit("skipped "), F.col("n").cast("string"))
+        return _row(output.agg(F.count("*").alias("n")), f"{flag}_count", F.lit(True), unchecked, F.lit("skipped"))
     if flag not in output.columns:
-        return spark.createDataFrame([(f"{flag}_count", False, "missing", "present")], SCHEMA)
+        return _row(source.agg(F.count_if(flag).alias("n")), f"{flag}_count", F.col("n") == 0, F.lit("missing"), F.col("n"))
     both = source.agg(F.count_if(flag).alias("a")).join(output.agg(F.count_if(flag).alias("b")))
     return _row(both, f"{flag}_count", F.col("a") == F.col("b"), F.col("b"), F.col("a"))
 
@@ -115,6 +116,15 @@ def types_as_declared(df: DataFrame, declared: StructType, spark: SparkSession)
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def values_fit(df: DataFrame, declared: StructType) -> DataFrame:
+    """One row for each declared column that the table has: observed is how many values its type can't hold. One pass."""
+    own = [f for f in declared if f.name in df.columns]
+    lost = [F.count_if(F.col(f.name).isNotNull() & ~F.col(f.name).eqNullSafe(F.col(f.name).try_cast(f.dataType))).alias(f"n{i}") for i, f in enumerate(own)]
+    rows = F.explode(F.array(*[F.struct(F.lit(f"values_{f.name}").alias("name"), F.col(f"n{i}").alias("n")) for i, f in enumerate(own)]))
+    counted = df.agg(*lost).select(rows.alias("x")).select("x.*")
+    return counted.select(F.col("name").alias("check"), (F.col("n") == 0).alias("passed"), F.col("n").cast("string").alias("observed"), F.lit("0").alias("expected"))
+
+
 def missing_columns(df: DataFrame, required: list[str]) -> set[str]:
     return set(required) - set(df.columns)
 

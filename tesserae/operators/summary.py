@@ -49,6 +49,26 @@ def children(df: DataFrame, parent: list[str], rank: str) -> DataFrame:
     return counted.withColumn("position", F.row_number().over(order).cast("long"))
 
 
+def tree(df: DataFrame, ranks: list[str]) -> DataFrame:
+    """(``ranks``, depth, leaf_paths, line) of every node below the root: a drawn tree, siblings in the order of code points.
+
+    ``line`` is the node's line, with the number of leaf paths below it; lines stand in the order of ``ranks``, where the ranks
+    below a node are null and come first. Null and '' are ``Unknown``. Whether a node is its parent's last child is one maximum
+    for each parent, so siblings aren't ranked in one task.
+    """
+    nodes = hierarchy(df, ranks).filter("depth > 0").drop("n_rows")
+    for d, rank in enumerate(ranks, 1):
+        top = nodes.filter(F.col("depth") == d).groupBy(*ranks[: d - 1]).agg(F.max(rank).alias("_last"))
+        # above the first rank there is one parent, whose maximum is a row
+        nodes = nodes.join(top, ranks[: d - 1], "left") if d > 1 else nodes.join(F.broadcast(top))
+        nodes = nodes.withColumn(f"_last{d}", F.col(rank) == F.col("_last")).drop("_last")
+    stem = F.concat(*[F.when(F.col("depth") <= d, "").when(F.col(f"_last{d}"), "    ").otherwise("│   ") for d in range(1, len(ranks) + 1)])
+    fork = F.when(F.coalesce(*[F.when(F.col("depth") == d, F.col(f"_last{d}")) for d in range(1, len(ranks) + 1)]), "└── ").otherwise("├── ")
+    name = F.coalesce(*[F.when(F.col("depth") == d, F.col(rank)) for d, rank in enumerate(ranks, 1)])
+    line = F.concat(stem, fork, name, F.lit(" ("), F.col("leaf_paths").cast("string"), F.lit(")"))
+    return nodes.select(*ranks, "depth", "leaf_paths", line.alias("line"))
+
+
 def status_summary(outcomes: DataFrame, status: str = "image_status") -> DataFrame:
     ok, no_url = F.col(status) == "ok", F.col(status) == "no_url"
     return outcomes.agg(

@@ -175,7 +175,7 @@ CELLS, BUCKETS, COPIES, NPROBE = 32, 8, 2, 12
 _built: dict[tuple[str, str, str], str] = {}
 
 
-def _stored(spark: SparkSession, d: str, kind: str) -> str:
+def stored(spark: SparkSession, d: str, kind: str) -> str:
     """The folder of an index, which is built once in a session: of trained cells, or of the labels' means."""
     key = (spark.sparkContext.applicationId, d, kind)
     if key not in _built:
@@ -196,32 +196,32 @@ def _stored(spark: SparkSession, d: str, kind: str) -> str:
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each cell of a trained index, which is built anew."""
     _built.pop((spark.sparkContext.applicationId, d, "trained"), None)
-    return index.sizes(spark, _stored(spark, d, "trained"))
+    return index.sizes(spark, stored(spark, d, "trained"))
 
 
 @query("index_search", ORACLES["ivf_label_cells"])
 def index_search(spark: SparkSession, d: str) -> DataFrame:
-    return index.search(_stored(spark, d, "labels"), fixtures.queries(spark, d), TOP_N, 3)
+    return index.search(stored(spark, d, "labels"), fixtures.queries(spark, d), TOP_N, 3)
 
 
 @query("index_full_probe", ORACLES["knn_exact"])
 def index_full_probe(spark: SparkSession, d: str) -> DataFrame:
-    return index.search(_stored(spark, d, "trained"), fixtures.queries(spark, d), TOP_N, CELLS)
+    return index.search(stored(spark, d, "trained"), fixtures.queries(spark, d), TOP_N, CELLS)
 
 
 @query("index_scope", ORACLES["knn_prefilter"])
 def index_scope(spark: SparkSession, d: str) -> DataFrame:
-    return index.search_within(_stored(spark, d, "labels"), fixtures.queries(spark, d), fixtures.metadata(spark, d), TOP_N, _scope("training")).select(*_SHOWN)
+    return index.search_within(stored(spark, d, "labels"), fixtures.queries(spark, d), fixtures.metadata(spark, d), TOP_N, _scope("training")).select(*_SHOWN)
 
 
 @query("ivf_probe")
 def ivf_probe(spark: SparkSession, d: str) -> DataFrame:
-    return index.search(_stored(spark, d, "trained"), fixtures.queries(spark, d), TOP_N, NPROBE)
+    return index.search(stored(spark, d, "trained"), fixtures.queries(spark, d), TOP_N, NPROBE)
 
 
 @query("ivfpq_search")
 def ivfpq_search(spark: SparkSession, d: str) -> DataFrame:
-    return index.search(_stored(spark, d, "trained"), fixtures.queries(spark, d), TOP_N, NPROBE, codes=True, shortlist=20)
+    return index.search(stored(spark, d, "trained"), fixtures.queries(spark, d), TOP_N, NPROBE, codes=True, shortlist=20)
 
 
 @query("index_recall")
@@ -237,7 +237,7 @@ def index_recall(spark: SparkSession, d: str) -> DataFrame:
 
 @query("recall_by_nprobe")
 def recall_by_nprobe(spark: SparkSession, d: str) -> DataFrame:
-    queries, path, out = fixtures.queries(spark, d), _stored(spark, d, "trained"), None
+    queries, path, out = fixtures.queries(spark, d), stored(spark, d, "trained"), None
     exact = search.top_k(queries, fixtures.corpus(spark, d), TOP_N)
     for nprobe in (1, 4, NPROBE, CELLS):
         one = ivf.recall(exact, index.search(path, queries, TOP_N, nprobe), TOP_N)
@@ -443,13 +443,39 @@ def stream_bandwidth(spark: SparkSession, d: str) -> DataFrame:
     return last.select(F.unix_timestamp("hour").alias("hour"), "host", "x.n_bytes", "x.over")
 
 
+_LIMIT = 4 * 1048576
+_CROSSED = f"""WITH {_LOG}, s AS (
+  SELECT date_trunc('hour', ts) AS hour, host, date_trunc('second', ts) AS second, sum(n_bytes) AS n FROM log WHERE host = 'slow.example.org' GROUP BY 1, 2, 3
+), t AS (SELECT *, sum(n) OVER (PARTITION BY hour, host ORDER BY second) AS total FROM s)
+SELECT CAST(epoch(hour) AS BIGINT) AS hour, host, CAST(epoch(min(second)) AS BIGINT) AS second, CAST(min(total) AS BIGINT) AS n_bytes FROM t WHERE total > {_LIMIT} GROUP BY 1, 2"""
+
+
+def _seconds(found: DataFrame) -> DataFrame:
+    return found.select(F.unix_timestamp("hour").alias("hour"), "host", F.unix_timestamp("second").alias("second"), "n_bytes")
+
+
+@query("alarms", _CROSSED)
+def alarms(spark: SparkSession, d: str) -> DataFrame:
+    return _seconds(streams.first_crossings(fixtures.fetch_log(spark, d), _LIMIT, ["slow.example.org"]))
+
+
+@query("stream_alarms", _CROSSED)
+def stream_alarms(spark: SparkSession, d: str) -> DataFrame:
+    events = fixtures.table(spark, d, "events")
+    log = fixtures.as_fetch_log(spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]"))
+    out = shared_path(spark, "stream-alarms")
+    each = lambda b, n: b.write.mode("overwrite").parquet(f"{out}/alarms/batch={n}")
+    streams.start_alarms(log, each, f"{out}/checkpoint", _LIMIT, ["slow.example.org"]).awaitTermination()
+    return _seconds(spark.read.parquet(f"{out}/alarms"))
+
+
 def _stream_search(spark: SparkSession, d: str, nprobe: int) -> DataFrame:
     vectors = fixtures.corpus(spark, d)
     stream = fixtures.as_queries(spark.readStream.schema(vectors.schema).parquet(f"{d}/embeddings.parque[t]"))
     out = shared_path(spark, "stream-search")
     streams.search_index_on_arrival(
         stream,
-        _stored(spark, d, "labels"),
+        stored(spark, d, "labels"),
         fixtures.metadata(spark, d),
         lambda hits, n: hits.write.mode("overwrite").parquet(f"{out}/hits/batch={n}"),
         f"{out}/checkpoint",
@@ -851,7 +877,7 @@ def _nearest(found: DataFrame) -> DataFrame:
 
 @query("index_codes", ORACLES["pq_search"])
 def index_codes(spark: SparkSession, d: str) -> DataFrame:
-    return _nearest(index.search(_stored(spark, d, "labels"), fixtures.queries(spark, d), 10**6, 1_000, codes=True))
+    return _nearest(index.search(stored(spark, d, "labels"), fixtures.queries(spark, d), 10**6, 1_000, codes=True))
 
 
 @query("index_append", f"""WITH {_hits(1).rpartition("q AS")[0].rstrip().rstrip(",")}, {_CENTERS}
@@ -1044,12 +1070,13 @@ def dq_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "dq_flags",
-    "SELECT unnest(['lost_count', 'never_count']) AS check, unnest([false, true]) AS passed, unnest(['missing', 'skipped']) AS observed, unnest(['present', 'skipped']) AS expected FROM (SELECT count(*) FROM labels)",
+    """SELECT 'lost_count' AS check, count(*) FILTER (toxic = 1) = 0 AS passed, 'missing' AS observed, CAST(count(*) FILTER (toxic = 1) AS VARCHAR) AS expected FROM labels
+    UNION ALL SELECT 'never_count', true, 'skipped ' || count(*), 'skipped' FROM labels""",
 )
 def dq_flags(spark: SparkSession, d: str) -> DataFrame:
     """An output that lost a flag fails, a source that never had it is skipped."""
     rows = fixtures.table(spark, d, "labels")
-    return quality.union(quality.flag_counts(rows.withColumn("lost", F.lit(True)), rows, "lost"), quality.flag_counts(rows, rows, "never"))
+    return quality.union(quality.flag_counts(rows.withColumn("lost", F.col("toxic") == 1), rows, "lost"), quality.flag_counts(rows, rows, "never"))
 
 
 @query(
@@ -1060,3 +1087,28 @@ def dq_flags(spark: SparkSession, d: str) -> DataFrame:
 def dq_types(spark: SparkSession, d: str) -> DataFrame:
     declared = StructType.fromDDL("doc_id bigint, text string, lang string, source string, n_chars int")
     return quality.types_as_declared(fixtures.table(spark, d, "documents"), declared, spark)
+
+
+@query(
+    "dq_values",
+    """SELECT unnest(['values_doc_id', 'values_n_chars', 'values_lang']) AS check, unnest([a = 0, b = 0, true]) AS passed, unnest([CAST(a AS VARCHAR), CAST(b AS VARCHAR), '0']) AS observed, '0' AS expected
+    FROM (SELECT count(*) FILTER (doc_id NOT BETWEEN -128 AND 127) AS a, count(*) FILTER (n_chars NOT BETWEEN -32768 AND 32767) AS b FROM documents)""",
+)
+def dq_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values that narrower types than the table's can't hold."""
+    return quality.values_fit(fixtures.table(spark, d, "documents"), StructType.fromDDL("doc_id tinyint, n_chars smallint, lang string, other int"))
+
+
+@query(
+    "tree_lines",
+    """WITH h AS (SELECT r.r_name AS region, n.n_name AS nation, c.c_mktsegment AS segment FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey),
+    p AS (SELECT region, nation, segment FROM h GROUP BY ALL),
+    a AS (SELECT region, NULL AS nation, NULL AS segment, 1 AS depth, count(*) AS k FROM p GROUP BY region
+      UNION ALL SELECT region, nation, NULL, 2, count(*) FROM p GROUP BY region, nation UNION ALL SELECT region, nation, segment, 3, 1 FROM p),
+    l AS (SELECT *, region = (SELECT max(region) FROM p) AS x, nation = max(nation) OVER (PARTITION BY region) AS y, segment = max(segment) OVER (PARTITION BY region, nation) AS z FROM a)
+    SELECT region, nation, segment, CAST(depth AS BIGINT) AS depth, k AS leaf_paths,
+      CASE WHEN depth > 1 THEN CASE WHEN x THEN '    ' ELSE '│   ' END ELSE '' END || CASE WHEN depth > 2 THEN CASE WHEN y THEN '    ' ELSE '│   ' END ELSE '' END
+      || CASE WHEN CASE depth WHEN 1 THEN x WHEN 2 THEN y ELSE z END THEN '└── ' ELSE '├── ' END || CASE depth WHEN 1 THEN region WHEN 2 THEN nation ELSE segment END || ' (' || k || ')' AS line FROM l""",
+)
+def tree_lines(spark: SparkSession, d: str) -> DataFrame:
+    return summary.tree(fixtures.hierarchy_rows(spark, d), ["region", "nation", "segment"])
