@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -15,6 +15,7 @@ from tesserae.functions.vectors import normalise
 from tesserae.operators.ivf import label_cells
 from tesserae.operators.search import _matrix
 from tesserae.sources.shared import written
+from tesserae.sources.sinks import write_bucketed
 
 
 def embed(rows: DataFrame, content: str, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 256, unit: bool = True) -> DataFrame:
@@ -33,6 +34,33 @@ def embed_new(rows: DataFrame, store: DataFrame, content: str, make_model: Calla
     return known.select("content_hash", "embedding").unionByName(new)
 
 
+def embed_into(rows: DataFrame, table: str, content: str, make_model: Callable, batch_size: int = 256) -> DataFrame:
+    """``embed_new`` against a store that ``sinks.write_bucketed`` made by ``content_hash``, to which what is new is appended.
+
+    Only the hashes of ``rows`` are shuffled, to the store's buckets; the store is read in place, bucket by bucket, and what is
+    new is written by bucket, too. A call that is made again finds everything in the store.
+    """
+    spark = rows.sparkSession
+    keyed = rows.select(F.md5(F.col(content).cast("binary")).alias("content_hash"), content).filter("content_hash is not null")
+    buckets = bucket_count(spark, table)
+    keyed = keyed.repartition(buckets, "content_hash").dropDuplicates(["content_hash"])
+    fresh = keyed.join(spark.table(table).select("content_hash").hint("merge"), "content_hash", "left_anti")
+    new = written(embed(fresh, content, make_model, batch_size).select("content_hash", "embedding"), "new-embeddings")
+    if not new.isEmpty():
+        location = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first()["data_type"]
+        write_bucketed(new.select(*[F.col(f.name).cast(f.dataType) for f in spark.table(table).schema]), table, "content_hash", buckets, location, "append")
+        spark.catalog.refreshTable(table)
+    return spark.table(table).hint("merge").join(keyed.select("content_hash"), "content_hash", "left_semi")
+
+
+def bucket_count(spark: SparkSession, table: str) -> int:
+    """The buckets of a bucketed table."""
+    found = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Num Buckets'").first()
+    if not found:
+        raise ValueError(f"{table} has no buckets")
+    return int(found["data_type"])
+
+
 #: Bytes of class vectors (64 bits a number) that are compared with the items in one pass, and items and classes that are
 #: compared at once.
 CLASS_BYTES, ITEM_BLOCK, CLASS_BLOCK = 256 << 20, 256, 4096

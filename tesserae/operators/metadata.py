@@ -130,6 +130,38 @@ def cardinality_gate(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     return counts.select(F.inline(rows)).withColumn("accepted", F.col("n_distinct") <= F.col("most"))
 
 
+#: Registers of a sketch of distinct values, as a power of two, and how near to its limit an estimate may be: five standard
+#: errors of 1.04 / sqrt(2^14).
+REGISTERS, MARGIN = 14, 0.041
+
+
+def domain_sketches(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """(``by``, column, sketch) of the distinct values of each column, in one pass; those of several files or days can be merged
+    (``merged_sketches``) without reading these again."""
+    aggregates = [F.hll_sketch_agg(F.col(c).cast("string"), F.lit(REGISTERS)).alias(c) for c in columns]
+    made = df.groupBy(*([by] if by else [])).agg(*aggregates)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("sketch")) for c in columns])
+    return made.select(*([by] if by else []), F.inline(rows))
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    return sketches.groupBy("column").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def gate_by_sketches(df: DataFrame, limits: dict[str, int], sketches: DataFrame | None = None) -> DataFrame:
+    """(column, n_distinct, most, accepted, exact) as ``cardinality_gate``: a column whose estimate is within ``MARGIN`` of its
+    limit is counted exactly, the others are decided by the estimate, in one pass that keeps a sketch for each column.
+
+    ``sketches``: (column, sketch) of the same rows, where there are some already; then clear columns aren't read.
+    """
+    found = sketches if sketches is not None else domain_sketches(df, list(limits))
+    estimates = {r["column"]: r["n"] for r in found.select("column", F.hll_sketch_estimate("sketch").alias("n")).collect()}  # a row a column
+    near = {c: most for c, most in limits.items() if abs(estimates[c] - most) <= 1 + MARGIN * most}
+    clear = [(c, estimates[c], most, estimates[c] <= most, False) for c, most in limits.items() if c not in near]
+    out = df.sparkSession.createDataFrame(clear, "column string, n_distinct long, most long, accepted boolean, exact boolean")
+    return out.union(cardinality_gate(df, near).withColumn("exact", F.lit(True))) if near else out
+
+
 def closed_domain(df: DataFrame, column: str, domain: DataFrame, value: str = "value") -> DataFrame:
     """The column's value if the domain has it, else null."""
     allowed = domain.select(F.col(value).alias(column)).distinct().withColumn("_in", F.lit(True))
@@ -189,6 +221,13 @@ def join_manifest(manifest: DataFrame, catalog: DataFrame, uuid: str = "uuid") -
     return left.join(catalog.withColumn(uuid, key), uuid)
 
 
+def join_stored(manifest: DataFrame, table: str, uuid: str = "uuid") -> DataFrame:
+    """``join_manifest`` with a catalogue that ``sinks.write_bucketed`` made by its canonical uuid: only the manifest is
+    shuffled, to the catalogue's buckets."""
+    left = manifest.withColumn(uuid, canonical_uuid(F.col(uuid))).filter(F.col(uuid).isNotNull())
+    return left.join(manifest.sparkSession.table(table).hint("merge"), uuid)
+
+
 def rebuilt_only(df: DataFrame, prefixes: DataFrame, id_col: str, name: str = "identifier") -> DataFrame:
     """Only rows with a known prefix and a suffix, with their url."""
     known = prefixes.withColumnRenamed("prefix_id", "url_prefix_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -575,6 +576,19 @@ def cardinality_gate(spark: SparkSession, d: str) -> DataFrame:
     return metadata.cardinality_gate(fixtures.table(spark, d, "part"), _LIMITS)
 
 
+@query(
+    "cardinality_sketches",
+    'SELECT "column", most, n_distinct <= most AS accepted FROM ('
+    + " UNION ALL ".join(f"SELECT '{c}' AS column, count(DISTINCT {c}) AS n_distinct, CAST({m} AS BIGINT) AS most FROM part" for c, m in _LIMITS.items())
+    + ")",
+)
+def cardinality_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """The gate by sketches of each brand that are merged: only columns near their limit are counted."""
+    part = fixtures.table(spark, d, "part")
+    made = metadata.domain_sketches(part.withColumn("brand", F.col("p_brand")), list(_LIMITS), "brand")
+    return metadata.gate_by_sketches(part, _LIMITS, metadata.merged_sketches(made)).select("column", "most", "accepted")
+
+
 @query("distinct_values", "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL")
 def distinct_values(spark: SparkSession, d: str) -> DataFrame:
     return metadata.distinct_values(fixtures.table(spark, d, "documents"), "source")
@@ -602,6 +616,20 @@ def manifest_join(spark: SparkSession, d: str) -> DataFrame:
     return joined.select(F.replace("uuid", F.lit("-"), F.lit("")).alias("content_key"), "id", "quality")
 
 
+def _bucketed(df: DataFrame, label: str, key: str) -> str:
+    """A table in the shared folder with as many buckets as there are shuffle partitions."""
+    spark, table = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    sinks.write_bucketed(df, table, key, int(spark.conf.get("spark.sql.shuffle.partitions")), shared_path(spark, label))
+    return table
+
+
+@query("manifest_stored", ORACLES["manifest_join"])
+def manifest_stored(spark: SparkSession, d: str) -> DataFrame:
+    catalog = fixtures.table(spark, d, "labels").select(labels.canonical_uuid(F.md5(F.col("doc_id").cast("string"))).alias("uuid"), "quality")
+    joined = metadata.join_stored(fixtures.metadata(spark, d).select("id", "uuid"), _bucketed(catalog, "catalogue", "uuid"))
+    return joined.select(F.replace("uuid", F.lit("-"), F.lit("")).alias("content_key"), "id", "quality")
+
+
 @query("random_sample", "SELECT doc_id, lang FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id LIMIT 100")
 def random_sample(spark: SparkSession, d: str) -> DataFrame:
     return quality.sample(fixtures.table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 100)
@@ -934,6 +962,17 @@ def embed_reuse(spark: SparkSession, d: str) -> DataFrame:
     return made.select("content_hash", (F.size("embedding") == 1).alias("reused"))
 
 
+@query("embed_stored", ORACLES["embed_reuse"])
+def embed_stored(spark: SparkSession, d: str) -> DataFrame:
+    """A store by buckets, which two calls use: the second finds all that the first has added."""
+    docs = fixtures.table(spark, d, "documents").select("doc_id", "text")
+    store = docs.filter("doc_id % 2 = 0").select(F.md5(F.col("text").cast("binary")).alias("content_hash")).distinct()
+    table = _bucketed(store.withColumn("embedding", F.array(F.lit(-1.0).cast("float"))), "embeddings", "content_hash")
+    infer.embed_into(docs, table, "text", letter_counts)
+    made = infer.embed_into(docs, table, "text", letter_counts)
+    return made.select("content_hash", (F.size("embedding") == 1).alias("reused"))
+
+
 # ---- sources, sinks and columns
 
 
