@@ -1,3 +1,5 @@
+import math
+
 import helpers
 import numpy as np
 from pyspark.sql import functions as F
@@ -127,6 +129,36 @@ def test_hosts_that_training_never_saw(spark):
     assert [got[i]["_verdict"] for i in range(12)] == ["block"] * 6 + ["allow"] * 6
 
 
+def test_names_without_a_word_of_the_table(spark):
+    """Other forms and compounds of unwanted words are mostly blocked; names of ordinary words and of syllables are allowed."""
+    unwanted = "gamblers-den pokerroom casinos pornography escorts-net phisher-kit warezone roulettes cryptodoublers slotmachine viagras malwares spammers lotteries jackpots torrents eroticas hackedpages trojans steroid-shop".split()
+    wanted = "mathematics ocean island leather wheat lantern anthem heritage mountain climate festival cathedral thunder blanket copper window pencil saturday".split()
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
+    names = ["".join(syllables[(7 * i + 3 * k * k + k * i) % 20] for k in range(2 + i % 4)) for i in range(60)]
+    known = {*url_filter.UNWANTED, *url_filter.WANTED, *url_filter.BESIDE}
+    assert not known & {x for n in [*unwanted, *wanted, *names] for x in n.split("-")} - {"zone", "net", "room"}
+    got = judged(spark, [f"https://www.{h}.example.org/en/{i}" for i, h in enumerate([*unwanted, *wanted, *names])], [])
+    blocked = [got[i]["_verdict"] == "block" for i in range(len(got))]
+    assert sum(blocked[:20]) >= 15 and sum(blocked[20:38]) <= 1 and sum(blocked[38:]) <= 2
+
+
+def test_scores_by_brute_force(spark):
+    """The score from the model's weights: hashed n-grams of host and path, each counted once."""
+    from pyspark.ml.feature import HashingTF
+
+    def grams(host, path):
+        marked = f"^{host}$" if host else ""
+        return [f"{m}{t[i:i + w]}" for m, t in (("h", marked), ("p", path)) for w in url_filter.WIDTHS for i in range(len(t) - w + 1)]
+
+    model = url_filter.train(spark)
+    hashing = HashingTF(numFeatures=url_filter.FEATURES, binary=True, inputCol="g", outputCol="f")
+    weights, seen = model.coefficients.toArray(), judged(spark, URLS, [])
+    for i in range(len(URLS)):
+        slots = {hashing.indexOf(g) for g in grams(seen[i]["_host"], seen[i]["_path"])}
+        want = 1 / (1 + math.exp(-(model.intercept + sum(weights[j] for j in slots))))
+        assert math.isclose(seen[i]["_score"], want, abs_tol=1e-6)
+
+
 def test_long_urls_and_columns_of_any_name(spark):
     long = "http://www.cheap-pills.example.net/" + "a/" * 50_000
     pages = spark.createDataFrame([(1, long), (1, long), (2, None)], "page_id long, url string").selectExpr("*", "1 as _grams", "2 as _features", "3 as _host", "4 as `x.y`")
