@@ -48,19 +48,22 @@ WANTED = (
     "insulation masonry gardening botany zoology ornithology fishery dairy orchard vineyard cookbook restaurant cafe teahouse"
 ).split()
 BESIDE = "club center world online zone hub portal today home group place plus room house point line street park".split()
-PATHS = ["/", "/about", "/en/4", "/fr/31", "/de/7", "/es/55", "/list", "/page/2", "/contact", "/item/90"]
+PLAIN = [("", "/fr/31"), ("www.", "/en/4"), ("m.", "/es/55"), ("", "/de/7")]
 
 
 def labelled() -> list[tuple[str, str, int]]:
-    """Rows of host, path, 1 for unwanted: invented hosts under ``.test``, each word alone and beside two others. First labels of
-    hosts, words beside and paths are dealt alike to both kinds, so they tell nothing. Words of either kind have three rows,
-    and there are more of the wanted ones, so a name without any known part is allowed."""
+    """Rows of host, path, 1 for unwanted: invented hosts under ``.test``, each word alone, beside others, and in the path of a
+    host without it. First labels of hosts and plain paths go with the place of a row, not with the word's kind, so they tell
+    nothing. Wanted words have twice the rows, so a name without any known part is allowed, and few chance parts aren't
+    enough to block one."""
     rows = []
-    for words, label in ((UNWANTED, 1), (WANTED, 0)):
+    for words, label, rounds in ((UNWANTED, 1, 1), (WANTED, 0, 2)):
         for i, word in enumerate(words):
-            one, two = BESIDE[i % len(BESIDE)], BESIDE[(7 * i + 5) % len(BESIDE)]
-            for k, name in enumerate((word, f"{word}-{one}", f"{two}{word}")):
-                rows.append((("", "www.", "m.", "blog.")[(i + k) % 4] + name + ".test", PATHS[(3 * i + k) % len(PATHS)], label))
+            for r in range(rounds):
+                one, two = BESIDE[(i + 5 * r) % len(BESIDE)], BESIDE[(7 * i + 5 + 3 * r) % len(BESIDE)]
+                names = (f"{word}{one}" if r else word, f"{word}-{one}", f"{two}{word}", f"{two}-{word}")
+                rows += [(f"{first}{name}.test", path, label) for (first, path), name in zip(PLAIN, names, strict=True)]
+                rows.append((f"blog.{two}-{one}.test", f"/{word}/", label))
     return rows
 
 
