@@ -54,8 +54,9 @@ def outcome(code: Column, error: Column, has_url: Column) -> Column:
 
 Fetcher = Callable[[str], tuple[int | None, bytes | None, str | None]]
 
-#: Requests to hosts without a limit that run side by side in a task, and those that one file of the ledger holds.
-THREADS, TOGETHER = 8, 64
+#: Requests to hosts without a limit that run side by side in a task, and those that one file of the ledger holds; as many
+#: files of a task are made one, up to so many bytes.
+THREADS, TOGETHER, MERGED = 8, 64, 32 << 20
 _LEDGER = "url string, host string, code int, error string, content binary, n_bytes long, fetched_at double"
 _FIELDS = pa.schema(
     [("url", pa.string()), ("host", pa.string()), ("code", pa.int32()), ("error", pa.string()), ("content", pa.binary()), ("n_bytes", pa.int64()), ("fetched_at", pa.float64())]
@@ -88,23 +89,50 @@ class Simulated(Clock):
 class Ledger:
     """What one task has fetched: files in a folder that driver and executors share, one for each batch of requests.
 
-    A file has its name only when it is whole, so a killed task leaves what it had finished and nothing else.
+    A file has its name only when it is whole, so a killed task leaves what it had finished and nothing else. ``TOGETHER``
+    files are made one, whose name is there before the others go, so their number stays small however many requests there are;
+    a task that is killed in between leaves rows twice, which readers take once.
     """
 
     def __init__(self, folder: str):
         self.files, self.folder = fs.FileSystem.from_uri(folder)
+        #: files that are yet to be made one, by how often that was done to them; their bytes, up to MERGED
+        self.levels: list[list[tuple[str, pa.Table]]] = []
+        self.sizes: list[int] = []
 
     def finished(self) -> pa.Table:
         """(url, host, fetched_at) of all requests in the folder."""
-        found = self.files.get_file_info(fs.FileSelector(self.folder, allow_not_found=True))
-        tables = [pq.read_table(f.path, columns=["url", "host", "fetched_at"], filesystem=self.files, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
-        return pa.concat_tables(tables) if tables else _FIELDS.empty_table().select(["url", "host", "fetched_at"])
+        columns = ["url", "host", "fetched_at"]
+        while True:
+            found = self.files.get_file_info(fs.FileSelector(self.folder, allow_not_found=True))
+            try:
+                tables = [pq.read_table(f.path, columns=columns, filesystem=self.files, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
+            except FileNotFoundError:  # an attempt that is being killed has just made it part of another
+                continue
+            return pa.concat_tables(tables) if tables else _FIELDS.empty_table().select(columns)
 
     def add(self, rows: list[tuple]) -> None:
+        if not self.levels:
+            self.files.create_dir(self.folder)
+        self._keep(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=_FIELDS), 0)
+
+    def _keep(self, table: pa.Table, level: int) -> None:
         name = f"{self.folder}/{uuid.uuid4().hex}"
-        self.files.create_dir(self.folder)
-        pq.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=_FIELDS), f"{name}.tmp", filesystem=self.files)
+        pq.write_table(table, f"{name}.tmp", filesystem=self.files, use_dictionary=False, write_statistics=False)
         self.files.move(f"{name}.tmp", f"{name}.parquet")
+        if level == len(self.levels):
+            self.levels.append([])
+            self.sizes.append(0)
+        held = self.levels[level]
+        held.append((f"{name}.parquet", table))
+        self.sizes[level] += table.nbytes
+        if self.sizes[level] <= MERGED and len(held) < TOGETHER:
+            return
+        if self.sizes[level] <= MERGED:
+            self._keep(pa.concat_tables([own for _, own in held]).combine_chunks(), level + 1)
+            for path, _ in held:
+                self.files.delete_file(path)
+        self.levels[level], self.sizes[level] = [], 0
 
 
 def _request(fetcher: Fetcher, url: str) -> tuple[int | None, str | None, bytes | None, int]:
@@ -168,7 +196,8 @@ def fetch(planned: DataFrame, fetcher: Fetcher, url: str, id_col: str, parallel:
     through them in the order of their offsets and waits for each, while hosts without a limit are dealt over ``parallel``
     tasks. What is fetched goes to the ``ledger``, a folder that driver and executors share (Arrow must be able to write
     there); a task that is started again skips what its folder in the ledger has, and a call with the same ledger fetches
-    only what no earlier call has. ``fetched_at`` is the clock's time of the request.
+    only what no earlier call has; calls with the same ledger must not run at the same time. ``fetched_at`` is the clock's
+    time of the request.
     """
     spark, clock = planned.sparkSession, clock or Clock()
     ledger = ledger or shared_path(spark, "ledger")

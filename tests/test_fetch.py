@@ -1,6 +1,7 @@
 """Paced fetching: the pace by a simulated clock, and the ledger after failures."""
 
 import os
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -105,3 +106,27 @@ def test_wall_time(spark, tmp_path):
     rows = fetch.plan(spark.createDataFrame([(i, f"http://slow.org/{i}") for i in range(3)], "id long, u string"), "u", "id", SLOW, 5.0)
     at = sorted(r["fetched_at"] for r in fetch.fetch(rows, Logged(tmp_path), "u", "id", 2, rate=5.0).collect())
     assert all(b - a >= 0.199 for a, b in zip(at, at[1:]))
+
+
+def test_a_ledger_of_many_requests_has_few_files(tmp_path, monkeypatch):
+    """One file a request would be 5,000 files, which a later reader has to open one by one."""
+    rows = [("slow.org", f"http://slow.org/{i}", float(i), True) for i in range(5000)]
+    folder = f"{tmp_path}/l"
+    assert fetch.paced(iter(rows), lambda u: (200, u.encode(), None), fetch.Ledger(f"file://{folder}"), fetch.Simulated(), 0.0, 1.0) == 5000
+    assert len(os.listdir(folder)) <= 3 * fetch.TOGETHER
+    found = fetch.Ledger(f"file://{folder}").finished()
+    assert sorted(zip(found["fetched_at"].to_pylist(), found["url"].to_pylist())) == [(float(i), r[1]) for i, r in enumerate(rows)]
+    monkeypatch.setattr(fetch, "MERGED", 1000)  # files that are large stay as they are
+    fetch.paced(iter(rows[:200]), lambda u: (200, b"x" * 500, None), fetch.Ledger(f"file://{folder}2"), fetch.Simulated(), 0.0, 1.0)
+    assert len(os.listdir(f"{folder}2")) == 200 and fetch.Ledger(f"file://{folder}2").finished().num_rows == 200
+
+
+def test_the_query_does_not_wait(spark, tmp_path):
+    """60 urls of one throttled host, of which every second page lacks its image: half a minute by wall time."""
+    from tesserae.plans import catalog, fixtures
+
+    rows = [(i, f"http://{fixtures.THROTTLED_HOSTS[0]}/{i}") for i in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    began = time.time()
+    got = {r["page_id"]: r["image"] for r in catalog.QUERIES["fill_missing"](spark, str(tmp_path)).collect()}
+    assert got == {i: "kept" if i % 2 == 0 else u for i, u in rows} and time.time() - began < 25
