@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, ShortType, StructField, St
 
 from tesserae.functions.vectors import distance
 from tesserae.operators.numbering import contiguous_ids
-from tesserae.operators.search import _HITS, Best, PLACES, QUERY_BLOCK, _batch, _matrix, ranked, top_k
+from tesserae.operators.search import _HITS, Best, PAIRS, PLACES, QUERY_BLOCK, QUERY_BYTES, _batch, _matrix, ranked, top_k
 from tesserae.sources.shared import shared_path, written
 
 
@@ -320,6 +321,115 @@ def _code_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return _matrix(column).astype(np.int64)
 
 
+class Distances:
+    """The least distances of each query, those that fewer than ``ranks`` vectors are below, and how many are at each."""
+
+    def __init__(self, n: int, ranks: int):
+        self.n, self.ranks = n, ranks
+        self.worst = np.full(n, np.inf)  # what a distance must not exceed
+        self.held = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, d: np.ndarray, weight: np.ndarray) -> None:
+        """Distances of vectors (rows) to all queries, and how many vectors each row is."""
+        reach = self.worst
+        if len(d) >= self.ranks and np.isinf(reach).any():
+            reach = np.minimum(reach, np.partition(d, self.ranks - 1, 0)[self.ranks - 1])
+        rows, columns = np.nonzero(d <= reach + 2 * 10.0**-PLACES)
+        for lo in range(0, len(rows), PAIRS):
+            r, c = rows[lo : lo + PAIRS], columns[lo : lo + PAIRS]
+            found = np.maximum(d[r, c], 0.0).round(PLACES) + 0.0
+            self._merge(*(np.concatenate(x) for x in zip(self.held, (c, found, weight[r]), strict=True)))
+
+    def _merge(self, q: np.ndarray, d: np.ndarray, n: np.ndarray) -> None:
+        order = np.lexsort((d, q))
+        q, d, n = q[order], d[order], n[order]
+        head = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (d[1:] != d[:-1])]))
+        q, d, n = q[head], d[head], np.add.reduceat(n, head)
+        total = np.cumsum(n)
+        first = np.searchsorted(q, np.arange(self.n + 1))
+        before = total - n - np.concatenate([[0], total])[first[:-1]][q]
+        last = (before < self.ranks) & (before + n >= self.ranks)
+        self.worst[q[last]] = d[last]
+        keep = before < self.ranks
+        self.held = q[keep], d[keep], n[keep]
+
+
+#: Pairs of a query and a vector that are worth a task of their own.
+TASK_PAIRS = 1 << 25
+
+
+def nearest_distances(queries: DataFrame, codes: DataFrame, codebooks: DataFrame, ranks: int) -> DataFrame:
+    """(query_id, distance, n): the looked-up distances of each query to all vectors (vec_id, codes) that fewer than ``ranks``
+    vectors are below, and how many are at each: of equal distances, however many vectors have them, there is one row.
+
+    A vector that is stored in several cells counts once, and rows of an id that have different codes by the nearest. Vectors
+    are dealt by id; a task looks up all pairs of its vectors and the queries, and sends what may be among the least distances
+    of a query, about ``ranks`` rows. Up to ``QUERY_BYTES`` of queries are broadcast, more are taken in blocks.
+    """
+    spark = queries.sparkSession
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vec").filter("query_id is not null and query_vec is not null")
+    size, many = queries.agg(F.coalesce(F.sum(4 * F.size("query_vec").cast("long")), F.lit(0)), F.count("*")).first()
+    codes = codes.select(F.col("vec_id").cast("long").alias("vec_id"), "codes").filter("vec_id is not null and codes is not null")
+    codes = written(codes, "codes")
+    n = codes.count()
+    parts = max(1, -(-n // CELL_PART), min(-(-n * many // TASK_PAIRS), 2 * spark.sparkContext.defaultParallelism))
+    codes = codes.repartition(parts, "vec_id")
+    blocks, found = max(1, -(-size // QUERY_BYTES)), None
+    if blocks > 1:
+        # all vectors of an id in one block
+        queries = written(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "query-blocks")
+    books = spark.sparkContext.broadcast(_books(codebooks))
+    for block in range(blocks):
+        own = queries if blocks == 1 else queries.filter(F.col("block") == block).drop("block")
+        one = _distances(own, codes, books, ranks)
+        found = one if found is None else found.union(one)
+    summed = found.groupBy("query_id", "distance").agg(F.sum("n").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("query_id").orderBy("distance")) - F.col("n")
+    return summed.withColumn("_below", below).filter(F.col("_below") < ranks).drop("_below")
+
+
+def _distances(queries: DataFrame, codes: DataFrame, books: Broadcast, ranks: int) -> DataFrame:
+    block = queries.orderBy("query_id").toArrow()
+    names, heads = np.unique(block["query_id"].to_numpy(), return_index=True)
+    shared = queries.sparkSession.sparkContext.broadcast((names, np.append(heads, len(block)), _matrix(block["query_vec"]) if len(block) else np.zeros((0, 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, heads, q = shared.value
+        batches = [b for b in batches if len(b)]
+        if not batches or not len(names):
+            return
+        ids, v = np.concatenate([b.column(0).to_numpy() for b in batches]), np.concatenate([_matrix(b.column(1)).astype(np.int16) for b in batches])
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], v[order]
+        head = np.concatenate([[True], ids[1:] != ids[:-1]])
+        once = head & np.append(head[1:], True)
+        # vectors of the same codes are at the same distances; those of an id that has several rows are taken by the nearest
+        same, weight = np.unique(v[once], axis=0, return_counts=True)
+        again, starts = v[~once].astype(np.int64), np.flatnonzero(head[~once])
+        same, lo = same.astype(np.int64), 0
+        while lo < len(names):
+            hi = max(lo + 1, int(np.searchsorted(heads, heads[lo] + QUERY_BLOCK, "right")) - 1)
+            table = CodeBest(q[heads[lo] : heads[hi]], 1, books.value)
+            of, least = heads[lo:hi] - heads[lo], Distances(hi - lo, ranks)
+            step = max(1, HELD // max(1, len(table.q)))
+
+            def far(rows: np.ndarray) -> np.ndarray:
+                d = table.near(rows)[0].T
+                return d if len(of) == d.shape[1] else np.minimum.reduceat(d, of, axis=1)
+
+            for at in range(0, len(same), step):
+                least.add(far(same[at : at + step]), weight[at : at + step])
+            for at in range(0, len(starts), step):
+                ends = np.append(starts, len(again))[at : at + step + 1]
+                near = np.stack([far(again[a:b]).min(0) for a, b in zip(ends, ends[1:], strict=False)])
+                least.add(near, np.ones(len(near), np.int64))
+            own, d, n = least.held
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi][own]), pa.array(d), pa.array(n)], names=["query_id", "distance", "n"])
+            lo = hi
+
+    return codes.mapInArrow(run, "query_id long, distance double, n long")
+
+
 def settle(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Hits (query_id, vec_id, cell) in the order of exact distances to ``vectors`` (cell, vec_id, embedding)."""
     near = found.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(queries, "query_id")

@@ -198,3 +198,41 @@ def test_queries_in_blocks_of_bytes(spark, corpus, queries, monkeypatch):
     whole = hits(search.top_k(same, corpus, 6))
     monkeypatch.setattr(search, "QUERY_BYTES", 100)
     assert hits(search.top_k(same, corpus, 6)) == whole
+
+
+def test_nearest_distances_by_brute_force(spark, path, v, queries, monkeypatch):
+    """Few distinct codes, so that many vectors are at one distance; copies in two cells and repeated ids count once."""
+    books = spark.createDataFrame([(s, c, [float(c - 1), float(s)]) for s in range(4) for c in range(3)], "sub int, code int, center array<double>")
+    codes = np.random.default_rng(3).integers(0, 3, (900, 4))
+    rows = [(i, x.tolist()) for i, x in enumerate(codes)] + [(i, codes[i].tolist()) for i in range(0, 900, 7)] + [(i, [1, 1, 1, 1]) for i in range(5)] + [(None, [1, 1, 1, 1]), (1000, None)]
+    held = spark.createDataFrame(rows, "vec_id long, codes array<short>").repartition(6)
+    asked = queries.union(queries.limit(1).selectExpr("query_id + 90", "query_vec")).union(queries.filter("query_id = 0").selectExpr("query_id", "transform(query_vec, x -> x + 1)"))
+    centers = ivf._books(books)
+    of = {}
+    for r in asked.collect():
+        q = np.array(r["query_vec"]).reshape(4, 2)
+        far = np.array([[((q[s] - centers[s, c]) ** 2).sum() for c in range(3)] for s in range(4)])
+        for i, x in rows:
+            if i is not None and x is not None:
+                d = round(float(sum(far[s, c] for s, c in enumerate(x))), 6)
+                of.setdefault(r["query_id"], {})[i] = min(d, of.get(r["query_id"], {}).get(i, d))
+    want = []
+    for name, found in of.items():
+        d = np.array(sorted(found.values()))
+        want += [(name, x, int((d == x).sum())) for x in np.unique(d) if (d < x).sum() < 40]
+    want = np.array(sorted(want))
+
+    def right():
+        found = np.array(sorted(map(tuple, ivf.nearest_distances(asked, held, books, 40).collect())))
+        return found.shape == want.shape and np.allclose(found, want, atol=2e-6)
+
+    assert right() and want[:, 2].max() > 10
+    # no task sends more than it must: distances that fewer than 40 vectors are below
+    plan = ivf._distances(asked, held.filter("vec_id is not null and codes is not null").repartition(3, "vec_id"), spark.sparkContext.broadcast(centers), 40)
+    assert plan.count() <= 3 * 40 * len(of) < 900 * len(of)
+    monkeypatch.setattr(ivf, "TASK_PAIRS", 2000)
+    monkeypatch.setattr(ivf, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(ivf, "QUERY_BYTES", 100)
+    monkeypatch.setattr(ivf, "HELD", 50)
+    monkeypatch.setattr(ivf, "PAIRS", 17)
+    assert right()
