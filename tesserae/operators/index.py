@@ -158,6 +158,14 @@ def search(path: str, queries: DataFrame, k: int, nprobe: int, codes: bool = Fal
     return ivf.settle(short, queries, held.select("vec_id", "embedding"), k)
 
 
+def nearest_distances(path: str, queries: DataFrame, ranks: int) -> DataFrame:
+    """``ivf.nearest_distances`` by the codes of all cells."""
+    spark = queries.sparkSession
+    if not live(spark, path):
+        return spark.createDataFrame([], "query_id long, distance double, n long")
+    return ivf.nearest_distances(queries, scan(spark, path), _table(spark, path, "books"), ranks)
+
+
 def search_scoped(path: str, queries: DataFrame, metadata: DataFrame, top_n: int, nprobe: int, factor: int = 3, scope: Column | None = None) -> DataFrame:
     """``search.search`` by the index: fetch ``top_n`` x ``factor`` hits, drop those out of scope, and keep ``top_n`` at most."""
     fetched = enrich(search(path, queries, top_n * factor, nprobe), metadata)

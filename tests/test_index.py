@@ -236,3 +236,12 @@ def test_nearest_distances_by_brute_force(spark, path, v, queries, monkeypatch):
     monkeypatch.setattr(ivf, "HELD", 50)
     monkeypatch.setattr(ivf, "PAIRS", 17)
     assert right()
+
+
+def test_nearest_distances_of_a_stored_index(spark, path, queries):
+    """Each vector is stored in two cells, and counts once."""
+    found = index.search(path, queries, 900, 24, codes=True).withColumn("r", F.expr("rank() over (partition by query_id order by distance)"))
+    want = found.filter("r <= 30").groupBy("query_id", "distance").agg(F.count("*").alias("n"))
+    key = lambda df: sorted((r["query_id"], r["distance"], r["n"]) for r in df.collect())
+    assert key(index.nearest_distances(path, queries, 30)) == key(want)
+    assert index.nearest_distances(path, queries.filter("query_id < 0"), 30).isEmpty()
