@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, ShortType, StructField, St
 
 from tesserae.functions.vectors import distance
 from tesserae.operators.numbering import contiguous_ids
-from tesserae.operators.search import _HITS, Best, PAIRS, PLACES, QUERY_BLOCK, QUERY_BYTES, _batch, _matrix, ranked, top_k
+from tesserae.operators.search import _HITS, Best, KEPT, PAIRS, PLACES, QUERY_BLOCK, QUERY_BYTES, _batch, _matrix, ranked, top_k
 from tesserae.sources.shared import shared_path, written
 
 
@@ -200,13 +200,13 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     return found.select("query_id", F.col("vec_id").cast("int").alias("cell")).join(queries, "query_id")
 
 
-#: Vectors, or queries, of a cell that one task gets.
-CELL_PART = 50_000
+#: Vectors, or queries, of a cell that one task gets, and hits that its queries have at most, but for a single query.
+CELL_PART, PART_HITS = 50_000, 1 << 20
 
 
-def _parts(rows: DataFrame, name: str) -> DataFrame:
-    """(cell, name): in how many parts a cell's rows are dealt. There is a row a cell, so it may be broadcast."""
-    return rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias(name))
+def _parts(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """(cell, name): in how many parts of ``most`` a cell's rows are dealt. There is a row a cell, so it may be broadcast."""
+    return rows.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
 
 
 def by_cell(asked: DataFrame, stored: DataFrame, column: str, k: int, make: Callable[[np.ndarray], Best], read: Callable[[pa.ChunkedArray], np.ndarray], sizes: DataFrame | None = None) -> DataFrame:
@@ -218,7 +218,7 @@ def by_cell(asked: DataFrame, stored: DataFrame, column: str, k: int, make: Call
     """
     counted = stored.groupBy("cell").agg(F.count("*").alias("n")) if sizes is None else sizes
     parts = counted.select("cell", F.ceil(F.col("n") / CELL_PART).cast("int").alias("_v")).filter("_v > 0")
-    dealt = F.broadcast(parts.join(_parts(asked, "_q"), "cell"))  # a row a cell
+    dealt = F.broadcast(parts.join(_parts(asked, "_q", max(1, min(CELL_PART, PART_HITS // k))), "cell"))  # a row a cell
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stored = stored.filter(F.col(column).isNotNull()).join(dealt, "cell").withColumn("v", deal("vec_id", "_v")).withColumn("q", every("_q"))
@@ -226,11 +226,12 @@ def by_cell(asked: DataFrame, stored: DataFrame, column: str, k: int, make: Call
     keys = ["cell", "v", "q"]
 
     def run(wanted: pa.Table, held: pa.Table) -> pa.Table:
-        out = []
-        for lo in range(0, len(wanted) if len(held) else 0, QUERY_BLOCK):
-            part = wanted.slice(lo, QUERY_BLOCK)
+        out, block = [], max(1, min(QUERY_BLOCK, KEPT // k))
+        ids, v = (held["vec_id"].to_numpy(), read(held[column])) if len(held) else (None, None)
+        for lo in range(0, len(wanted) if len(held) else 0, block):
+            part = wanted.slice(lo, block)
             best = make(_matrix(part["query_vec"]))
-            best.add(held["vec_id"].to_numpy(), read(held[column]))
+            best.add(ids, v)
             out.append(_batch(part["query_id"].to_numpy(), best))
         return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())]))
 

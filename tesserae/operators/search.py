@@ -18,8 +18,9 @@ QUERY_BLOCK = 4096
 #: Bytes of query vectors (32 bits a number) that are searched for in one pass over the corpus; more are taken in blocks of
 #: about so many, one pass each. A task holds a block and its best hits.
 QUERY_BYTES = 256 << 20
-#: Vectors that are compared with a block at once, and pairs whose distances are settled at once.
-CHUNK, PAIRS = 1024, 1 << 17
+#: Vectors that are compared with a block at once, pairs whose distances are settled at once, and hits that the queries of a cell that
+#: are searched for together have at most, but for a single query.
+CHUNK, PAIRS, KEPT = 1024, 1 << 17, 1 << 18
 #: Distances are reported with this many places, which also decides what is a tie.
 PLACES = 6
 #: The labels of the scopes and their keys.

@@ -105,6 +105,18 @@ def test_hot_cells_are_dealt_over_tasks(path, corpus, queries, monkeypatch):
     assert (hits(index.search(path, queries, 10, 5)), hits(index.search(path, queries, 10, 5, codes=True))) == want
 
 
+def test_queries_of_a_cell_are_dealt_by_their_hits(path, queries, monkeypatch):
+    """Many hits a query: a task gets, and searches for together, fewer queries, and the hits are the same."""
+    want = hits(index.search(path, queries, 10, 24)), hits(index.search(path, queries, 5, 24, codes=True, shortlist=4))
+    sizes = []
+    monkeypatch.setattr(ivf, "PART_HITS", 40)
+    monkeypatch.setattr(ivf, "KEPT", 20)
+    parts = ivf._parts
+    monkeypatch.setattr(ivf, "_parts", lambda rows, name, most: sizes.append(most) or parts(rows, name, most))
+    assert (hits(index.search(path, queries, 10, 24)), hits(index.search(path, queries, 5, 24, codes=True, shortlist=4))) == want
+    assert sizes == [4, 2]
+
+
 def test_failed_appends_compaction_and_vacuum(spark, corpus, queries, tmp_path):
     path = f"file://{tmp_path}/i"
     index.create(path, ivf.train_cells(corpus, 6), buckets=3)
